@@ -70,8 +70,13 @@ def percent(a, b) -> Column:
     return F.lit(100.0) * _col(a) / F.nullif(_col(b), F.lit(0.0))
 
 
+# Fixed values (must equal the reference's detector status text):
+VERDICT_ATTACK = "THREAT DETECTED"
+VERDICT_NORMAL = "NORMAL"
+
+
 def verdict(pred) -> Column:
-    return F.when(_col(pred) == 1, F.lit("ATTACK")).otherwise(F.lit("NORMAL"))
+    return F.when(_col(pred) == 1, F.lit(VERDICT_ATTACK)).otherwise(F.lit(VERDICT_NORMAL))
 
 
 def iso_label(decision) -> Column:

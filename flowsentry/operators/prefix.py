@@ -83,3 +83,22 @@ def quantile_bucket(df: DataFrame, keys: Sequence[str], col: str, buckets: int =
         joined = df.crossJoin(F.broadcast(bounds))
     qb = F.size(F.filter(F.col("_bounds"), lambda b: b < F.col(col)))
     return joined.withColumn("_qb", qb).drop("_bounds")
+
+
+def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence, k: int,
+                    salt_buckets: int = 64, salt_col=None) -> DataFrame:
+    """First ``k`` rows per key by ``order``, in two levels.
+
+    Level 1 keeps the first ``k`` of each (key, salt) slice, so a hot key is
+    spread over ``salt_buckets`` tasks; level 2 ranks at most
+    ``k * salt_buckets`` candidates per key.  Adds ``rn`` (1..k).
+    """
+    keys = list(keys)
+    order_c = [_c(o) for o in order]
+    salt = _c(salt_col) if salt_col is not None else F.xxhash64(*order_c)
+    d = df.withColumn("_salt", F.pmod(salt, F.lit(salt_buckets)))
+    w1 = Window.partitionBy(*keys, "_salt").orderBy(*order_c)
+    cand = d.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k)
+    w2 = Window.partitionBy(*keys).orderBy(*order_c)
+    return (cand.withColumn("rn", F.row_number().over(w2)).where(F.col("rn") <= k)
+            .drop("_salt", "_r1"))

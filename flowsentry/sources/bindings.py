@@ -105,6 +105,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor("ts").cast("double").alias("epoch"),
         F.concat(F.lit("10.11.12."), (F.col("user_id") % 20).cast("string")).alias("ip"),
         F.col("value").alias("temp"),
+        F.col("event_id").alias("seq"),
     )
 
 
@@ -191,7 +192,7 @@ DUCK = {
         cast(sum(k) OVER (PARTITION BY user_id%10 ORDER BY event_id) % 5000 as double) FROM ev
       UNION ALL SELECT 'attack_type_code', cast(user_id%10 as int), ts, event_id, cast(k%3 as double) FROM ev"""),
     "ticks": (["ev"], """SELECT floor(ts) AS epoch, concat('10.11.12.', cast(user_id%20 as varchar)) AS ip,
-        value AS temp FROM ev WHERE event_type='view'"""),
+        value AS temp, event_id AS seq FROM ev WHERE event_type='view'"""),
     "packets": (["ev", "ticks"], """SELECT event_id AS frame, ts - (SELECT min(epoch) FROM ticks) AS rel,
         concat('10.0.0.', cast(user_id as varchar)) AS src, concat('10.1.0.', cast(k as varchar)) AS dst,
         CASE WHEN event_type='error' THEN 'UDP' WHEN event_type='click' THEN 'TCP' ELSE 'MQTT' END AS proto,
