@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowsentry.operators.stats import exact_quantiles
 from flowsentry.operators.windows import FEATURES
 
 EULER_GAMMA = 0.5772156649015329
@@ -177,9 +178,11 @@ class IsolationForest:
         model = IsolationForestModel(nodes, self.features, psi, self.contamination)
         train_scores = model.score(x)
         q = 1.0 - self.contamination
-        agg = F.percentile("anomaly_score", F.lit(q)) if self.exact_cut else \
-            F.percentile_approx("anomaly_score", F.lit(q), 100000)
-        model.cut = float(train_scores.agg(agg.alias("c")).first()["c"])
+        if self.exact_cut:
+            cut = exact_quantiles(train_scores, "anomaly_score", [q]).first()["q0"]
+        else:
+            cut = train_scores.agg(F.percentile_approx("anomaly_score", F.lit(q), 100000)).first()[0]
+        model.cut = float(cut)  # one number reaches the driver
         return model
 
 
@@ -203,14 +206,16 @@ def contamination_sweep(train_scores: DataFrame, test_scored: DataFrame,
     from flowsentry.operators.evaluation import with_rates, confusion
     by = list(by)
     probs = [1.0 - c for c in contaminations]
-    q = F.percentile("score", F.array(*[F.lit(p) for p in probs])) if exact else \
-        F.percentile_approx("score", probs, 100000)
-    cuts = train_scores.groupBy(*by).agg(q.alias("_cuts"))
+    if exact:
+        qs = exact_quantiles(train_scores, "score", probs, by)
+        cuts = qs.select(*by, F.array(*[F.col(f"q{i}") for i in range(len(probs))]).alias("_cuts"))
+    else:
+        cuts = train_scores.groupBy(*by).agg(F.percentile_approx("score", probs, 100000).alias("_cuts"))
     spark = train_scores.sparkSession
     levels = spark.createDataFrame([(i, float(c)) for i, c in enumerate(contaminations)],
                                    "_i int, contamination double")
-    cuts = cuts.crossJoin(levels).select(*by, "contamination",
-                                         F.element_at("_cuts", F.col("_i") + 1).alias("cutoff"))
+    cuts = cuts.crossJoin(F.broadcast(levels)).select(
+        *by, "contamination", F.element_at("_cuts", F.col("_i") + 1).alias("cutoff"))
     # one row per (model, level): bounded by models x levels
     x = test_scored.join(F.broadcast(cuts), by).withColumn(
         "pred", (F.col("score") > F.col("cutoff")).cast("int"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,20 +43,86 @@ def stats_overall(df: DataFrame, cols: Sequence[str] = ("cpu", "ram", "latency")
     return _stack(df.agg(*aggs), cols, ["mean", "std", "max", "min"])
 
 
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
+                    accuracy: int = 100000) -> DataFrame:
+    """Exact linear-interpolation quantiles without gathering the column.
+
+    1. ``percentile_approx`` gives, per key, a value band around each target
+       rank (its rank error is at most n / accuracy, so a band of +-3n/accuracy
+       ranks always holds the answer);
+    2. rows below the band are only counted; rows inside are grouped by value
+       (ties collapse, so a hot value is one row) and ranked by a running
+       count over the band, which is a small table;
+    3. the two order statistics around ``p * (n - 1)`` are interpolated.
+
+    Returns one row per key with ``q0, q1, ...`` (same order as ``probs``).
+    """
+    by = list(by)
+    x = F.col(col).cast("double")
+    d = df.where(x.isNotNull()).select(*by, x.alias("_x"))
+    eps = 3.0 / accuracy
+    lo_p = [max(0.0, p - eps) for p in probs]
+    hi_p = [min(1.0, p + eps) for p in probs]
+    stats = d.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.percentile_approx("_x", lo_p, accuracy).alias("_lo"),
+        F.percentile_approx("_x", hi_p, accuracy).alias("_hi"))
+    spark = df.sparkSession
+    targets = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "_i int, _p double")
+    st = stats.crossJoin(F.broadcast(targets)).select(
+        *by, "_i", "_p", "_n",
+        # a group of at most `accuracy` rows is banded whole (the rank error
+        # bound only guarantees the band for larger groups)
+        F.when(F.col("_n") <= accuracy, F.lit(float("-inf")))
+         .otherwise(F.element_at("_lo", F.col("_i") + 1)).alias("_lo"),
+        F.when(F.col("_n") <= accuracy, F.lit(float("inf")))
+         .otherwise(F.element_at("_hi", F.col("_i") + 1)).alias("_hi"),
+        F.floor(F.col("_p") * (F.col("_n") - 1)).cast("bigint").alias("_r0"),
+        (F.col("_p") * (F.col("_n") - 1) - F.floor(F.col("_p") * (F.col("_n") - 1))).alias("_frac"))
+    # One pass: rows above the band are dropped, rows below it fall in one
+    # NULL group per (key, target), band rows are grouped by value.  The
+    # running count (NULL group first) then is each value's rank end.
+    j = d.join(F.broadcast(st), by, "inner") if by else d.crossJoin(F.broadcast(st))
+    g = (j.where(F.col("_x") <= F.col("_hi"))
+         .groupBy(*by, "_i", F.when(F.col("_x") >= F.col("_lo"), F.col("_x")).alias("_bx"))
+         .agg(F.count(F.lit(1)).alias("_c")))
+    w = (Window.partitionBy(*by, "_i").orderBy(F.col("_bx").asc_nulls_first())
+         .rowsBetween(Window.unboundedPreceding, 0))
+    b = g.withColumn("_end", F.sum("_c").over(w)) \
+         .join(F.broadcast(st.select(*by, "_i", "_r0", "_frac")), by + ["_i"])
+    # value at 0-based rank r is the first band value whose rank end > r
+    v = b.groupBy(*by, "_i").agg(
+        F.min_by("_bx", F.when(F.col("_end") > F.col("_r0"), F.col("_bx"))).alias("_v0"),
+        F.min_by("_bx", F.when(F.col("_end") > F.col("_r0") + 1, F.col("_bx"))).alias("_v1"),
+        F.first("_frac").alias("_frac"))
+    v = v.withColumn("_q", F.when(F.col("_frac") == 0, F.col("_v0")).otherwise(
+        F.col("_v0") + F.col("_frac") * (F.coalesce(F.col("_v1"), F.col("_v0")) - F.col("_v0"))))
+    out = v.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"q{i}")
+                               for i in range(len(probs))])
+    return out
+
+
 def trimmed_stats(df: DataFrame, col: str, p: float = 0.99, exact: bool = True,
                   digits: int = 4, accuracy: int = 100000) -> DataFrame:
     """Cut at the p-quantile (linear interpolation), keep values <= cut, then
     n / mean / population std / p-quantile of the kept values, rounded.
 
-    ``exact=False`` uses ``percentile_approx`` (bounded memory at scale).
+    ``exact=True`` uses ``exact_quantiles`` (bounded memory, exact result);
+    ``exact=False`` uses ``percentile_approx`` directly.
     """
     x = F.col(col).cast("double")
-    q = (lambda e: F.percentile(e, F.lit(p))) if exact else \
-        (lambda e: F.percentile_approx(e, F.lit(p), accuracy))
-    cut = F.broadcast(df.agg(q(x).alias("_cut")))
-    kept = df.crossJoin(cut).where(x <= F.col("_cut"))
-    g = kept.agg(F.count(x).alias("n"), F.avg(x).alias("mean"),
-                 F.stddev_pop(x).alias("std"), q(x).alias("p"))
+    if exact:
+        cut = F.broadcast(exact_quantiles(df, col, [p], accuracy=accuracy)
+                          .select(F.col("q0").alias("_cut")))
+    else:
+        cut = F.broadcast(df.agg(F.percentile_approx(x, F.lit(p), accuracy).alias("_cut")))
+    kept = df.crossJoin(cut).where(x <= F.col("_cut")).select(x.alias("_v"))
+    g = kept.agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"))
+    if exact:
+        pq = exact_quantiles(kept, "_v", [p], accuracy=accuracy).select(F.col("q0").alias("p"))
+    else:
+        pq = kept.agg(F.percentile_approx("_v", F.lit(p), accuracy).alias("p"))
+    g = g.crossJoin(pq)
     return g.select("n", *[F.round(c, digits).alias(c) for c in ("mean", "std")],
                     F.round("p", digits).alias(f"p{int(round(p * 100))}"))
 

@@ -23,7 +23,15 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stratified_split(windows(spark, sf_dir), "label", "window", 0.3, 42)
+    """Windows with rank and split.
+
+    The window table (one row per window, far smaller than the flows) is
+    checkpointed before the split and the split after it: the split reads
+    the windows twice and its result feeds several branches, and none of
+    them should re-read the flow scan.
+    """
+    w = windows(spark, sf_dir).checkpoint(eager=True)
+    return stratified_split(w, "label", "window", 0.3, 42).checkpoint(eager=True)
 
 
 def train_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,7 @@ from flowsentry.operators import stats as ST
 from flowsentry.operators import windows as WN
 from flowsentry.plans.catalog import query
 from flowsentry.plans.common import (
-    D_FC, D_SPLIT, D_WF, W, duck, flows_clean, split_windows, windows,
+    D_FC, D_SPLIT, D_WF, W, d_clean, d_coerce, duck, flows_clean, split_windows, windows,
 )
 from flowsentry.sources import bindings as B
 
@@ -164,3 +164,20 @@ def q_split_overlap(spark, sf):
 def q_ttfa(spark, sf):
     """First attack time after a 60 s warm-up; NULL when no attack."""
     return ST.time_to_first_attack(flows_clean(spark, sf), 60.0)
+
+
+_LI = B.FLOWS_LI_WINDOW_SECONDS
+_D_FC_LI = ("fcl", f"""SELECT ts - (SELECT min(ts) FROM flows_li) AS ts, k,
+    {d_coerce('duration')} AS duration, {d_clean('src_bytes')} AS src_bytes,
+    {d_clean('dst_bytes')} AS dst_bytes,
+    label FROM flows_li""")
+
+
+@query("window_features_li", duck(["flows_li"], _D_FC_LI, select=f"""SELECT "window", flow_count, avg_duration,
+    src_bytes, dst_bytes, (src_bytes + dst_bytes) / flow_count AS avg_bytes, label FROM (
+      SELECT cast(floor(ts / {_LI}) as bigint) AS "window", count(duration) AS flow_count,
+        avg(duration) AS avg_duration, sum(src_bytes) AS src_bytes, sum(dst_bytes) AS dst_bytes, max(label) AS label
+      FROM fcl WHERE duration > 0 GROUP BY 1) g"""), _WF_DOUBLES)
+def q_window_features_li(spark, sf):
+    """A1 at bench volume: every lineitem row is a flow, one-day windows."""
+    return WN.window_features(C.rebase(C.clean_flows(B.flows_li(spark, sf))), _LI)

@@ -18,7 +18,7 @@ from flowsentry.sources import bindings as B
 
 def _split(spark, sf):
     """Windows with their split, materialised once (they feed several fits)."""
-    return split_windows(spark, sf).checkpoint(eager=True)
+    return split_windows(spark, sf)
 
 
 def _tt(s):

@@ -31,3 +31,18 @@ def test_top_k(spark):
     got = top_k_per_group(spark.createDataFrame(pdf), ["g"], ["line"], 20, salt_buckets=8).toPandas()
     exp = pdf.sort_values("line").groupby("g").head(20)
     assert sorted(zip(got.g, got.line)) == sorted(zip(exp.g, exp.line))
+
+
+def test_exact_quantiles_with_hot_value(spark):
+    from flowsentry.operators.stats import exact_quantiles
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 7, 5000):
+        x = np.round(rng.exponential(3, n), 2)
+        x[: n // 3] = 1.5
+        pdf = pd.DataFrame({"g": rng.choice(["a", "b"], n), "x": x})
+        probs = [0.0, 0.01, 0.5, 0.99, 1.0]
+        got = exact_quantiles(spark.createDataFrame(pdf), "x", probs, by=["g"], accuracy=100) \
+            .toPandas().set_index("g").sort_index()
+        for gk, sub in pdf.groupby("g"):
+            exp = np.percentile(sub.x.to_numpy(), [p * 100 for p in probs])
+            assert np.allclose(got.loc[gk].to_numpy(dtype=float), exp, rtol=0, atol=1e-9)
