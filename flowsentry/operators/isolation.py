@@ -222,3 +222,21 @@ def contamination_sweep(train_scores: DataFrame, test_scored: DataFrame,
     rates = with_rates(confusion(x, by + ["contamination", "cutoff"]))
     return rates.select(*by, "contamination", "cutoff", "precision", "recall", "f1_score",
                         "tp", "fp", "fn", "tn")
+
+
+def save_isolation(model: IsolationForestModel, path: str) -> None:
+    """Persist the forest (node table, parquet) and its parameters (JSON row)."""
+    import json
+    model.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    params = {"features": model.features, "psi": model.psi,
+              "contamination": model.contamination, "cut": model.cut}
+    spark = model.nodes.sparkSession
+    spark.createDataFrame([(json.dumps(params),)], "params string") \
+         .write.mode("overwrite").json(f"{path}/params")
+
+
+def load_isolation(spark, path: str) -> IsolationForestModel:
+    import json
+    p = json.loads(spark.read.json(f"{path}/params").first()["params"])
+    nodes = spark.read.parquet(f"{path}/nodes")
+    return IsolationForestModel(nodes, p["features"], p["psi"], p["contamination"], p["cut"])
