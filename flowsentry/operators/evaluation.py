@@ -43,11 +43,14 @@ def detection_metrics(scored: DataFrame, by: Sequence[str] = ("model",)) -> Data
     return with_rates(confusion(scored, by))
 
 
-def _score_counts(scored: DataFrame, by: Sequence[str]) -> DataFrame:
-    """One row per (model, distinct score): value skew collapses here."""
-    return scored.groupBy(*by, "score").agg(
+def _score_counts(scored: DataFrame, by: Sequence[str], buckets: int) -> DataFrame:
+    """One row per (model, distinct score) with positive / negative counts and
+    a score-quantile bucket: value skew collapses here.  Checkpointed (into
+    the shared checkpoint folder) because several branches read it."""
+    g = scored.groupBy(*by, "score").agg(
         F.count_if(F.col("label") == 1).alias("pos"),
         F.count_if(F.col("label") != 1).alias("neg"))
+    return quantile_bucket(g, by, "score", buckets).checkpoint(eager=True)
 
 
 def roc_auc(scored: DataFrame, by: Sequence[str] = ("model",), buckets: int = 256) -> DataFrame:
@@ -58,7 +61,7 @@ def roc_auc(scored: DataFrame, by: Sequence[str] = ("model",), buckets: int = 25
     sum over approximate-quantile buckets of the distinct scores.
     """
     by = list(by)
-    g = quantile_bucket(_score_counts(scored, by), by, "score", buckets)
+    g = _score_counts(scored, by, buckets)
     c = running_aggregate(g, keys=by, order=["score"], value="neg", out="neg_below",
                           bucket=F.col("_qb"), inclusive=False).drop("_qb")
     term = F.col("pos") * (F.coalesce(F.col("neg_below"), F.lit(0)) + F.lit(0.5) * F.col("neg"))
@@ -73,19 +76,16 @@ def roc_curve(scored: DataFrame, by: Sequence[str] = ("model",), buckets: int =
     """ROC points, one per distinct score (descending) plus the origin, whose
     threshold is NULL (above every score).  Collinear points are kept."""
     by = list(by)
-    g = quantile_bucket(_score_counts(scored, by), by, "score", buckets)
-    desc_bucket = F.lit(buckets) - F.col("_qb")
-    c = running_aggregate(g, keys=by, order=[F.col("score").desc()], value="pos", out="cum_pos",
-                          bucket=desc_bucket)
-    c = running_aggregate(c, keys=by, order=[F.col("score").desc()], value="neg", out="cum_neg",
-                          bucket=desc_bucket).drop("_qb")
-    totals = F.broadcast(scored.groupBy(*by).agg(
-        F.count_if(F.col("label") == 1).cast("double").alias("_P"),
-        F.count_if(F.col("label") != 1).cast("double").alias("_N")))
+    g = _score_counts(scored, by, buckets)
+    c = running_aggregate(g, keys=by, order=[F.col("score").desc()], value=["pos", "neg"],
+                          out=["cum_pos", "cum_neg"], bucket=F.lit(buckets) - F.col("_qb"))
+    # one row per model
+    totals = F.broadcast(g.groupBy(*by).agg(F.sum("pos").cast("double").alias("_P"),
+                                            F.sum("neg").cast("double").alias("_N")))
     pts = c.select(*by, F.col("score").alias("threshold"), "cum_pos", "cum_neg")
-    origin = scored.select(*by).distinct().select(
-        *by, F.lit(None).cast("double").alias("threshold"),
-        F.lit(0).cast("bigint").alias("cum_pos"), F.lit(0).cast("bigint").alias("cum_neg"))
+    origin = totals.select(*by, F.lit(None).cast("double").alias("threshold"),
+                           F.lit(0).cast("bigint").alias("cum_pos"),
+                           F.lit(0).cast("bigint").alias("cum_neg"))
     allp = pts.unionByName(origin).join(totals, by)
     return allp.select(
         *by, "threshold",

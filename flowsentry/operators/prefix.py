@@ -29,44 +29,59 @@ def _c(x) -> Column:
 
 
 def running_aggregate(df: DataFrame, keys: Sequence[str], order: Sequence, value,
-                      out: str, bucket: Column, how: str = "sum",
+                      out, bucket: Column, how: str = "sum",
                       inclusive: bool = True) -> DataFrame:
     """Add ``out`` = running ``how`` of ``value`` over ``order`` within ``keys``.
 
+    ``value`` / ``out`` may be lists (several running values in one pass).
     ``bucket`` must be non-decreasing in ``order`` within each key.  With
-    ``inclusive=False`` the current row is excluded (NULL / 0 for the
-    first row, like a ``1 PRECEDING`` frame).
+    ``inclusive=False`` the current row is excluded (NULL for the first row
+    of a key, like a ``1 PRECEDING`` frame).
     """
     agg = _AGG[how]
     keys = list(keys)
-    d = df.withColumn("_rv", _c(value)).withColumn("_bkt", bucket)
+    values = list(value) if isinstance(value, (list, tuple)) else [value]
+    outs = list(out) if isinstance(out, (list, tuple)) else [out]
+    d = df
+    for i, v in enumerate(values):
+        d = d.withColumn(f"_rv{i}", _c(v))
+    d = d.withColumn("_bkt", bucket)
     end = Window.currentRow if inclusive else -1
     w_local = (Window.partitionBy(*keys, "_bkt").orderBy(*[_c(o) for o in order])
                .rowsBetween(Window.unboundedPreceding, end))
-    local = d.withColumn("_loc", agg("_rv").over(w_local))
-
-    totals = d.groupBy(*keys, "_bkt").agg(agg("_rv").alias("_tot"))
+    local = d
+    for i in range(len(values)):
+        local = local.withColumn(f"_loc{i}", agg(f"_rv{i}").over(w_local))
+
+    # Totals come from the windowed rows: they are already clustered by
+    # (key, bucket), so both branches share one shuffle of the input.
+    totals = local.groupBy(*keys, "_bkt").agg(
+        *[agg(f"_rv{i}").alias(f"_tot{i}") for i in range(len(values))])
     w_off = (Window.partitionBy(*keys).orderBy("_bkt")
              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*keys, "_bkt", agg("_tot").over(w_off).alias("_off"))
-    offsets = offsets.select(*[F.col(k).alias(f"_ok_{k}") for k in keys],
-                             F.col("_bkt").alias("_ok_bkt"), "_off")
+    offsets = totals.select(*[F.col(k).alias(f"_ok_{k}") for k in keys],
+                            F.col("_bkt").alias("_ok_bkt"),
+                            *[agg(f"_tot{i}").over(w_off).alias(f"_off{i}")
+                              for i in range(len(values))])
     cond = F.col("_bkt").eqNullSafe(F.col("_ok_bkt"))
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_ok_{k}"))
     joined = local.join(offsets, cond, "left")
-    if how == "sum":
-        combined = F.coalesce(F.col("_off"), F.lit(0)) + F.coalesce(F.col("_loc"), F.lit(0))
-        if not inclusive:
-            # keep NULL semantics only for the very first row of a key
-            combined = F.when(F.col("_off").isNull() & F.col("_loc").isNull(), F.lit(None)) \
-                        .otherwise(combined)
-    elif how == "max":
-        combined = F.greatest("_off", "_loc")
-    else:
-        combined = F.least("_off", "_loc")
-    drop = ["_rv", "_bkt", "_loc", "_off", "_ok_bkt"] + [f"_ok_{k}" for k in keys]
-    return joined.withColumn(out, combined).drop(*drop)
+    for i, o in enumerate(outs):
+        off, loc = F.col(f"_off{i}"), F.col(f"_loc{i}")
+        if how == "sum":
+            combined = F.coalesce(off, F.lit(0)) + F.coalesce(loc, F.lit(0))
+            if not inclusive:
+                combined = F.when(off.isNull() & loc.isNull(), F.lit(None)).otherwise(combined)
+        elif how == "max":
+            combined = F.greatest(off, loc)
+        else:
+            combined = F.least(off, loc)
+        joined = joined.withColumn(o, combined)
+    drop = ["_bkt", "_ok_bkt"] + [f"_ok_{k}" for k in keys]
+    for i in range(len(values)):
+        drop += [f"_rv{i}", f"_loc{i}", f"_off{i}"]
+    return joined.drop(*drop)
 
 
 def quantile_bucket(df: DataFrame, keys: Sequence[str], col: str, buckets: int = 256,
