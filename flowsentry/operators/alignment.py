@@ -4,20 +4,19 @@
 sensor tick at or after its time.  It is planned as a union of the two
 traces plus windows, never as a range/nested-loop join:
 
-* rows are cut into time buckets; inside a bucket a running ``min`` of
-  tick times over descending time gives each packet the next tick;
-* packets with no later tick in their bucket take the first tick of the
-  next non-empty bucket, from a per-bucket table of minima (one row per
-  bucket, joined back; AQE broadcasts it when small).
+* a running ``min`` of tick times over descending time gives each packet
+  the next tick;
+* the running min is the exact two-level form (``prefix.running_aggregate``)
+  over approximate time-quantile buckets.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsentry.operators.cleaning import parse_or_reject
-from flowsentry.operators.prefix import running_aggregate
+from flowsentry.operators.prefix import quantile_bucket, running_aggregate
 
 
 def translate(df: DataFrame, rel: str, t0: DataFrame, out: str = "t") -> DataFrame:
@@ -40,38 +39,29 @@ def parse_packets(packets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def align_forward(packets: DataFrame, ticks: DataFrame, t: str = "t",
-                  drop_tail: bool = True, bucket_s: float = 60.0) -> DataFrame:
+                  drop_tail: bool = True, buckets: int = 256) -> DataFrame:
     """Attach ``tick`` = smallest tick >= packet time.
 
     ``ticks`` has one column ``tick`` (distinct).  With ``drop_tail`` the
     last tick is never flushed, so packets after the second-to-last tick
     are dropped; packets after the last tick are always dropped.
+
+    Plan: union of packets and ticks, then a running ``min`` of tick times
+    over descending time (ticks before packets at equal time) -- the next
+    tick at or after each packet.  The running min is two-level over
+    approximate time-quantile buckets, so a burst of traffic is spread
+    evenly over tasks and gaps without ticks cost nothing.
     """
     cols = packets.columns
-    bkt = lambda c: F.floor(F.col(c) / F.lit(float(bucket_s))).cast("bigint")
-    p = (packets.withColumn("_at", F.col(t)).withColumn("_kind", F.lit(1))
+    p = (packets.withColumn("_at", F.col(t).cast("double")).withColumn("_kind", F.lit(1))
          .withColumn("_tick", F.lit(None).cast("double")))
     k = (ticks.select(F.col("tick").cast("double").alias("_at"))
          .withColumn("_kind", F.lit(0)).withColumn("_tick", F.col("_at")))
-    u = p.unionByName(k, allowMissingColumns=True).withColumn("_b", bkt("_at"))
-    # descending time, ticks before packets at equal time: the running min
-    # of tick times seen so far is the next tick at or after the packet
-    w = (Window.partitionBy("_b").orderBy(F.col("_at").desc(), F.col("_kind").asc())
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    u = u.withColumn("_next", F.min("_tick").over(w)).where(F.col("_kind") == 1)
-
-    # One row per time bucket (bounded by time span / bucket_s, not by rows):
-    # the first tick of any later bucket, for packets whose bucket has none.
-    tb = ticks.groupBy(bkt("tick").alias("_nb")).agg(F.min("tick").cast("double").alias("_nbmin"))
-    pb = (packets.select(bkt(t).alias("_nb")).distinct()
-          .withColumn("_nbmin", F.lit(None).cast("double")))
-    allb = tb.unionByName(pb).groupBy("_nb").agg(F.min("_nbmin").alias("_nbmin"))
-    wb = Window.orderBy(F.col("_nb").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    later = allb.select("_nb", F.min("_nbmin").over(wb).alias("_later"))
-
-    res = u.join(later, u["_b"] == later["_nb"], "left")
-    res = res.select(*cols, F.coalesce(F.col("_next"), F.col("_later")).alias("tick")) \
-             .where(F.col("tick").isNotNull())
+    u = p.unionByName(k, allowMissingColumns=True)
+    u = quantile_bucket(u, [], "_at", buckets)
+    r = running_aggregate(u, keys=[], order=[F.col("_at").desc(), F.col("_kind").asc()],
+                          value="_tick", out="tick", bucket=F.lit(buckets) - F.col("_qb"), how="min")
+    res = r.where((F.col("_kind") == 1) & F.col("tick").isNotNull()).select(*cols, "tick")
     if drop_tail:
         last = F.broadcast(ticks.agg(F.max("tick").alias("_last")))
         res = res.crossJoin(last).where(F.col("tick") < F.col("_last")).drop("_last")

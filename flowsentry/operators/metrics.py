@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsentry.functions.scalar import band, map_values, percent
+from flowsentry.operators.prefix import two_level_lag
 
 # Fixed values (must equal the reference's dashboard and agent):
 # gauge names published per flow window
@@ -82,27 +83,32 @@ def gauge_state(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[
 
 
 def counter_increase(metrics: DataFrame, range_s: float, series: Sequence[str] = SERIES,
-                     per_second: bool = False) -> DataFrame:
+                     per_second: bool = False, slice_s: float | None = None) -> DataFrame:
     """Reset-aware ``increase`` (or ``rate``) over aligned ranges.
 
     Per series and range bucket ``[b*range, (b+1)*range)``: the sum over
     consecutive sample pairs inside the range of ``v - prev`` (``v`` after a
-    reset, i.e. when ``v < prev``).  No boundary extrapolation.  The window
-    is partitioned by (series, range bucket), so a hot series is split by time.
+    reset, i.e. when ``v < prev``).  No boundary extrapolation.
+
+    The previous sample comes from a two-level lag over time slices of
+    ``slice_s`` seconds (default range/64, at least 1 s) that never cross a
+    range boundary, so a hot series is spread over many tasks; the sum is a
+    plain partial/final aggregate.
     """
-    b = F.floor(F.col("ts") / F.lit(float(range_s))).cast("bigint")
+    r = float(range_s)
+    sl = float(slice_s) if slice_s else max(1.0, r / 64.0)
+    b = F.floor(F.col("ts") / F.lit(r)).cast("bigint")
     d = metrics.withColumn("_b", b)
-    order = [F.col("ts"), F.col("seq")] if "seq" in metrics.columns else [F.col("ts")]
-    w = Window.partitionBy(*series, "_b").orderBy(*order)
-    prev = F.lag("value").over(w)
-    d = d.withColumn("_prev", prev)
+    order = ["ts", "seq"] if "seq" in metrics.columns else ["ts"]
+    slice_id = F.col("_b") * F.lit(1 << 20) + F.floor((F.col("ts") - F.col("_b") * F.lit(r)) / F.lit(sl))
+    d = two_level_lag(d, [*series, "_b"], order, "value", "_prev", slice_id.cast("bigint"))
     delta = F.when(F.col("_prev").isNull(), F.lit(0.0)) \
              .when(F.col("value") < F.col("_prev"), F.col("value")) \
              .otherwise(F.col("value") - F.col("_prev"))
     g = d.groupBy(*series, "_b").agg(F.sum(delta).alias("increase"))
-    out = g.select(*series, (F.col("_b") * F.lit(float(range_s))).alias("range_start"), "increase")
+    out = g.select(*series, (F.col("_b") * F.lit(r)).alias("range_start"), "increase")
     if per_second:
-        out = out.withColumn("rate", F.col("increase") / F.lit(float(range_s))).drop("increase")
+        out = out.withColumn("rate", F.col("increase") / F.lit(r)).drop("increase")
     return out
 
 

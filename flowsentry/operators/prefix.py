@@ -84,6 +84,24 @@ def running_aggregate(df: DataFrame, keys: Sequence[str], order: Sequence, value
     return joined.drop(*drop)
 
 
+def sorted_rank(df: DataFrame, bounds: str, x, out: str, n_bounds: int) -> DataFrame:
+    """``out`` = number of entries of the ascending array column ``bounds``
+    (length ``n_bounds``) that are < ``x``: a binary search written as one
+    projection per halving step (``element_at`` keeps it in generated code;
+    Catalyst does not fold the steps together because each reuses the last)."""
+    step = 1
+    while step * 2 <= n_bounds:
+        step *= 2
+    d = df.withColumn(out, F.lit(0))
+    xv = _c(x)
+    while step >= 1:
+        nxt = F.col(out) + F.lit(step)
+        ok = (nxt <= F.lit(n_bounds)) & (F.element_at(F.col(bounds), nxt) < xv)
+        d = d.withColumn(out, F.when(ok, nxt).otherwise(F.col(out)))
+        step //= 2
+    return d
+
+
 def quantile_bucket(df: DataFrame, keys: Sequence[str], col: str, buckets: int = 256,
                     accuracy: int = 10000) -> DataFrame:
     """Attach ``_qb``: a monotone bucket of ``col`` per key from approximate
@@ -96,8 +114,7 @@ def quantile_bucket(df: DataFrame, keys: Sequence[str], col: str, buckets: int =
         joined = df.join(bounds, keys, "left")
     else:
         joined = df.crossJoin(F.broadcast(bounds))
-    qb = F.size(F.filter(F.col("_bounds"), lambda b: b < F.col(col)))
-    return joined.withColumn("_qb", qb).drop("_bounds")
+    return sorted_rank(joined, "_bounds", col, "_qb", len(probs)).drop("_bounds")
 
 
 def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence, k: int,
@@ -117,3 +134,26 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence, k: int,
     w2 = Window.partitionBy(*keys).orderBy(*order_c)
     return (cand.withColumn("rn", F.row_number().over(w2)).where(F.col("rn") <= k)
             .drop("_salt", "_r1"))
+
+
+def two_level_lag(df: DataFrame, keys: Sequence[str], order: Sequence, value: str, out: str,
+                  bucket: Column) -> DataFrame:
+    """``out`` = ``value`` of the previous row in ``order`` within ``keys``
+    (NULL for a key's first row), computed per (key, bucket) slice; the
+    first row of a slice takes the last value of the nearest earlier
+    non-empty slice from a small per-slice table."""
+    keys = list(keys)
+    order_c = [_c(o) for o in order]
+    d = df.withColumn("_lb", bucket)
+    w = Window.partitionBy(*keys, "_lb").orderBy(*order_c)
+    d = d.withColumn("_lag", F.lag(value).over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    last = d.groupBy(*keys, "_lb").agg(F.max_by(value, F.struct(*order_c)).alias("_last"))
+    wp = Window.partitionBy(*keys).orderBy("_lb")
+    prev = last.select(*[F.col(k).alias(f"_pk_{k}") for k in keys], F.col("_lb").alias("_plb"),
+                       F.lag("_last").over(wp).alias("_prev_slice"))
+    cond = F.col("_lb").eqNullSafe(F.col("_plb"))
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_pk_{k}"))
+    j = d.join(prev, cond, "left")
+    res = j.withColumn(out, F.when(F.col("_first"), F.col("_prev_slice")).otherwise(F.col("_lag")))
+    return res.drop("_lb", "_lag", "_first", "_plb", "_prev_slice", *[f"_pk_{k}" for k in keys])

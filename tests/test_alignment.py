@@ -11,11 +11,11 @@ def _ticks(spark, ts):
 
 def test_forward_edge_case(spark):
     p = spark.createDataFrame([(1, 0.2), (2, 1.0), (3, 1.5), (4, 3.2), (5, 2.5)], "frame long, t double")
-    full = {r.frame: r.tick for r in align_forward(p, _ticks(spark, [1, 2, 3]), drop_tail=False, bucket_s=1.0).collect()}
+    full = {r.frame: r.tick for r in align_forward(p, _ticks(spark, [1, 2, 3]), drop_tail=False, buckets=3).collect()}
     assert full == {1: 1.0, 2: 1.0, 3: 2.0, 5: 3.0}
-    tail = {r.frame: r.tick for r in align_forward(p, _ticks(spark, [1, 2, 3]), drop_tail=True, bucket_s=1.0).collect()}
+    tail = {r.frame: r.tick for r in align_forward(p, _ticks(spark, [1, 2, 3]), drop_tail=True, buckets=3).collect()}
     assert tail == {1: 1.0, 2: 1.0, 3: 2.0}
-    per = {r.tick: r.n_packets for r in packets_per_tick(align_forward(p, _ticks(spark, [1, 2, 3]), bucket_s=1.0),
+    per = {r.tick: r.n_packets for r in packets_per_tick(align_forward(p, _ticks(spark, [1, 2, 3]), buckets=3),
                                                           _ticks(spark, [1, 2, 3])).collect()}
     assert per == {1.0: 2, 2.0: 1}
 
@@ -25,7 +25,7 @@ def test_matches_merge_asof_with_gaps(spark):
     ticks = np.unique(np.r_[rng.uniform(0, 100, 40), rng.uniform(500, 520, 10)].round(2))
     pk = pd.DataFrame({"frame": np.arange(3000), "t": rng.uniform(-5, 530, 3000).round(3)})
     got = align_forward(spark.createDataFrame(pk), _ticks(spark, ticks), drop_tail=False,
-                        bucket_s=7.0).toPandas().set_index("frame").tick
+                        buckets=16).toPandas().set_index("frame").tick
     exp = pd.merge_asof(pk.sort_values("t"), pd.DataFrame({"tick": ticks, "k": ticks}),
                         left_on="t", right_on="k", direction="forward").dropna().set_index("frame").tick
     assert got.sort_index().equals(exp.sort_index())
