@@ -93,15 +93,40 @@ def roc_curve(scored: DataFrame, by: Sequence[str] = ("model",), buckets: int =
         F.when(F.col("_P") > 0, F.col("cum_pos") / F.col("_P")).alias("tpr"))
 
 
+def _rates_long(wide: DataFrame, by: Sequence[str], levels: Sequence[float], level_col: str,
+                extra: Sequence[str] = ()) -> DataFrame:
+    """Unstack per-level ``tp_i / fp_i / fn_i / tn_i`` columns into one row
+    per (key, level) and add the rates."""
+    parts = []
+    for i, t in enumerate(levels):
+        parts.append(F.struct(F.lit(float(t)).alias(level_col),
+                              *[F.col(f"{e}_{i}").alias(e) for e in extra],
+                              *[F.col(f"{c}_{i}").alias(c) for c in ("tp", "fp", "fn", "tn")]))
+    long = wide.select(*by, F.explode(F.array(*parts)).alias("_s")).select(*by, "_s.*")
+    return with_rates(long)
+
+
+def sweep_counts(scored: DataFrame, thresholds: Sequence[float], by: Sequence[str] = ("model",),
+                 strict: bool = False) -> DataFrame:
+    """Confusion counts at many thresholds in one grouped pass: one
+    conditional count per (threshold, cell), no row multiplication.
+    ``pred = score >= t`` (``score > t`` with ``strict``)."""
+    by = list(by)
+    pos = F.col("label") == 1
+    aggs = []
+    for i, t in enumerate(thresholds):
+        pp = (F.col("score") > F.lit(float(t))) if strict else (F.col("score") >= F.lit(float(t)))
+        aggs += [F.count_if(pos & pp).alias(f"tp_{i}"), F.count_if(~pos & pp).alias(f"fp_{i}"),
+                 F.count_if(pos & ~pp).alias(f"fn_{i}"), F.count_if(~pos & ~pp).alias(f"tn_{i}")]
+    return _rates_long(scored.groupBy(*by).agg(*aggs), by, thresholds, "threshold")
+
+
 def threshold_sweep(scored: DataFrame, thresholds: Sequence[float] = SWEEP_THRESHOLDS,
                     by: Sequence[str] = ("model",)) -> DataFrame:
     """Precision/recall/F1 at each probability threshold (score >= t) in one
-    grouped pass; the threshold list is a parameter-sized broadcast."""
+    grouped pass, with the (threshold-independent) ROC-AUC."""
     by = list(by)
-    spark = scored.sparkSession
-    tdf = F.broadcast(spark.createDataFrame([(float(t),) for t in thresholds], "threshold double"))
-    x = scored.crossJoin(tdf).withColumn("pred", (F.col("score") >= F.col("threshold")).cast("int"))
-    rates = with_rates(confusion(x, by + ["threshold"]))
+    rates = sweep_counts(scored, thresholds, by)
     auc = roc_auc(scored, by)
     return rates.join(auc, by, "left").select(
         *by, "threshold", "precision", "recall", "f1_score", "roc_auc")

@@ -24,7 +24,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -163,12 +163,10 @@ class IsolationForest:
         frac = min(1.0, 1.5 * self.trees * psi / max(n, 1))
         pool = x.sample(False, frac, self.seed) if frac < 1.0 else x
         pool = pool.withColumn("_rid", F.monotonically_increasing_id())
-        spark = df.sparkSession
-        trees = spark.range(self.trees).select(F.col("id").cast("int").alias("tree"))
-        # every tree takes psi pool rows by its own hash order (pool is bounded)
-        cand = pool.crossJoin(F.broadcast(trees)).withColumn(
-            "_h", F.xxhash64(F.lit(self.seed), F.col("tree"), F.col("_rid")))
-        from pyspark.sql import Window
+        # every tree takes psi pool rows by its own hash order; the pool is
+        # bounded (about 1.5 * trees * psi rows), so this stays bounded too
+        cand = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1)))) \
+                   .withColumn("_h", F.xxhash64(F.lit(self.seed), F.col("tree"), F.col("_rid")))
         w = Window.partitionBy("tree").orderBy("_h")
         chosen = cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi) \
                      .drop("_r", "_h", "_rid")
@@ -201,25 +199,30 @@ def contamination_sweep(train_scores: DataFrame, test_scored: DataFrame,
     """One score pass, many contamination levels: cut_c = (1 - c) quantile
     of the training scores; pred = score > cut_c; rates per level.
 
-    No refit is needed: the trees do not depend on the contamination.
+    No refit is needed: the trees do not depend on the contamination.  The
+    cut-offs are one wide row per model joined to the scored rows, and every
+    level is a conditional count in the same aggregate.
     """
-    from flowsentry.operators.evaluation import with_rates, confusion
+    from flowsentry.operators.evaluation import _rates_long
     by = list(by)
     probs = [1.0 - c for c in contaminations]
     if exact:
-        qs = exact_quantiles(train_scores, "score", probs, by)
-        cuts = qs.select(*by, F.array(*[F.col(f"q{i}") for i in range(len(probs))]).alias("_cuts"))
+        cuts = exact_quantiles(train_scores, "score", probs, by) \
+            .select(*by, *[F.col(f"q{i}").alias(f"cutoff_{i}") for i in range(len(probs))])
     else:
-        cuts = train_scores.groupBy(*by).agg(F.percentile_approx("score", probs, 100000).alias("_cuts"))
-    spark = train_scores.sparkSession
-    levels = spark.createDataFrame([(i, float(c)) for i, c in enumerate(contaminations)],
-                                   "_i int, contamination double")
-    cuts = cuts.crossJoin(F.broadcast(levels)).select(
-        *by, "contamination", F.element_at("_cuts", F.col("_i") + 1).alias("cutoff"))
-    # one row per (model, level): bounded by models x levels
-    x = test_scored.join(F.broadcast(cuts), by).withColumn(
-        "pred", (F.col("score") > F.col("cutoff")).cast("int"))
-    rates = with_rates(confusion(x, by + ["contamination", "cutoff"]))
+        q = train_scores.groupBy(*by).agg(F.percentile_approx("score", probs, 100000).alias("_q"))
+        cuts = q.select(*by, *[F.element_at("_q", i + 1).alias(f"cutoff_{i}")
+                               for i in range(len(probs))])
+    x = test_scored.join(cuts, by) if by else test_scored.crossJoin(F.broadcast(cuts))
+    pos = F.col("label") == 1
+    aggs = []
+    for i in range(len(probs)):
+        pp = F.col("score") > F.col(f"cutoff_{i}")
+        aggs += [F.first(f"cutoff_{i}").alias(f"cutoff_{i}"),
+                 F.count_if(pos & pp).alias(f"tp_{i}"), F.count_if(~pos & pp).alias(f"fp_{i}"),
+                 F.count_if(pos & ~pp).alias(f"fn_{i}"), F.count_if(~pos & ~pp).alias(f"tn_{i}")]
+    wide = x.groupBy(*by).agg(*aggs)
+    rates = _rates_long(wide, by, contaminations, "contamination", extra=["cutoff"])
     return rates.select(*by, "contamination", "cutoff", "precision", "recall", "f1_score",
                         "tp", "fp", "fn", "tn")
 

@@ -42,12 +42,9 @@ def _flow_stream(spark, sf):
     stats = raw.agg(F.min("ts").alias("t0"), F.max("ts").alias("t1")).first()
     src = scratch_path(spark, "flow-stream")
     raw.write.mode("overwrite").parquet(f"{src}/part=data")
-    sentinel = raw.limit(1).select(
-        F.lit(-1).cast("bigint").alias("event_id"),
-        F.lit(float(stats["t1"]) + 3 * W).alias("ts"),
-        *[F.lit("0").alias(c) if c not in ("label", "event_id", "ts") else F.lit(0).alias(c)
-          for c in raw.columns if c not in ("event_id", "ts")])
-    sentinel.select(*raw.columns).write.mode("overwrite").parquet(f"{src}/part=sentinel")
+    values = {"event_id": -1, "ts": float(stats["t1"]) + 3 * W, "label": 0}
+    row = tuple(values.get(c, "0") for c in raw.columns)
+    spark.createDataFrame([row], raw.schema).write.mode("overwrite").parquet(f"{src}/part=sentinel")
     stream = spark.readStream.schema(raw.schema).parquet(f"{src}/part=*")
     return stream, float(stats["t0"])
 
