@@ -68,13 +68,21 @@ def latest(metrics: DataFrame, at, series: Sequence[str] = SERIES) -> DataFrame:
 
 
 def latest_or_zero(metrics: DataFrame, at, wanted: Sequence[str],
-                   series_labels: DataFrame | None = None) -> DataFrame:
-    """Latest value of each wanted metric, 0.0 when it has no sample."""
+                   labels: Sequence[str] = ("device",)) -> DataFrame:
+    """Latest value of each wanted metric for every label set seen in the
+    data; a wanted metric without a sample reads 0.0.
+
+    The grid is (distinct label sets) x (wanted list, a parameter), so it
+    grows only with the number of series.
+    """
+    labels = list(labels)
     spark = metrics.sparkSession
-    want = spark.createDataFrame([(w,) for w in wanted], "metric string")
-    lat = latest(metrics, at, ["metric"])
-    return F.broadcast(want).join(lat, "metric", "left").select(
-        "metric", F.coalesce(F.col("value"), F.lit(0.0)).alias("value"))
+    want = F.broadcast(spark.createDataFrame([(w,) for w in wanted], "metric string"))
+    series = metrics.select(*labels).distinct()
+    grid = series.crossJoin(want)
+    lat = latest(metrics, at, ["metric", *labels])
+    return grid.join(lat, ["metric", *labels], "left").select(
+        *labels, "metric", F.coalesce(F.col("value"), F.lit(0.0)).alias("value"))
 
 
 def gauge_state(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:

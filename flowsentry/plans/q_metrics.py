@@ -70,17 +70,19 @@ def q_latest(spark, sf):
 @query("latest_or_zero", duck(["metrics"], _AT,
         ("want", """SELECT unnest(['iot_cyber_flow_count', 'system_ram_usage_bytes', 'system_ram_total_bytes',
             'login_attempts_total', 'attack_type_code']) AS metric"""),
-        ("lat", """SELECT metric, value FROM (
-            SELECT *, row_number() OVER (PARTITION BY metric ORDER BY ts DESC, seq DESC) AS rn
-            FROM metrics, at_ WHERE device = 0 AND ts <= at_.at AND value IS NOT NULL) r WHERE rn = 1"""),
-        select="SELECT metric, coalesce(value, 0.0) AS value FROM want LEFT JOIN lat USING (metric)"),
+        ("lat", """SELECT metric, device, value FROM (
+            SELECT *, row_number() OVER (PARTITION BY metric, device ORDER BY ts DESC, seq DESC) AS rn
+            FROM metrics, at_ WHERE ts <= at_.at AND value IS NOT NULL) r WHERE rn = 1"""),
+        select="""SELECT d.device, w.metric, coalesce(lat.value, 0.0) AS value
+                  FROM (SELECT DISTINCT device FROM metrics) d CROSS JOIN want w
+                  LEFT JOIN lat ON lat.metric = w.metric AND lat.device = d.device"""),
        ["value"])
 def q_latest_or_zero(spark, sf):
-    """Wanted metrics of device 0; a metric without samples reads 0.0."""
+    """Wanted metrics per device; a metric without samples reads 0.0."""
     m = B.metrics(spark, sf)
     wanted = ["iot_cyber_flow_count", "system_ram_usage_bytes", "system_ram_total_bytes",
               "login_attempts_total", "attack_type_code"]
-    return M.latest_or_zero(m.where(F.col("device") == 0), _at(m), wanted)
+    return M.latest_or_zero(m, _at(m), wanted)
 
 
 @query("gauge_state", duck(["ticks"], select="""SELECT ip, temp FROM (

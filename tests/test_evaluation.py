@@ -66,3 +66,18 @@ def test_sweep_ties_count_positive(spark):
     r = {x.threshold: x for x in threshold_sweep(df, [0.5]).collect()}
     assert r[0.5].recall == 1.0
     assert confusion(df).first().tp == 0  # arg-max puts a 0.5 tie in class 0
+
+
+def test_auc_equals_mllib_exact(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(9)
+    y = rng.integers(0, 2, 2000)
+    s = np.round(rng.normal(y * 0.5, 1.0), 2)
+    pdf = pd.DataFrame({"model": "m", "id": np.arange(2000), "label": y.astype("int32"), "score": s, "pred": 0})
+    df = spark.createDataFrame(pdf, S)
+    ev = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="lab", numBins=0)
+    ml = ev.evaluate(df.withColumn("lab", F.col("label").cast("double")))
+    ours = roc_auc(df).first().roc_auc
+    assert ours == pytest.approx(brute_auc(y, s), abs=1e-12)  # exact Mann-Whitney
+    assert ours == pytest.approx(ml, abs=1e-5)                # MLlib's trapezoid sum

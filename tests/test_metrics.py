@@ -26,8 +26,8 @@ def test_latest_and_default(spark):
                                 ("b", 1, 1.0, 4, 1.0)], M)
     got = {(r.metric, r.device): r.value for r in latest(df, 2.5).collect()}
     assert got == {("a", 1): 5.0, ("b", 1): 1.0}
-    z = {r.metric: r.value for r in latest_or_zero(df, 9.0, ["a", "missing"]).collect()}
-    assert z == {"a": 7.0, "missing": 0.0}
+    z = {(r.device, r.metric): r.value for r in latest_or_zero(df, 9.0, ["a", "missing"]).collect()}
+    assert z == {(1, "a"): 7.0, (1, "missing"): 0.0}
 
 
 def test_resample_lookback_ratio(spark):
