@@ -87,3 +87,16 @@ def iso_label(decision) -> Column:
 def error_match(text) -> Column:
     """Case-insensitive 'error' or 'failed' anywhere in the line."""
     return _col(text).rlike("(?i)(error|failed)")
+
+
+def epoch_seconds(df, col: str) -> Column:
+    """Seconds since 1970-01-01 as DOUBLE, independent of the session time
+    zone: a TIMESTAMP_NTZ or DATE is read as a UTC wall clock, a TIMESTAMP
+    (an instant) converts directly."""
+    from pyspark.sql import types as T
+    dt = df.schema[col].dataType
+    if isinstance(dt, T.TimestampType):
+        return F.unix_micros(F.col(col)) / F.lit(1e6)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    c = F.col(col).cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", epoch, c) / F.lit(1e6)

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowsentry.functions.scalar import epoch_seconds
 from flowsentry.operators.prefix import running_aggregate
 from flowsentry.sources.tables import read_table
 
@@ -25,7 +26,7 @@ def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events")
     return e.select(
         "event_id",
-        (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("ts"),
+        epoch_seconds(e, "ts").alias("ts"),
         "user_id", "event_type", "value",
         F.get_json_object("props", "$.k").try_cast("int").alias("k"),
     )
@@ -61,7 +62,7 @@ def flows_li(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Large flow binding over lineitem (bench volume)."""
     li = read_table(spark, sf_dir, "lineitem")
     return li.select(
-        F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).cast("double").alias("ts"),
+        epoch_seconds(li, "l_shipdate").alias("ts"),
         F.col("l_linenumber").alias("k"),
         F.when(F.col("l_linenumber") == 1, "-")
          .otherwise(F.col("l_quantity").cast("string")).alias("duration"),

@@ -34,3 +34,16 @@ def test_bands_and_mapping(spark):
     assert got == ["Benign", "Mirai/DDoS", "BruteForce", "7"]
     v = spark.createDataFrame([(1,), (0,)], "p int")
     assert [r[0] for r in v.select(verdict("p")).collect()] == ["THREAT DETECTED", "NORMAL"]
+
+
+def test_epoch_seconds_ignores_session_zone(spark):
+    import datetime as dt
+    from flowsentry.functions.scalar import epoch_seconds
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 0, 7, 179575),)], "ts timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            assert df.select(epoch_seconds(df, "ts")).first()[0] == 1704067207.179575
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
