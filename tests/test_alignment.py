@@ -49,3 +49,19 @@ def test_injection(spark):
     new = f[f.frame > 7]
     assert len(new) == 5000 and new.frame.min() == 8 and new.frame.max() == 5007
     assert new.rel.min() == 6.0 and abs(new.rel.max() - 55.99) < 1e-9
+
+
+def test_injected_flood_shows_in_tick_counts(spark):
+    from pyspark.sql import functions as F
+    from flowsentry.operators.alignment import parse_packets, sensor_ticks, translate
+    from flowsentry.sources import bindings as B
+    from conftest import SF_SMALL
+    tk = inject_sensor(B.ticks(spark, SF_SMALL).select("epoch", "ip", "temp"))
+    pk = inject_flood(B.packets(spark, SF_SMALL), B.ticks(spark, SF_SMALL))
+    good, _ = parse_packets(pk)
+    t0 = B.ticks(spark, SF_SMALL).agg(F.min("epoch").alias("t0"))
+    al = align_forward(translate(good, "rel_s", t0, "t"), sensor_ticks(tk))
+    last = B.ticks(spark, SF_SMALL).agg(F.max("epoch")).first()[0]
+    per = packets_per_tick(al, sensor_ticks(tk)).where(F.col("tick") > last + 1).toPandas()
+    assert len(per) == 48                      # last injected tick is never flushed
+    assert (per.n_packets == 100).all()        # 100 packets per second of flood
