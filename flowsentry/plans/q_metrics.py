@@ -9,7 +9,10 @@ from flowsentry.functions.scalar import verdict
 from flowsentry.operators import metrics as M
 from flowsentry.operators import windows as WN
 from flowsentry.plans.catalog import query
-from flowsentry.plans.common import D_FC, W, duck, flows_clean
+from flowsentry.operators.baselines import sigma_detector
+from flowsentry.plans.common import (
+    D_FC, D_SPLIT, D_THR, D_THR_SCORED, D_WF, W, duck, flows_clean, train_test,
+)
 from flowsentry.session import scratch_path
 from flowsentry.sources import bindings as B
 from flowsentry.sources.files import read_metrics, write_report
@@ -170,12 +173,10 @@ def q_value_mapping(spark, sf):
                     M.bands("value", M.BANDS_ATTACK).alias("band"))
 
 
-@query("verdict", duck(["flows"], D_FC, select=f"""SELECT "window", flow_count,
-    CASE WHEN flow_count > 3 THEN 'THREAT DETECTED' ELSE 'NORMAL' END AS verdict FROM (
-      SELECT cast(floor(ts / {W}) as bigint) AS "window", count(duration) AS flow_count
-      FROM fc WHERE duration > 0 GROUP BY 1) g"""))
+@query("verdict", duck(["flows"], D_FC, D_WF, *D_SPLIT, D_THR, D_THR_SCORED, select="""SELECT id, pred,
+    CASE WHEN pred = 1 THEN 'THREAT DETECTED' ELSE 'NORMAL' END AS verdict FROM ts_scored"""))
 def q_verdict(spark, sf):
-    """Status text of a prediction (here: more than 3 valid flows)."""
-    w = WN.window_features(flows_clean(spark, sf), W)
-    return w.select("window", "flow_count",
-                    verdict((F.col("flow_count") > 3).cast("int")).alias("verdict"))
+    """Status text of the threshold detector's predictions on the test windows."""
+    train, test = train_test(spark, sf)
+    p = sigma_detector(train, test, 2.0)
+    return p.select("id", "pred", verdict("pred").alias("verdict"))

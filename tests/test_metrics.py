@@ -45,3 +45,16 @@ def test_publication(spark):
     s = to_metric_samples(w.withColumn("ts", F.col("window") * 10.0), "ts").collect()
     assert {r.metric: r.value for r in s} == {"iot_cyber_flow_count": 3.0, "iot_cyber_avg_flow_duration_sec": 1.5,
                                              "iot_cyber_avg_flow_bytes": 10.0, "iot_cyber_attack_label": 1.0}
+
+
+def test_metric_source_batch_and_stream(spark):
+    from flowsentry.session import scratch_path
+    from flowsentry.sources.files import read_metrics
+    from flowsentry.streaming.runner import run_available_now
+    df = spark.createDataFrame([("u", 1, 1.0, 1, 10.0), ("u", 1, 6.0, 2, 20.0)], M)
+    path = scratch_path(spark, "t-metrics")
+    df.write.parquet(path)
+    assert read_metrics(spark, path).count() == 2
+    out = run_available_now(spark, read_metrics(spark, path, streaming=True).where("value > 15"),
+                            "t-mstream")
+    assert [r.value for r in out.collect()] == [20.0]
