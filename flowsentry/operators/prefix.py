@@ -103,10 +103,15 @@ def sorted_rank(df: DataFrame, bounds: str, x, out: str, n_bounds: int) -> DataF
 
 
 def quantile_bucket(df: DataFrame, keys: Sequence[str], col: str, buckets: int = 256,
-                    accuracy: int = 10000) -> DataFrame:
+                    accuracy: int | None = None) -> DataFrame:
     """Attach ``_qb``: a monotone bucket of ``col`` per key from approximate
-    quantiles of the key's values (one small row per key, joined back)."""
+    quantiles of the key's values (one small row per key, joined back).
+
+    Buckets only balance work (results are exact whatever the bounds), so
+    the sketch needs a rank error well below one bucket, not more.
+    """
     keys = list(keys)
+    accuracy = accuracy or max(1000, 8 * buckets)
     probs = [i / buckets for i in range(1, buckets)]
     bounds = df.groupBy(*keys).agg(
         F.percentile_approx(col, probs, accuracy).alias("_bounds"))
