@@ -56,3 +56,15 @@ def test_live_path_publishes_gauges(spark):
     # 8 windows of 100 s; the last one stays open under the watermark
     assert got.where("metric = 'ai_anomaly_score'").count() == 7
     assert spark.read.parquet(f"{out}-latency").count() >= 1
+
+
+def test_training_run(spark):
+    from flowsentry.plans.training import train_detector
+    from flowsentry.sources import bindings as B
+    from conftest import SF_SMALL
+    path = scratch_path(spark, "t-train")
+    model, report = train_detector(B.flows(spark, SF_SMALL), 3600.0, path, trees=10)
+    back, meta = load_detector(path)
+    assert meta["n_windows"] == 330 and meta["n_train"] + meta["n_test"] == 330
+    assert meta["n_test"] == 99 and 0.0 <= meta["roc_auc"] <= 1.0
+    assert report.count() == 1
