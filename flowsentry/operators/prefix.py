@@ -84,11 +84,13 @@ def running_aggregate(df: DataFrame, keys: Sequence[str], order: Sequence, value
     return joined.drop(*drop)
 
 
-def sorted_rank(df: DataFrame, bounds: str, x, out: str, n_bounds: int) -> DataFrame:
+def sorted_rank(df: DataFrame, bounds: str, x, out: str, n_bounds: int,
+                inclusive: bool = False) -> DataFrame:
     """``out`` = number of entries of the ascending array column ``bounds``
-    (length ``n_bounds``) that are < ``x``: a binary search written as one
-    projection per halving step (``element_at`` keeps it in generated code;
-    Catalyst does not fold the steps together because each reuses the last)."""
+    (length ``n_bounds``) that are < ``x`` (<= with ``inclusive``): a binary
+    search written as one projection per halving step (``element_at`` keeps
+    it in generated code; Catalyst does not fold the steps together because
+    each reuses the last)."""
     step = 1
     while step * 2 <= n_bounds:
         step *= 2
@@ -96,7 +98,8 @@ def sorted_rank(df: DataFrame, bounds: str, x, out: str, n_bounds: int) -> DataF
     xv = _c(x)
     while step >= 1:
         nxt = F.col(out) + F.lit(step)
-        ok = (nxt <= F.lit(n_bounds)) & (F.element_at(F.col(bounds), nxt) < xv)
+        probe = F.element_at(F.col(bounds), nxt)
+        ok = (nxt <= F.lit(n_bounds)) & ((probe <= xv) if inclusive else (probe < xv))
         d = d.withColumn(out, F.when(ok, nxt).otherwise(F.col(out)))
         step //= 2
     return d

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
+
+from flowsentry.operators.prefix import sorted_rank
 from pyspark.sql import functions as F
 
 
@@ -49,56 +51,72 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
 
     1. ``percentile_approx`` gives, per key, a value band around each target
        rank (its rank error is at most n / accuracy, so a band of +-3n/accuracy
-       ranks always holds the answer);
-    2. rows below the band are only counted; rows inside are grouped by value
-       (ties collapse, so a hot value is one row) and ranked by a running
-       count over the band, which is a small table;
-    3. the two order statistics around ``p * (n - 1)`` are interpolated.
+       ranks always holds the answer); a key with at most ``accuracy`` rows
+       is banded whole;
+    2. in one pass every row emits one histogram entry (how many band floors
+       it reaches, for the "rows below the band" counts) plus one entry per
+       band that contains it -- about one row out per row in, no join with
+       the target list;
+    3. band values are grouped (ties collapse, so a hot value is one row),
+       ranked by a running count over the band, and the two order statistics
+       around ``p * (n - 1)`` are interpolated.
 
     Returns one row per key with ``q0, q1, ...`` (same order as ``probs``).
     """
     by = list(by)
+    order = sorted(range(len(probs)), key=lambda i: probs[i])
+    ps = [float(probs[i]) for i in order]
+    n_t = len(ps)
     x = F.col(col).cast("double")
     d = df.where(x.isNotNull()).select(*by, x.alias("_x"))
     eps = 3.0 / accuracy
-    lo_p = [max(0.0, p - eps) for p in probs]
-    hi_p = [min(1.0, p + eps) for p in probs]
     stats = d.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_x", lo_p, accuracy).alias("_lo"),
-        F.percentile_approx("_x", hi_p, accuracy).alias("_hi"))
-    spark = df.sparkSession
-    targets = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "_i int, _p double")
-    st = stats.crossJoin(F.broadcast(targets)).select(
-        *by, "_i", "_p", "_n",
-        # a group of at most `accuracy` rows is banded whole (the rank error
-        # bound only guarantees the band for larger groups)
-        F.when(F.col("_n") <= accuracy, F.lit(float("-inf")))
-         .otherwise(F.element_at("_lo", F.col("_i") + 1)).alias("_lo"),
-        F.when(F.col("_n") <= accuracy, F.lit(float("inf")))
-         .otherwise(F.element_at("_hi", F.col("_i") + 1)).alias("_hi"),
-        F.floor(F.col("_p") * (F.col("_n") - 1)).cast("bigint").alias("_r0"),
-        (F.col("_p") * (F.col("_n") - 1) - F.floor(F.col("_p") * (F.col("_n") - 1))).alias("_frac"))
-    # One pass: rows above the band are dropped, rows below it fall in one
-    # NULL group per (key, target), band rows are grouped by value.  The
-    # running count (NULL group first) then is each value's rank end.
-    j = d.join(F.broadcast(st), by, "inner") if by else d.crossJoin(F.broadcast(st))
-    g = (j.where(F.col("_x") <= F.col("_hi"))
-         .groupBy(*by, "_i", F.when(F.col("_x") >= F.col("_lo"), F.col("_x")).alias("_bx"))
-         .agg(F.count(F.lit(1)).alias("_c")))
-    w = (Window.partitionBy(*by, "_i").orderBy(F.col("_bx").asc_nulls_first())
-         .rowsBetween(Window.unboundedPreceding, 0))
-    b = g.withColumn("_end", F.sum("_c").over(w)) \
-         .join(F.broadcast(st.select(*by, "_i", "_r0", "_frac")), by + ["_i"])
+        F.percentile_approx("_x", [max(0.0, p - eps) for p in ps], accuracy).alias("_lo"),
+        F.percentile_approx("_x", [min(1.0, p + eps) for p in ps], accuracy).alias("_hi"))
+    whole = F.col("_n") <= accuracy
+    inf = [F.lit(float("inf"))] * n_t
+    st = stats.select(
+        *by, "_n",
+        F.when(whole, F.array(*[-v for v in inf])).otherwise(F.col("_lo")).alias("_lo"),
+        F.when(whole, F.array(*inf)).otherwise(F.col("_hi")).alias("_hi"))
+    # one row per key (AQE broadcasts it when small)
+    j = d.join(st, by) if by else d.crossJoin(F.broadcast(st))
+    j = sorted_rank(j, "_lo", F.col("_x"), "_reach", n_t, inclusive=True)
+    entry = "struct<k:int,i:int,v:double>"
+    hist = F.struct(F.lit(0).alias("k"), F.col("_reach").cast("int").alias("i"),
+                    F.lit(None).cast("double").alias("v")).cast(entry)
+    bands = [F.when((F.col("_x") >= F.element_at("_lo", t + 1)) & (F.col("_x") <= F.element_at("_hi", t + 1)),
+                    F.struct(F.lit(1).alias("k"), F.lit(t).alias("i"), F.col("_x").alias("v")).cast(entry))
+             for t in range(n_t)]
+    e = j.select(*by, F.explode(F.array_compact(F.array(hist, *bands))).alias("_e"))
+    g = e.groupBy(*by, "_e.k", "_e.i", "_e.v").agg(F.count(F.lit(1)).alias("_c"))
+    # rows below band t reach at most t floors: below_t = sum of hist[r], r <= t
+    below = g.where(F.col("k") == 0).groupBy(*by).agg(
+        *[F.sum(F.when(F.col("i") <= t, F.col("_c")).otherwise(F.lit(0))).alias(f"_b{t}")
+          for t in range(n_t)])
+    w = Window.partitionBy(*by, "i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    band = g.where(F.col("k") == 1).withColumn("_cum", F.sum("_c").over(w))
+    band = band.join(below, by) if by else band.crossJoin(F.broadcast(below))
+    band = band.join(st.select(*by, "_n"), by) if by else band.crossJoin(F.broadcast(st.select("_n")))
+    below_t = F.lit(0)
+    for t in range(n_t):
+        below_t = F.when(F.col("i") == t, F.col(f"_b{t}")).otherwise(below_t)
+    p_t = F.lit(0.0)
+    for t in range(n_t):
+        p_t = F.when(F.col("i") == t, F.lit(ps[t])).otherwise(p_t)
+    h = p_t * (F.col("_n") - 1)
+    b = band.withColumn("_end", below_t + F.col("_cum")) \
+            .withColumn("_r0", F.floor(h)).withColumn("_frac", h - F.floor(h))
     # value at 0-based rank r is the first band value whose rank end > r
-    v = b.groupBy(*by, "_i").agg(
-        F.min_by("_bx", F.when(F.col("_end") > F.col("_r0"), F.col("_bx"))).alias("_v0"),
-        F.min_by("_bx", F.when(F.col("_end") > F.col("_r0") + 1, F.col("_bx"))).alias("_v1"),
+    v = b.groupBy(*by, "i").agg(
+        F.min_by("v", F.when(F.col("_end") > F.col("_r0"), F.col("v"))).alias("_v0"),
+        F.min_by("v", F.when(F.col("_end") > F.col("_r0") + 1, F.col("v"))).alias("_v1"),
         F.first("_frac").alias("_frac"))
     v = v.withColumn("_q", F.when(F.col("_frac") == 0, F.col("_v0")).otherwise(
         F.col("_v0") + F.col("_frac") * (F.coalesce(F.col("_v1"), F.col("_v0")) - F.col("_v0"))))
-    out = v.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"q{i}")
-                               for i in range(len(probs))])
+    out = v.groupBy(*by).agg(*[F.max(F.when(F.col("i") == order.index(i), F.col("_q"))).alias(f"q{i}")
+                               for i in range(n_t)])
     return out
 
 
