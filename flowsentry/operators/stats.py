@@ -90,15 +90,18 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
                     F.struct(F.lit(1).alias("k"), F.lit(t).alias("i"), F.col("_x").alias("v")).cast(entry))
              for t in range(n_t)]
     e = j.select(*by, F.explode(F.array_compact(F.array(hist, *bands))).alias("_e"))
-    g = e.groupBy(*by, "_e.k", "_e.i", "_e.v").agg(F.count(F.lit(1)).alias("_c"))
+    # small (band values + P+1 histogram slots per key) and read by two
+    # branches: materialise it once instead of re-scanning the input
+    g = e.groupBy(*by, "_e.k", "_e.i", "_e.v").agg(F.count(F.lit(1)).alias("_c")).checkpoint(eager=True)
     # rows below band t reach at most t floors: below_t = sum of hist[r], r <= t
+    # (every row has exactly one histogram entry, so their sum is n)
     below = g.where(F.col("k") == 0).groupBy(*by).agg(
+        F.sum("_c").alias("_n"),
         *[F.sum(F.when(F.col("i") <= t, F.col("_c")).otherwise(F.lit(0))).alias(f"_b{t}")
           for t in range(n_t)])
     w = Window.partitionBy(*by, "i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     band = g.where(F.col("k") == 1).withColumn("_cum", F.sum("_c").over(w))
     band = band.join(below, by) if by else band.crossJoin(F.broadcast(below))
-    band = band.join(st.select(*by, "_n"), by) if by else band.crossJoin(F.broadcast(st.select("_n")))
     below_t = F.lit(0)
     for t in range(n_t):
         below_t = F.when(F.col("i") == t, F.col(f"_b{t}")).otherwise(below_t)
