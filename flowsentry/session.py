@@ -76,3 +76,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+# Settings for a large cluster (100 TB class inputs).  AQE sizes the shuffle
+# partitions at run time from an advisory size, splits skewed join
+# partitions and broadcasts small sides only under the size threshold.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.ui.enabled": "false",
+}
+
+
+def cluster_conf() -> dict:
+    """A copy of the large-cluster settings (set ``spark.checkpoint.dir`` to a
+    shared folder in addition)."""
+    return dict(CLUSTER_CONF)

@@ -25,3 +25,13 @@ def run_foreach_batch(df: DataFrame, fn, checkpoint: str, mode: str = "append"):
          .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
+
+
+def rows_dropped_by_watermark(query) -> int:
+    """Late rows the query's stateful operators dropped (from its progress
+    reports); the live path reports this instead of silently losing them."""
+    total = 0
+    for p in query.recentProgress:
+        for op in p.stateOperators or []:
+            total += int(getattr(op, "numRowsDroppedByWatermark", 0) or 0)
+    return total

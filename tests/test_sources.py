@@ -41,3 +41,21 @@ def test_flow_csv_keeps_dirty_text_and_tsv(spark):
     t = scratch_path(spark, "t-tsv").replace("file:", "")
     _write(t, "s.txt", "sample\tcpu_pct\tmem_mb\tstatus\n1\t0.9975\t721.3\tok\n2\t1.0000\t721.4\tok\n")
     assert [(x.sample, x.mem_mb) for x in read_device_stats(spark, t).collect()] == [(1, 721.3), (2, 721.4)]
+
+
+def test_day_partitioned_flows_prune(spark):
+    from flowsentry.sources.files import read_flows_between, write_flows_by_day
+    rows = [(float(86400 * d + 10 * i), "1", 0) for d in range(3) for i in range(5)]
+    df = spark.createDataFrame(rows, "ts double, duration string, label int")
+    path = scratch_path(spark, "t-byday")
+    write_flows_by_day(df, path)
+    got = read_flows_between(spark, path, 86400.0, 86400.0 + 25)
+    assert sorted(r.ts for r in got.collect()) == [86400.0, 86410.0, 86420.0]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "PushedFilters" in plan
+
+
+def test_session_cluster_conf():
+    from flowsentry.session import cluster_conf
+    c = cluster_conf()
+    assert c["spark.sql.adaptive.enabled"] == "true" and c["spark.sql.adaptive.skewJoin.enabled"] == "true"
