@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowsentry.operators.stats import exact_quantiles
+from flowsentry.session import ship_package
 from flowsentry.operators.windows import FEATURES
 
 EULER_GAMMA = 0.5772156649015329
@@ -115,6 +116,7 @@ class IsolationForestModel:
 
     def score(self, df: DataFrame, out: str = "anomaly_score") -> DataFrame:
         """Add ``anomaly_score`` in (0, 1]; higher is more anomalous."""
+        ship_package(df.sparkSession)
         bc = self._arrays()
         denom = float(avg_path_length([self.psi])[0])
 
@@ -157,6 +159,7 @@ class IsolationForest:
         self.exact_cut = exact_cut
 
     def fit(self, df: DataFrame) -> IsolationForestModel:
+        ship_package(df.sparkSession)
         x = df.select(*[F.col(c).cast("double").alias(c) for c in self.features])
         n = x.count()
         psi = int(min(self.max_samples, n))

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from flowsentry.session import ship_package
+
 ROUND_DIGITS = 6
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +42,7 @@ def duck_round(sql: str, doubles: Sequence[str], digits: int = ROUND_DIGITS) ->
 def query(name: str, sql: str | None = None, doubles: Sequence[str] = ()):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
             return round_doubles(fn(spark, sf_dir))
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__

@@ -40,6 +40,7 @@ def get_spark(master: str | None = None, app: str = "flowsentry",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -100,3 +101,31 @@ def cluster_conf() -> dict:
     """A copy of the large-cluster settings (set ``spark.checkpoint.dir`` to a
     shared folder in addition)."""
     return dict(CLUSTER_CONF)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``flowsentry`` importable in the Python workers (the code of
+    pandas UDFs and grouped-map functions lives in this package).
+
+    The package is zipped once per SparkContext and added with
+    ``addPyFile``, the same mechanism as ``spark-submit --py-files``.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="flowsentry-pyfiles-"), "flowsentry.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from flowsentry.session import ship_package
+
 from flowsentry.operators.windows import FEATURES
 
 ALERT_SCHEMA = ("device string, time_to_alert_seconds double, first_attack_label_ts double, "
@@ -37,6 +39,7 @@ def stream_time_to_alert(scored: DataFrame, device: str = "device") -> DataFrame
     """Emit one alert row per device, once both the first labelled attack
     and the first detection have been seen.  State is two doubles and a
     flag per device."""
+    ship_package(scored.sparkSession)
     cols = ["ts", "label", "pred", *FEATURES]
     d = scored.select(F.col(device).cast("string").alias(device), *cols)
     return d.groupBy(device).applyInPandasWithState(

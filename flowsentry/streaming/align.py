@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from flowsentry.session import ship_package
+
 OUT_SCHEMA = "site string, tick double, n_packets long"
 STATE_SCHEMA = "open_tick double, flushed double, pending array<double>"
 
@@ -50,5 +52,6 @@ def _align_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
 
 def stream_align(events: DataFrame, site: str = "site") -> DataFrame:
     """``events``: stream of (site, kind, t); output: (site, tick, n_packets)."""
+    ship_package(events.sparkSession)
     return events.groupBy(site).applyInPandasWithState(
         _align_state, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
