@@ -26,11 +26,15 @@ _IV = [
 
 
 def _aligned(spark, sf):
+    """Aligned packets and the distinct ticks.  The tick table (one row per
+    distinct sensor second) is read by the union, the tail cut and the
+    per-tick report, so it is materialised once."""
     tk = B.ticks(spark, sf)
+    ticks = AL.sensor_ticks(tk).checkpoint(eager=True)
     good, _ = AL.parse_packets(B.packets(spark, sf))
-    t0 = tk.agg(F.min("epoch").alias("t0"))
+    t0 = ticks.agg(F.min("tick").alias("t0"))
     pk = AL.translate(good, "rel_s", t0, "t").select("frame", "t", "src", "dst", "proto", "size")
-    return AL.align_forward(pk, AL.sensor_ticks(tk), "t", drop_tail=True), tk
+    return AL.align_forward(pk, ticks, "t", drop_tail=True), ticks
 
 
 @query("scan_sensor", duck(["ticks"], select="SELECT epoch, ip, temp FROM ticks"), ["epoch", "temp"])
@@ -69,8 +73,8 @@ def q_align(spark, sf):
     WHERE iv.tick < iv.last GROUP BY iv.tick"""), ["tick"])
 def q_per_tick(spark, sf):
     """Packets flushed per tick, zero ticks included."""
-    al, tk = _aligned(spark, sf)
-    return AL.packets_per_tick(al, AL.sensor_ticks(tk))
+    al, ticks = _aligned(spark, sf)
+    return AL.packets_per_tick(al, ticks)
 
 
 @query("protocol_counts", duck(["ticks", "packets"], *_IV, select="""SELECT proto, count(*) AS n_packets
