@@ -18,10 +18,12 @@ def _col(c) -> Column:
 
 
 def coerce_zero(c) -> Column:
-    """Parse a number; anything unparseable or missing becomes 0.0."""
+    """Parse a number; anything unparseable, missing or overflowing to an
+    infinity becomes 0.0."""
     s = _col(c).cast("string")
     parsed = F.when(s.rlike(NUMERIC_PATTERN), s.try_cast("double"))
-    return F.nanvl(F.coalesce(parsed, F.lit(0.0)), F.lit(0.0))
+    finite = F.when(F.abs(parsed) != F.lit(float("inf")), parsed)
+    return F.nanvl(F.coalesce(finite, F.lit(0.0)), F.lit(0.0))
 
 
 def clean_numeric(c, strict: bool = False) -> Column:

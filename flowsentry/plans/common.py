@@ -44,8 +44,9 @@ def train_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 # ----------------------------------------------------------------------------
 
 def d_coerce(expr: str) -> str:
+    v = f"try_cast(cast({expr} as varchar) AS DOUBLE)"
     return (f"(CASE WHEN regexp_full_match(cast({expr} as varchar), '{NUMERIC_PATTERN}') "
-            f"THEN coalesce(try_cast(cast({expr} as varchar) AS DOUBLE), 0.0) ELSE 0.0 END)")
+            f"AND NOT isinf({v}) THEN coalesce({v}, 0.0) ELSE 0.0 END)")
 
 
 def d_clean(col: str) -> str:

@@ -47,3 +47,32 @@ def test_epoch_seconds_ignores_session_zone(spark):
             assert df.select(epoch_seconds(df, "ts")).first()[0] == 1704067207.179575
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def _py_clean(s, replace):
+    """Reference semantics: optional textual '-' -> '0', then a plain decimal
+    parse; anything unparseable is 0."""
+    if s is None:
+        return 0.0
+    t = s.replace("-", "0") if replace else s
+    try:
+        v = float(t)
+    except ValueError:
+        return 0.0
+    return 0.0 if v != v or v in (float("inf"), float("-inf")) else v
+
+
+def test_clean_numeric_property(spark):
+    from hypothesis import given, settings, strategies as st
+    alphabet = st.sampled_from(list("0123456789-+.e "))
+
+    @settings(max_examples=3, deadline=None)
+    @given(st.lists(st.text(alphabet, max_size=7), min_size=50, max_size=200))
+    def check(values):
+        df = spark.createDataFrame([(v,) for v in values], "v string")
+        got = df.select(clean_numeric("v").alias("c"), coerce_zero("v").alias("z")).collect()
+        for v, r in zip(values, got):
+            assert r.c == _py_clean(v, True), (v, r.c)
+            assert r.z == _py_clean(v, False), (v, r.z)
+
+    check()
