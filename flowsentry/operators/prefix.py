@@ -140,7 +140,7 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence, k: int,
     w1 = Window.partitionBy(*keys, "_salt").orderBy(*order_c)
     cand = d.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k)
     w2 = Window.partitionBy(*keys).orderBy(*order_c)
-    return (cand.withColumn("rn", F.row_number().over(w2)).where(F.col("rn") <= k)
+    return (cand.withColumn("rn", F.row_number().over(w2).cast("bigint")).where(F.col("rn") <= k)
             .drop("_salt", "_r1"))
 
 

@@ -35,7 +35,7 @@ PACKET_RAW = T.StructType([
 ])
 
 DEVICE_STATS = T.StructType([
-    T.StructField("sample", T.IntegerType()), T.StructField("cpu_pct", T.DoubleType()),
+    T.StructField("sample", T.LongType()), T.StructField("cpu_pct", T.DoubleType()),
     T.StructField("mem_mb", T.DoubleType()), T.StructField("status", T.StringType()),
 ])
 
