@@ -23,9 +23,9 @@ from flowsentry.session import scratch_path
 from flowsentry.sources import bindings as B
 from flowsentry.streaming.align import stream_align
 from flowsentry.streaming.alert import stream_time_to_alert
-from flowsentry.streaming.runner import run_available_now
+from flowsentry.streaming.runner import run_available_now, run_complete_snapshot
 from flowsentry.streaming.score import stream_score
-from flowsentry.streaming.windows import stream_windows
+from flowsentry.streaming.windows import stream_counts, stream_windows
 
 _AW = ("aw", f"""SELECT cast(floor(ts / {W}) as bigint) AS "window",
     cast(count(*) FILTER (WHERE duration > 0) as bigint) AS flow_count,
@@ -124,3 +124,15 @@ def q_stream_align(spark, sf):
     ev.write.mode("overwrite").parquet(src)
     stream = spark.readStream.schema(ev.schema).parquet(src)
     return run_available_now(spark, stream_align(stream), "stream-align")
+
+
+@query("stream_protocol_counts", duck(["packets"], select="""SELECT proto, count(*) AS packets_total
+    FROM packets WHERE try_cast(size AS DOUBLE) IS NOT NULL AND rel IS NOT NULL GROUP BY proto"""))
+def q_stream_protocol_counts(spark, sf):
+    """Running packet counter per protocol over a packet stream
+    (complete mode; the final snapshot holds the totals)."""
+    good, _ = AL.parse_packets(B.packets(spark, sf))
+    src = scratch_path(spark, "packet-stream")
+    good.select("frame", "proto").write.mode("overwrite").parquet(src)
+    stream = spark.readStream.schema("frame long, proto string").option("maxFilesPerTrigger", 2).parquet(src)
+    return run_complete_snapshot(spark, stream_counts(stream), "protocol-counter")

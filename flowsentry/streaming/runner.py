@@ -35,3 +35,18 @@ def rows_dropped_by_watermark(query) -> int:
         for op in p.stateOperators or []:
             total += int(getattr(op, "numRowsDroppedByWatermark", 0) or 0)
     return total
+
+
+def run_complete_snapshot(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Run an aggregating stream in complete mode; every micro-batch replaces
+    the snapshot folder (idempotent on replay).  Returns the final snapshot."""
+    out = scratch_path(spark, name)
+    ck = scratch_path(spark, f"{name}-checkpoint")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    q = (df.writeStream.foreachBatch(write).option("checkpointLocation", ck)
+         .outputMode("complete").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
