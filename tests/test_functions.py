@@ -39,12 +39,14 @@ def test_bands_and_mapping(spark):
 def test_epoch_seconds_ignores_session_zone(spark):
     import datetime as dt
     from flowsentry.functions.scalar import epoch_seconds
-    df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 0, 7, 179575),)], "ts timestamp_ntz")
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 0, 7, 179575),), (dt.datetime(2024, 7, 1),)],
+                               "ts timestamp_ntz")
     old = spark.conf.get("spark.sql.session.timeZone")
     try:
-        for tz in ("UTC", "America/New_York", "Asia/Kolkata"):
-            spark.conf.set("spark.sql.session.timeZone", tz)
-            assert df.select(epoch_seconds(df, "ts")).first()[0] == 1704067207.179575
+        for tz in ("UTC", "America/New_York", "Asia/Kolkata", "Europe/Berlin"):
+            spark.conf.set("spark.sql.session.timeZone", tz)  # incl. daylight-saving zones
+            got = [r[0] for r in df.select(epoch_seconds(df, "ts")).collect()]
+            assert got == [1704067207.179575, 1719792000.0]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
 
