@@ -50,3 +50,12 @@ def test_alignment_is_not_a_nested_loop_over_rows(spark):
 def test_auc_has_no_single_partition_exchange(spark):
     p = plan(roc_auc(B.scored(spark, SF_SMALL)))
     assert "SinglePartition" not in p
+
+
+def test_running_aggregate_join_is_an_equi_join(spark):
+    from flowsentry.operators.prefix import running_aggregate
+    df = spark.range(10000).select((F.col("id") % 3).alias("k"), F.col("id").alias("o"),
+                                   F.lit(1).alias("v"))
+    p = plan(running_aggregate(df, ["k"], ["o"], "v", "cum", F.floor(F.col("o") / 100)))
+    assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
+    assert "SortMergeJoin" in p or "BroadcastHashJoin" in p or "ShuffledHashJoin" in p
