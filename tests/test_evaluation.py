@@ -81,3 +81,16 @@ def test_auc_equals_mllib_exact(spark):
     ours = roc_auc(df).first().roc_auc
     assert ours == pytest.approx(brute_auc(y, s), abs=1e-12)  # exact Mann-Whitney
     assert ours == pytest.approx(ml, abs=1e-5)                # MLlib's trapezoid sum
+
+
+def test_best_model_tie_and_deltas(spark):
+    from flowsentry.operators.evaluation import best_model, model_deltas
+    rep = spark.createDataFrame(
+        [("threshold", 0, 0.5, 0.0), ("isolation", 1, 0.8, 0.0), ("forest", 2, 0.8, 0.9)],
+        "model string, model_order int, f1_score double, roc_auc double")
+    b = best_model(rep, "f1_score").first()
+    assert b.best_model == "isolation" and b.best_value == 0.8      # first model wins the tie
+    assert best_model(rep, "roc_auc").first().best_model == "forest"
+    d = {r.metric: r for r in model_deltas(rep, "threshold", "forest", ["f1_score", "roc_auc"]).collect()}
+    assert d["f1_score"].delta == pytest.approx(0.3) and d["f1_score"].relative == pytest.approx(0.6)
+    assert d["roc_auc"].relative == pytest.approx(0.9 / 0.001)          # floor 0.001 on the base
