@@ -94,3 +94,12 @@ def test_best_model_tie_and_deltas(spark):
     d = {r.metric: r for r in model_deltas(rep, "threshold", "forest", ["f1_score", "roc_auc"]).collect()}
     assert d["f1_score"].delta == pytest.approx(0.3) and d["f1_score"].relative == pytest.approx(0.6)
     assert d["roc_auc"].relative == pytest.approx(0.9 / 0.001)          # floor 0.001 on the base
+
+
+def test_confusion_cells_sum_to_rows(spark):
+    from flowsentry.sources import bindings as B
+    from conftest import SF_SMALL
+    sc = B.scored(spark, SF_SMALL)
+    n = {r.model: r["count"] for r in sc.groupBy("model").count().collect()}
+    for r in confusion(sc).collect():
+        assert r.tp + r.fp + r.fn + r.tn == n[r.model]

@@ -66,3 +66,9 @@ def test_quality_gates(spark):
         validate_flows(ok.drop("duration"))
     assert quality_gate(ok.drop("label")).first().missing_columns == "label"
     assert flow_counts(ok).first().asDict() == {"n_flows": 1, "n_valid": 1}
+
+
+def test_replay_past_the_end_is_empty(spark):
+    from flowsentry.operators.windows import from_window
+    f = rebase(clean_flows(spark.createDataFrame([(0.0, "1", "1", "1", 0)], RAW)))
+    assert from_window(window_features(f, 10), 99).count() == 0
