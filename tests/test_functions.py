@@ -78,3 +78,16 @@ def test_clean_numeric_property(spark):
             assert r.z == _py_clean(v, False), (v, r.z)
 
     check()
+
+
+def test_percent_nonzero_labels(spark):
+    from flowsentry.functions.scalar import percent
+    from flowsentry.operators.cleaning import nonzero
+    from flowsentry.operators.metrics import AGENT_TARGET_LABELS, with_labels
+    df = spark.createDataFrame([(50.0, 200.0), (1.0, 0.0)], "a double, b double")
+    assert [r[0] for r in df.select(percent("a", "b")).collect()] == [25.0, None]
+    w = spark.createDataFrame([(0, 0.0, 0.0), (1, 0.0, 0.0), (0, 0.0, 2.0)],
+                              "flow_count long, avg_duration double, avg_bytes double")
+    assert nonzero(w).count() == 2
+    r = with_labels(df).first().asDict()
+    assert all(r[k] == v for k, v in AGENT_TARGET_LABELS.items())
