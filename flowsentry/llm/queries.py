@@ -54,3 +54,10 @@ def op10(spark, sf_dir):
     from flowsentry.llm.langid import language_of
 
     return language_of(table(spark, sf_dir, "documents"))
+
+
+@query("op4_jaccard")
+def op4(spark, sf_dir):
+    from flowsentry.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
