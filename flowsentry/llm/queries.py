@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowsentry.llm import decontam, suffixes
 from flowsentry.session import checkpoint_dir, ship_package, table_path
 
 QUERIES: dict = {}
@@ -61,3 +62,13 @@ def op4(spark, sf_dir):
     from flowsentry.llm.jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+@query("op2_repeats", sql=suffixes.ORACLE_SQL)
+def op2(spark, sf_dir):
+    return suffixes.repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_repeated", "n_removed")
+
+
+@query("op9_decontamination", sql=decontam.ORACLE_SQL)
+def op9(spark, sf_dir):
+    return decontam.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
