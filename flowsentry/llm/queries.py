@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowsentry.llm import decontam, suffixes
+from flowsentry.llm import decontam, suffixes, vectors
 from flowsentry.session import checkpoint_dir, ship_package, table_path
 
 QUERIES: dict = {}
@@ -72,3 +72,22 @@ def op2(spark, sf_dir):
 @query("op9_decontamination", sql=decontam.ORACLE_SQL)
 def op9(spark, sf_dir):
     return decontam.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_lm")
+def op1(spark, sf_dir):
+    from flowsentry.llm.lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op5_vectors", sql=vectors.ORACLE_SQL)
+def op5(spark, sf_dir):
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_shards")
+def op6(spark, sf_dir):
+    from flowsentry.llm.shards import sharded_documents
+
+    return sharded_documents(table(spark, sf_dir, "documents"))
