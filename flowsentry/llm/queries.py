@@ -91,3 +91,10 @@ def op6(spark, sf_dir):
     from flowsentry.llm.shards import sharded_documents
 
     return sharded_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op7_quality")
+def op7(spark, sf_dir):
+    from flowsentry.llm.quality import scored_documents
+
+    return scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -82,6 +82,13 @@ class Words:
         h = (total[self.end] - total[self.start]) * _power("down", n + 1)[self.start]
         return mix(h + (self.end - self.start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
+    def hashes_lower(self) -> np.ndarray:
+        """Hashes with A-Z lower-cased, for words read as they stand."""
+        kept, self.buf = self.buf, LOWER[self.buf]
+        h = self.hashes()
+        self.buf = kept
+        return h
+
     def text(self, i: int) -> str:
         return bytes(self.buf[self.start[i]:self.end[i]]).decode("utf-8", "replace")
 
