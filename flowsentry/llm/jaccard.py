@@ -29,21 +29,31 @@ from flowsentry.llm import textkit as T
 from flowsentry.llm.components import components
 from flowsentry.session import scratch_path
 
-#: bytes of the overlap bound of a class (number of hash buckets)
-BUCKETS = 64
-#: frequent shingles kept in the token order, and the least share of documents
-FREQUENT, FREQUENT_SHARE = 1 << 17, 1000
+#: least and usual most number of hash buckets (a byte each) of the overlap
+#: bound of a class, about half the set size; very large sets get 1 in 64
+BUCKETS_LEAST, BUCKETS_MOST = 64, 512
+#: shingles that the token order puts last (the most frequent ones, 8 bytes
+#: each), the least count of one, and the shingles a task gathers to count
+FREQUENT, FREQUENT_LEAST, BUFFER = 1 << 20, 3, 1 << 22
 #: rows on the two sides of a block
 LEFT, RIGHT = 256, 4096
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: ids up to which a candidate list is broadcast (8 bytes each)
 BROADCAST_IDS = 2_000_000
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared scratch folder and read back."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """``df`` written to the shared scratch folder and read back; the shuffle
+    files of the jobs that made it go at once."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.parquet(path)
 
 
 def shingle_sets(w: T.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,18 +78,30 @@ def shingle_sets(w: T.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def frequent_shingles(df: DataFrame, text: str, k: int) -> np.ndarray:
-    """Hashes that at least 1 in ``FREQUENT_SHARE`` documents hold (at most
-    ``FREQUENT``), rarest first."""
+    """Hashes of the ``FREQUENT`` most frequent shingles, rarest first, counted
+    where a task meets them twice among ``BUFFER``."""
     def count(batches):
+        held, size = [], 0
+
+        def flush():
+            s, n = np.unique(np.concatenate(held), return_counts=True)
+            s, n = s[n > 1], n[n > 1]
+            for i in range(0, len(s), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(T.signed(s[i:i + (1 << 16)])),
+                                                  pa.array(n[i:i + (1 << 16)].astype(np.int64))], ["s", "n"])
+
         for b in batches:
             for w in T.word_pieces(b.column(0)):
-                s, n = np.unique(shingle_sets(w, k)[1], return_counts=True)
-                s, n = s[n > 1], n[n > 1]
-                yield pa.RecordBatch.from_arrays([pa.array(T.signed(s)), pa.array(n.astype(np.int64))], ["s", "n"])
+                held.append(shingle_sets(w, k)[1])
+                size += len(held[-1])
+                if size >= BUFFER:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
 
-    total = df.count()
     top = df.select(F.col(text)).mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")) \
-        .where(F.col("n") >= max(32, total // FREQUENT_SHARE)).orderBy(F.desc("n"), "s").limit(FREQUENT).toPandas()
+        .where(F.col("n") >= FREQUENT_LEAST).orderBy(F.desc("n"), "s").limit(FREQUENT).select("s").toPandas()
     return top.s.to_numpy(np.int64)[::-1].view(np.uint64)
 
 
@@ -91,9 +113,10 @@ def signatures(df: DataFrame, id_col: str, text: str, k: int, percent: int, freq
     """Per row: id, set size ``n``, 128-bit set hash, prefix tokens, group key
     and the bucket counts of the overlap bound."""
     order = np.argsort(frequent)
-    known = frequent[order]
+    shared = df.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int32)))
 
     def run(batches):
+        known, order = shared.value
         for b in batches:
             for w in T.word_pieces(b.column(1)):
                 row, s = shingle_sets(w, k)
@@ -109,8 +132,12 @@ def signatures(df: DataFrame, id_col: str, text: str, k: int, percent: int, freq
                 if full.any():
                     sums[0][full] = np.add.reduceat(m, start[full])
                     sums[1][full] = np.add.reduceat(T.mix(m ^ np.uint64(0x5851F42D4C957F2D)), start[full])
-                counts = np.bincount(row * BUCKETS + (m >> np.uint64(40)).astype(np.int64) % BUCKETS,
-                                     minlength=w.rows * BUCKETS).reshape(w.rows, BUCKETS)
+                wide = 1 << np.ceil(np.log2(np.clip(
+                    n / 2, BUCKETS_LEAST, np.maximum(BUCKETS_MOST, n / 64)))).astype(np.int64)
+                at = np.cumsum(wide) - wide
+                counts = np.minimum(np.bincount(at[row] + (m >> np.uint64(32)).astype(np.int64) % wide[row],
+                                                minlength=wide.sum()), 255).astype(np.uint8)
+                sketch = [counts[i:i + j].tobytes() for i, j in zip(at, wide)]
                 by = np.lexsort((s, rank, row))
                 p = _prefix_length(n, percent)
                 prefix = s[by][np.arange(len(s)) - start[row] < p[row]]
@@ -124,17 +151,34 @@ def signatures(df: DataFrame, id_col: str, text: str, k: int, percent: int, freq
                     [b.column(0).slice(w.row0, w.rows).cast(pa.int64()), pa.array(n.astype(np.int64)),
                      pa.array(T.signed(sums[0])), pa.array(T.signed(sums[1])), pa.array(T.signed(group)),
                      T.long_lists(T.signed(prefix), p, pa.int64()),
-                     pa.array([r.tobytes() for r in np.minimum(counts, 255).astype(np.uint8)], pa.binary())],
+                     pa.array(sketch, pa.binary())],
                     ["id", "n", "s1", "s2", "gid", "prefix", "counts"])
 
     return df.select(F.col(id_col).alias("id"), F.col(text).alias("t")).mapInArrow(
         run, "id long, n long, s1 long, s2 long, gid long, prefix array<long>, counts binary")
 
 
-def bound_ok(na, nb, ca, cb, percent: int) -> np.ndarray:
-    """Can sets of these sizes and bucket counts reach the similarity?  255
-    stands for 255 or more, so two of them bound nothing."""
-    most = np.where((ca == 255) & (cb == 255), 1 << 30, np.minimum(ca, cb).astype(np.int64)).sum(axis=1)
+def bound_ok(n, sketches: list[bytes], u, v, percent: int) -> np.ndarray:
+    """Can the sets of rows ``u`` and ``v`` reach the similarity, by sizes
+    ``n`` and bucket counts?  255 stands for 255 or more, so two of them bound
+    nothing; a longer sketch is folded to the length of the other."""
+    wide = np.array([len(x) for x in sketches])
+    place, rows = np.zeros(len(wide), np.int64), {}
+    for b in np.unique(wide):
+        at = np.flatnonzero(wide == b)
+        place[at] = np.arange(len(at))
+        rows[b] = np.frombuffer(b"".join(sketches[i] for i in at), np.uint8).reshape(-1, b)
+    most = np.zeros(len(u), np.int64)
+    for b in np.unique(wide[u]) if len(u) else ():
+        for c in np.unique(wide[v]):
+            k = np.flatnonzero((wide[u] == b) & (wide[v] == c))
+            step = max(1, (1 << 22) // max(b, c))
+            for i in range(0, len(k), step):
+                j = k[i:i + step]
+                x, y = (np.minimum(m.reshape(len(j), -1, min(b, c)).sum(axis=1, dtype=np.int64), 255)
+                        for m in (rows[b][place[u[j]]], rows[c][place[v[j]]]))
+                most[j] = np.where((x == 255) & (y == 255), 1 << 30, np.minimum(x, y)).sum(axis=1)
+    na, nb = n[u], n[v]
     return (100 + percent) * np.minimum(most, np.minimum(na, nb)) >= percent * (na + nb)
 
 
@@ -144,10 +188,11 @@ def _bounded_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFr
 
     def run(batches):
         for b in batches:
-            na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
-            ca, cb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS)
-                      for c in ("ca", "cb"))
-            yield b.select(["a", "b"]).filter(pa.array(bound_ok(na, nb, ca, cb, percent)))
+            m = b.num_rows
+            n = np.concatenate([b.column("na").to_numpy(), b.column("nb").to_numpy()])
+            ok = bound_ok(n, b.column("ca").to_pylist() + b.column("cb").to_pylist(), np.arange(m),
+                          np.arange(m, 2 * m), percent)
+            yield b.select(["a", "b"]).filter(pa.array(ok))
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -206,7 +251,7 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
         cell, side = tab.column("cell").to_numpy(), tab.column("side").to_numpy()
         cid, n, comp = (tab.column(c).to_numpy() for c in ("cid", "n", "comp"))
         main = tab.column("main").to_numpy(zero_copy_only=False)
-        counts = np.frombuffer(b"".join(tab.column("counts").to_pylist()), np.uint8).reshape(-1, BUCKETS)
+        sketches = tab.column("counts").to_pylist()
         at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         size = np.diff(np.concatenate([at, [len(cell)]]))
         nl = np.add.reduceat((side == 0).astype(np.int64), at)
@@ -221,10 +266,9 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
             ok = (comp[x] != comp[y]) & (main[y] | (cid[x] < cid[y])) & \
                 (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
             x, y = x[ok], y[ok]
-            for q in range(0, len(x), 1 << 16):
-                u, v = x[q:q + (1 << 16)], y[q:q + (1 << 16)]
-                fine = bound_ok(n[u], n[v], counts[u], counts[v], percent)
-                a, b = cid[u[fine]], cid[v[fine]]
+            if len(x):
+                fine = bound_ok(n, sketches, x, y, percent)
+                a, b = cid[x[fine]], cid[y[fine]]
                 both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
             i = j

@@ -22,11 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def prepare(spark: SparkSession) -> None:
+    """Checkpoint folder and package of a session, once per session."""
+    checkpoint_dir(spark)
+    ship_package(spark)
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         def run(spark, sf_dir):
-            checkpoint_dir(spark)
-            ship_package(spark)
+            prepare(spark)
             return fn(spark, sf_dir)
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__
         QUERIES[name] = run
