@@ -17,13 +17,26 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _parsed(c) -> Column:
+    s = _col(c).cast("string")
+    return F.when(s.rlike(NUMERIC_PATTERN), s.try_cast("double"))
+
+
+def numeric(c) -> Column:
+    """A finite plain number, else NULL."""
+    p = _parsed(c)
+    return F.when(F.abs(p) != F.lit(float("inf")), p)
+
+
+def is_infinite(c) -> Column:
+    """A plain number that overflows to an infinity (counted by the gates)."""
+    return F.coalesce(F.abs(_parsed(c)) == F.lit(float("inf")), F.lit(False))
+
+
 def coerce_zero(c) -> Column:
     """Parse a number; anything unparseable, missing or overflowing to an
     infinity becomes 0.0."""
-    s = _col(c).cast("string")
-    parsed = F.when(s.rlike(NUMERIC_PATTERN), s.try_cast("double"))
-    finite = F.when(F.abs(parsed) != F.lit(float("inf")), parsed)
-    return F.nanvl(F.coalesce(finite, F.lit(0.0)), F.lit(0.0))
+    return F.coalesce(numeric(c), F.lit(0.0))
 
 
 def clean_numeric(c, strict: bool = False) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowsentry.functions.scalar import clean_numeric, coerce_zero
+from flowsentry.functions.scalar import clean_numeric, coerce_zero, is_infinite
 
 FLOW_NUMERIC = ("src_pkts", "dst_pkts", "src_bytes", "dst_bytes")
 FLOW_REQUIRED = ("ts", "duration", "label")
@@ -94,18 +94,32 @@ def flow_counts(df: DataFrame) -> DataFrame:
                   F.count_if(F.col("duration") > 0).alias("n_valid"))
 
 
-def quality_gate(df: DataFrame, required: Sequence[str] = FLOW_REQUIRED) -> DataFrame:
-    """One-row gate report: missing columns, rows, valid rows, attack rows."""
+def quality_gate(df: DataFrame, required: Sequence[str] = FLOW_REQUIRED,
+                 raw: DataFrame | None = None) -> DataFrame:
+    """One-row gate report: missing columns, rows, valid rows, attack rows, and
+    (with the ``raw`` flows) values that overflow to an infinity.
+
+    ``ok``: there are valid flows; ``attack_ok``: some of them are attacks
+    (profiles by class need both).
+    """
+    schema = ("missing_columns string, n_rows long, n_valid long, n_attack long, n_infinite long, ok boolean, "
+              "attack_ok boolean")
     missing = [c for c in required if c not in df.columns]
     if missing:
-        return df.sparkSession.createDataFrame(
-            [(",".join(missing), 0, 0, 0, False)],
-            "missing_columns string, n_rows long, n_valid long, n_attack long, ok boolean")
+        return df.sparkSession.createDataFrame([(",".join(missing), 0, 0, 0, 0, False, False)], schema)
     g = df.agg(F.count(F.lit(1)).alias("n_rows"),
                F.count_if(F.col("duration") > 0).alias("n_valid"),
                F.count_if((F.col("duration") > 0) & (F.col("label") == 1)).alias("n_attack"))
-    return g.select(F.lit("").alias("missing_columns"), "n_rows", "n_valid", "n_attack",
-                    ((F.col("n_valid") > 0)).alias("ok"))
+    if raw is None:
+        g = g.withColumn("n_infinite", F.lit(0).cast("bigint"))
+    else:
+        cols = [c for c in (*FLOW_NUMERIC, "duration") if c in raw.columns]
+        n = F.lit(0).cast("bigint")
+        for c in cols:
+            n = n + F.count_if(is_infinite(c))
+        g = g.crossJoin(F.broadcast(raw.agg(n.alias("n_infinite"))))
+    return g.select(F.lit("").alias("missing_columns"), "n_rows", "n_valid", "n_attack", "n_infinite",
+                    (F.col("n_valid") > 0).alias("ok"), (F.col("n_attack") > 0).alias("attack_ok"))
 
 
 def validate_flows(df: DataFrame, required: Sequence[str] = FLOW_REQUIRED) -> dict:

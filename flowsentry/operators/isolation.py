@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowsentry.operators.prefix import small_side
 from flowsentry.operators.stats import exact_quantiles
 from flowsentry.session import ship_package
 from flowsentry.operators.windows import FEATURES
@@ -80,7 +81,7 @@ def _fit_group(features: Sequence[str], seed: int, psi: int):
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        x = pdf[list(features)].to_numpy(dtype=float)
+        x = pdf.sort_values(list(features))[list(features)].to_numpy(dtype=float)
         rng = np.random.default_rng([seed, tree])
         f, s, l, r, n, d = _grow(x, rng, limit)
         return pd.DataFrame({"tree": tree, "node": np.arange(len(f), dtype=np.int32),
@@ -150,29 +151,32 @@ class IsolationForestModel:
 class IsolationForest:
     def __init__(self, features: Sequence[str] = FEATURES, trees: int = 100,
                  max_samples: int = 256, contamination: float = 0.05, seed: int = 42,
-                 exact_cut: bool = True):
+                 exact_cut: bool = True, key: Sequence[str] = ("window",)):
         self.features = list(features)
         self.trees = trees
         self.max_samples = max_samples
         self.contamination = contamination
         self.seed = seed
         self.exact_cut = exact_cut
+        self.key = list(key)
 
     def fit(self, df: DataFrame) -> IsolationForestModel:
         ship_package(df.sparkSession)
-        x = df.select(*[F.col(c).cast("double").alias(c) for c in self.features])
+        # rows are drawn by their key (unique per row), or by value without one
+        key = [F.col(c) for c in self.key if c in df.columns] or [F.col(c) for c in self.features]
+        x = df.select(*[F.col(c).cast("double").alias(c) for c in self.features], F.xxhash64(*key).alias("_row"))
         n = x.count()
         psi = int(min(self.max_samples, n))
-        frac = min(1.0, 1.5 * self.trees * psi / max(n, 1))
-        pool = x.sample(False, frac, self.seed) if frac < 1.0 else x
-        pool = pool.withColumn("_rid", F.monotonically_increasing_id())
-        # every tree takes psi pool rows by its own hash order; the pool is
-        # bounded (about 1.5 * trees * psi rows), so this stays bounded too
-        cand = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1)))) \
-                   .withColumn("_h", F.xxhash64(F.lit(self.seed), F.col("tree"), F.col("_rid")))
-        w = Window.partitionBy("tree").orderBy("_h")
-        chosen = cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi) \
-                     .drop("_r", "_h", "_rid")
+        # every tree takes the psi rows with the smallest hash of (seed, tree,
+        # row values): its own sample of all rows, whatever the partitions.  A
+        # row is passed on for a tree only if its hash is among the smallest
+        # (psi + 12 sqrt(psi) + 64) / n expected ones, so about trees * 2 psi rows move.
+        share = min(1.0, (psi + 12 * psi ** 0.5 + 64) / max(n, 1))
+        draw = lambda t: F.pmod(F.xxhash64(F.lit(self.seed), t, F.col("_row")), F.lit(1 << 53)) / F.lit(float(1 << 53))
+        trees = F.filter(F.sequence(F.lit(0), F.lit(self.trees - 1)), lambda t: draw(t) <= F.lit(share))
+        cand = x.withColumn("tree", F.explode(trees)).withColumn("_h", draw(F.col("tree")))
+        w = Window.partitionBy("tree").orderBy("_h", *self.features)
+        chosen = cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r", "_h", "_row")
         nodes = chosen.groupBy("tree").applyInPandas(
             _fit_group(self.features, self.seed, psi), NODE_SCHEMA)
         nodes = nodes.checkpoint(eager=True)  # fixed forest: later reads see the same trees
@@ -216,7 +220,7 @@ def contamination_sweep(train_scores: DataFrame, test_scored: DataFrame,
         q = train_scores.groupBy(*by).agg(F.percentile_approx("score", probs, 100000).alias("_q"))
         cuts = q.select(*by, *[F.element_at("_q", i + 1).alias(f"cutoff_{i}")
                                for i in range(len(probs))])
-    x = test_scored.join(cuts, by) if by else test_scored.crossJoin(F.broadcast(cuts))
+    x = test_scored.join(small_side(cuts), by) if by else test_scored.crossJoin(F.broadcast(cuts))
     pos = F.col("label") == 1
     aggs = []
     for i in range(len(probs)):

@@ -90,36 +90,62 @@ def gauge_state(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[
     return df.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
-def counter_increase(metrics: DataFrame, range_s: float, series: Sequence[str] = SERIES,
-                     per_second: bool = False, slice_s: float | None = None) -> DataFrame:
-    """Reset-aware ``increase`` (or ``rate``) over aligned ranges.
+def counter_deltas(metrics: DataFrame, slice_s: float, series: Sequence[str] = SERIES) -> DataFrame:
+    """Reset-aware step of every counter sample: ``v - prev``, ``v`` after a
+    reset (``v < prev``), 0 for the first sample of a series.
 
-    Per series and range bucket ``[b*range, (b+1)*range)``: the sum over
-    consecutive sample pairs inside the range of ``v - prev`` (``v`` after a
-    reset, i.e. when ``v < prev``).  No boundary extrapolation.
-
-    The previous sample comes from a two-level lag over time slices of
-    ``slice_s`` seconds (default range/64, at least 1 s) that never cross a
-    range boundary, so a hot series is spread over many tasks; the sum is a
-    plain partial/final aggregate.
+    The previous sample comes from a two-level lag over time slices, so a hot
+    series is spread over many tasks and no step is lost at a slice edge.
     """
-    r = float(range_s)
-    sl = float(slice_s) if slice_s else max(1.0, r / 64.0)
-    b = F.floor(F.col("ts") / F.lit(r)).cast("bigint")
-    d = metrics.withColumn("_b", b)
     order = ["ts", "seq"] if "seq" in metrics.columns else ["ts"]
-    slice_id = F.col("_b") * F.lit(1 << 20) + F.floor((F.col("ts") - F.col("_b") * F.lit(r)) / F.lit(sl))
-    d = two_level_lag(d, [*series, "_b"], order, "value", "_prev", slice_id.cast("bigint"))
+    d = two_level_lag(metrics, series, order, "value", "_prev",
+                      F.floor(F.col("ts") / F.lit(float(slice_s))).cast("bigint"))
     delta = F.when(F.col("_prev").isNull(), F.lit(0.0)) \
              .when(F.col("value") < F.col("_prev"), F.col("value")) \
              .otherwise(F.col("value") - F.col("_prev"))
-    g = d.groupBy(*series, "_b").agg(F.sum(delta).alias("increase"))
+    return d.withColumn("delta", delta).drop("_prev")
+
+
+def counter_increase(metrics: DataFrame, range_s: float, series: Sequence[str] = SERIES,
+                     per_second: bool = False, slice_s: float | None = None) -> DataFrame:
+    """``increase`` (or ``rate``) over aligned ranges ``[b*range, (b+1)*range)``:
+    the sum of the steps of the samples in the range.  A step belongs to its
+    later sample, so the ranges of a series add up to its whole increase.  No
+    boundary extrapolation.
+    """
+    r = float(range_s)
+    d = counter_deltas(metrics, slice_s or max(1.0, r), series)
+    b = F.floor(F.col("ts") / F.lit(r)).cast("bigint").alias("_b")
+    g = d.groupBy(*series, b).agg(F.sum("delta").alias("increase"))
     out = g.select(*series, (F.col("_b") * F.lit(r)).alias("range_start"), "increase")
     if per_second:
         out = out.withColumn("rate", F.col("increase") / F.lit(r)).drop("increase")
     return out
 
 
+def counter_sliding(metrics: DataFrame, range_s: float, series: Sequence[str] = SERIES,
+                    per_second: bool = False) -> DataFrame:
+    """Range query at every sample: the sum of the steps of the samples in
+    ``[ts - range, ts]``, as ``increase`` or ``rate``.
+
+    Every sample also goes to the next time slice (a slice is one range long),
+    so the frame runs inside one (series, slice) and a hot series is spread
+    over its slices.  Times compare in microseconds.
+    """
+    us = F.round(F.col("ts") * F.lit(1e6)).cast("bigint")
+    r = int(round(float(range_s) * 1e6))
+    d = counter_deltas(metrics, range_s, series).withColumn("_us", us)
+    slice_ = F.floor(F.col("_us") / F.lit(r)).cast("bigint")
+    both = d.withColumn("_own", slice_).withColumn(
+        "_slice", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    w = Window.partitionBy(*series, "_slice").orderBy("_us").rangeBetween(-r, Window.currentRow)
+    out = both.withColumn("increase", F.sum("delta").over(w)).where(F.col("_own") == F.col("_slice"))
+    out = out.drop("_us", "_own", "_slice", "delta")
+    if per_second:
+        out = out.withColumn("rate", F.col("increase") / F.lit(float(range_s))).drop("increase")
+    return out
+
+
 def resample_last(metrics: DataFrame, step: float, series: Sequence[str] = SERIES) -> DataFrame:
     """Scrape resample: last value per series and ``step``-second tick; the
     sample is stamped at the tick end (the scrape instant)."""

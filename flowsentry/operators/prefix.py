@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowsentry.session import checkpoint_dir
+
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -28,6 +30,28 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def small_side(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """A table of one row per key, ready to join: computed once, and broadcast
+    only if it has at most ``limit`` rows (else a plain join)."""
+    checkpoint_dir(df.sparkSession)
+    done = df.checkpoint(eager=True)
+    return F.broadcast(done) if done.count() <= limit else done
+
+
+def _bucketed(df: DataFrame, keys: Sequence[str], bucket: Column) -> tuple[DataFrame, list[str]]:
+    """Adds non-null copies of the keys and the bucket.  Windows partition by
+    them and offsets join on them with plain equality, so the join keeps the
+    windows' partitioning and the rows are shuffled once."""
+    d, cols = df, []
+    for i, k in enumerate([*keys, None]):
+        c = bucket if k is None else F.col(k)
+        d = d.withColumn(f"_k{i}", c)
+        kind = d.schema[f"_k{i}"].dataType
+        d = d.withColumn(f"_n{i}", c.isNull()).withColumn(f"_k{i}", F.coalesce(F.col(f"_k{i}"), F.lit(0).cast(kind)))
+        cols += [f"_n{i}", f"_k{i}"]
+    return d, cols
+
+
 def running_aggregate(df: DataFrame, keys: Sequence[str], order: Sequence, value,
                       out, bucket: Column, how: str = "sum",
                       inclusive: bool = True) -> DataFrame:
@@ -45,28 +69,20 @@ def running_aggregate(df: DataFrame, keys: Sequence[str], order: Sequence, value
     d = df
     for i, v in enumerate(values):
         d = d.withColumn(f"_rv{i}", _c(v))
-    d = d.withColumn("_bkt", bucket)
+    d, cols = _bucketed(d, keys, bucket)
     end = Window.currentRow if inclusive else -1
-    w_local = (Window.partitionBy(*keys, "_bkt").orderBy(*[_c(o) for o in order])
+    w_local = (Window.partitionBy(*cols).orderBy(*[_c(o) for o in order])
                .rowsBetween(Window.unboundedPreceding, end))
     local = d
     for i in range(len(values)):
         local = local.withColumn(f"_loc{i}", agg(f"_rv{i}").over(w_local))
 
-    # Totals come from the windowed rows: they are already clustered by
-    # (key, bucket), so both branches share one shuffle of the input.
-    totals = local.groupBy(*keys, "_bkt").agg(
-        *[agg(f"_rv{i}").alias(f"_tot{i}") for i in range(len(values))])
-    w_off = (Window.partitionBy(*keys).orderBy("_bkt")
+    # bucket totals: a partial/final aggregate over the few columns it needs
+    totals = d.groupBy(*cols).agg(*[agg(f"_rv{i}").alias(f"_tot{i}") for i in range(len(values))])
+    w_off = (Window.partitionBy(*cols[:-2]).orderBy(*cols[-2:])
              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*[F.col(k).alias(f"_ok_{k}") for k in keys],
-                            F.col("_bkt").alias("_ok_bkt"),
-                            *[agg(f"_tot{i}").over(w_off).alias(f"_off{i}")
-                              for i in range(len(values))])
-    cond = F.col("_bkt").eqNullSafe(F.col("_ok_bkt"))
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_ok_{k}"))
-    joined = local.join(offsets, cond, "left")
+    offsets = totals.select(*cols, *[agg(f"_tot{i}").over(w_off).alias(f"_off{i}") for i in range(len(values))])
+    joined = local.join(offsets, cols, "left")
     for i, o in enumerate(outs):
         off, loc = F.col(f"_off{i}"), F.col(f"_loc{i}")
         if how == "sum":
@@ -78,7 +94,7 @@ def running_aggregate(df: DataFrame, keys: Sequence[str], order: Sequence, value
         else:
             combined = F.least(off, loc)
         joined = joined.withColumn(o, combined)
-    drop = ["_bkt", "_ok_bkt"] + [f"_ok_{k}" for k in keys]
+    drop = list(cols)
     for i in range(len(values)):
         drop += [f"_rv{i}", f"_loc{i}", f"_off{i}"]
     return joined.drop(*drop)
@@ -119,7 +135,7 @@ def quantile_bucket(df: DataFrame, keys: Sequence[str], col: str, buckets: int =
     bounds = df.groupBy(*keys).agg(
         F.percentile_approx(col, probs, accuracy).alias("_bounds"))
     if keys:
-        joined = df.join(bounds, keys, "left")
+        joined = df.join(small_side(bounds), keys, "left")
     else:
         joined = df.crossJoin(F.broadcast(bounds))
     return sorted_rank(joined, "_bounds", col, "_qb", len(probs)).drop("_bounds")
@@ -150,18 +166,13 @@ def two_level_lag(df: DataFrame, keys: Sequence[str], order: Sequence, value: st
     (NULL for a key's first row), computed per (key, bucket) slice; the
     first row of a slice takes the last value of the nearest earlier
     non-empty slice from a small per-slice table."""
-    keys = list(keys)
     order_c = [_c(o) for o in order]
-    d = df.withColumn("_lb", bucket)
-    w = Window.partitionBy(*keys, "_lb").orderBy(*order_c)
+    d, cols = _bucketed(df, list(keys), bucket)
+    w = Window.partitionBy(*cols).orderBy(*order_c)
+    last = d.groupBy(*cols).agg(F.max_by(value, F.struct(*order_c)).alias("_last"))
+    wp = Window.partitionBy(*cols[:-2]).orderBy(*cols[-2:])
+    prev = last.select(*cols, F.lag("_last").over(wp).alias("_prev_slice"))
     d = d.withColumn("_lag", F.lag(value).over(w)).withColumn("_first", F.row_number().over(w) == 1)
-    last = d.groupBy(*keys, "_lb").agg(F.max_by(value, F.struct(*order_c)).alias("_last"))
-    wp = Window.partitionBy(*keys).orderBy("_lb")
-    prev = last.select(*[F.col(k).alias(f"_pk_{k}") for k in keys], F.col("_lb").alias("_plb"),
-                       F.lag("_last").over(wp).alias("_prev_slice"))
-    cond = F.col("_lb").eqNullSafe(F.col("_plb"))
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_pk_{k}"))
-    j = d.join(prev, cond, "left")
+    j = d.join(prev, cols, "left")
     res = j.withColumn(out, F.when(F.col("_first"), F.col("_prev_slice")).otherwise(F.col("_lag")))
-    return res.drop("_lb", "_lag", "_first", "_plb", "_prev_slice", *[f"_pk_{k}" for k in keys])
+    return res.drop("_lag", "_first", "_prev_slice", *cols)

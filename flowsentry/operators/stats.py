@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 
-from flowsentry.operators.prefix import sorted_rank
+from flowsentry.operators.prefix import small_side, sorted_rank
 from pyspark.sql import functions as F
 
 
@@ -80,8 +80,8 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
         *by, "_n",
         F.when(whole, F.array(*[-v for v in inf])).otherwise(F.col("_lo")).alias("_lo"),
         F.when(whole, F.array(*inf)).otherwise(F.col("_hi")).alias("_hi"))
-    # one row per key (AQE broadcasts it when small)
-    j = d.join(st, by) if by else d.crossJoin(F.broadcast(st))
+    # one row per key
+    j = d.join(small_side(st), by) if by else d.crossJoin(F.broadcast(st))
     j = sorted_rank(j, "_lo", F.col("_x"), "_reach", n_t, inclusive=True)
     entry = "struct<k:int,i:int,v:double>"
     hist = F.struct(F.lit(0).alias("k"), F.col("_reach").cast("int").alias("i"),
@@ -101,7 +101,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
           for t in range(n_t)])
     w = Window.partitionBy(*by, "i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     band = g.where(F.col("k") == 1).withColumn("_cum", F.sum("_c").over(w))
-    band = band.join(below, by) if by else band.crossJoin(F.broadcast(below))
+    band = band.join(small_side(below), by) if by else band.crossJoin(F.broadcast(below))
     below_t = F.lit(0)
     for t in range(n_t):
         below_t = F.when(F.col("i") == t, F.col(f"_b{t}")).otherwise(below_t)

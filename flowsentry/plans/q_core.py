@@ -79,12 +79,22 @@ def q_flow_counts(spark, sf):
     return C.flow_counts(flows_clean(spark, sf))
 
 
-@query("quality_gate", duck(["flows"], D_FC, select="""SELECT '' AS missing_columns, count(*) AS n_rows,
+# every 97th flow reads 1e999 (an overflow), every 101st NaN, every 103rd 60d
+_ODD = """CASE WHEN event_id % 97 = 0 THEN '1e999' WHEN event_id % 101 = 0 THEN 'NaN'
+    WHEN event_id % 103 = 0 THEN '60d' ELSE duration END"""
+
+
+@query("quality_gate", duck(["flows"], ("odd", f"SELECT label, {_ODD} AS d FROM flows"),
+        ("gate", f"""SELECT label, {d_coerce('d')} AS duration, d = '1e999' AS inf FROM odd"""),
+        select="""SELECT '' AS missing_columns, count(*) AS n_rows,
     count(*) FILTER (WHERE duration > 0) AS n_valid,
-    count(*) FILTER (WHERE duration > 0 AND label = 1) AS n_attack,
-    count(*) FILTER (WHERE duration > 0) > 0 AS ok FROM fc"""))
+    count(*) FILTER (WHERE duration > 0 AND label = 1) AS n_attack, count(*) FILTER (WHERE inf) AS n_infinite,
+    count(*) FILTER (WHERE duration > 0) > 0 AS ok,
+    count(*) FILTER (WHERE duration > 0 AND label = 1) > 0 AS attack_ok FROM gate"""))
 def q_quality_gate(spark, sf):
-    return C.quality_gate(flows_clean(spark, sf))
+    """Gates over flows that hold overflowing and non-numeric durations."""
+    raw = B.flows(spark, sf).withColumn("duration", F.expr(_ODD))
+    return C.quality_gate(C.clean_flows(raw), raw=raw)
 
 
 @query("dropna_windows", duck(["flows"], D_FC, D_WF, select="""SELECT * FROM wf WHERE "window" IS NOT NULL

@@ -23,14 +23,23 @@ def q_scan_flows(spark, sf):
     return read_flows(spark, path)
 
 
-@query("scan_logs", duck(["logs"], select="SELECT source, text FROM logs"))
-def q_scan_logs(spark, sf):
-    """Text logs, one folder per source, read back with their source."""
+_LINES = ("lines", "SELECT source, row_number() OVER (PARTITION BY source ORDER BY line) AS line, text FROM logs")
+
+
+def _written_logs(spark, sf):
+    """The log binding as text files, one folder per source, in line order."""
     path = scratch_path(spark, "logs")
-    B.logs(spark, sf).select("source", "text").write.partitionBy("source").mode("overwrite").text(path)
+    B.logs(spark, sf).repartition("source").sortWithinPartitions("source", "line").select("source", "text") \
+        .write.partitionBy("source").text(path)
     return read_logs(spark, path)
 
 
+@query("scan_logs", duck(["logs"], _LINES, select="SELECT * FROM lines"))
+def q_scan_logs(spark, sf):
+    """Text logs, one folder per source, read back with source and line number."""
+    return _written_logs(spark, sf)
+
+
 _REP = ("""SELECT model, precision, recall, f1_score, roc_auc, fpr, fnr, tp, tn, fp, fn FROM (
     SELECT model, tp, fp, fn, tn,
       CASE WHEN tp+fp > 0 THEN tp/(tp+fp) ELSE 0.0 END AS precision,
@@ -72,9 +81,9 @@ def q_error_counts(spark, sf):
     return LG.error_counts(B.logs(spark, sf))
 
 
-@query("error_head", duck(["logs"], select="""SELECT source, line, text, rn FROM (
-    SELECT *, row_number() OVER (PARTITION BY source ORDER BY line) AS rn FROM logs
+@query("error_head", duck(["logs"], _LINES, select="""SELECT source, line, text, rn FROM (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY line) AS rn FROM lines
     WHERE regexp_matches(text, '(?i)(error|failed)')) r WHERE rn <= 20"""))
 def q_error_head(spark, sf):
-    """First 20 matching lines per source (two-level top-k)."""
-    return LG.error_head(B.logs(spark, sf), 20)
+    """First 20 matching lines per source of the log files (two-level top-k)."""
+    return LG.error_head(_written_logs(spark, sf), 20)

@@ -96,28 +96,40 @@ def q_gauge_state(spark, sf):
     return M.gauge_state(B.ticks(spark, sf), ["ip"], "temp", ["epoch", "seq"])
 
 
-_INC = """SELECT metric, device, b * {r} AS range_start, {agg} FROM (
-  SELECT metric, device, b, CASE WHEN prev IS NULL THEN 0.0 WHEN value < prev THEN value
-                                 ELSE value - prev END AS delta FROM (
-    SELECT *, lag(value) OVER (PARTITION BY metric, device, b ORDER BY ts, seq) AS prev FROM (
-      SELECT *, cast(floor(ts / {r}) as bigint) AS b FROM metrics
-      WHERE metric = 'login_attempts_total') a) c) d GROUP BY metric, device, b"""
+# steps of the whole series (no range in the lag), added to the later sample's range
+_STEP = ("step", """SELECT *, CASE WHEN prev IS NULL THEN 0.0 WHEN value < prev THEN value ELSE value - prev END AS delta
+    FROM (SELECT *, lag(value) OVER (PARTITION BY metric, device ORDER BY ts, seq) AS prev FROM metrics
+          WHERE metric = 'login_attempts_total') a""")
 
 
-@query("metric_increase", duck(["metrics"], select=_INC.format(r="86400.0", agg="sum(delta) AS increase")),
-       ["range_start", "increase"])
+def _logins(spark, sf):
+    return B.metrics(spark, sf).where(F.col("metric") == "login_attempts_total")
+
+
+@query("metric_increase", duck(["metrics"], _STEP, select="""SELECT metric, device, b * 60.0 AS range_start,
+    sum(delta) AS increase FROM (SELECT *, cast(floor(ts / 60.0) as bigint) AS b FROM step) s
+    GROUP BY metric, device, b"""), ["range_start", "increase"])
 def q_increase(spark, sf):
-    """Reset-aware counter increase per device-day."""
-    m = B.metrics(spark, sf).where(F.col("metric") == "login_attempts_total")
-    return M.counter_increase(m, 86400.0)
+    """Reset-aware counter increase per device and minute."""
+    return M.counter_increase(_logins(spark, sf), 60.0)
 
 
-@query("metric_rate", duck(["metrics"], select=_INC.format(r="60.0", agg="sum(delta) / 60.0 AS rate")),
-       ["range_start", "rate"])
+@query("metric_rate", duck(["metrics"], _STEP, select="""SELECT metric, device, b * 3600.0 AS range_start,
+    sum(delta) / 3600.0 AS rate FROM (SELECT *, cast(floor(ts / 3600.0) as bigint) AS b FROM step) s
+    GROUP BY metric, device, b"""), ["range_start", "rate"])
 def q_rate(spark, sf):
-    """Per-second counter rate over 1-minute ranges."""
-    m = B.metrics(spark, sf).where(F.col("metric") == "login_attempts_total")
-    return M.counter_increase(m, 60.0, per_second=True)
+    """Per-second counter rate over aligned hours."""
+    return M.counter_increase(_logins(spark, sf), 3600.0, per_second=True)
+
+
+@query("metric_rate_sliding", duck(["metrics"], _STEP, select="""SELECT x.metric, x.device, x.ts, x.seq, x.value,
+    sum(y.delta) / 3600.0 AS rate FROM step x JOIN step y ON x.device = y.device
+      AND cast(round(y.ts * 1e6) as bigint) BETWEEN cast(round(x.ts * 1e6) as bigint) - 3600000000
+                                                AND cast(round(x.ts * 1e6) as bigint)
+    GROUP BY x.metric, x.device, x.ts, x.seq, x.value"""), ["ts", "value", "rate"])
+def q_rate_sliding(spark, sf):
+    """W6a, range form: rate over the hour before every sample."""
+    return M.counter_sliding(_logins(spark, sf), 3600.0, per_second=True)
 
 
 @query("resample_last", duck(["metrics"], select="""SELECT metric, device, (b + 1) * 5.0 AS ts, value FROM (
@@ -180,3 +192,14 @@ def q_verdict(spark, sf):
     train, test = train_test(spark, sf)
     p = sigma_detector(train, test, 2.0)
     return p.select("id", "pred", verdict("pred").alias("verdict"))
+
+
+_CO2 = """CASE WHEN k * 30.0 >= 2000.0 THEN 'red' WHEN k * 30.0 >= 1000.0 THEN '#EAB839' ELSE 'green' END"""
+
+
+@query("co2_bands", duck(["ev"], select=f"""SELECT event_id, k * 30.0 AS co2, {_CO2} AS band,
+    'green' AS single FROM ev"""), ["co2"])
+def q_co2_bands(spark, sf):
+    """The three CO2 bands (1000 and 2000 ppm) and a panel with one step."""
+    e = B.ev(spark, sf).select("event_id", (F.col("k") * F.lit(30.0)).alias("co2"))
+    return e.withColumn("band", M.bands("co2", M.BANDS_CO2)).withColumn("single", M.bands("co2", M.BANDS_CO2[:1]))

@@ -12,7 +12,7 @@ from flowsentry.operators import isolation as IF
 from flowsentry.operators import splits as S
 from flowsentry.operators.scaling import ZScaler
 from flowsentry.plans.catalog import query
-from flowsentry.plans.common import D_FC, D_WF, duck, split_windows, windows
+from flowsentry.plans.common import D_FC, D_SPLIT, D_WF, duck, split_windows, windows
 from flowsentry.sources import bindings as B
 
 
@@ -127,3 +127,28 @@ def q_evaluation_report(spark, sf):
     iso_scored = IF.score_isolation(iso, sc.transform(test))
     rf_scored = FR.score_forest(FR.fit_forest(train), test)
     return EV.evaluation_report(thr.unionByName(iso_scored).unionByName(rf_scored))
+
+
+_INV = """SELECT m.model, count(*) AS n, count(*) FILTER (WHERE label = 1) AS n_attack, true AS scores_in_range,
+    true AS pred_follows_score, true AS cells_add_up FROM te, (SELECT unnest(['isolation_forest', 'random_forest']) AS model) m
+    GROUP BY m.model"""
+
+
+@query("model_invariants", duck(["flows"], D_FC, D_WF, *D_SPLIT, select=_INV))
+def q_model_invariants(spark, sf):
+    """M3 + M5: both forests score every test window once, within [0, 1], their
+    predictions follow the score, and their confusion cells add up to the rows."""
+    train, test = _tt(_split(spark, sf))
+    sc = ZScaler().fit(train)
+    feats = ["z_flow_count", "z_avg_duration", "z_avg_bytes"]
+    model = IF.IsolationForest(features=feats, contamination=0.05).fit(sc.transform(train))
+    iso = IF.score_isolation(model, sc.transform(test)).withColumn("rule", F.col("score") > F.lit(model.cut))
+    rf = FR.score_forest(FR.fit_forest(train), test).withColumn("rule", F.col("score") > 0.5)
+    both = iso.unionByName(rf)
+    n, pos = F.count(F.lit(1)), F.count_if(F.col("label") == 1)
+    cells = [F.count_if((F.col("label") == y) & (F.col("pred") == p)) for y in (0, 1) for p in (0, 1)]
+    return both.groupBy("model").agg(
+        n.alias("n"), pos.alias("n_attack"),
+        F.bool_and(F.col("score").between(0.0, 1.0)).alias("scores_in_range"),
+        F.bool_and((F.col("pred") == 1) == F.col("rule")).alias("pred_follows_score"),
+        ((cells[0] + cells[1] + cells[2] + cells[3] == n) & (cells[2] + cells[3] == pos)).alias("cells_add_up"))

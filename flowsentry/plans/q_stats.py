@@ -57,21 +57,31 @@ def q_trimmed(spark, sf):
     return ST.trimmed_stats(B.measurements(spark, sf), "latency", 0.99)
 
 
-@query("histogram", duck(["measurements"],
+def _bins(n):
+    return duck(["measurements"],
         ("r", """SELECT CASE WHEN max(latency) > min(latency) THEN min(latency) ELSE min(latency) - 0.5 END AS lo,
                         CASE WHEN max(latency) > min(latency) THEN max(latency) ELSE max(latency) + 0.5 END AS hi
                  FROM measurements"""),
-        ("c", """SELECT least(cast(floor((latency - lo) / (hi - lo) * 30) as int), 29) AS bin, count(*) AS n
+        ("c", f"""SELECT least(cast(floor((latency - lo) / (hi - lo) * {n}) as int), {n - 1}) AS bin, count(*) AS n
                  FROM measurements, r WHERE latency IS NOT NULL GROUP BY 1"""),
-        ("bins", "SELECT cast(range as int) AS bin FROM range(30)"),
-        select="""SELECT bins.bin, r.lo + bins.bin * ((r.hi - r.lo) / 30) AS lo,
-                  r.lo + (bins.bin + 1) * ((r.hi - r.lo) / 30) AS hi, cast(coalesce(c.n, 0) as bigint) AS n
-                  FROM bins CROSS JOIN r LEFT JOIN c ON c.bin = bins.bin"""), ["lo", "hi"])
+        ("bins", f"SELECT cast(range as int) AS bin FROM range({n})"),
+        select=f"""SELECT bins.bin, r.lo + bins.bin * ((r.hi - r.lo) / {n}) AS lo,
+                  r.lo + (bins.bin + 1) * ((r.hi - r.lo) / {n}) AS hi, cast(coalesce(c.n, 0) as bigint) AS n
+                  FROM bins CROSS JOIN r LEFT JOIN c ON c.bin = bins.bin""")
+
+
+@query("histogram", _bins(30), ["lo", "hi"])
 def q_histogram(spark, sf):
     """30-bin equal-width latency histogram."""
     return ST.histogram(B.measurements(spark, sf), "latency", 30)
 
 
+@query("histogram_40", _bins(40), ["lo", "hi"])
+def q_histogram_40(spark, sf):
+    """The device profile's 40 bins."""
+    return ST.histogram(B.measurements(spark, sf), "latency", 40)
+
+
 @query("scan_device_stats", duck(["measurements"], _DEV, select="SELECT * FROM dev"), ["cpu_pct", "mem_mb"])
 def q_scan_dev(spark, sf):
     """Tab-separated device statistics, written and read back."""

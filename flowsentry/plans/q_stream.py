@@ -21,9 +21,10 @@ from flowsentry.plans.common import (
 )
 from flowsentry.session import scratch_path
 from flowsentry.sources import bindings as B
-from flowsentry.streaming.align import stream_align
-from flowsentry.streaming.alert import stream_time_to_alert
-from flowsentry.streaming.runner import run_available_now, run_complete_snapshot
+from flowsentry.streaming.align import OUT_SCHEMA, assemble_ticks, stream_align
+from flowsentry.streaming.alert import alert_sink, read_alerts, stream_time_to_alert
+from flowsentry.streaming.live import start_live_detector
+from flowsentry.streaming.runner import run_available_now, run_complete_snapshot, run_foreach_batch
 from flowsentry.streaming.score import stream_score
 from flowsentry.streaming.windows import stream_counts, stream_windows
 
@@ -70,12 +71,15 @@ def q_stream_score(spark, sf):
     return run_available_now(spark, scored, "stream-score")
 
 
-@query("time_to_alert", duck(["flows"], D_FC, D_WF, *D_SPLIT, D_THR, _AW, select=f"""SELECT
-    first_attack_label_ts, first_detection_ts, first_detection_ts - first_attack_label_ts AS time_to_alert_seconds
+_TTA = """SELECT {cols}first_attack_label_ts, first_detection_ts,
+    first_detection_ts - first_attack_label_ts AS time_to_alert_seconds
     FROM (SELECT min(ts) FILTER (WHERE label = 1) AS first_attack_label_ts,
                  min(ts) FILTER (WHERE pred = 1 AND NOT (flow_count = 0 AND avg_duration = 0 AND avg_bytes = 0)) AS first_detection_ts
-          FROM (SELECT aw.*, "window" * {W} AS ts, cast(flow_count > threshold as int) AS pred FROM aw, thr) s) g"""),
-       ["first_attack_label_ts", "first_detection_ts", "time_to_alert_seconds"])
+          FROM (SELECT aw.*, "window" * {w} AS ts, cast(flow_count > threshold as int) AS pred FROM aw, thr) s) g"""
+_TTA_COLS = ["first_attack_label_ts", "first_detection_ts", "time_to_alert_seconds"]
+
+
+@query("time_to_alert", duck(["flows"], D_FC, D_WF, *D_SPLIT, D_THR, _AW, select=_TTA.format(cols="", w=W)), _TTA_COLS)
 def q_time_to_alert(spark, sf):
     """T3 (batch): threshold detector over agent windows; first label, first
     detection, and the delay between them."""
@@ -86,44 +90,63 @@ def q_time_to_alert(spark, sf):
     return time_to_alert(scored)
 
 
-@query("stream_time_to_alert")
+@query("stream_time_to_alert", duck(["flows"], D_FC, D_WF, *D_SPLIT, D_THR, _AW,
+                                    select=_TTA.format(cols="'agent' AS device, ", w=W)), _TTA_COLS)
 def q_stream_tta(spark, sf):
-    """T3 (stream): the same alert from keyed streaming state, emitted once."""
+    """T3 + S9: the same alert from a stream, written once."""
     train, _ = train_test(spark, sf)
     thr = float(BL.sigma_threshold(train).first()["threshold"])
     stream, t0 = _flow_stream(spark, sf)
-    # stage 1: the window job lands closed windows; stage 2 streams them
-    # into the keyed alert state (state cannot follow an aggregation in
-    # append mode inside one query)
+    # stage 1: the window job lands closed windows; stage 2 streams them into
+    # the alert aggregate (one query holds one stateful aggregation)
     landed = scratch_path(spark, "window-sink")
     first = run_available_now(spark, stream_windows(stream, t0, W, 0.0), "stream-windows", landed)
     w = spark.readStream.schema(first.schema).parquet(landed)
     scored = w.select("*", (F.col("window") * F.lit(W)).alias("ts"),
                       (F.col("flow_count") > F.lit(thr)).cast("int").alias("pred"),
                       F.lit("agent").alias("device"))
-    return run_available_now(spark, stream_time_to_alert(scored), "stream-alert")
+    out = scratch_path(spark, "alerts")
+    run_foreach_batch(stream_time_to_alert(scored), alert_sink(out), scratch_path(spark, "alerts-checkpoint"), "update")
+    return read_alerts(spark, out)
+
+
+ALIGN_BUCKET_S = 3600.0
 
 
 @query("stream_align", duck(["ticks", "packets"],
         ("tk", "SELECT DISTINCT epoch AS tick FROM ticks"),
         ("iv", "SELECT tick, lag(tick) OVER (ORDER BY tick) AS prev, max(tick) OVER () AS last FROM tk"),
-        ("pk", """SELECT frame, rel + (SELECT min(epoch) FROM ticks) AS t FROM packets
+        ("pk", """SELECT frame, rel + (SELECT min(epoch) FROM ticks) AS t, dst FROM packets
                   WHERE try_cast(size AS DOUBLE) IS NOT NULL AND rel IS NOT NULL"""),
-        select="""SELECT 'site' AS site, iv.tick, count(pk.frame) AS n_packets
-                  FROM iv LEFT JOIN pk ON pk.t <= iv.tick AND (iv.prev IS NULL OR pk.t > iv.prev)
-                  WHERE iv.tick < iv.last GROUP BY iv.tick"""), ["tick"])
+        # ticks fall on whole seconds, so every site sees all of them
+        select="""SELECT s.site, iv.tick, count(pk.frame) AS n_packets
+                  FROM iv CROSS JOIN (SELECT unnest(['even', 'odd']) AS site) s
+                  LEFT JOIN pk ON pk.t <= iv.tick AND (iv.prev IS NULL OR pk.t > iv.prev)
+                    AND s.site = CASE WHEN pk.frame % 2 = 0 THEN 'even' ELSE 'odd' END
+                  WHERE iv.tick < iv.last GROUP BY s.site, iv.tick"""), ["tick"])
 def q_stream_align(spark, sf):
-    """Ticks and packets as one stream, aligned by keyed state."""
+    """Ticks and packets of two sites as one stream of several
+    micro-batches in mixed order, aligned by state per site and hour."""
     tk = B.ticks(spark, sf)
     good, _ = AL.parse_packets(B.packets(spark, sf))
     t0 = tk.agg(F.min("epoch").alias("t0"))
     pk = AL.translate(good, "rel_s", t0, "t")
-    ev = tk.select(F.lit("site").alias("site"), F.lit(0).alias("kind"), F.col("epoch").alias("t")) \
-        .unionByName(pk.select(F.lit("site").alias("site"), F.lit(1).alias("kind"), "t"))
+    site = F.when(F.col("frame") % 2 == 0, "even").otherwise("odd")
+    ev = tk.select(F.explode(F.array(F.lit("even"), F.lit("odd"))).alias("site"), F.lit(0).alias("kind"),
+                   F.col("epoch").alias("t")) \
+        .unionByName(pk.select(site.alias("site"), F.lit(1).alias("kind"), "t"))
     src = scratch_path(spark, "align-stream")
-    ev.write.mode("overwrite").parquet(src)
-    stream = spark.readStream.schema(ev.schema).parquet(src)
-    return run_available_now(spark, stream_align(stream), "stream-align")
+    ev.repartition(4, F.xxhash64("site", "kind", "t")).write.parquet(f"{src}/part=data")
+    span = ev.agg(F.min("t"), F.max("t")).first()
+    # the delay covers the whole mixed input; a row beyond it closes every bucket
+    delay = float(span[1] - span[0]) + ALIGN_BUCKET_S
+    end = spark.createDataFrame([("end", 2, float(span[1]) + 2 * delay + ALIGN_BUCKET_S)], ev.schema)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/part=*")
+    out, ck = scratch_path(spark, "stream-align"), scratch_path(spark, "stream-align-checkpoint")
+    for _ in range(2):  # the data, then the closing row
+        run_available_now(spark, stream_align(stream, ALIGN_BUCKET_S, delay), "stream-align", out, ck)
+        end.write.mode("overwrite").parquet(f"{src}/part=end")
+    return assemble_ticks(spark.read.schema(OUT_SCHEMA).parquet(out))
 
 
 @query("stream_protocol_counts", duck(["packets"], select="""SELECT proto, count(*) AS packets_total
@@ -136,3 +159,16 @@ def q_stream_protocol_counts(spark, sf):
     good.select("frame", "proto").write.mode("overwrite").parquet(src)
     stream = spark.readStream.schema("frame long, proto string").option("maxFilesPerTrigger", 2).parquet(src)
     return run_complete_snapshot(spark, stream_counts(stream), "protocol-counter")
+
+
+@query("live_gauges")
+def q_live_gauges(spark, sf):
+    """T4 + T5 + S8: the live path (windows, forest, gauges) drained once; the
+    published prediction and probability samples."""
+    train, _ = train_test(spark, sf)
+    model = FR.fit_forest(train)
+    stream, t0 = _flow_stream(spark, sf)
+    out = scratch_path(spark, "live-gauges")
+    start_live_detector(stream, model, t0, W, out, scratch_path(spark, "live-checkpoint"), 0.0,
+                        available_now=True).awaitTermination()
+    return spark.read.schema("metric string, ts double, value double").parquet(f"{out}/batch_id=*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowsentry.operators import alignment as AL
 from flowsentry.operators import inject as IN
+from flowsentry.operators.metrics import gauge_state
 from flowsentry.plans.catalog import query
 from flowsentry.plans.common import duck
 from flowsentry.session import scratch_path
@@ -53,11 +54,18 @@ def q_scan_packets(spark, sf):
     return read_packets(spark, path).withColumn("rel", F.col("rel").try_cast("double"))
 
 
-@query("rejects", duck(["packets"], select="""SELECT frame, 'size_b' AS reject_reason FROM packets
-    WHERE try_cast(size AS DOUBLE) IS NULL"""))
+# edge rows among the real ones: Java-only spellings and a NaN time
+_ODD_SIZE = "CASE WHEN dst = '10.1.0.1' THEN '60d' ELSE size END"
+_ODD_TIME = "CASE WHEN dst = '10.1.0.2' THEN 'NaN' ELSE cast(rel as {text}) END"
+
+
+@query("rejects", duck(["packets"], select="""SELECT frame, CASE WHEN dst = '10.1.0.2' THEN 'rel_s' ELSE 'size_b' END
+    AS reject_reason FROM packets WHERE size = 'bad' OR dst IN ('10.1.0.1', '10.1.0.2')"""))
 def q_rejects(spark, sf):
-    """Packets whose size does not parse are set aside, not counted."""
-    _, bad = AL.parse_packets(B.packets(spark, sf))
+    """Packets whose time or size does not parse are set aside, not counted."""
+    p = B.packets(spark, sf)
+    p = p.withColumn("size", F.expr(_ODD_SIZE)).withColumn("rel", F.expr(_ODD_TIME.format(text="string")))
+    _, bad = AL.parse_packets(p)
     return bad.select("frame", "reject_reason")
 
 
@@ -102,3 +110,26 @@ def q_inject_sensor(spark, sf):
 def q_inject_flood(spark, sf):
     """100 packets/s for 50 s aligned to the sensor end, frames continued."""
     return IN.inject_flood(B.packets(spark, sf), B.ticks(spark, sf))
+
+
+@query("protocol_running", duck(["ticks", "packets"], ("pk", """SELECT frame, proto,
+        rel + (SELECT min(epoch) FROM ticks) AS t FROM packets
+        WHERE try_cast(size AS DOUBLE) IS NOT NULL AND rel IS NOT NULL"""),
+        select="""SELECT frame, proto, t, count(*) OVER (PARTITION BY proto ORDER BY t, frame
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS packets_total FROM pk"""), ["t"])
+def q_proto_running(spark, sf):
+    """Running packet counter per protocol in time order."""
+    good, _ = AL.parse_packets(B.packets(spark, sf))
+    t0 = B.ticks(spark, sf).agg(F.min("epoch").alias("t0"))
+    pk = AL.translate(good, "rel_s", t0, "t").select("frame", "proto", "t")
+    return AL.protocol_running(pk).withColumn("packets_total", F.col("packets_total").cast("bigint"))
+
+
+@query("byte_gauge", duck(["packets"], select="""SELECT proto, src, dst, bytes FROM (
+    SELECT proto, src, dst, cast(size as double) AS bytes,
+      row_number() OVER (PARTITION BY proto, src, dst ORDER BY rel DESC, frame DESC) AS rn
+    FROM packets WHERE size <> 'bad') r WHERE rn = 1"""), ["bytes"])
+def q_byte_gauge(spark, sf):
+    """Last packet size per (protocol, source, destination)."""
+    good, _ = AL.parse_packets(B.packets(spark, sf))
+    return gauge_state(good.withColumnRenamed("size_b", "bytes"), ["proto", "src", "dst"], "bytes", ["rel_s", "frame"])

@@ -7,7 +7,7 @@ the cleaning expressions parse them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,12 +84,25 @@ def read_metrics(spark: SparkSession, path: str, streaming: bool = False) -> Dat
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Log lines with their source: a ``source=<name>`` folder or the file name."""
+    """Log lines ``(source, line, text)``: the source is a ``source=<name>``
+    folder or the file name, lines count from 1 through the source's files in
+    name order.
+
+    A file may be read in several splits: lines are numbered inside each split
+    and shifted by the lines of the splits before it (one row per split).
+    """
     df = spark.read.text(path)
-    if "source" in df.columns:
-        return df.select("source", F.col("value").alias("text"))
-    return df.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("source"),
-                     F.col("value").alias("text"))
+    source = F.col("source") if "source" in df.columns else F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
+    d = df.select(source.cast("string").alias("source"), F.col("value").alias("text"),
+                  F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+                  F.monotonically_increasing_id().alias("_id"))
+    split = ["source", "_file", "_start"]
+    number = F.row_number().over(Window.partitionBy(*split).orderBy("_id"))
+    before = d.groupBy(*split).agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy("_file", "_start")
+                                               .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return d.withColumn("_number", number).join(before, split) \
+            .select("source", (F.col("_before") + F.col("_number")).cast("bigint").alias("line"), "text")
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:

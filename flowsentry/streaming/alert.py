@@ -1,54 +1,45 @@
-"""Streaming time-to-alert with keyed state (T3) and the write-once alert
-sink (S9)."""
+"""Streaming time-to-alert (T3) and the write-once alert sink."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from flowsentry.session import ship_package
-
-from flowsentry.operators.windows import FEATURES
 
-ALERT_SCHEMA = ("device string, time_to_alert_seconds double, first_attack_label_ts double, "
-                "first_detection_ts double")
-STATE_SCHEMA = "first_label double, first_detection double, logged boolean"
+from flowsentry.operators.alerts import time_to_alert
 
-
-def _alert_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-    fl, fd, logged = (state.get if state.exists else (None, None, False))
-    for pdf in pdfs:
-        lab = pdf.loc[pdf["label"] == 1, "ts"]
-        nz = (pdf[list(FEATURES)] != 0).any(axis=1)
-        det = pdf.loc[(pdf["pred"] == 1) & nz, "ts"]
-        if len(lab):
-            fl = float(lab.min()) if fl is None else min(fl, float(lab.min()))
-        if len(det):
-            fd = float(det.min()) if fd is None else min(fd, float(det.min()))
-    state.update((fl, fd, logged or (fl is not None and fd is not None)))
-    if not logged and fl is not None and fd is not None:
-        yield pd.DataFrame({"device": [str(key[0])], "time_to_alert_seconds": [fd - fl],
-                            "first_attack_label_ts": [fl], "first_detection_ts": [fd]})
+ALERT_SCHEMA = ("device string, first_attack_label_ts double, first_detection_ts double, "
+                "time_to_alert_seconds double")
 
 
 def stream_time_to_alert(scored: DataFrame, device: str = "device") -> DataFrame:
-    """Emit one alert row per device, once both the first labelled attack
-    and the first detection have been seen.  State is two doubles and a
-    flag per device."""
-    ship_package(scored.sparkSession)
-    cols = ["ts", "label", "pred", *FEATURES]
-    d = scored.select(F.col(device).cast("string").alias(device), *cols)
-    return d.groupBy(device).applyInPandasWithState(
-        _alert_state, ALERT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    """First label, first detection and their distance per device: the batch
+    aggregate, kept up to date by the stream (update mode).  State is two
+    doubles per device, and a device with most rows is combined map-side."""
+    return time_to_alert(scored.withColumn(device, F.col(device).cast("string")), by=[device])
 
 
 def alert_sink(path: str):
-    """foreachBatch sink writing each batch's alerts to a folder named by the
-    batch id: a replayed batch rewrites the same folder (idempotent)."""
+    """foreachBatch sink: a device's alert is written once, by the first batch
+    in which both times are known; batches without a new alert write nothing.
+    A replayed batch replaces its own folder."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").json(f"{path}/batch_id={batch_id}")
+        ready = batch.where("time_to_alert_seconds is not null").select(*[c.split()[0] for c in ALERT_SCHEMA.split(", ")])
+        known = read_alerts(batch.sparkSession, path, below=batch_id).select("device")
+        new = ready.join(known, "device", "left_anti")
+        if not new.isEmpty():
+            new.write.mode("overwrite").json(f"{path}/batch_id={batch_id}")
     return write
+
+
+def read_alerts(spark: SparkSession, path: str, below: int | None = None) -> DataFrame:
+    """Alerts written so far (an absent folder has none)."""
+    from pyspark.errors import AnalysisException
+    try:
+        df = spark.read.schema(ALERT_SCHEMA + ", batch_id long").option("basePath", path).json(f"{path}/batch_id=*")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ALERT_SCHEMA)
+    if below is not None:
+        df = df.where(F.col("batch_id") < below)
+    return df.drop("batch_id")

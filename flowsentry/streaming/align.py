@@ -1,12 +1,13 @@
-"""Streaming tick/packet alignment with keyed state.
+"""Streaming tick/packet alignment.
 
 Both traces arrive as one stream of ``(site, kind, t)`` rows (kind 0 =
-sensor tick, 1 = packet).  Per site the state keeps the newest tick not
-yet flushed, the last flushed tick and the times of packets waiting for a
-tick.  When a later tick arrives the waiting one is flushed with the count
-of packets in ``(previous tick, tick]``; the newest tick always waits, as
-in the batch form with the tail dropped.  Packets at or before an already
-flushed tick are late and not counted.
+sensor tick, 1 = packet; other kinds only move event time).  State is kept
+per (site, time bucket) and flushed when the watermark passes the bucket's
+end, so no key gathers a whole site and rows may arrive in any order within
+the watermark delay.  A bucket emits its packets per own tick plus one carry
+row (null tick) with the packets after its last tick; ``assemble_ticks`` adds
+a carry to the site's next tick.  Rows later than the watermark are dropped
+by Spark and counted (``runner.rows_dropped_by_watermark``).
 """
 
 from __future__ import annotations
@@ -15,43 +16,71 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowsentry.session import ship_package
 
-OUT_SCHEMA = "site string, tick double, n_packets long"
-STATE_SCHEMA = "open_tick double, flushed double, pending array<double>"
-
-
-def _align_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-    open_tick, flushed, pending = state.get if state.exists else (None, None, [])
-    pend = list(pending or [])
-    new_ticks = []
-    for pdf in pdfs:
-        new_ticks.extend(pdf.loc[pdf["kind"] == 0, "t"].tolist())
-        pend.extend(pdf.loc[pdf["kind"] == 1, "t"].tolist())
-    floor_ = max([x for x in (open_tick, flushed) if x is not None], default=None)
-    ticks = sorted({t for t in new_ticks if floor_ is None or t > floor_})
-    chain = ([open_tick] if open_tick is not None else []) + ticks
-    p = np.sort(np.asarray(pend, dtype=float))
-    if flushed is not None:
-        p = p[p > flushed]
-    out_t, out_n = [], []
-    for e in chain[:-1]:
-        n = int(np.searchsorted(p, e, side="right"))
-        out_t.append(float(e))
-        out_n.append(n)
-        p = p[n:]
-        flushed = float(e)
-    open_tick = chain[-1] if chain else None
-    state.update((open_tick, flushed, p.tolist()))
-    if out_t:
-        yield pd.DataFrame({"site": str(key[0]), "tick": out_t, "n_packets": out_n})
-
-
-def stream_align(events: DataFrame, site: str = "site") -> DataFrame:
-    """``events``: stream of (site, kind, t); output: (site, tick, n_packets)."""
+OUT_SCHEMA = "site string, bucket long, tick double, n_packets long"
+STATE_SCHEMA = "ticks array<double>, times array<double>, counts array<long>"
+
+
+def _bucket_state(size_s: float):
+    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            ticks, times, counts = (np.asarray(x) for x in state.get)
+            state.remove()
+            upto = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(times, ticks, side="right")] \
+                if len(ticks) else np.zeros(0)
+            rest = int(counts.sum()) - (int(upto[-1]) if len(upto) else 0)
+            n = np.diff(np.concatenate([[0], upto])).astype("int64").tolist()
+            yield pd.DataFrame({"site": str(key[0]), "bucket": int(key[1]),
+                                "tick": [*ticks.tolist(), None], "n_packets": [*n, rest]}) \
+                .astype({"tick": "float64"})
+            return
+        ticks, times, counts = state.get if state.exists else ([], [], [])
+        new_ticks, new_times = [list(ticks)], [np.repeat(np.asarray(times, float), np.asarray(counts, int))]
+        for pdf in pdfs:
+            new_ticks.append(pdf.loc[pdf["kind"] == 0, "t"].tolist())
+            new_times.append(pdf.loc[pdf["kind"] == 1, "t"].to_numpy(float))
+        ticks = sorted({t for part in new_ticks for t in part})
+        times, counts = np.unique(np.concatenate(new_times), return_counts=True)
+        state.update((ticks, times.tolist(), counts.tolist()))
+        # the watermark passes the bucket's end: at most one millisecond late
+        state.setTimeoutTimestamp(max(int(np.ceil((int(key[1]) + 1) * size_s * 1000)),
+                                      state.getCurrentWatermarkMs() + 1))
+    return step
+
+
+def stream_align(events: DataFrame, bucket_s: float, watermark_s: float, site: str = "site") -> DataFrame:
+    """``events``: stream of (site, kind, t), t in seconds from an origin at or
+    before the first row; output: ``(site, bucket, tick, n_packets)``, final
+    per bucket, to be read through ``assemble_ticks``."""
     ship_package(events.sparkSession)
-    return events.groupBy(site).applyInPandasWithState(
-        _align_state, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    e = events.select(F.col(site).cast("string").alias("site"), "kind", F.col("t").cast("double").alias("t"),
+                      F.timestamp_seconds("t").alias("et"),
+                      F.floor(F.col("t") / F.lit(float(bucket_s))).cast("bigint").alias("bucket")) \
+        .withWatermark("et", f"{int(round(watermark_s * 1e6))} microseconds")
+    return e.groupBy("site", "bucket").applyInPandasWithState(
+        _bucket_state(bucket_s), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def assemble_ticks(parts: DataFrame) -> DataFrame:
+    """``(site, tick, n_packets)`` of the flushed buckets.  A site's last tick
+    is still open (no later tick has flushed it) and is left out, as in the
+    batch form."""
+    ticks, carry = parts.where("tick is not null"), parts.where("tick is null and n_packets > 0")
+    # per site and bucket: its first tick, and the carry of the buckets since
+    # the last bucket with ticks (one row per bucket)
+    per = ticks.groupBy("site", "bucket").agg(F.min("tick").alias("first"), F.max("tick").alias("top"))
+    rows = per.join(carry.groupBy("site", "bucket").agg(F.sum("n_packets").alias("c")), ["site", "bucket"], "full")
+    order = Window.partitionBy("site").orderBy("bucket")
+    before = F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    given = per.alias("p").join(rows.select("site", "bucket", before.alias("before")), ["site", "bucket"])
+    # all carries before a bucket less those before the previous bucket with ticks
+    extra = given.withColumn("extra", F.col("before") - F.coalesce(F.lag("before").over(order), F.lit(0))) \
+        .select("site", F.col("first").alias("tick"), "extra")
+    last = per.groupBy("site").agg(F.max("top").alias("last"))
+    return ticks.join(extra, ["site", "tick"], "left").join(last, "site").where("tick < last").select(
+        "site", "tick", (F.col("n_packets") + F.coalesce("extra", F.lit(0))).alias("n_packets"))

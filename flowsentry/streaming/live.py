@@ -12,7 +12,7 @@ from flowsentry.streaming.windows import POLL_TRIGGER, stream_windows
 
 
 def start_live_detector(raw_flows: DataFrame, model: PipelineModel, t0: float, size_s: float,
-                        metrics_path: str, checkpoint: str, watermark_s: float = 0.0,
+                        metrics_path: str, checkpoint: str, watermark_s: float,
                         available_now: bool = False):
     """Start the query; ``available_now`` drains the input once (tests,
     back-fills), otherwise it triggers every 5 seconds."""

@@ -10,9 +10,9 @@ from flowsentry.session import scratch_path
 
 
 def run_available_now(spark: SparkSession, df: DataFrame, name: str,
-                      out: str | None = None) -> DataFrame:
+                      out: str | None = None, checkpoint: str | None = None) -> DataFrame:
     out = out or scratch_path(spark, name)
-    ck = scratch_path(spark, f"{name}-checkpoint")
+    ck = checkpoint or scratch_path(spark, f"{name}-checkpoint")
     q = (df.writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", ck).outputMode("append")
          .trigger(availableNow=True).start())

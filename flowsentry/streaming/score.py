@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsentry.operators.cleaning import nonzero
+from flowsentry.operators.metrics import to_metric_samples
 
 # The detector's published gauges
 SCORE_GAUGES = {"pred": "ai_anomaly_score", "attack_probability": "ai_attack_probability"}
@@ -28,20 +27,27 @@ def stream_score(windows: DataFrame, model: PipelineModel, skip_zero: bool = Tru
 
 def publisher(path: str, size_s: float):
     """foreachBatch function: append gauge samples of a scored micro-batch
-    (prediction, probability, batch latency) to a metric table.  Writes are
-    keyed by batch id, so a replayed batch overwrites its own folder."""
+    (prediction and probability, stamped at the window start) to a metric
+    table.  Each scored row is read once and unpivoted.  Writes are keyed by
+    batch id, so a replayed batch overwrites its own folder; an empty batch
+    writes nothing."""
     def publish(batch: DataFrame, batch_id: int) -> None:
-        t = time.perf_counter()
-        ts = (F.col("window") * F.lit(float(size_s))).cast("double").alias("ts")
-        parts = [batch.select(F.lit(name).alias("metric"), ts,
-                              F.col(col).cast("double").alias("value"))
-                 for col, name in SCORE_GAUGES.items()]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        ms = (time.perf_counter() - t) * 1000.0
-        batch.sparkSession.createDataFrame(
-            [(LATENCY_GAUGE, float(batch_id), ms)], "metric string, ts double, value double") \
-            .write.mode("overwrite").parquet(f"{path}-latency/batch_id={batch_id}")
+        rows = batch.withColumn("ts", F.col("window") * F.lit(float(size_s)))
+        out = to_metric_samples(rows, "ts", SCORE_GAUGES).persist()
+        try:
+            if not out.isEmpty():
+                out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        finally:
+            out.unpersist()
     return publish
+
+
+def latency_samples(query) -> DataFrame:
+    """Inference-latency gauge of a query's micro-batches: when the trigger
+    started (epoch seconds) and how long it spent on its rows, from Spark's
+    progress reports.  Batches without input rows have no sample."""
+    from datetime import datetime
+    rows = [(LATENCY_GAUGE, datetime.fromisoformat(p.timestamp.replace("Z", "+00:00")).timestamp(),
+             float(p.durationMs.get("addBatch", 0)))
+            for p in query.recentProgress if p.numInputRows]
+    return SparkSession.getActiveSession().createDataFrame(rows, "metric string, ts double, value double")

@@ -31,6 +31,16 @@ def test_matches_merge_asof_with_gaps(spark):
     assert got.sort_index().equals(exp.sort_index())
 
 
+def test_hot_timestamp_is_spread(spark):
+    """A third of all packets at one time: right ticks, many parts."""
+    rows = [(i, 5.5 if i % 3 == 0 else i * 0.01) for i in range(3000)]
+    p = spark.createDataFrame(rows, "frame long, t double")
+    out = align_forward(p, _ticks(spark, [1, 6, 20, 40]), drop_tail=False, buckets=2, spread=16)
+    want = {i: min((k for k in (1.0, 6.0, 20.0, 40.0) if k >= t), default=None) for i, t in rows}
+    assert {r.frame: r.tick for r in out.collect()} == {i: t for i, t in want.items() if t is not None}
+    assert align_forward(p, _ticks(spark, [1]).limit(0)).count() == 0
+
+
 def test_running_protocol_counter(spark):
     p = spark.createDataFrame([(i, float(i), "UDP" if i % 3 else "TCP") for i in range(50)],
                               "frame long, t double, proto string")

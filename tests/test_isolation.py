@@ -24,9 +24,11 @@ def test_isolation_forest_separates_outliers(spark):
     assert roc_auc(s).first().roc_auc > 0.95
     rate = s.agg({"pred": "avg"}).first()[0]
     assert 0.03 < rate < 0.07
-    # deterministic forest for a fixed seed
-    again = IsolationForest(features=["a", "b", "c"], trees=50, contamination=0.05).fit(df)
-    assert again.cut == pytest.approx(model.cut)
+    # the same forest for a fixed seed, whatever the partitions
+    for parts in (3, 7):
+        again = IsolationForest(features=["a", "b", "c"], trees=50, contamination=0.05).fit(df.repartition(parts))
+        assert again.cut == pytest.approx(model.cut, abs=1e-12)
+        assert sorted(map(tuple, again.nodes.collect())) == sorted(map(tuple, model.nodes.collect()))
 
 
 def test_contamination_sweep_rates(spark):

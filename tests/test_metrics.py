@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowsentry.operators.metrics import (
-    counter_increase, latest, latest_or_zero, lookback, metric_ratio, resample_last, to_metric_samples,
+    counter_increase, counter_sliding, latest, latest_or_zero, lookback, metric_ratio, resample_last, to_metric_samples,
 )
 
 M = "metric string, device int, ts double, seq long, value double"
@@ -15,10 +15,26 @@ def test_counter_reset(spark):
     assert counter_increase(df, 60.0, per_second=True).first().rate == pytest.approx(29 / 60)
 
 
-def test_increase_pairs_stay_inside_range(spark):
-    df = spark.createDataFrame([("c", 1, 50.0, 1, 1.0), ("c", 1, 70.0, 2, 4.0), ("c", 1, 80.0, 3, 6.0)], M)
+def test_no_step_is_lost_at_range_edges(spark):
+    v = [(50.0, 10.0), (70.0, 40.0), (110.0, 45.0), (130.0, 90.0)]
+    df = spark.createDataFrame([("c", 1, t, i, x) for i, (t, x) in enumerate(v)], M)
     got = {r.range_start: r.increase for r in counter_increase(df, 60.0).collect()}
-    assert got == {0.0: 0.0, 60.0: 2.0}
+    assert got == {0.0: 0.0, 60.0: 35.0, 120.0: 45.0} and sum(got.values()) == 80.0
+
+
+def test_sliding_increase_matches_a_loop(spark):
+    import random
+    r = random.Random(4)
+    rows = sorted((round(r.uniform(0, 500), 3), i) for i in range(400))
+    vals = [float(r.randint(0, 50)) for _ in rows]
+    data = [("c", i % 2 if i > 300 else 1, t, s, v) for i, ((t, s), v) in enumerate(zip(rows, vals))]
+    got = {x.seq: x.increase for x in counter_sliding(spark.createDataFrame(data, M).repartition(5), 60.0).collect()}
+    for dev in (0, 1):
+        own = [(t, s, v) for _, d, t, s, v in data if d == dev]
+        steps = [0.0] + [b[2] if b[2] < a[2] else b[2] - a[2] for a, b in zip(own, own[1:])]
+        for t, s, _ in own:
+            assert got[s] == sum(x for (u, _, _), x in zip(own, steps)
+                                 if round(t * 1e6) - 60_000_000 <= round(u * 1e6) <= round(t * 1e6))
 
 
 def test_latest_and_default(spark):

@@ -48,14 +48,55 @@ def test_live_path_publishes_gauges(spark):
     spark.createDataFrame(rows, RAW).write.parquet(src)
     out = scratch_path(spark, "t-live-out")
     q = start_live_detector(spark.readStream.schema(RAW).parquet(src), model, 0.0, 100.0, out,
-                            scratch_path(spark, "t-live-ck"), available_now=True)
+                            scratch_path(spark, "t-live-ck"), 0.0, available_now=True)
     q.awaitTermination()
+    from flowsentry.streaming.score import latency_samples
+    lat = latency_samples(q).collect()
+    assert lat and all(r.value > 0 and r.ts > 1.7e9 for r in lat)
     got = spark.read.parquet(out)
     names = {r.metric for r in got.select("metric").distinct().collect()}
     assert names == {"ai_anomaly_score", "ai_attack_probability"}
     # 8 windows of 100 s; the last one stays open under the watermark
     assert got.where("metric = 'ai_anomaly_score'").count() == 7
-    assert spark.read.parquet(f"{out}-latency").count() >= 1
+
+
+def test_scored_rows_are_evaluated_once(spark):
+    """The gauge sink reads every scored row once, though it writes two gauges."""
+    from flowsentry.streaming.score import publisher
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(rows):
+        for pdf in rows:
+            seen.add(len(pdf))
+            yield pdf
+    df = spark.range(10).selectExpr("id as window", "0 as pred", "0.5D as attack_probability")
+    out = scratch_path(spark, "t-once")
+    publisher(out, 10.0)(df.mapInPandas(touch, df.schema), 0)
+    assert seen.value == 10 and spark.read.parquet(out).count() == 20
+
+
+def test_five_second_trigger(spark):
+    """The live trigger itself: two input files, at least one trigger apart."""
+    import time
+    model = fit_forest(_windows(spark), trees=3)
+    src, out = scratch_path(spark, "t-trig-in"), scratch_path(spark, "t-trig-out")
+    spark.createDataFrame([(i * 2.0, "1", "10", "5", 0) for i in range(200)], RAW).write.parquet(f"{src}/p=0")
+    q = start_live_detector(spark.readStream.schema(RAW).parquet(f"{src}/p=*"), model, 0.0, 100.0, out,
+                            scratch_path(spark, "t-trig-ck"), 0.0)
+    try:
+        end = time.time() + 90
+        while not (q.lastProgress and q.lastProgress["numInputRows"]) and time.time() < end:
+            time.sleep(0.5)
+        spark.createDataFrame([(i * 2.0, "1", "10", "5", 0) for i in range(200, 400)], RAW).write.parquet(f"{src}/p=1")
+        while sum(p["numInputRows"] for p in q.recentProgress) < 400 and time.time() < end:
+            time.sleep(0.5)
+        while q.status["isTriggerActive"] and time.time() < end:
+            time.sleep(0.5)
+        starts = [p["timestamp"] for p in q.recentProgress if p["numInputRows"]]
+        assert len(starts) == 2 and q.exception() is None
+    finally:
+        q.stop()
+    assert spark.read.parquet(out).where("metric = 'ai_anomaly_score'").count() >= 3
 
 
 def test_training_run(spark):

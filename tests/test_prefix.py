@@ -64,7 +64,7 @@ def test_two_level_lag_and_sliced_increase(spark):
     assert np.array_equal(got.prev.fillna(-1).to_numpy(), exp.sort_index().fillna(-1).to_numpy())
     inc = counter_increase(df, 100.0, slice_s=3.0).toPandas()
     p = pdf.assign(b=np.floor(pdf.ts / 100).astype(int)).sort_values(["ts", "seq"])
-    p["prev"] = p.groupby(["device", "b"]).value.shift(1)
+    p["prev"] = p.groupby("device").value.shift(1)
     p["d"] = np.where(p.prev.isna(), 0.0, np.where(p.value < p.prev, p.value, p.value - p.prev))
     e = p.groupby(["device", "b"]).d.sum()
     g = inc.assign(b=(inc.range_start / 100).astype(int)).set_index(["device", "b"]).increase

@@ -3,9 +3,9 @@ from pyspark.sql import functions as F
 
 from flowsentry.operators.alerts import time_to_alert
 from flowsentry.session import scratch_path
-from flowsentry.streaming.align import stream_align
-from flowsentry.streaming.alert import alert_sink, stream_time_to_alert
-from flowsentry.streaming.runner import run_available_now, run_foreach_batch
+from flowsentry.streaming.align import OUT_SCHEMA, assemble_ticks, stream_align
+from flowsentry.streaming.alert import alert_sink, read_alerts, stream_time_to_alert
+from flowsentry.streaming.runner import rows_dropped_by_watermark, run_available_now, run_foreach_batch
 from flowsentry.streaming.windows import stream_counts, stream_windows
 from flowsentry.operators.cleaning import clean_flows, rebase
 from flowsentry.operators.windows import agent_windows
@@ -37,25 +37,73 @@ def test_alert_negative_and_once(spark):
     b = {r.device: r for r in time_to_alert(df, by=["device"]).collect()}
     assert b["d"].time_to_alert_seconds == -10.0            # false positive came first
     assert b["e"].time_to_alert_seconds is None             # all-zero window is not scored
+    # one row per micro-batch: the alert is written once, other batches write no folder
     src = scratch_path(spark, "t-alert")
-    df.write.parquet(src)
-    s = spark.readStream.schema(df.schema).parquet(src)
-    got = run_available_now(spark, stream_time_to_alert(s), "t-alert-out").collect()
-    assert [(r.device, r.time_to_alert_seconds) for r in got] == [("d", -10.0)]
+    df.coalesce(1).write.option("maxRecordsPerFile", 1).parquet(src)
     sink = scratch_path(spark, "t-alert-sink")
-    run_foreach_batch(stream_time_to_alert(spark.readStream.schema(df.schema).parquet(src)),
-                      alert_sink(sink), scratch_path(spark, "t-alert-ck"))
-    assert spark.read.json(sink).count() == 1
+    assert read_alerts(spark, sink).count() == 0
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    run_foreach_batch(stream_time_to_alert(stream), alert_sink(sink), scratch_path(spark, "t-alert-ck"), "update")
+    got = read_alerts(spark, sink).collect()
+    assert [(r.device, r.time_to_alert_seconds) for r in got] == [("d", -10.0)]
+    assert spark.read.option("basePath", sink).json(f"{sink}/batch_id=*").select("batch_id").distinct().count() == 1
+
+
+def _align(spark, batches, watermark_s, bucket_s=2.0):
+    schema = "site string, kind int, t double"
+    src, out, ck = (scratch_path(spark, f"t-align-{x}") for x in ("in", "out", "ck"))
+    dropped = 0
+    for i, rows in enumerate([*batches, [("end", 2, 1e6)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/part={i:03d}")
+        stream = spark.readStream.schema(schema).parquet(f"{src}/part=*")
+        q = (stream_align(stream, bucket_s, watermark_s).writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+        dropped += rows_dropped_by_watermark(q)
+    got = assemble_ticks(spark.read.schema(OUT_SCHEMA).parquet(out))
+    return {(r.site, r.tick): r.n_packets for r in got.collect()}, dropped
+
+
+def test_align_over_mixed_batches_equals_one_batch(spark):
+    import random
+    r = random.Random(9)
+    ticks = sorted({round(r.uniform(0, 40), 1) for _ in range(25)})
+    ev = [(s, 0, t) for s in "ab" for t in ticks] + [(r.choice("ab"), 1, round(r.uniform(0, 42), 2)) for _ in range(300)]
+    want = {}
+    for s in "ab":
+        for lo, hi in zip([-1.0, *ticks], ticks[:-1]):
+            want[(s, hi)] = sum(1 for q, k, t in ev if q == s and k == 1 and lo < t <= hi)
+    r.shuffle(ev)
+    got, dropped = _align(spark, [ev[:110], ev[110:200], ev[200:]], 100.0)
+    assert got == want and dropped == 0
+
+
+def test_align_keeps_packets_of_later_batches(spark):
+    one = [("s", 0, 1.0), ("s", 0, 2.0), ("s", 0, 3.0)]
+    two = [("s", 1, 0.5), ("s", 1, 1.5), ("s", 1, 2.5), ("s", 0, 4.0)]
+    assert _align(spark, [one, two], 10.0)[0] == {("s", 1.0): 1, ("s", 2.0): 1, ("s", 3.0): 1}
+    # later than the watermark allows: not counted, but reported
+    got, dropped = _align(spark, [[*one, ("s", 0, 50.0)], [("s", 1, 0.5), ("s", 0, 51.0)]], 0.0)
+    assert got[("s", 1.0)] == 0 and dropped == 1
+
+
+def test_sub_second_windows(spark):
+    rows = [(100.0 + i * 0.3, "1", "1", "1", 0) for i in range(60)]
+    df = spark.createDataFrame(rows, RAW)
+    src = scratch_path(spark, "t-sub")
+    df.write.parquet(f"{src}/p=0")
+    spark.createDataFrame([(500.0, "0", "0", "0", 0)], RAW).write.parquet(f"{src}/p=1")
+    stream = spark.readStream.schema(df.schema).parquet(f"{src}/p=*")
+    for size in (2.5, 0.5):
+        got = run_available_now(spark, stream_windows(stream, 100.0, size, 0.0), "t-sub").collect()
+        exp = agent_windows(rebase(clean_flows(df)), size).collect()
+        assert sorted((r.window, r.flow_count) for r in got) == sorted((r.window, r.flow_count) for r in exp)
 
 
 def test_stream_align_and_counts(spark):
     ev = [("s", 0, 1.0), ("s", 0, 2.0), ("s", 0, 3.0), ("s", 1, 0.2), ("s", 1, 1.0), ("s", 1, 1.5),
           ("s", 1, 3.2), ("s", 1, 2.5)]
-    df = spark.createDataFrame(ev, "site string, kind int, t double")
-    src = scratch_path(spark, "t-align")
-    df.write.parquet(src)
-    out = run_available_now(spark, stream_align(spark.readStream.schema(df.schema).parquet(src)), "t-align-out")
-    assert {r.tick: r.n_packets for r in out.collect()} == {1.0: 2, 2.0: 1}
+    assert _align(spark, [ev], 0.0)[0] == {("s", 1.0): 2, ("s", 2.0): 1}
     pk = spark.createDataFrame([("UDP",), ("UDP",), ("TCP",)], "proto string")
     psrc = scratch_path(spark, "t-pk")
     pk.write.parquet(psrc)
@@ -66,7 +114,6 @@ def test_stream_align_and_counts(spark):
 
 
 def test_late_rows_are_counted(spark):
-    from flowsentry.streaming.runner import rows_dropped_by_watermark
     schema = "ts double, duration string, src_bytes string, dst_bytes string, label int"
     src = scratch_path(spark, "t-late")
     out, ck = scratch_path(spark, "t-late-out"), scratch_path(spark, "t-late-ck")
