@@ -26,7 +26,7 @@ from flowsentry.llm import textkit as T
 from flowsentry.llm.jaccard import stored
 
 MIN_WORDS, STEP, SEED = 50, 16, 8
-#: rows of a candidate list up to which it is broadcast (about 24 bytes each)
+#: word stretches up to which the list of cuts is broadcast (16 bytes each)
 BROADCAST_ROWS = 2_000_000
 
 
@@ -145,8 +145,7 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     # the others: every window of the suffix, from the texts that hold one
     todo = cand.where("not alike").groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("r"))
-    few = cand.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(todo) if few else todo, "id").select("id", "t", "r")
+    texts = docs.join(todo, "id").select("id", "t", "r")
 
     def windows(batches):
         for b in batches:
