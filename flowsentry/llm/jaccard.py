@@ -34,9 +34,11 @@ from flowsentry.session import scratch_path
 BUCKETS_LEAST, BUCKETS_MOST = 64, 512
 #: shingles that the token order puts last (the most frequent ones, 8 bytes
 #: each), the least count of one, and the shingles a task gathers to count
-FREQUENT, FREQUENT_LEAST, BUFFER = 1 << 20, 3, 1 << 22
+FREQUENT, FREQUENT_LEAST, BUFFER = 1 << 20, 3, 1 << 21
 #: rows on the two sides of a block
 LEFT, RIGHT = 256, 4096
+#: rows of a bucket up to which its possible pairs are written out
+SMALL = 64
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: ids up to which a candidate list is broadcast (8 bytes each)
 BROADCAST_IDS = 2_000_000
@@ -224,9 +226,8 @@ def verified(pairs: DataFrame, df: DataFrame, id_col: str, text: str, k: int, pe
         .where(100 * overlap >= percent * (F.size("va") + F.size("vb") - overlap)).select("a", "b").distinct()
 
 
-def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in the same bucket that size and overlap
-    bound allow.  ``rows``: ``(token, cid, n, comp, counts)``.
+def _cells(rows: DataFrame, *payload: str) -> DataFrame:
+    """``rows`` ``(token, pos, cid, n, comp)`` dealt to blocks, sorted by block.
 
     The largest component of a bucket is never paired with itself: the others
     form left blocks of ``LEFT``, everything forms right blocks of ``RIGHT``.
@@ -236,59 +237,104 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
     per = per.where("m > top.c").select(
         "token", F.col("top.comp").alias("main"),
         F.ceil((F.col("m") - F.col("top.c")) / LEFT).cast("int").alias("nl"),
-        F.ceil(F.col("m") / RIGHT).cast("int").alias("nr"))
+        F.ceil(F.col("m") / RIGHT).cast("int").alias("nr"), (F.col("m") <= SMALL).alias("small"))
     h = F.xxhash64("cid")
     base = rows.join(per, "token").withColumn("main", F.col("comp") == F.col("main"))
     right = base.select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("l"),
                         F.pmod(h, F.col("nr")).cast("int").alias("r"))
     left = base.where("not main").select("*", F.lit(0).alias("side"), F.pmod(h, F.col("nl")).cast("int").alias("l"),
                                          F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r"))
-    cells = left.unionByName(right).select(F.xxhash64("token", "l", "r").alias("cell"), "side", "main", "cid", "n",
-                                           "comp", "counts")
-    cells = cells.repartition("cell").sortWithinPartitions("cell", "side")
-
-    def pairs(tab: pa.Table):
-        cell, side = tab.column("cell").to_numpy(), tab.column("side").to_numpy()
-        cid, n, comp = (tab.column(c).to_numpy() for c in ("cid", "n", "comp"))
-        main = tab.column("main").to_numpy(zero_copy_only=False)
-        sketches = tab.column("counts").to_pylist()
-        at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        size = np.diff(np.concatenate([at, [len(cell)]]))
-        nl = np.add.reduceat((side == 0).astype(np.int64), at)
-        many = nl * (size - nl)
-        i = 0
-        while i < len(at):
-            j = max(i + 1, int(np.searchsorted(np.cumsum(many[i:]), 1 << 20, side="right")) + i)
-            g = np.repeat(np.arange(i, j), many[i:j])
-            at_pair = np.arange(len(g)) - np.repeat(np.cumsum(many[i:j]) - many[i:j], many[i:j])
-            nr = (size - nl)[g]
-            x, y = at[g] + at_pair // np.maximum(nr, 1), (at + nl)[g] + at_pair % np.maximum(nr, 1)
-            ok = (comp[x] != comp[y]) & (main[y] | (cid[x] < cid[y])) & \
-                (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-            x, y = x[ok], y[ok]
-            if len(x):
+    cells = left.unionByName(right).select(
+        F.xxhash64("token", "l", "r").alias("cell"), "side", "main", "small", "token", "pos", "cid", "n", "comp",
+        *payload)
+    return cells.repartition("cell").sortWithinPartitions("cell", "side")
+
+
+def _cell_pairs(tab: pa.Table, percent: int):
+    """Row pairs of different components in one block that sizes and places of
+    the token allow, some at a time."""
+    cell, side = tab.column("cell").to_numpy(), tab.column("side").to_numpy()
+    cid, n, comp, pos = (tab.column(c).to_numpy() for c in ("cid", "n", "comp", "pos"))
+    main = tab.column("main").to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    size = np.diff(np.concatenate([at, [len(cell)]]))
+    nl = np.add.reduceat((side == 0).astype(np.int64), at)
+    many = nl * (size - nl)
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(np.cumsum(many[i:]), 1 << 20, side="right")) + i)
+        g = np.repeat(np.arange(i, j), many[i:j])
+        at_pair = np.arange(len(g)) - np.repeat(np.cumsum(many[i:j]) - many[i:j], many[i:j])
+        nr = (size - nl)[g]
+        x, y = at[g] + at_pair // np.maximum(nr, 1), (at + nl)[g] + at_pair % np.maximum(nr, 1)
+        ok = (comp[x] != comp[y]) & (main[y] | (cid[x] < cid[y])) & \
+            (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        x, y = x[ok], y[ok]
+        # as the first common token of the two: at most the smaller number of
+        # tokens from it on can be common (every pair meets at its first one)
+        most = np.minimum(n[x] - pos[x], n[y] - pos[y])
+        ok = (100 + percent) * most >= percent * (n[x] + n[y])
+        if ok.any():
+            yield x[ok], y[ok]
+        i = j
+
+
+def _whole_cells(batches):
+    """Tables of whole blocks from sorted batches."""
+    held = None  # rows of the last block, which may go on in the next batch
+    for b in batches:
+        if not b.num_rows:
+            continue
+        tab = pa.Table.from_batches([b])
+        tab = tab if held is None else pa.concat_tables([held, tab]).combine_chunks()
+        cell = tab.column("cell").to_numpy()
+        cut = int(np.searchsorted(cell, cell[-1]))
+        held = tab.slice(cut)
+        if cut:
+            yield tab.slice(0, cut).combine_chunks()
+    if held is not None:
+        yield held.combine_chunks()
+
+
+def _cross_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in the same bucket that sizes, places and
+    the overlap bound allow.
+
+    The first pass goes by sizes and places.  Small buckets give their possible
+    pairs (at most ``SMALL`` a row); large ones only the rows that have any
+    possible partner, and those meet again with their bucket counts.
+    """
+    def possible(batches):
+        for tab in _whole_cells(batches):
+            cid, token = tab.column("cid").to_numpy(), tab.column("token").to_numpy()
+            small = tab.column("small").to_numpy(zero_copy_only=False)
+            live, pairs = np.zeros(tab.num_rows, bool), []
+            for x, y in _cell_pairs(tab, percent):
+                k = small[x]
+                pairs.append(np.stack([np.minimum(cid[x[k]], cid[y[k]]), np.maximum(cid[x[k]], cid[y[k]])], 1))
+                live[x[~k]] = live[y[~k]] = True
+            pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *pairs]), axis=0)
+            n, m = len(pairs), int(live.sum())
+            none = np.arange(n + m) < n
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([pairs[:, 0], cid[live]])),
+                 pa.array(np.concatenate([pairs[:, 1], np.zeros(m, np.int64)]), mask=~none),
+                 pa.array(np.concatenate([np.zeros(n, np.int64), token[live]]), mask=none)], ["a", "b", "token"])
+
+    def pairs(batches):
+        for tab in _whole_cells(batches):
+            cid, n, sketches = tab.column("cid").to_numpy(), tab.column("n").to_numpy(), tab.column("counts").to_pylist()
+            for x, y in _cell_pairs(tab, percent):
                 fine = bound_ok(n, sketches, x, y, percent)
                 a, b = cid[x[fine]], cid[y[fine]]
                 both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-            i = j
-
-    def run(batches):
-        held = None  # rows of the last cell, which may go on in the next batch
-        for b in batches:
-            if not b.num_rows:
-                continue
-            tab = pa.Table.from_batches([b])
-            tab = tab if held is None else pa.concat_tables([held, tab]).combine_chunks()
-            cell = tab.column("cell").to_numpy()
-            cut = int(np.searchsorted(cell, cell[-1]))
-            held = tab.slice(cut)
-            if cut:
-                yield from pairs(tab.slice(0, cut).combine_chunks())
-        if held is not None:
-            yield from pairs(held.combine_chunks())
 
-    return cells.mapInArrow(run, "a long, b long").distinct()
+    found = stored(_cells(rows).mapInArrow(possible, "a long, b long, token long").distinct(), "jaccard-possible")
+    near = _bounded_pairs(found.where("token is null").select("a", "b"), classes, percent)
+    live = found.where("token is not null").select("token", F.col("a").alias("cid"))
+    fat = rows.join(live, ["token", "cid"]).join(classes.select("cid", "counts"), "cid")
+    return near.unionByName(_cells(fat, "counts").mapInArrow(pairs, "a long, b long")).distinct()
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 3,
@@ -308,11 +354,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
         F.min("id").alias("cid"), F.count("*").alias("copies")), "jaccard-classes")
 
     groups = classes.groupBy("gid", "n", "prefix").agg(F.min("cid").alias("rep"), F.sum("copies").alias("w"))
-    posts = groups.select(F.explode("prefix").alias("token"), "gid", "rep", "n", "w")
+    posts = groups.select(F.posexplode("prefix").alias("pos", "token"), "gid", "rep", "n", "w")
     pivots = posts.groupBy("token").agg(
         F.count("*").alias("c"), F.max(F.struct("w", -F.col("rep"), "n")).alias("p")).where("c > 1") \
         .select("token", (-F.col("p.col2")).alias("pivot"), F.col("p.n").alias("pn"))
-    shared = stored(posts.join(pivots, "token").select("token", "gid", "rep", "n", "pivot", "pn"), "jaccard-shared")
+    shared = stored(posts.join(pivots, "token").select("token", "pos", "gid", "rep", "n", "pivot", "pn"), "jaccard-shared")
 
     inside = classes.join(groups.select("gid", "rep"), "gid").where("cid <> rep") \
         .select(F.col("rep").alias("a"), F.col("cid").alias("b"))
@@ -322,14 +368,15 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     comp = stored(components(verified(first, narrow, "id", "t", k, percent)), "jaccard-comp")
 
     named = classes.join(comp.withColumnRenamed("id", "cid"), "cid", "left") \
-        .select("cid", "gid", "n", "counts", F.coalesce("component_id", "cid").alias("comp"))
+        .select("cid", "gid", "n", F.coalesce("component_id", "cid").alias("comp"))
     span = named.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    mixed = shared.select("token", "gid").join(span, "gid")
+    mixed = shared.select("token", "pos", "gid").join(span, "gid")
     open_tokens = mixed.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
-    buckets = mixed.join(open_tokens.select("token"), "token").select("token", "gid").unionByName(
-        span.where("lo < hi").select(F.xxhash64("gid", F.lit("group")).alias("token"), "gid"))
-    cross = stored(_cross_pairs(buckets.join(named, "gid").select("token", "cid", "n", "comp", "counts"), percent),
-                   "jaccard-cross")
+    # a group is a bucket of its own classes: equal prefixes, so equal places
+    buckets = mixed.join(open_tokens.select("token"), "token").select("token", "pos", "gid").unionByName(
+        span.where("lo < hi").select(F.xxhash64("gid", F.lit("group")).alias("token"), F.lit(0).alias("pos"), "gid"))
+    rows2 = stored(buckets.join(named, "gid").select("token", "pos", "cid", "n", "comp"), "jaccard-open")
+    cross = stored(_cross_pairs(rows2, classes, percent), "jaccard-cross")
     links = verified(cross, narrow, "id", "t", k, percent)
     flat = named.select("cid", "comp")
     joined = components(links.join(flat.toDF("a", "ca"), "a").join(flat.toDF("b", "cb"), "b")
