@@ -22,10 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+#: Arrow batches sent to a Python task: rows and bytes
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Checkpoint folder and package of a session, once per session."""
+    """Checkpoint folder and package of a session, and Arrow batches that stay
+    small where texts are long (a larger row is a batch of its own)."""
     checkpoint_dir(spark)
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def query(name: str, sql: str | None = None):
@@ -62,7 +69,23 @@ def op10(spark, sf_dir):
     return language_of(table(spark, sf_dir, "documents"))
 
 
-@query("op4_jaccard")
+_OP4_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + 2], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS p FROM d WHERE len(w) > 0) x),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY 1, 2),
+one AS (SELECT x, y FROM pair JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
+  WHERE 100 * i >= 90 * (a.n + b.n - i)),
+link AS (SELECT x, y FROM one UNION ALL SELECT y, x FROM one),
+reach(x, y) AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c, d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON d.doc_id = r.x"""
+
+
+@query("op4_jaccard", sql=_OP4_SQL)
 def op4(spark, sf_dir):
     from flowsentry.llm.jaccard import jaccard_components
 
