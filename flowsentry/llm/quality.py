@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from flowsentry.llm import textkit as T
 
 #: hashed n-grams: words, word pairs, shapes; the last feature is the bias
-WORDS, PAIRS, SHAPES = 1 << 19, 1 << 18, 1 << 16
+WORDS, PAIRS, SHAPES = 1 << 18, 1 << 17, 1 << 15
 BIAS = WORDS + PAIRS + SHAPES
 #: labelled rows of the linear fit, n-grams seen in fewer rows do not count
 FIT_ROWS, MIN_ROWS, SMOOTH = 12_000, 4, 1.0
@@ -91,16 +91,22 @@ def _count(labelled: DataFrame) -> np.ndarray:
         if held:
             yield from flush()
 
-    got = labelled.select("t", "y").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros((2, BIAS + 1))
-    key = got["key"].to_numpy(np.int64)
-    out[key >> 21, key & ((1 << 21) - 1)] = got["n"].to_numpy(np.float64)
-    return out
+    def dense(batches):
+        out = np.zeros((2, BIAS + 1), np.int64)
+        for b in batches:
+            key = b.column(0).to_numpy()
+            out[key >> 21, key & ((1 << 21) - 1)] = b.column(1).to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["counts"])
+
+    # at most 2 * (BIAS + 1) sums, whatever the corpus: one array of fixed size
+    sums = labelled.select("t", "y").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    got = sums.coalesce(1).mapInArrow(dense, "counts binary").first()
+    return np.frombuffer(got["counts"], np.int64).reshape(2, BIAS + 1) if got else np.zeros((2, BIAS + 1), np.int64)
 
 
 def log_ratio(counts: np.ndarray) -> np.ndarray:
     """Scale of every feature; 0 for n-grams seen in too few rows, 1 for the bias."""
-    neg, pos = counts + SMOOTH
+    neg, pos = (counts + SMOOTH).astype(np.float32)
     r = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
     r[counts.sum(axis=0) < MIN_ROWS] = 0
     r[BIAS] = 1
@@ -115,7 +121,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.nda
     for f in rows:
         v = scale[f]
         x.append((f, v / np.linalg.norm(v)))
-    w, a = np.zeros(len(scale)), np.zeros(len(rows))
+    w, a = np.zeros(len(scale), np.float32), np.zeros(len(rows))
     r = np.random.default_rng(seed)
     for _ in range(epochs):
         worst = 0.0
@@ -185,7 +191,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", label
                                          ["weight", "slope", "offset"])
 
     got = sample.coalesce(1).mapInArrow(fit, "weight binary, slope double, offset double").first()
-    return {"scale": scale, "weight": np.frombuffer(got["weight"]), "slope": got["slope"], "offset": got["offset"]}
+    return {"scale": scale, "weight": np.frombuffer(got["weight"], np.float32), "slope": got["slope"], "offset": got["offset"]}
 
 
 def score(df: DataFrame, model: dict, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -197,8 +203,7 @@ def score(df: DataFrame, model: dict, id_col: str = "doc_id", text: str = "text"
     if "rest" in model:
         return df.select(id_col, F.lit(model["rest"]).alias("score"))
     schema = StructType([df.schema[id_col], StructField("score", DoubleType(), False)])
-    shared = df.sparkSession.sparkContext.broadcast((model["scale"].astype(np.float32),
-                                                     model["weight"].astype(np.float32)))
+    shared = df.sparkSession.sparkContext.broadcast((model["scale"], model["weight"]))
     slope, offset = model["slope"], model["offset"]
 
     def run(batches):

@@ -38,7 +38,7 @@ def test_descent_reaches_the_hinge_optimum():
 
     def loss(w):
         return 0.5 * w @ w + Q.COST * np.maximum(0, 1 - y * (x @ w)).sum()
-    w = Q.dual_coordinate_descent(rows, scale, y, epochs=4000)
+    w = Q.dual_coordinate_descent(rows, scale, y, epochs=4000).astype(float)
     best = loss(w)
     for _ in range(300):  # no direction improves a convex loss at its optimum
         assert loss(w + r.standard_normal(21) * r.choice([1e-3, 1e-2, 0.3])) >= best - 1e-3
