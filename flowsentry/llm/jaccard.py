@@ -83,6 +83,7 @@ def frequent_shingles(df: DataFrame, text: str, k: int) -> np.ndarray:
     """Hashes of the ``FREQUENT`` most frequent shingles, rarest first, counted
     where a task meets them twice among ``BUFFER``."""
     def count(batches):
+        T.take_over("jaccard")
         held, size = [], 0
 
         def flush():
@@ -118,6 +119,7 @@ def signatures(df: DataFrame, id_col: str, text: str, k: int, percent: int, freq
     shared = df.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int32)))
 
     def run(batches):
+        T.take_over("jaccard")
         known, order = shared.value
         for b in batches:
             for w in T.word_pieces(b.column(1)):
@@ -353,12 +355,16 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     classes = stored(rows.where("n > 0 and id is not null").groupBy(*key, "gid", "prefix", "counts").agg(
         F.min("id").alias("cid"), F.count("*").alias("copies")), "jaccard-classes")
 
-    groups = classes.groupBy("gid", "n", "prefix").agg(F.min("cid").alias("rep"), F.sum("copies").alias("w"))
-    posts = groups.select(F.posexplode("prefix").alias("pos", "token"), "gid", "rep", "n", "w")
-    pivots = posts.groupBy("token").agg(
-        F.count("*").alias("c"), F.max(F.struct("w", -F.col("rep"), "n")).alias("p")).where("c > 1") \
+    groups = stored(classes.groupBy("gid", "n").agg(F.min("cid").alias("rep"), F.sum("copies").alias("w")), "jaccard-groups")
+    # one class of each group posts its tokens; most tokens are single and go
+    # before anything else is attached
+    posts = classes.join(groups.select(F.col("rep").alias("cid")), "cid", "left_semi") \
+        .select(F.posexplode("prefix").alias("pos", "token"), F.col("cid").alias("rep"))
+    common = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    posted = stored(posts.join(common, "token"), "jaccard-posted").join(groups, "rep")
+    pivots = posted.groupBy("token").agg(F.max(F.struct("w", -F.col("rep"), "n")).alias("p")) \
         .select("token", (-F.col("p.col2")).alias("pivot"), F.col("p.n").alias("pn"))
-    shared = stored(posts.join(pivots, "token").select("token", "pos", "gid", "rep", "n", "pivot", "pn"), "jaccard-shared")
+    shared = stored(posted.join(pivots, "token").select("token", "pos", "gid", "rep", "n", "pivot", "pn"), "jaccard-shared")
 
     inside = classes.join(groups.select("gid", "rep"), "gid").where("cid <> rep") \
         .select(F.col("rep").alias("a"), F.col("cid").alias("b"))

@@ -88,6 +88,7 @@ def train_profiles(df: DataFrame, text: str = "text", lang: str = "lang", dims:
     and texts without letters teach nothing; no rows give an empty model.
     """
     def count(batches):
+        T.take_over("langid")
         for b in batches:
             texts, langs = b.column(0), b.column(1).dictionary_encode()
             names, code = langs.dictionary, langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -135,6 +136,7 @@ def identify(df: DataFrame, profiles: dict, text: str = "text", out: str = "lang
     dims = 0 if proto is None else proto.shape[0]
 
     def run(batches):
+        T.take_over("langid")
         for b in batches:
             pick = np.full(b.num_rows, len(names) - 1)
             best = np.zeros(b.num_rows)

@@ -24,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowsentry.llm import textkit as T
+
 SPACE = "▁"
 #: bounds of the per-process memo tables (cleared when full, results alike)
-MEMO_CHUNKS, MEMO_PAIRS, MEMO_LEN = 400_000, 400_000, 48
+MEMO_CHUNKS, MEMO_PAIRS, MEMO_LEN = 200_000, 200_000, 48
 ROWS_BYTES = 1 << 21
 
 
@@ -215,6 +217,9 @@ def codec(model_path: str) -> PieceCodec:
     return PieceCodec(model_path)
 
 
+T.cached_by_worker(codec.cache_clear)
+
+
 def _rows(batch: pa.RecordBatch, step):
     """Slices of a batch with at most about ``ROWS_BYTES`` of column data."""
     n = max(1, batch.num_rows * ROWS_BYTES // max(batch.nbytes, 1))
@@ -234,6 +239,7 @@ def encode_pieces(df: DataFrame, model_path: str, text: str = "text", out: str =
     schema = StructType([*df.schema.fields, StructField(out, ArrayType(IntegerType(), False))])
 
     def run(batches):
+        T.take_over("pieces")
         c = codec(model_path)
 
         def step(part):
@@ -243,8 +249,11 @@ def encode_pieces(df: DataFrame, model_path: str, text: str = "text", out: str =
             ids = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate([*got, np.zeros(0, np.int32)])))
             return pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, out])
 
-        for b in batches:
-            yield from _rows(b, step)
+        try:
+            for b in batches:
+                yield from _rows(b, step)
+        finally:
+            c.memo.clear()  # a reused worker keeps no texts of this task
 
     return df.mapInArrow(run, schema)
 
@@ -257,6 +266,7 @@ def decode_pieces(df: DataFrame, model_path: str, ids: str = "ids", out: str = "
     schema = StructType([*df.schema.fields, StructField(out, StringType())])
 
     def run(batches):
+        T.take_over("pieces")
         c = codec(model_path)
 
         def step(part):

@@ -72,6 +72,7 @@ def _suffix_table(df: DataFrame, min_words: int) -> DataFrame:
     head = min_words - STEP + 1
 
     def run(batches):
+        T.take_over("suffixes")
         for b in batches:
             for w in T.word_pieces(b.column(1)):
                 if len(w) < min_words:
@@ -148,6 +149,7 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     texts = docs.join(todo, "id").select("id", "t", "r")
 
     def windows(batches):
+        T.take_over("suffixes")
         for b in batches:
             ranges = b.column(2)
             flat = ranges.flatten()

@@ -9,6 +9,8 @@ are read as empty texts.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -51,6 +53,29 @@ def _power(kind: str, n: int) -> np.ndarray:
     return _powers[kind][:n]
 
 
+_caches: list = []
+_owner = [None]
+
+
+def cached_by_worker(clear) -> None:
+    """Registers a function that empties a per-process cache."""
+    _caches.append(clear)
+
+
+def take_over(owner: str) -> None:
+    """Called when a task starts: a reused Python worker that served another
+    operator before gives that operator's caches and free memory back."""
+    if _owner[0] not in (None, owner):
+        for clear in _caches:
+            clear()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: nothing to trim
+            pass
+    _owner[0] = owner
+
+
 class Words:
     """The words of some consecutive rows: byte ``start``/``end`` in ``buf``
     and the row number ``doc`` (relative to ``row0``) of each."""
