@@ -56,3 +56,26 @@ def test_edges(spark):
     none = Q.scored_documents(docs, labels.limit(0)).collect()
     assert {r.score for r in none} == {0.5}
     assert Q.scored_documents(docs.limit(0), labels).count() == 0
+
+
+def test_every_gram_has_its_own_ratio(spark, monkeypatch):
+    monkeypatch.setattr(Q, "BUFFER", 5000)
+    monkeypatch.setattr(Q, "SHARD", 100_000)
+    docs = [(i, " ".join(f"n{(i // 4) * 400 + j}" for j in range(400)), i % 4 == 3) for i in range(4000)]
+    df = spark.createDataFrame(docs, "id long, t string, y boolean").withColumn("y", F.col("y").cast("int"))
+    kept = Q._count_grams(df).where(F.col("neg") + F.col("pos") >= Q.MIN_ROWS)
+    # 400,000 words and 399,000 pairs in four rows each, one of label 1
+    own = kept.where("neg = 3 and pos = 1")
+    assert own.count() >= 799_000
+    size, total = own.count(), np.array([3.0 * own.count(), 1.0 * own.count()])
+    files = Q._write_ratios(own, size, total)
+    assert files[1] and sum(files[2]) == size
+    w = next(T.word_pieces(pa.array(["n7 n8", "n8 n7"]), lower=False))
+    row, key = Q.grams(w)
+    word = key[row == 0]
+    table = Q.Grams(*files)
+    ids = table.vocab.ids(key)
+    want = np.log(2 / total[1]) - np.log(4 / total[0])
+    got = table.read("ratio", ids)
+    # "n8 n7" is unknown; both rows' words and shape runs and "n7 n8" are not
+    assert (ids >= 0).sum() == 7 and np.allclose(got[ids >= 0], want) and len(word) == 4
