@@ -8,8 +8,10 @@ part of the model passes through the driver and none is held in memory whole.
 * ``vocab-*``: sorted 64-bit word hashes by leading bits; a word's id is its
   rank.  ``count-*`` its training count.
 * ``pair-*``/``pairn-*``: sorted ``(context id << 32 | word id)`` and counts,
-  by ranges of the context id; ``ctx-*``: per context total and the numbers of
-  followers seen once, twice, more often.
+  by ranges of at most about twice ``PAIR_SHARD`` training tokens: a context
+  with more than ``PAIR_SHARD`` is split by word id.  ``ctx-*``: per context of the range total and the
+  numbers of followers seen once, twice, more often; those of a split context
+  are added up when read.
 * ``left-*``: per word the number of distinct contexts before it.
 
 With c the pair count and D its modified discount (1, 2, 3+),
@@ -166,6 +168,22 @@ def _discounts(n: np.ndarray) -> list[float]:
     return [0.5, 1.0, 1.5]
 
 
+def _cuts(first: int, n: np.ndarray, size: int, limit: int) -> np.ndarray:
+    """Starts ``context id << 32 | word id`` of pair shards over the contexts
+    ``first, first + 1, ...`` that come ``n`` times: at most ``2 * limit``
+    tokens, or a part of one context.  Word ids are ranks of hashes, so equal
+    ranges of them hold about equal parts of a context's followers."""
+    parts = -(-n // limit)
+    group = (np.cumsum(n) - n) // limit
+    new = np.ones(len(n), bool)
+    new[1:] = (group[1:] != group[:-1]) | (parts[1:] > 1) | (parts[:-1] > 1)
+    out = [np.flatnonzero(new) + first << 32]
+    for i in np.flatnonzero(parts > 1):
+        k = min(int(parts[i]), size)
+        out.append((first + i << 32) + np.arange(1, k) * size // k)
+    return np.sort(np.concatenate(out))
+
+
 def train(df: DataFrame, text: str = "text") -> dict:
     """Model of all rows of ``df``: its folder, sizes and discounts.
 
@@ -178,7 +196,7 @@ def train(df: DataFrame, text: str = "text") -> dict:
     words = stored(_count_words(df), "lm-words")
     size, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     model = {"folder": folder, "V": size, "N": int(total), "bits": 0, "sizes": [0], "d2": [0.5, 1, 1.5],
-             "d1": [0.5, 1, 1.5], "step": 1, "shards": 0, "left_total": 0, "left_n": [0, 0, 0]}
+             "d1": [0.5, 1, 1.5], "step": 1, "bounds": [0], "full": [], "left_total": 0, "left_n": [0, 0, 0]}
     if not size:
         return model
     bits = max(0, int(np.ceil(np.log2(size / VOCAB_SHARD)))) if size > VOCAB_SHARD else 0
@@ -198,11 +216,24 @@ def train(df: DataFrame, text: str = "text") -> dict:
     sizes = np.zeros(1 << bits, np.int64)
     for r in rows:
         sizes[r["s"]] = r["n"]
-    shards = max(1, -(-int(total) // PAIR_SHARD))
-    step = -(-(size + 1) // shards)  # the id after the last word is the begin mark
-    shards = -(-(size + 1) // step)
-    model |= {"bits": bits, "sizes": sizes.tolist(), "step": step, "shards": shards}
-    vocab_args = (folder, bits, sizes.tolist())
+    vocab_args, limit = (folder, bits, sizes.tolist()), PAIR_SHARD
+
+    def cut_shards(batches):
+        offset = Vocabulary(*vocab_args).offset
+        for b in batches:
+            for s in b.column(0).to_pylist():
+                h, n = get(folder, f"vocab-{s}"), np.array(get(folder, f"vocabn-{s}"))
+                n[h == END] = 0  # no context; the begin mark comes as often
+                yield pa.RecordBatch.from_arrays([pa.array(_cuts(int(offset[s]), n, size, limit))], ["cut"])
+
+    full = spark.createDataFrame([(int(s),) for s in np.flatnonzero(sizes)], "s long")
+    cuts = [r[0] for r in full.mapInArrow(cut_shards, "cut long").collect()]
+    begins = words.where(F.col("h") == int(END.view(np.int64))).first()["n"]
+    # the id after the last word is the begin mark
+    bounds = np.unique(np.concatenate([[0], cuts, _cuts(size, np.array([begins]), size, limit)])).astype(np.int64)
+    shards = len(bounds)
+    step = max(1, -(-(size + 1) // max(1, -(-int(total) // limit))))
+    model |= {"bits": bits, "sizes": sizes.tolist(), "step": step, "bounds": bounds.tolist()}
 
     def pairs(batches):
         vocab = Vocabulary(*vocab_args)
@@ -210,8 +241,7 @@ def train(df: DataFrame, text: str = "text") -> dict:
 
         def flush():
             key, n = np.unique(np.concatenate(held), return_counts=True)
-            cut = np.searchsorted(key, (np.arange(shards + 1) * step).astype(np.uint64) << np.uint64(32))
-            cut[-1] = len(key)
+            cut = np.append(np.searchsorted(key, bounds.astype(np.uint64)), len(key))
             full = np.flatnonzero(np.diff(cut))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(full.astype(np.int64)),
@@ -250,10 +280,11 @@ def train(df: DataFrame, text: str = "text") -> dict:
             key, counts = key[order], counts[order].astype(np.int64)
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             key, n = key[at], np.add.reduceat(counts, at)
-            ctx = (key >> np.uint64(32)).astype(np.int64) - s * step
+            ctx = (key >> np.uint64(32)).astype(np.int64) - (bounds[s] >> 32)
+            span = int((bounds[s + 1] - 1 >> 32 if s + 1 < shards else size) - (bounds[s] >> 32)) + 1
             put(folder, f"pair-{s}", key)
             put(folder, f"pairn-{s}", n.astype(np.uint32))
-            put(folder, f"ctx-{s}", np.stack([np.bincount(ctx, x, step) for x in (
+            put(folder, f"ctx-{s}", np.stack([np.bincount(ctx, x, span) for x in (
                 n, n == 1, n == 2, n > 2)]).astype(np.int64))
             w, left = np.unique(key & np.uint64(0xFFFFFFFF), return_counts=True)
             of = np.bincount(np.minimum(n, 5), minlength=6)[1:5]
@@ -262,12 +293,13 @@ def train(df: DataFrame, text: str = "text") -> dict:
                 m = len(w[part])
                 seen = [pa.array(np.full(m, x if i == 0 else 0) * (np.arange(m) == 0)) for x in of]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(w[part].astype(np.int64)), pa.array(left[part].astype(np.int64)), *seen],
-                    ["w", "left", "n1", "n2", "n3", "n4"])
+                    [pa.array(np.full(m, s)), pa.array(w[part].astype(np.int64)), pa.array(left[part].astype(np.int64)),
+                     *seen], ["s", "w", "left", "n1", "n2", "n3", "n4"])
 
     blobs = df.mapInArrow(pairs, "shard long, keys binary, counts binary, size long")
     lefts = stored(blobs.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(
-        write_pairs, "w long, left long, n1 long, n2 long, n3 long, n4 long"), "lm-left")
+        write_pairs, "s long, w long, left long, n1 long, n2 long, n3 long, n4 long"), "lm-left")
+    model["full"] = sorted(r[0] for r in lefts.select("s").distinct().collect())  # a part may have no follower
     model["d2"] = _discounts(lefts.agg(*(F.sum(f"n{i}") for i in range(1, 5))).first())
     left = stored(lefts.groupBy("w").agg(F.sum("left").alias("left")), "lm-left-sum")
     r = left.agg(F.sum("left"), *(F.sum((F.col("left") == k).cast("long")) for k in (1, 2, 3, 4)), F.count("*")).first()
@@ -293,6 +325,8 @@ class Scorer:
         self.m, f = model, model["folder"]
         self.vocab = Vocabulary(f, model["bits"], model["sizes"])
         self.files = lru_cache(maxsize=None)(lambda name: get(f, name))
+        self.bounds, self.full = np.array(model["bounds"], np.int64), set(model["full"])
+        self.spread = lru_cache(maxsize=None)(self._spread)
         gone = model["d1"][0] * model["left_n"][0] + model["d1"][1] * model["left_n"][1] \
             + model["d1"][2] * model["left_n"][2]
         self.rest = (gone / model["left_total"] if model["left_total"] else 1.0) / (model["V"] + 1)
@@ -331,25 +365,40 @@ class Scorer:
             p[known] += (left - self.discount(left, m["d1"])) / m["left_total"]
         return ids, counts, p
 
-    def contexts(self, ids: np.ndarray):
-        """Per sorted distinct context id: total and backoff weight."""
-        d, step = self.m["d2"], self.m["step"]
+    def _shard_of(self, key: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bounds, key, side="right") - 1
 
-        def read(s, part):
-            t, a, b, c = self.files(f"ctx-{s}")[:, part - s * step].astype(np.float64)
-            return t, (d[0] * a + d[1] * b + d[2] * c) / np.maximum(t, 1)
+    def _followers(self, s: int, ids) -> np.ndarray:
+        """Total and numbers of followers of contexts as far as shard ``s`` goes."""
+        if s not in self.full:
+            return np.zeros((4, *np.shape(ids)))
+        return self.files(f"ctx-{s}")[:, ids - (self.bounds[s] >> 32)].astype(np.float64)
+
+    def _spread(self, v: int) -> np.ndarray:
+        a, z = self._shard_of(np.array([v << 32, (v + 1 << 32) - 1]))
+        return sum(self._followers(s, v) for s in range(a, z + 1))
 
-        total, weight = self._by_shard(ids, lambda x: np.where(x < 0, -1, x // step), [0, 1], read)
-        return total, np.where(total > 0, weight, 1.0)
+    def contexts(self, ids: np.ndarray):
+        """Per sorted distinct context id: total and backoff weight."""
+        d = self.m["d2"]
+        first, last = self._shard_of(ids << 32), self._shard_of((ids + 1 << 32) - 1)
+        rows = self._by_shard(ids, lambda x: np.where((x >= 0) & (first == last), first, -1), [0] * 4, self._followers)
+        for i in np.flatnonzero((ids >= 0) & (first < last)):
+            for o, x in zip(rows, self.spread(int(ids[i]))):
+                o[i] = x
+        t, a, b, c = rows
+        return t, np.where(t > 0, (d[0] * a + d[1] * b + d[2] * c) / np.maximum(t, 1), 1.0)
 
     def pairs(self, key: np.ndarray):
         """Counts of sorted distinct pair keys."""
         def read(s, part):
+            if s not in self.full:
+                return [0]
             keys, n = self.files(f"pair-{s}"), self.files(f"pairn-{s}")
             at = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
             return [np.where(keys[at] == part, n[at], 0)]
 
-        return self._by_shard(key, lambda x: (x >> np.uint64(32)).astype(np.int64) // self.m["step"], [0], read)[0]
+        return self._by_shard(key, lambda x: self._shard_of(x.astype(np.int64)), [0], read)[0]
 
     def score(self, w: T.Words):
         m = self.m

@@ -86,3 +86,20 @@ def test_edges(spark):
     assert lm.score_documents(df.limit(0)).count() == 0
     empty = lm.train(df.limit(0))
     assert [r.score for r in lm.score(df.limit(2), empty).collect()] == [0.0, 0.0]
+
+
+def test_frequent_context_is_split(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PAIR_SHARD", 500)
+    monkeypatch.setattr(lm, "BUFFER", 800)
+    texts = [" ".join(f"the x{i * 300 + j}" for j in range(300)) for i in range(10)]
+    texts += [f"x{i} the end" for i in range(600)]  # more than 500 row starts, too
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model = lm.train(df)
+    sizes = [len(lm.get(model["folder"], f"pair-{s}")) for s in model["full"]]
+    assert max(sizes) <= 1000 and sum(sizes) > 6000  # "the" has 3,001 followers
+    held = ["the x1 the x2", "the nothing", "x5 the end", "", "the"]
+    want, _, _ = brute(texts, held)
+    got = lm.score(spark.createDataFrame(list(enumerate(held)), "doc_id long, text string"), model).collect()
+    assert len(got) == len(held)
+    for r in got:
+        assert math.isclose(r.score, want[r.doc_id][3], rel_tol=1e-9)
