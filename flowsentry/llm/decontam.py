@@ -97,17 +97,10 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_PRINTS else df
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text",
-                  item_id: str = "item_id", item_text: str = "text", window: int = WINDOW,
-                  gram: int = GRAM) -> DataFrame:
-    """One row per row of ``docs``: ``id_col``, ``n_words``, ``hits`` (distinct
-    structs ``s, size`` of equal windows) and ``items`` (ids, sorted as text).
-
-    Null and empty texts have no words; null and empty items match nothing; no
-    items or no documents give empty lists or no rows.  Rows are matched by id
-    and text, so repeated rows and repeated ids are each judged on their own
-    text, a null id included.
-    """
+def _judged(docs: DataFrame, items: DataFrame, id_col: str, text: str, item_id: str, item_text: str, window: int,
+            gram: int) -> DataFrame:
+    """One row per distinct id and text of ``docs``: ``id``, ``th`` (hash of
+    the text), ``n_words``, ``copies``, ``hits`` and ``items``."""
     mine = F.xxhash64(F.col(text))
     base = docs.select(F.col(id_col).alias("id"), mine.alias("th"), F.col(text).alias("t"))
     wins = stored(_item_windows(items, item_id, item_text, window, gram), "decon-items")
@@ -142,10 +135,25 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         F.collect_set(F.struct("s", "size")).alias("hits"),
         F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
     both = found["id"].eqNullSafe(per["id"]) & found["th"].eqNullSafe(per["th"])
-    out = found.join(per, both, "left").select(
-        found["id"].alias(id_col), "n_words", "copies",
+    return found.join(per, both, "left").select(
+        found["id"], found["th"], "n_words", "copies",
         F.coalesce("hits", F.array().cast("array<struct<s:int,size:int>>")).alias("hits"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text",
+                  item_id: str = "item_id", item_text: str = "text", window: int = WINDOW,
+                  gram: int = GRAM) -> DataFrame:
+    """One row per row of ``docs``: ``id_col``, ``n_words``, ``hits`` (distinct
+    structs ``s, size`` of equal windows) and ``items`` (ids, sorted as text).
+
+    Null and empty texts have no words; null and empty items match nothing; no
+    items or no documents give empty lists or no rows.  Rows are matched by id
+    and text, so repeated rows and repeated ids are each judged on their own
+    text, a null id included.
+    """
+    out = _judged(docs, items, id_col, text, item_id, item_text, window, gram).select(
+        F.col("id").alias(id_col), "n_words", "copies", "hits", "items")
     return out.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
 
 
@@ -159,13 +167,14 @@ def contamination_digest(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the ids that hold a window of an item (rows with a null
-    id count as one id)."""
-    bad = contamination(docs, items, id_col).where(F.size("hits") > 0)
-    marked = stored(bad.select(F.col(id_col).alias("_bad")).distinct(), "decon-bad")
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows that hold a window of an item.  A row is known
+    by its id (null or not) and its text."""
+    bad = _judged(docs, items, id_col, text, "item_id", "text", WINDOW, GRAM).where(F.size("hits") > 0)
+    marked = stored(bad.select(F.col("id").alias("_bad"), F.col("th").alias("_bad_text")), "decon-bad")
     few = marked.count() <= BROADCAST_PRINTS
-    return docs.join(F.broadcast(marked) if few else marked, docs[id_col].eqNullSafe(marked["_bad"]), "left_anti")
+    same = docs[id_col].eqNullSafe(marked["_bad"]) & (F.xxhash64(docs[text]) == marked["_bad_text"])
+    return docs.join(F.broadcast(marked) if few else marked, same, "left_anti")
 
 
 _SPLIT = r"""[x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsentry.llm import textkit as T
@@ -68,6 +68,10 @@ def kept_suffixes(w: T.Words, g: np.ndarray, min_words: int):
     return row[lo], m[lo], p[lo], p[hi], first
 
 
+def _kind(df: DataFrame) -> str:
+    return df.schema["id"].dataType.simpleString()
+
+
 def _suffix_table(df: DataFrame, min_words: int) -> DataFrame:
     head = min_words - STEP + 1
 
@@ -86,7 +90,7 @@ def _suffix_table(df: DataFrame, min_words: int) -> DataFrame:
                      *(pa.array((x - base).astype(np.int32)) for x in (m, lo, hi))],
                     ["key", "whole", "id", "m", "lo", "hi"])
 
-    return df.mapInArrow(run, "key long, whole long, id long, m int, lo int, hi int")
+    return df.mapInArrow(run, f"key long, whole long, id {_kind(df)}, m int, lo int, hi int")
 
 
 def _equal_neighbours(suffixes: DataFrame) -> DataFrame:
@@ -117,17 +121,19 @@ def _equal_neighbours(suffixes: DataFrame) -> DataFrame:
 
 
 def repeated_windows(df: DataFrame, id_col: str = "doc_id", text: str = "text",
-                     min_words: int = MIN_WORDS) -> DataFrame:
+                     min_words: int = MIN_WORDS, key: Column | None = None) -> DataFrame:
     """Word stretches ``(id, lo, hi, copy, own_lo, own_hi)``, end exclusive,
     made of repeated windows.
 
     ``copy``: the stretch is not the first occurrence (by id, then position).
     ``own_lo/own_hi``: the first occurrence where that is in the same text,
-    else null.  Stretches of one text may overlap.
+    else null.  Stretches of one text may overlap.  ``key`` (any type with an
+    order) stands in for the id.
     """
     if min_words < STEP + SEED:
         raise ValueError(f"min_words must be {STEP + SEED} or more")
-    docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
+    key = F.col(id_col).cast("long") if key is None else key
+    docs = df.select(key.alias("id"), F.col(text).alias("t")).where("id is not null")
     cand = stored(_equal_neighbours(stored(_suffix_table(docs, min_words), "suffixes")), "suffix-equal")
     groups = cand.groupBy("key").agg(
         F.count("*").alias("c"), F.min("whole").alias("w0"), F.max("whole").alias("w1"),
@@ -168,7 +174,7 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text: str = "text",
                     [pa.array(T.signed(Spans(w).hash(start, start + min_words))),
                      b.column(0).take(pa.array(row + w.row0)), pa.array(p.astype(np.int32))], ["win", "id", "p"])
 
-    found = stored(texts.mapInArrow(windows, "win long, id long, p int"), "suffix-windows")
+    found = stored(texts.mapInArrow(windows, f"win long, id {_kind(docs)}, p int"), "suffix-windows")
     firsts = found.groupBy("win").agg(F.count("*").alias("c"), F.min(F.struct("id", "p")).alias("o")).where("c > 1")
     fine = out(found.join(firsts, "win"), F.col("p"), F.col("p") + min_words, F.col("o.id"), F.col("o.p"),
                F.col("o.p") + min_words)
@@ -205,7 +211,7 @@ def _minus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text",
-                   min_words: int = MIN_WORDS) -> DataFrame:
+                   min_words: int = MIN_WORDS, key: Column | None = None) -> DataFrame:
     """One row per text with a repeated passage: ``id_col``, ``n_repeated``
     words inside repeated windows, ``n_removed`` words inside windows that are
     not the first occurrence, and ``removed`` (disjoint word stretches, end
@@ -213,9 +219,9 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     Null and empty texts, texts shorter than ``min_words`` words and rows with
     a null id have no row.  Repeated rows (one id, one text) count as
-    repeated, but nothing is removed from them.
+    repeated, but nothing is removed from them.  ``key`` stands in for the id.
     """
-    wins = repeated_windows(df, id_col, text, min_words)
+    wins = repeated_windows(df, id_col, text, min_words, key)
     lists = wins.distinct().groupBy("id").agg(
         F.collect_set(F.struct("lo", "hi")).alias("all"),
         F.collect_set(F.when(F.col("copy"), F.struct("lo", "hi"))).alias("copies"),
@@ -235,22 +241,29 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text",
                  pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))],
                 [id_col, "n_repeated", "n_removed", "removed"])
 
-    return lists.mapInArrow(run, f"`{id_col}` long, n_repeated long, n_removed long, "
+    return lists.mapInArrow(run, f"`{id_col}` {_kind(lists)}, n_repeated long, n_removed long, "
                                  "removed array<struct<lo:long,hi:long>>")
 
 
 def drop_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text",
-                 min_words: int = MIN_WORDS) -> DataFrame:
+                 min_words: int = MIN_WORDS, null_ids: bool = False) -> DataFrame:
     """``df`` with the repeated stretches cut out of ``text`` (a cut takes the
     words and the white space after them).  Rows whose words are all cut go;
-    every other row stays, unchanged where nothing repeats."""
-    from pyspark.sql.types import LongType
-
-    spans = stored(repeated_spans(df, id_col, text, min_words).where("n_removed > 0")
-                   .select(F.col(id_col).alias("_cut_id"), F.col("removed").alias("_cut")), "suffix-cuts")
+    every other row stays, unchanged where nothing repeats.
+
+    A row is known by its id and its text, so texts that share an id are
+    compared with each other too.  With ``null_ids`` rows with a null id take
+    part, after all others; else they stay as they are."""
+    parts = {"_none": F.col(id_col).isNull(), "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")),
+             "_text": F.xxhash64(text)}
+    row = F.struct(*(c.alias(n) for n, c in parts.items()))
+    if not null_ids:
+        row = F.when(F.col(id_col).isNotNull(), row)
+    spans = stored(repeated_spans(df, id_col, text, min_words, row).where("n_removed > 0")
+                   .select(*(F.col(id_col)[n].alias(n) for n in parts), F.col("removed").alias("_cut")), "suffix-cuts")
     small = spans.agg(F.sum(F.size("_cut"))).first()[0] or 0
-    key = F.col(id_col).cast(LongType()) == F.col("_cut_id")
-    with_cuts = df.join(F.broadcast(spans) if small <= BROADCAST_ROWS else spans, key, "left").drop("_cut_id")
+    same = [c == F.col(n) for n, c in parts.items()]
+    with_cuts = df.join(F.broadcast(spans) if small <= BROADCAST_ROWS else spans, same, "left").drop(*parts)
     at, names, schema = df.columns.index(text), df.columns, df.schema
 
     def run(batches):

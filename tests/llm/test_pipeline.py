@@ -84,3 +84,32 @@ def test_language_stage_drops_only_texts_without_letters(spark):
     out = P.language(spark, docs, SF_SMALL)
     want = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text)}
     assert {r.doc_id for r in out.collect()} == want and langid.UNDETERMINED == "und"
+
+
+@pytest.fixture(scope="module")
+def shared(spark):
+    """Rows that share an id, or have none, with different texts."""
+    def text(name, n):
+        return " ".join(f"{name}{i}x" for i in range(n))
+    leak = next(r.text for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect() if len(words(r.text)) > 20)
+    rows = [(None, leak), (None, text("clean", 30)), (7, "start " + leak), (7, text("other", 90)), (8, text("other", 70)),
+            (8, "own words " + text("z", 3)), (9, text("y", 60) + " " + text("other", 60)), (9, text("v", 3)),
+            (None, text("w", 5) + " " + text("other", 60)), (10, text("b", 60)), (11, text("b", 60)), (11, text("c", 60)),
+            (None, text("n", 5)), (None, text("n", 5))]
+    return spark.createDataFrame([(i, t, "en", "s", len(t), None) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, component_id int")
+
+
+def test_shared_ids_are_judged_by_text(spark, shared):
+    rows = [(r.doc_id, r.text) for r in shared.collect()]
+    left = {(r.doc_id, r.text) for r in P.decontamination(spark, shared, SF_SMALL).collect()}
+    assert left == {r for i, r in enumerate(rows) if i not in (0, 2)}
+
+    got = [(r.doc_id, r.text) for r in P.near_duplicates(spark, shared, SF_SMALL).collect()]
+    assert sorted(map(str, got)) == sorted(str(r) for i, r in enumerate(rows) if i not in (10, 13))
+
+    cut = {(r.doc_id, r.text) for r in P.repeated_passages(spark, shared, SF_SMALL).collect()}
+    assert (8, rows[5][1]) in cut and (9, rows[7][1]) in cut and (11, rows[11][1]) in cut and rows[3] in cut
+    assert (8, rows[4][1]) not in cut and (11, rows[10][1]) not in cut  # whole texts repeat
+    assert (9, rows[6][1].split("other")[0]) in cut
+    assert (None, rows[8][1].split("other")[0]) in cut  # a row without an id is cut as well
