@@ -119,18 +119,21 @@ def train_profiles(df: DataFrame, text: str = "text", lang: str = "lang", dims:
 
 
 def identify(df: DataFrame, profiles: dict, text: str = "text", out: str = "lang_pred",
-             score: str = "score") -> DataFrame:
+             score: str = "score", lettered: str | None = None) -> DataFrame:
     """``df`` plus ``out`` and ``score``.
 
     ``score`` is the cosine with the chosen prototype, 0 where negative.  Ties
     go to the first language in sorted order.  A text that is null or has no
     letter, and any text under an empty model, gets ``und`` and 0.  Existing
-    columns with the output names are replaced.
+    columns with the output names are replaced.  ``lettered`` names a further
+    column that says whether the text has a letter, whatever the label.
     """
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+    from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-    df = df.drop(out, score)
-    schema = StructType([*df.schema.fields, StructField(out, StringType()), StructField(score, DoubleType())])
+    flag = [lettered] if lettered else []
+    df = df.drop(out, score, *flag)
+    schema = StructType([*df.schema.fields, StructField(out, StringType()), StructField(score, DoubleType()),
+                         *(StructField(c, BooleanType()) for c in flag)])
     names = [*profiles, UNDETERMINED]
     proto = np.array([*profiles.values()], np.float32).T if profiles else None
     dims = 0 if proto is None else proto.shape[0]
@@ -140,7 +143,9 @@ def identify(df: DataFrame, profiles: dict, text: str = "text", out: str = "lang
         for b in batches:
             pick = np.full(b.num_rows, len(names) - 1)
             best = np.zeros(b.num_rows)
+            some = np.zeros(b.num_rows, bool)
             for i, rows, row, tri, n, has in trigram_counts(b.column(b.schema.names.index(text))):
+                some[i:i + rows] = has
                 if proto is None or not len(tri):
                     continue
                 used, col = np.unique(tri, return_inverse=True)
@@ -157,7 +162,8 @@ def identify(df: DataFrame, profiles: dict, text: str = "text", out: str = "lang
                 pick[i:i + rows] = np.where(has, top, len(names) - 1)
                 best[i:i + rows] = np.where(has, np.clip(cos[np.arange(rows), top], 0, 1), 0)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(names).take(pa.array(pick)), pa.array(best)], schema.names)
+                [*b.columns, pa.array(names).take(pa.array(pick)), pa.array(best), *(pa.array(some) for _ in flag)],
+                schema.names)
 
     return df.mapInArrow(run, schema)
 

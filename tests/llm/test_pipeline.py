@@ -113,3 +113,10 @@ def test_shared_ids_are_judged_by_text(spark, shared):
     assert (8, rows[4][1]) not in cut and (11, rows[10][1]) not in cut  # whole texts repeat
     assert (9, rows[6][1].split("other")[0]) in cut
     assert (None, rows[8][1].split("other")[0]) in cut  # a row without an id is cut as well
+
+
+@pytest.mark.parametrize("lang", [None, "und"])
+def test_language_stage_keeps_lettered_rows_whatever_the_labels(spark, lang):
+    docs = spark.createDataFrame([(1, "some words", lang), (2, "12 34", lang), (3, None, lang), (4, "más", lang)],
+                                 "doc_id long, text string, lang string")
+    assert {r.doc_id for r in P.language(spark, docs, SF_SMALL).collect()} == {1, 4}
