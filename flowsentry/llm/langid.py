@@ -28,13 +28,14 @@ UNDETERMINED = "und"
 
 @lru_cache(maxsize=1)
 def symbol_table() -> np.ndarray:
-    """Symbol of every code point."""
-    cps = np.arange(0x110000)
+    """Symbol of every code point, upper case as its lower case."""
+    low = (chr(c).lower() for c in range(0x110000))
+    cps = np.fromiter((ord(x[0]) for x in low), np.int64, 0x110000)  # U+0130 alone has two characters: i and a dot
     sym = (27 + cps % (SYMBOLS - 27)).astype(np.uint8)
     letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
     sym[~letter] = 0
-    sym[97:123] = np.arange(1, 27)
-    sym[65:91] = np.arange(1, 27)
+    latin = letter & (cps >= 97) & (cps <= 122)
+    sym[latin] = cps[latin] - 96
     return sym
 
 
@@ -61,8 +62,7 @@ def trigram_counts(col: pa.Array, limit: int = 1 << 17):
         lead = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
         at = np.concatenate([[0], np.cumsum(lead)])[offs[i:j + 1] - offs[i]]
         text = raw.decode("utf-8", "replace")
-        low = text.lower()
-        cps = np.frombuffer((low if len(low) == len(text) else text).encode("utf-32-le", "surrogatepass"), np.uint32)
+        cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         if len(cps) != at[-1]:
             cps = np.frombuffer("".join(c if c < "\ud800" or c > "\udfff" else " " for c in text)
                                 .encode("utf-32-le"), np.uint32)

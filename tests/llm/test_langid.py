@@ -66,3 +66,16 @@ def test_edges(spark):
     empty = langid.train_profiles(df.limit(0))
     assert {r.lang_pred for r in langid.identify(df, empty).collect()} == {"und"}
     assert langid.language_of(df).count() == len(rows)
+
+
+def test_a_row_does_not_depend_on_its_neighbours():
+    import pyarrow as pa
+
+    def symbols(texts, at):
+        (_, _, row, tri, n, _), = langid.trigram_counts(pa.array(texts))
+        return dict(zip(tri[row == at].tolist(), n[row == at].tolist()))
+    for text in ("ÉTÉ À LA PLAGE", "МОСКВА", "ΑΘΗΝΑ", "İZMİR"):
+        alone = symbols([text], 0)
+        assert alone == symbols([text, "\u0130"], 0) == symbols(["\u0130", text], 1)
+        if "\u0130" not in text:
+            assert alone == symbols([text.lower()], 0)
