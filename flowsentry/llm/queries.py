@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowsentry.llm import decontam, suffixes, vectors
+from flowsentry.llm import decontam, mixing, suffixes, vectors
 from flowsentry.session import checkpoint_dir, ship_package, table_path
 
 QUERIES: dict = {}
@@ -126,3 +126,8 @@ def op7(spark, sf_dir):
     from flowsentry.llm.quality import scored_documents
 
     return scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_mixing", sql=mixing.ORACLE_SQL)
+def op11(spark, sf_dir):
+    return mixing.taken(table(spark, sf_dir, "documents"))
