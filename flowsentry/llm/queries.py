@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowsentry.llm import decontam, mixing, suffixes, vectors
+from flowsentry.llm import decontam, manifest, mixing, suffixes, vectors
 from flowsentry.session import checkpoint_dir, ship_package, table_path
 
 QUERIES: dict = {}
@@ -131,3 +131,8 @@ def op7(spark, sf_dir):
 @query("op11_mixing", sql=mixing.ORACLE_SQL)
 def op11(spark, sf_dir):
     return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+@query("op12_manifest", sql=manifest.ORACLE_SQL)
+def op12(spark, sf_dir):
+    return manifest.manifest_digest(table(spark, sf_dir, "documents"))
