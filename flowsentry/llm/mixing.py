@@ -49,10 +49,11 @@ def shuffle_key(id_col: Column, turn: Column) -> Column:
     return F.conv(F.substring(F.md5(name), 1, DIGITS), 16, 10).cast("long")
 
 
-def ranked(df: DataFrame, col: str, out: str, rows: int) -> DataFrame:
+def ranked(df: DataFrame, col: str, out: str, rows: int, per: int = RANGE_ROWS) -> DataFrame:
     """``df`` (one row per value of ``col``) with ``out``, the rank of the value
-    from 0 by code point, null last.  Ranks are counted per sorted range."""
-    parts = stored(df.repartitionByRange(1 + rows // RANGE_ROWS, F.col(col).asc_nulls_last())
+    from 0 by code point, null last.  Ranks are counted per sorted range of about
+    ``per`` rows."""
+    parts = stored(df.repartitionByRange(1 + rows // per, F.col(col).asc_nulls_last())
                    .withColumn("range_no", F.spark_partition_id()), "mix-ranks")
     first = parts.groupBy("range_no").agg(F.count("*").alias("n")).select(
         F.col("range_no").alias("no"), (F.sum("n").over(Window.orderBy("range_no")) - F.col("n")).alias("before"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowsentry.llm import decontam, manifest, mixing, suffixes, vectors
+from flowsentry.llm import decontam, manifest, mixing, spelling, suffixes, vectors
 from flowsentry.session import checkpoint_dir, ship_package, table_path
 
 QUERIES: dict = {}
@@ -136,3 +136,8 @@ def op11(spark, sf_dir):
 @query("op12_manifest", sql=manifest.ORACLE_SQL)
 def op12(spark, sf_dir):
     return manifest.manifest_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling", sql=spelling.ORACLE_SQL)
+def op13(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
