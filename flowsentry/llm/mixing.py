@@ -30,8 +30,8 @@ from flowsentry.operators.prefix import running_aggregate
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, PASSES = (3, 1, 2), (3, 2), 2
-#: rows aimed at in one range of a running sum
-RANGE_ROWS = 50_000
+#: least rows aimed at in one range of a running sum (see ``ranges``)
+RANGE_ROWS = 2_000
 #: hexadecimal digits of the shuffle key
 DIGITS = 15
 #: order of the queue
@@ -49,6 +49,12 @@ def shuffle_key(id_col: Column, turn: Column) -> Column:
     return F.conv(F.substring(F.md5(name), 1, DIGITS), 16, 10).cast("long")
 
 
+def ranges(rows: Column) -> Column:
+    """Number of ranges for so many rows: as many as rows in each, so that both
+    a range and the table of offsets stay small."""
+    return 1 + F.floor(rows / F.greatest(F.lit(float(RANGE_ROWS)), F.sqrt(rows)))
+
+
 def ranked(df: DataFrame, col: str, out: str, rows: int, per: int = RANGE_ROWS) -> DataFrame:
     """``df`` (one row per value of ``col``) with ``out``, the rank of the value
     from 0 by code point, null last.  Ranks are counted per sorted range of about
@@ -119,12 +125,12 @@ def queue(rows: DataFrame, weights: Sequence[int] = WEIGHTS, share: tuple[int, i
         F.explode(F.sequence(F.lit(1), F.lit(passes))).alias("turn"))
     dealt = dealt.withColumn("key", shuffle_key(F.col("id"), F.col("turn")))
     # a source's ranges: the passes in turn, in each pass equal ranges of the hash
-    width = 1 + F.floor(F.col("n_rows") / RANGE_ROWS)
+    width = ranges(F.col("n_rows"))
     part = F.col("turn") * width + F.floor(F.col("key") / F.lit(float(16 ** DIGITS)) * width)
     line = running_aggregate(dealt, ["rank"], ["turn", "key", "id", "size"], "size", "done", bucket=part)
     line = stored(line.withColumn("finish", F.coalesce(F.try_divide("done", "target"), F.lit(0.0))).drop("n_rows"), "mix-line")
     # the queue's ranges: finish times crowd up to 1 and thin out above
-    cells = F.lit(1 + n * passes // RANGE_ROWS)
+    cells = ranges(F.lit(n * passes))
     line = running_aggregate(line, [], ORDER, "size", "at",
                              bucket=F.floor(F.col("finish") / (F.col("finish") + 1) * cells))
     return line.withColumn("within", F.col("at") * int(share[1]) <= F.lit(total * int(share[0])))
