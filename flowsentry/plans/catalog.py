@@ -56,5 +56,5 @@ def query(name: str, sql: str | None = None, doubles: Sequence[str] = ()):
 def load_all() -> None:
     """Import every query module (registration is an import side effect)."""
     from flowsentry.plans import (  # noqa: F401
-        q_core, q_detect, q_io, q_metrics, q_models, q_stats, q_stream, q_trace,
+        q_core, q_detect, q_detector, q_io, q_metrics, q_models, q_stats, q_stream, q_trace,
     )

@@ -21,7 +21,7 @@ from flowsentry.plans.common import (
 )
 from flowsentry.session import scratch_path
 from flowsentry.sources import bindings as B
-from flowsentry.streaming.align import OUT_SCHEMA, assemble_ticks, stream_align
+from flowsentry.streaming.align import assemble_ticks, late_rows, stream_align
 from flowsentry.streaming.alert import alert_sink, read_alerts, stream_time_to_alert
 from flowsentry.streaming.live import start_live_detector
 from flowsentry.streaming.runner import run_available_now, run_complete_snapshot, run_foreach_batch
@@ -110,43 +110,56 @@ def q_stream_tta(spark, sf):
     return read_alerts(spark, out)
 
 
-ALIGN_BUCKET_S = 3600.0
+ALIGN_BUCKET_S, ALIGN_DELAY_S, ALIGN_SLICES = 3600.0, 6 * 3600.0, 6
 
 
 @query("stream_align", duck(["ticks", "packets"],
         ("tk", "SELECT DISTINCT epoch AS tick FROM ticks"),
         ("iv", "SELECT tick, lag(tick) OVER (ORDER BY tick) AS prev, max(tick) OVER () AS last FROM tk"),
-        ("pk", """SELECT frame, rel + (SELECT min(epoch) FROM ticks) AS t, dst FROM packets
+        ("pa", """SELECT frame, rel + (SELECT min(epoch) FROM ticks) AS t, dst FROM packets
                   WHERE try_cast(size AS DOUBLE) IS NOT NULL AND rel IS NOT NULL"""),
+        ("pl", """SELECT *, CASE WHEN frame % 2 = 0 THEN 'even' ELSE 'odd' END AS site,
+                    frame % 97 = 0 AND t < (SELECT min(tick) + (max(tick) - min(tick)) / 2 FROM tk) AS late FROM pa"""),
+        ("pk", "SELECT * FROM pl WHERE NOT late"),
         # ticks fall on whole seconds, so every site sees all of them
-        select="""SELECT s.site, iv.tick, count(pk.frame) AS n_packets
+        select="""SELECT s.site, iv.tick, count(pk.frame) AS n_packets, false AS late
                   FROM iv CROSS JOIN (SELECT unnest(['even', 'odd']) AS site) s
-                  LEFT JOIN pk ON pk.t <= iv.tick AND (iv.prev IS NULL OR pk.t > iv.prev)
-                    AND s.site = CASE WHEN pk.frame % 2 = 0 THEN 'even' ELSE 'odd' END
-                  WHERE iv.tick < iv.last GROUP BY s.site, iv.tick"""), ["tick"])
+                  LEFT JOIN pk ON pk.t <= iv.tick AND (iv.prev IS NULL OR pk.t > iv.prev) AND s.site = pk.site
+                  WHERE iv.tick < iv.last GROUP BY s.site, iv.tick
+                  UNION ALL SELECT site, floor(t / 3600) * 3600.0, count(*), true FROM pl WHERE late GROUP BY ALL"""), ["tick"])
 def q_stream_align(spark, sf):
     """Ticks and packets of two sites as one stream of several
-    micro-batches in mixed order, aligned by state per site and hour."""
+    micro-batches, aligned by state per site and hour.
+
+    Rows come in slices of the whole time, up to four hours out of order, under
+    a watermark of six hours, so that most buckets are flushed while the stream
+    goes on.  One packet in 97 of the first half comes with the last slice only:
+    too late, and reported per site and bucket (with the bucket's start)."""
     tk = B.ticks(spark, sf)
     good, _ = AL.parse_packets(B.packets(spark, sf))
     t0 = tk.agg(F.min("epoch").alias("t0"))
     pk = AL.translate(good, "rel_s", t0, "t")
+    span = tk.agg(F.min("epoch"), F.max("epoch")).first()
+    low, width = float(span[0]), float(span[1] - span[0])
     site = F.when(F.col("frame") % 2 == 0, "even").otherwise("odd")
+    at_tick, at = F.col("epoch"), F.col("t") + (F.col("frame") % 5) * 3600.0
+    late = (F.col("frame") % 97 == 0) & (F.col("t") < low + width / 2)
+    nth = lambda x: F.least(F.lit(ALIGN_SLICES - 1), F.greatest(
+        F.lit(0), F.floor((x - low) * ALIGN_SLICES / width).cast("int")))
     ev = tk.select(F.explode(F.array(F.lit("even"), F.lit("odd"))).alias("site"), F.lit(0).alias("kind"),
-                   F.col("epoch").alias("t")) \
-        .unionByName(pk.select(site.alias("site"), F.lit(1).alias("kind"), "t"))
+                   at_tick.alias("t"), nth(at_tick).alias("slice")) \
+        .unionByName(pk.select(site.alias("site"), F.lit(1).alias("kind"), "t",
+                               F.when(late, ALIGN_SLICES - 1).otherwise(nth(at)).alias("slice"))).checkpoint(eager=True)
     src = scratch_path(spark, "align-stream")
-    ev.repartition(4, F.xxhash64("site", "kind", "t")).write.parquet(f"{src}/part=data")
-    span = ev.agg(F.min("t"), F.max("t")).first()
-    # the delay covers the whole mixed input; a row beyond it closes every bucket
-    delay = float(span[1] - span[0]) + ALIGN_BUCKET_S
-    end = spark.createDataFrame([("end", 2, float(span[1]) + 2 * delay + ALIGN_BUCKET_S)], ev.schema)
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/part=*")
-    out, ck = scratch_path(spark, "stream-align"), scratch_path(spark, "stream-align-checkpoint")
-    for _ in range(2):  # the data, then the closing row
-        run_available_now(spark, stream_align(stream, ALIGN_BUCKET_S, delay), "stream-align", out, ck)
-        end.write.mode("overwrite").parquet(f"{src}/part=end")
-    return assemble_ticks(spark.read.schema(OUT_SCHEMA).parquet(out))
+    cols = "site string, kind int, t double"
+    for i in range(ALIGN_SLICES):  # a file each, in this order
+        ev.where(F.col("slice") == i).drop("slice").coalesce(1).write.parquet(f"{src}/part={i}")
+    # a row far beyond closes every bucket
+    spark.createDataFrame([("end", 2, low + width + 10 * ALIGN_DELAY_S)], cols).coalesce(1).write.parquet(f"{src}/part={ALIGN_SLICES}")
+    stream = spark.readStream.schema(cols).option("maxFilesPerTrigger", 1).parquet(f"{src}/part=*")
+    parts = run_available_now(spark, stream_align(stream, ALIGN_BUCKET_S, ALIGN_DELAY_S, resolution_s=1.0), "stream-align")
+    gone = late_rows(parts).select("site", (F.col("bucket") * ALIGN_BUCKET_S).alias("tick"), "n_packets", F.lit(True).alias("late"))
+    return assemble_ticks(parts).withColumn("late", F.lit(False)).unionByName(gone)
 
 
 @query("stream_protocol_counts", duck(["packets"], select="""SELECT proto, count(*) AS packets_total

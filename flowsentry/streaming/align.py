@@ -1,75 +1,128 @@
 """Streaming tick/packet alignment.
 
 Both traces arrive as one stream of ``(site, kind, t)`` rows (kind 0 =
-sensor tick, 1 = packet; other kinds only move event time).  State is kept
-per (site, time bucket) and flushed when the watermark passes the bucket's
-end, so no key gathers a whole site and rows may arrive in any order within
-the watermark delay.  A bucket emits its packets per own tick plus one carry
-row (null tick) with the packets after its last tick; ``assemble_ticks`` adds
-a carry to the site's next tick.  Rows later than the watermark are dropped
-by Spark and counted (``runner.rows_dropped_by_watermark``).
+sensor tick, 1 = packet; other kinds only move event time).  Times are read on
+a grid of ``resolution_s``: a packet belongs to the first grid point at or
+after it, ticks lie on grid points.
+
+State is kept per (site, time bucket): a map from grid point to the number of
+packets, and one from grid point to the tick there, in RocksDB.  So its size
+follows the ticks and occupied grid points of a bucket, not the packets.  An
+event-time timer at the bucket's end emits its packets per own tick plus one
+carry row (null tick) with the packets after its last tick; ``assemble_ticks``
+adds a carry to the site's next tick.  Rows may arrive in any order within the
+watermark delay.  A row of a bucket that is closed already is put out at once
+as late (``late`` true), so that every row is either counted or reported.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowsentry.session import ship_package
 
-OUT_SCHEMA = "site string, bucket long, tick double, n_packets long"
-STATE_SCHEMA = "ticks array<double>, times array<double>, counts array<long>"
-
-
-def _bucket_state(size_s: float):
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            ticks, times, counts = (np.asarray(x) for x in state.get)
-            state.remove()
-            upto = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(times, ticks, side="right")] \
-                if len(ticks) else np.zeros(0)
-            rest = int(counts.sum()) - (int(upto[-1]) if len(upto) else 0)
-            n = np.diff(np.concatenate([[0], upto])).astype("int64").tolist()
-            yield pd.DataFrame({"site": str(key[0]), "bucket": int(key[1]),
-                                "tick": [*ticks.tolist(), None], "n_packets": [*n, rest]}) \
-                .astype({"tick": "float64"})
+OUT_SCHEMA = "site string, bucket long, tick double, n_packets long, late boolean"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: share of a grid cell within which a time counts as on the grid point
+SLACK = 1e-6
+
+
+class _Aligner(StatefulProcessor):
+    def __init__(self, size_s: float):
+        self.size_s = size_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.packets = handle.getMapState("packets", "cell long", "n long")
+        self.ticks = handle.getMapState("ticks", "cell long", "tick double")
+
+    def _rows(self, key, ticks, counts, late):
+        return pd.DataFrame({"site": str(key[0]), "bucket": int(key[1]), "tick": pd.Series(ticks, dtype="float64"),
+                             "n_packets": pd.Series(counts, dtype="int64"), "late": late})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        df = pd.concat([r[["kind", "cell", "t"]] for r in rows])
+        end = -(-int(key[1] + 1) * int(round(self.size_s * 1e6)) // 1000)
+        packets = df[df["kind"] == 1].groupby("cell").size()
+        ticks = df[df["kind"] == 0].groupby("cell")["t"].min()
+        if end <= timerValues.getCurrentWatermarkInMs():
+            # closed: packets counted as late, ticks as late with no packets
+            gone = [*[(t, 0) for t in ticks], *([(None, int(packets.sum()))] if len(packets) else [])]
+            if gone:
+                yield self._rows(key, [t for t, _ in gone], [n for _, n in gone], True)
             return
-        ticks, times, counts = state.get if state.exists else ([], [], [])
-        new_ticks, new_times = [list(ticks)], [np.repeat(np.asarray(times, float), np.asarray(counts, int))]
-        for pdf in pdfs:
-            new_ticks.append(pdf.loc[pdf["kind"] == 0, "t"].tolist())
-            new_times.append(pdf.loc[pdf["kind"] == 1, "t"].to_numpy(float))
-        ticks = sorted({t for part in new_ticks for t in part})
-        times, counts = np.unique(np.concatenate(new_times), return_counts=True)
-        state.update((ticks, times.tolist(), counts.tolist()))
-        # the watermark passes the bucket's end: at most one millisecond late
-        state.setTimeoutTimestamp(max(int(np.ceil((int(key[1]) + 1) * size_s * 1000)),
-                                      state.getCurrentWatermarkMs() + 1))
-    return step
-
-
-def stream_align(events: DataFrame, bucket_s: float, watermark_s: float, site: str = "site") -> DataFrame:
+        for cell, t in ticks.items():
+            self.ticks.updateValue((int(cell),), (float(t),))
+        known = len(packets) and self.packets.exists()
+        for cell, n in packets.items():
+            old = self.packets.getValue((int(cell),)) if known else None
+            self.packets.updateValue((int(cell),), (int(n) + (old[0] if old else 0),))
+        if len(packets) or len(ticks):
+            self.handle.registerTimer(end)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ticks = sorted((c[0], v[0]) for c, v in self.ticks.iterator())
+        packets = sorted((c[0], v[0]) for c, v in self.packets.iterator())
+        counts, at = [], 0
+        for cell, _ in ticks:
+            n = 0
+            while at < len(packets) and packets[at][0] <= cell:
+                n += packets[at][1]
+                at += 1
+            counts.append(n)
+        rest = sum(n for _, n in packets[at:])
+        self.ticks.clear()
+        self.packets.clear()
+        yield self._rows(key, [*[t for _, t in ticks], None], [*counts, rest], False)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_align(events: DataFrame, bucket_s: float, watermark_s: float, site: str = "site",
+                 resolution_s: float = 0.001) -> DataFrame:
     """``events``: stream of (site, kind, t), t in seconds from an origin at or
-    before the first row; output: ``(site, bucket, tick, n_packets)``, final
-    per bucket, to be read through ``assemble_ticks``."""
-    ship_package(events.sparkSession)
-    e = events.select(F.col(site).cast("string").alias("site"), "kind", F.col("t").cast("double").alias("t"),
-                      F.timestamp_seconds("t").alias("et"),
-                      F.floor(F.col("t") / F.lit(float(bucket_s))).cast("bigint").alias("bucket")) \
-        .withWatermark("et", f"{int(round(watermark_s * 1e6))} microseconds")
-    return e.groupBy("site", "bucket").applyInPandasWithState(
-        _bucket_state(bucket_s), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    before the first row; output ``OUT_SCHEMA``, final per bucket, to be read
+    through ``assemble_ticks`` and ``late_rows``.
+
+    ``resolution_s`` divides ``bucket_s``; ticks off its grid fail the query.
+    Rows with a null site, kind or time are left out.
+    """
+    spark = events.sparkSession
+    ship_package(spark)
+    if spark.conf.get(PROVIDER) != ROCKSDB:
+        spark.conf.set(PROVIDER, ROCKSDB)
+    t = F.col("t").cast("double")
+    pos = t / F.lit(float(resolution_s))
+    near = F.round(pos)
+    cell = F.when(F.col("kind") == 1, F.ceil(pos - SLACK)).when(
+        (F.col("kind") == 0) & (F.abs(pos - near) > SLACK),
+        F.raise_error(F.concat(F.lit("tick off the grid: "), t.cast("string"))).cast("long")).otherwise(near)
+    # event time is left behind, so closed buckets' rows reach the processor
+    e = events.where(F.col(site).isNotNull() & F.col("kind").isNotNull() & t.isNotNull()).select(
+        F.col(site).cast("string").alias("site"), "kind", t.alias("t"), cell.cast("bigint").alias("cell"),
+        F.floor(t / F.lit(float(bucket_s))).cast("bigint").alias("bucket"), F.timestamp_seconds(t).alias("et")) \
+        .withWatermark("et", f"{int(round(watermark_s * 1e6))} microseconds").drop("et")
+    return e.groupBy("site", "bucket").transformWithStateInPandas(
+        _Aligner(bucket_s), OUT_SCHEMA, "append", "EventTime")
+
+
+def late_rows(parts: DataFrame) -> DataFrame:
+    """``(site, bucket, n_packets)`` that came after their bucket was closed."""
+    return parts.where("late").groupBy("site", "bucket").agg(F.sum("n_packets").alias("n_packets"))
 
 
 def assemble_ticks(parts: DataFrame) -> DataFrame:
     """``(site, tick, n_packets)`` of the flushed buckets.  A site's last tick
     is still open (no later tick has flushed it) and is left out, as in the
     batch form."""
+    parts = parts.where(~F.col("late"))
     ticks, carry = parts.where("tick is not null"), parts.where("tick is null and n_packets > 0")
     # per site and bucket: its first tick, and the carry of the buckets since
     # the last bucket with ticks (one row per bucket)

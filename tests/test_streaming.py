@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from flowsentry.operators.alerts import time_to_alert
 from flowsentry.session import scratch_path
-from flowsentry.streaming.align import OUT_SCHEMA, assemble_ticks, stream_align
+from flowsentry.streaming.align import OUT_SCHEMA, assemble_ticks, late_rows, stream_align
 from flowsentry.streaming.alert import alert_sink, read_alerts, stream_time_to_alert
 from flowsentry.streaming.runner import rows_dropped_by_watermark, run_available_now, run_foreach_batch
 from flowsentry.streaming.windows import stream_counts, stream_windows
@@ -52,16 +52,16 @@ def test_alert_negative_and_once(spark):
 def _align(spark, batches, watermark_s, bucket_s=2.0):
     schema = "site string, kind int, t double"
     src, out, ck = (scratch_path(spark, f"t-align-{x}") for x in ("in", "out", "ck"))
-    dropped = 0
     for i, rows in enumerate([*batches, [("end", 2, 1e6)]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/part={i:03d}")
         stream = spark.readStream.schema(schema).parquet(f"{src}/part=*")
         q = (stream_align(stream, bucket_s, watermark_s).writeStream.format("parquet").option("path", out)
              .option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start())
         q.awaitTermination()
-        dropped += rows_dropped_by_watermark(q)
-    got = assemble_ticks(spark.read.schema(OUT_SCHEMA).parquet(out))
-    return {(r.site, r.tick): r.n_packets for r in got.collect()}, dropped
+        assert rows_dropped_by_watermark(q) == 0
+    parts = spark.read.schema(OUT_SCHEMA).parquet(out)
+    late = sum(r.n_packets for r in late_rows(parts).collect())
+    return {(r.site, r.tick): r.n_packets for r in assemble_ticks(parts).collect()}, late
 
 
 def test_align_over_mixed_batches_equals_one_batch(spark):
@@ -82,7 +82,7 @@ def test_align_keeps_packets_of_later_batches(spark):
     one = [("s", 0, 1.0), ("s", 0, 2.0), ("s", 0, 3.0)]
     two = [("s", 1, 0.5), ("s", 1, 1.5), ("s", 1, 2.5), ("s", 0, 4.0)]
     assert _align(spark, [one, two], 10.0)[0] == {("s", 1.0): 1, ("s", 2.0): 1, ("s", 3.0): 1}
-    # later than the watermark allows: not counted, but reported
+    # later than the watermark allows: not counted, but put out as late
     got, dropped = _align(spark, [[*one, ("s", 0, 50.0)], [("s", 1, 0.5), ("s", 0, 51.0)]], 0.0)
     assert got[("s", 1.0)] == 0 and dropped == 1
 
