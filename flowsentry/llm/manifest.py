@@ -12,6 +12,10 @@ row per lowest run with its at most sixteen leaves side by side; every leaf is
 folded by itself.  A proof is thus carried once per run and written out per
 leaf only where it is hashed.
 
+The higher a run, the more rows of the climb meet it.  So its row is stored in
+copies, one per ``COPY_LEAVES`` leaves below, and a climbing row meets the copy
+its number picks; no step gathers a source's rows in one task.
+
 Positions of a source's leaves are counted in sorted ranges of all rows with
 one offset per range and source, so no source is gathered into one task.
 """
@@ -31,6 +35,8 @@ from flowsentry.llm.jaccard import stored
 FAN = 16
 #: rows aimed at in one sorted range
 RANGE_ROWS = 100_000
+#: leaves of the whole table that meet one copy of a run
+COPY_LEAVES = 4096
 #: a row is tampered with where this divides the checksum of its id
 TAMPER_EVERY = 5
 #: the tree over the sources has this number in place of a source's
@@ -109,17 +115,18 @@ def _up(s: Column, pos: Column, size: Column) -> list[Column]:
 
 
 def _levels(nodes: DataFrame, level: int, name: str):
-    """Stores the runs above ``nodes`` (``s, pos, size, digest``; ``size`` nodes
-    in tree ``s``) level by level; yields the run rows and the trees' tops."""
-    nodes = nodes.select("s", "pos", "size", "digest", F.lit(level).alias("level"))
+    """Stores the runs above ``nodes`` (``s, pos, size, digest, n``; ``size`` nodes
+    in tree ``s``, ``n`` leaves of the table below) level by level; yields the
+    run rows and the trees' tops."""
+    nodes = nodes.select("s", "pos", "size", "digest", "n", F.lit(level).alias("level"))
     while True:
-        yield "top", nodes.where("size = 1").select("s", "level", "digest")
+        yield "top", nodes.where("size = 1").select("s", "level", "digest", "n")
         runs = nodes.where("size > 1").groupBy("s", F.floor(F.col("pos") / FAN).cast("long").alias("run")).agg(
-            F.max("size").alias("size"), F.array_sort(F.collect_list(F.struct("pos", "digest"))).alias("kids"))
+            F.max("size").alias("size"), F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "digest"))).alias("kids"))
         level += 1
         runs = stored(runs.select(
             "s", F.lit(level).alias("level"), F.col("run").alias("pos"), F.ceil(F.col("size") / FAN).cast("long").alias("size"),
-            F.sha2(F.array_join("kids.digest", ""), 256).alias("digest"), F.col("kids.digest").alias("kids")), name)
+            "n", F.sha2(F.array_join("kids.digest", ""), 256).alias("digest"), F.col("kids.digest").alias("kids")), name)
         if runs.isEmpty():
             return
         yield "runs", runs
@@ -127,9 +134,10 @@ def _levels(nodes: DataFrame, level: int, name: str):
 
 
 def tree(leaf_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Run rows ``s, level, pos, kids, digest, us, ulevel, up, slot`` (the last
-    four name the parent run and the place in it; ``ulevel`` is null at the
-    root) and the source tops ``s, level, digest``.
+    """Run rows ``s, level, pos, copy, kids, digest, us, ulevel, up, slot,
+    ucopies`` (the last five name the parent run, the place in it and the number
+    of its copies; ``ulevel`` is null at the root) and the source tops ``s,
+    level, digest, n``.
 
     Levels count from 0 at a source's leaves, and in the tree over the sources
     from 0 at its tops.
@@ -146,11 +154,12 @@ def tree(leaf_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             out = out.unionByName(f)
         return out
 
-    low, tops = collect(leaf_rows.select("s", "pos", "size", F.col("leaf").alias("digest")), "manifest-runs")
+    low, tops = collect(leaf_rows.select("s", "pos", "size", F.col("leaf").alias("digest"),
+                                          F.lit(1).cast("long").alias("n")), "manifest-runs")
     tops = stored(union(tops), "manifest-tops")
     count = tops.count()
     high, _ = collect(tops.select(F.lit(TOP).cast("long").alias("s"), F.col("s").alias("pos"),
-                                  F.lit(count).cast("long").alias("size"), "digest"), "manifest-top-runs")
+                                  F.lit(count).cast("long").alias("size"), "digest", "n"), "manifest-top-runs")
     if not low and not high:
         return None, tops
     rows = union(low + high)
@@ -158,30 +167,39 @@ def tree(leaf_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     is_top = F.col("s") == TOP
     root = alone & (is_top | F.lit(count == 1))
     rows = rows.select("s", "level", "pos", "kids", "digest", *_up(F.col("s"), F.col("pos"), F.col("size")),
-                       F.when(root, F.lit(None)).when(alone & ~is_top, F.lit(1)).otherwise(F.col("level") + 1).alias("ulevel"))
-    return stored(rows, "manifest-tree"), tops
+                       F.when(root, F.lit(None)).when(alone & ~is_top, F.lit(1)).otherwise(F.col("level") + 1).alias("ulevel"),
+                       (F.col("n") / COPY_LEAVES).cast("long").alias("more"))
+    rows = stored(rows, "manifest-rows")
+    parent = rows.where("more > 0").select(F.col("s").alias("us"), F.col("level").alias("ulevel"), F.col("pos").alias("up"),
+                                           (F.col("more") + 1).alias("ucopies"))
+    rows = rows.join(parent, ["us", "ulevel", "up"], "left").withColumn("ucopies", F.coalesce("ucopies", F.lit(1).cast("long")))
+    return stored(rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), "more"))).drop("more"),
+                  "manifest-tree"), tops
 
 
 CLIMB = """
-WITH RECURSIVE climb (gid, us, ulevel, up, slots, folds, low, above, step) AS (
-  SELECT gid, us, ulevel, up, slots, folds, CAST(NULL AS ARRAY<STRING>), '', 0 FROM {start}
+WITH RECURSIVE climb (gid, us, ulevel, up, ucopies, slots, folds, low, above, subroot, step) AS (
+  SELECT gid, us, ulevel, up, CAST(1 AS BIGINT), slots, folds, CAST(NULL AS ARRAY<STRING>), '', CAST(NULL AS STRING), 0
+  FROM {start}
   UNION ALL
-  SELECT c.gid, r.us, r.ulevel, r.up,
+  SELECT c.gid, r.us, r.ulevel, r.up, r.ucopies,
     CASE WHEN r.ulevel IS NOT NULL THEN array_repeat(r.slot, size(c.folds)) END,
     transform(c.folds, (x, i) -> sha2(array_join(
       transform(r.kids, (k, j) -> CASE WHEN j = element_at(c.slots, i + 1) THEN x ELSE k END), ''), 256)),
     CASE WHEN c.step = 0 THEN r.kids ELSE c.low END,
     CASE WHEN c.step = 0 THEN '' ELSE concat(c.above, array_join(
       filter(r.kids, (k, j) -> j <> element_at(c.slots, 1)), '')) END,
+    CASE WHEN r.s >= 0 AND (r.us < 0 OR r.ulevel IS NULL) THEN r.digest ELSE c.subroot END,
     c.step + 1
-  FROM climb c JOIN {tree} r ON c.us = r.s AND c.ulevel = r.level AND c.up = r.pos
+  FROM climb c JOIN {tree} r
+    ON c.us = r.s AND c.ulevel = r.level AND c.up = r.pos AND pmod(c.gid, c.ucopies) = r.copy
 )
-SELECT gid, folds AS folded, low, above FROM climb WHERE ulevel IS NULL
+SELECT gid, folds AS folded, low, above, subroot FROM climb WHERE ulevel IS NULL
 """
 
 
 def climbed(start: DataFrame, runs: DataFrame) -> DataFrame:
-    """``gid, folded, low, above``: the climb's last rows (at the root)."""
+    """``gid, folded, low, above, subroot``: the climb's last rows (at the root)."""
     spark = start.sparkSession
     before = spark.conf.get(ROW_LIMIT, None)
     spark.conf.set(ROW_LIMIT, "-1")
@@ -204,28 +222,26 @@ def manifest(df: DataFrame, id_col: str = "doc_id", source: str = "source", text
     Columns other than ``fields`` are not read.
     """
     rows = stored(placed(leaves(df, id_col, source, text, fields)), "manifest-placed")
-    runs, tops = tree(rows)
-    count = tops.count()
+    runs = tree(rows)[0]
     if runs is None:  # no row, or one
         return rows.select(F.col("id").alias(id_col), "leaf", F.col("leaf").alias("subroot"), F.col("leaf").alias("root"),
                            F.lit("").alias("proof"), F.coalesce("bad", "leaf").alias("folded_root"),
                            (F.coalesce("bad", "leaf") == F.col("leaf")).alias("verified"), F.col("bad").isNotNull().alias("tampered"))
-    root = runs.where("ulevel is null").select(F.col("digest").alias("root"))  # one row
-    start = rows.select("s", "id", "leaf", "bad", *_up(F.col("s"), F.col("pos"), F.col("size"))) \
+    root = runs.where("ulevel is null and copy = 0").select(F.col("digest").alias("root"))  # one row
+    start = rows.select("id", "leaf", "bad", *_up(F.col("s"), F.col("pos"), F.col("size"))) \
         .groupBy("us", "up").agg(F.array_sort(F.collect_list(F.struct(
-            "slot", "id", "leaf", "bad", "s"))).alias("mine"))
+            "slot", "id", "leaf", "bad"))).alias("mine"))
     start = stored(start.select(F.monotonically_increasing_id().alias("gid"), "us", F.lit(1).alias("ulevel"), "up", "mine"),
                    "manifest-start")
     done = climbed(start.select("gid", "us", "ulevel", "up", F.col("mine.slot").alias("slots"), F.transform(
         "mine", lambda x: F.coalesce(x["bad"], x["leaf"])).alias("folds")), runs)
     out = done.join(start.select("gid", "mine"), "gid").select(
-        "low", "above", F.explode(F.arrays_zip("mine", "folded")).alias("x"))
+        "low", "above", "subroot", F.explode(F.arrays_zip("mine", "folded")).alias("x"))
     kin = F.filter("low", lambda k, j: j != F.col("x.mine.slot"))
-    out = out.select(F.col("x.mine.id").alias(id_col), F.col("x.mine.leaf").alias("leaf"), F.col("x.mine.s").alias("s"),
-                     F.concat(F.array_join(kin, ""), "above").alias("proof"), F.col("x.folded").alias("folded_root"),
+    out = out.select(F.col("x.mine.id").alias(id_col), F.col("x.mine.leaf").alias("leaf"),
+                     F.coalesce("subroot", "x.mine.leaf").alias("subroot"), F.concat(F.array_join(kin, ""), "above").alias("proof"), F.col("x.folded").alias("folded_root"),
                      F.col("x.mine.bad").isNotNull().alias("tampered"))
-    out = out.join(tops.select("s", F.col("digest").alias("subroot")), "s").crossJoin(F.broadcast(root))
-    return out.select(id_col, "leaf", "subroot", "root", "proof", "folded_root",
+    return out.crossJoin(F.broadcast(root)).select(id_col, "leaf", "subroot", "root", "proof", "folded_root",
                       (F.col("folded_root") == F.col("root")).alias("verified"), "tampered")
 
 

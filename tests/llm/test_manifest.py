@@ -73,6 +73,7 @@ def test_documents(spark):
 @pytest.mark.parametrize("ranges", [100_000, 60])
 def test_hot_source_nulls_ties_and_depth(spark, monkeypatch, ranges):
     monkeypatch.setattr(M, "RANGE_ROWS", ranges)
+    monkeypatch.setattr(M, "COPY_LEAVES", ranges // 4)
     r = random.Random(3)
     pick = lambda *a: r.choice(a)
     rows = [(i, "hot", "en", i, "Some Text %d" % i) for i in range(700)]
