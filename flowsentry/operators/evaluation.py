@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsentry.operators.prefix import quantile_bucket, running_aggregate
+from flowsentry.operators.prefix import range_running, sorted_rank
 
 SWEEP_THRESHOLDS = (0.10, 0.20, 0.30, 0.40, 0.50, 0.60, 0.70, 0.80, 0.90)
 REPORT_METRICS = ("precision", "recall", "f1_score", "roc_auc", "fpr", "fnr")
@@ -43,27 +43,24 @@ def detection_metrics(scored: DataFrame, by: Sequence[str] = ("model",)) -> Data
     return with_rates(confusion(scored, by))
 
 
-def _score_counts(scored: DataFrame, by: Sequence[str], buckets: int) -> DataFrame:
-    """One row per (model, distinct score) with positive / negative counts and
-    a score-quantile bucket: value skew collapses here.  Checkpointed (into
-    the shared checkpoint folder) because several branches read it."""
-    g = scored.groupBy(*by, "score").agg(
+def _score_counts(scored: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One row per (model, distinct score) with positive / negative counts: value
+    skew collapses here.  Checkpointed (into the shared checkpoint folder)
+    because several branches read it."""
+    return scored.groupBy(*by, "score").agg(
         F.count_if(F.col("label") == 1).alias("pos"),
-        F.count_if(F.col("label") != 1).alias("neg"))
-    return quantile_bucket(g, by, "score", buckets).checkpoint(eager=True)
+        F.count_if(F.col("label") != 1).alias("neg")).checkpoint(eager=True)
 
 
-def roc_auc(scored: DataFrame, by: Sequence[str] = ("model",), buckets: int = 256) -> DataFrame:
+def roc_auc(scored: DataFrame, by: Sequence[str] = ("model",), buckets: int | None = None) -> DataFrame:
     """Tie-aware ROC-AUC (Mann-Whitney): sum over positives of
     (negatives below + half the tied negatives) / (P * N).  NULL with one class.
 
-    Scores are grouped first, then negatives-below is a two-level running
-    sum over approximate-quantile buckets of the distinct scores.
+    Scores are grouped first; negatives-below is a running sum over score
+    ranges, whose number (``buckets``) follows the distinct scores.
     """
     by = list(by)
-    g = _score_counts(scored, by, buckets)
-    c = running_aggregate(g, keys=by, order=["score"], value="neg", out="neg_below",
-                          bucket=F.col("_qb"), inclusive=False).drop("_qb")
+    c = range_running(_score_counts(scored, by), by, ["score"], "neg", "neg_below", ranges=buckets, inclusive=False)
     term = F.col("pos") * (F.coalesce(F.col("neg_below"), F.lit(0)) + F.lit(0.5) * F.col("neg"))
     agg = c.groupBy(*by).agg(F.sum(term).alias("_u"),
                              F.sum("pos").cast("double").alias("_p"),
@@ -72,13 +69,12 @@ def roc_auc(scored: DataFrame, by: Sequence[str] = ("model",), buckets: int = 25
                                   F.col("_u") / (F.col("_p") * F.col("_n"))).alias("roc_auc"))
 
 
-def roc_curve(scored: DataFrame, by: Sequence[str] = ("model",), buckets: int = 256) -> DataFrame:
+def roc_curve(scored: DataFrame, by: Sequence[str] = ("model",), buckets: int | None = None) -> DataFrame:
     """ROC points, one per distinct score (descending) plus the origin, whose
     threshold is NULL (above every score).  Collinear points are kept."""
     by = list(by)
-    g = _score_counts(scored, by, buckets)
-    c = running_aggregate(g, keys=by, order=[F.col("score").desc()], value=["pos", "neg"],
-                          out=["cum_pos", "cum_neg"], bucket=F.lit(buckets) - F.col("_qb"))
+    g = _score_counts(scored, by)
+    c = range_running(g, by, [F.col("score").desc()], ["pos", "neg"], ["cum_pos", "cum_neg"], ranges=buckets)
     # one row per model
     totals = F.broadcast(g.groupBy(*by).agg(F.sum("pos").cast("double").alias("_P"),
                                             F.sum("neg").cast("double").alias("_N")))
@@ -108,17 +104,31 @@ def _rates_long(wide: DataFrame, by: Sequence[str], levels: Sequence[float], lev
 
 def sweep_counts(scored: DataFrame, thresholds: Sequence[float], by: Sequence[str] = ("model",),
                  strict: bool = False) -> DataFrame:
-    """Confusion counts at many thresholds in one grouped pass: one
-    conditional count per (threshold, cell), no row multiplication.
-    ``pred = score >= t`` (``score > t`` with ``strict``)."""
-    by = list(by)
-    pos = F.col("label") == 1
-    aggs = []
-    for i, t in enumerate(thresholds):
-        pp = (F.col("score") > F.lit(float(t))) if strict else (F.col("score") >= F.lit(float(t)))
-        aggs += [F.count_if(pos & pp).alias(f"tp_{i}"), F.count_if(~pos & pp).alias(f"fp_{i}"),
-                 F.count_if(pos & ~pp).alias(f"fn_{i}"), F.count_if(~pos & ~pp).alias(f"tn_{i}")]
-    return _rates_long(scored.groupBy(*by).agg(*aggs), by, thresholds, "threshold")
+    """Confusion counts at any number of thresholds in one grouped pass.
+    ``pred = score >= t`` (``score > t`` with ``strict``).
+
+    Every row finds by binary search how many of the sorted thresholds it
+    reaches; one histogram of that number per model, and sums from its top down
+    give the counts at each threshold.  A null score counts nowhere.
+    """
+    by, spark = list(by), scored.sparkSession
+    levels = sorted(float(t) for t in thresholds)
+    line = F.broadcast(spark.range(1).select(F.array(*[F.lit(t) for t in levels]).alias("_levels")))
+    x = scored.where(F.col("score").isNotNull()).select(*by, "label", F.col("score").cast("double").alias("_x"))
+    x = sorted_rank(x.crossJoin(line), "_levels", "_x", "_at", len(levels), inclusive=not strict)
+    hist = x.groupBy(*by, "_at").agg(F.count_if(F.col("label") == 1).alias("_p"), F.count_if(F.col("label") != 1).alias("_n"))
+    # one row per model and threshold (level 0: below all), none or more rows behind it
+    zero = F.lit(0).cast("bigint")
+    grid = scored.groupBy(*by).agg(F.count(F.lit(1)).alias("_p")).select(
+        *by, F.explode(F.sequence(F.lit(0), F.lit(len(levels)))).alias("_at"), zero.alias("_p"), zero.alias("_n"))
+    grid = grid.unionByName(hist).groupBy(*by, "_at").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    top = Window.partitionBy(*by).orderBy(F.col("_at").desc())
+    whole = Window.partitionBy(*by)
+    cum = grid.select(*by, "_at", F.sum("_p").over(top).alias("tp"), F.sum("_n").over(top).alias("fp"),
+                      F.sum("_p").over(whole).alias("_P"), F.sum("_n").over(whole).alias("_N")).where("_at > 0")
+    named = cum.crossJoin(line).withColumn("threshold", F.element_at("_levels", F.col("_at")))
+    return with_rates(named.select(*by, "threshold", "tp", "fp", (F.col("_P") - F.col("tp")).alias("fn"),
+                                   (F.col("_N") - F.col("fp")).alias("tn")))
 
 
 def threshold_sweep(scored: DataFrame, thresholds: Sequence[float] = SWEEP_THRESHOLDS,

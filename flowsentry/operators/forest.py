@@ -2,18 +2,20 @@
 
 Tree models are invariant to the z-scaling the reference applies first
 (MLlib bins by quantiles, which an increasing affine map preserves), so
-the pipeline feeds raw features.  ``min_samples_split`` has no MLlib
-counterpart; ``minInstancesPerNode`` carries the leaf minimum.
+the pipeline feeds raw features.  ``minInstancesPerNode`` carries the leaf
+minimum; the least size of a split node is applied to the node table of a
+fitted forest (``stages.ForestStage``).
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -77,25 +79,36 @@ def forest_summary(model: PipelineModel, train: DataFrame) -> DataFrame:
 
 def cross_validate(df: DataFrame, folds: DataFrame | None = None, k: int = 5,
                    trees: int = CV_TREES, depth: int = CV_DEPTH, seed: int = RF_SEED,
-                   key: str = "window") -> DataFrame:
+                   key: str = "window", parallelism: int = 5) -> DataFrame:
     """k-fold F1 of the attack class; folds from ``splits.kfold``.
 
-    The loop is over k folds (k fits, each distributed); rows never leave
-    the cluster.  Returns one row per fold plus mean / population std.
+    One table of assembled rows, kept for all folds; ``parallelism`` folds are
+    fitted at a time, as jobs of the same session side by side, each over all
+    rows but its own fold's.  Rows never leave the cluster.  Returns one row per
+    fold (``fold, n, f1``) plus mean / population std; a fold without rows has
+    F1 0 like one without hits.
     """
     from flowsentry.operators.splits import kfold
     f = folds if folds is not None else kfold(df, "label", key, k, seed)
-    f = f.withColumn("label", F.col("label").cast("double")).cache()
-    ev = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0,
-                                           labelCol="label", predictionCol="prediction")
-    rows = []
-    for i in range(k):
-        model = forest_pipeline(trees=trees, depth=depth, seed=seed).fit(f.where(F.col("fold") != i))
-        pred = model.transform(f.where(F.col("fold") == i))
-        rows.append((i, float(ev.evaluate(pred))))
-    f.unpersist()
     spark = df.sparkSession
-    out = spark.createDataFrame(rows, "fold int, f1 double")
+    stages = forest_pipeline(trees=trees, depth=depth, seed=seed).getStages()
+    table = stages[0].transform(f.withColumn("label", F.col("label").cast("double"))).select("label", "fold", "features")
+    table = table.persist()
+
+    def one(i: int):
+        model = stages[1].fit(table.where(F.col("fold") != i))
+        pred = model.transform(table.where(F.col("fold") == i))
+        hit, said, real = pred.agg(F.count_if((F.col("prediction") == 1) & (F.col("label") == 1)),
+                                   F.count_if(F.col("prediction") == 1), F.count_if(F.col("label") == 1)).first()
+        n = table.where(F.col("fold") == i).count()
+        return i, n, 2.0 * hit / (said + real) if said + real else 0.0
+    try:
+        table.count()  # filled once, before the folds read it side by side
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, k))) as pool:
+            rows = list(pool.map(inheritable_thread_target(spark)(one), range(k)))
+    finally:
+        table.unpersist()
+    out = spark.createDataFrame(rows, "fold int, n long, f1 double")
     summ = out.agg(F.avg("f1").alias("mean_f1"), F.stddev_pop("f1").alias("std_f1"))
     return out.crossJoin(summ)
 

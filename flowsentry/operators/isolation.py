@@ -1,10 +1,10 @@
 """Isolation Forest (Liu, Ting, Zhou, ICDM 2008) on Spark (M5, M8, M9).
 
 Fit
-  * one Bernoulli sample of about ``trees * psi`` rows (bounded, whatever
-    the table size), then each tree takes the ``psi`` sample rows with the
-    smallest hash of (seed, tree, row): independent subsamples without
-    replacement, drawn in one pass;
+  * every tree takes the ``psi`` rows of the whole table with the smallest
+    hash of (seed, tree, row): independent samples without replacement, the
+    same for any partitioning.  One pass; a row is passed on for a tree only if
+    its hash is among the expected smallest, so about two rows move per drawn one;
   * ``groupBy(tree).applyInPandas`` grows the trees in parallel (psi <= 256
     rows per group) and emits flat node rows ``(tree, node, feature, split,
     left, right, size, depth)``.

@@ -100,6 +100,44 @@ def running_aggregate(df: DataFrame, keys: Sequence[str], order: Sequence, value
     return joined.drop(*drop)
 
 
+#: rows aimed at in one range of ``range_running``
+RANGE_ROWS = 50_000
+
+
+def range_running(df: DataFrame, keys: Sequence[str], order: Sequence, value, out, rows: int | None = None,
+                  ranges: int | None = None, inclusive: bool = True) -> DataFrame:
+    """Running sums of ``value`` over ``order`` within ``keys`` as ``out`` (lists
+    for several), by range partitions.
+
+    Rows are dealt to sorted ranges of ``(keys, order)``, as many as the data
+    need (``rows`` is their number, counted if not given), and written once.  A
+    range's running sums start from the totals of the ranges before it, one row
+    per key and range, so neither a hot key nor the number of distinct values
+    makes one task larger.  Rows with equal ``(keys, order)`` share a range.
+    Without ``inclusive`` the row itself is left out and a key's first row has
+    null.
+    """
+    keys, order = list(keys), [_c(o) for o in order]
+    values = list(value) if isinstance(value, (list, tuple)) else [value]
+    outs = list(out) if isinstance(out, (list, tuple)) else [out]
+    checkpoint_dir(df.sparkSession)
+    n = ranges or 1 + (df.count() if rows is None else rows) // RANGE_ROWS
+    dealt = df.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id()) \
+        .checkpoint(eager=True)
+    d, cols = _bucketed(dealt, keys, F.col("_range"))
+    totals = d.groupBy(*cols).agg(*[F.sum(_c(v)).alias(f"_tot{i}") for i, v in enumerate(values)])
+    back = Window.partitionBy(*cols[:-2]).orderBy(*cols[-2:]).rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*cols, *[F.sum(f"_tot{i}").over(back).alias(f"_off{i}") for i in range(len(values))])
+    inside = Window.partitionBy(*cols).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    local = d.withColumns({f"_loc{i}": F.sum(_c(v)).over(inside) for i, v in enumerate(values)})
+    joined = local.join(small_side(before), cols, "left")
+    for i, o in enumerate(outs):
+        off, loc = F.col(f"_off{i}"), F.col(f"_loc{i}")
+        both = F.coalesce(off, F.lit(0)) + F.coalesce(loc, F.lit(0))
+        joined = joined.withColumn(o, both if inclusive else F.when(off.isNotNull() | loc.isNotNull(), both))
+    return joined.drop("_range", *cols, *[f"_{x}{i}" for i in range(len(values)) for x in ("loc", "off")])
+
+
 def sorted_rank(df: DataFrame, bounds: str, x, out: str, n_bounds: int,
                 inclusive: bool = False) -> DataFrame:
     """``out`` = number of entries of the ascending array column ``bounds``

@@ -120,6 +120,21 @@ def q_threshold_sweep(spark, sf):
     return EV.threshold_sweep(B.scored(spark, sf))
 
 
+@query("threshold_sweep_long", duck(["scored"],
+        ("th", "SELECT i / 10000.0::DOUBLE AS threshold FROM range(1, 10001) r(i)"),
+        ("g", """SELECT model, score, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label <> 1) AS n
+                 FROM scored GROUP BY ALL"""),
+        ("c", """SELECT model, threshold, cast(sum(p) FILTER (WHERE score >= threshold) AS bigint) AS tp,
+                 cast(sum(n) FILTER (WHERE score >= threshold) AS bigint) AS fp, cast(sum(p) AS bigint) AS np,
+                 cast(sum(n) AS bigint) AS nn FROM g, th GROUP BY ALL"""),
+        select="""SELECT model, threshold, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, np - coalesce(tp, 0) AS fn,
+                  nn - coalesce(fp, 0) AS tn FROM c"""), ["threshold"])
+def q_threshold_sweep_long(spark, sf):
+    """Ten thousand thresholds in one pass."""
+    levels = [i / 10000 for i in range(1, 10001)]
+    return EV.sweep_counts(B.scored(spark, sf), levels).select("model", "threshold", "tp", "fp", "fn", "tn")
+
+
 @query("confusion_pct", duck(["scored"], ("c", """SELECT model,
     count(*) FILTER (WHERE label <> 1 AND pred <> 1) AS tn,
     count(*) FILTER (WHERE label <> 1 AND pred = 1) AS fp,

@@ -103,3 +103,43 @@ def test_confusion_cells_sum_to_rows(spark):
     n = {r.model: r["count"] for r in sc.groupBy("model").count().collect()}
     for r in confusion(sc).collect():
         assert r.tp + r.fp + r.fn + r.tn == n[r.model]
+
+
+def test_sweep_of_many_thresholds(spark):
+    from flowsentry.operators.evaluation import sweep_counts
+    rng = np.random.default_rng(8)
+    n = 4000
+    pdf = pd.DataFrame({"model": rng.choice(["a", "b"], n), "id": np.arange(n), "label": rng.integers(0, 2, n).astype("int32"),
+                        "score": np.round(rng.random(n), 3), "pred": np.zeros(n, "int32")})
+    levels = [*(i / 1000 for i in range(1, 1000)), 0.5, -1.0, 2.0]
+    for strict in (False, True):
+        got = sweep_counts(spark.createDataFrame(pdf, S), levels, strict=strict).toPandas()
+        assert len(got) == 2 * len(levels)
+        for m, g in pdf.groupby("model"):
+            y, s = g["label"].to_numpy(), g["score"].to_numpy()
+            for r in got[got.model == m].itertuples():
+                p = s > r.threshold if strict else s >= r.threshold
+                assert (r.tp, r.fp, r.fn, r.tn) == (sum(p & (y == 1)), sum(p & (y == 0)), sum(~p & (y == 1)), sum(~p & (y == 0)))
+
+
+def test_ranges_follow_the_distinct_scores(spark):
+    """No task holds more than a few of many distinct scores of one model."""
+    from pyspark.sql import functions as F
+
+    from flowsentry.operators import prefix
+    from flowsentry.operators.prefix import range_running
+    n = 400_000
+    df = spark.range(n).select(F.lit("m").alias("model"), (F.col("id") * 7 % n).cast("double").alias("score"),
+                               (F.col("id") % 3).alias("neg"))
+    old, prefix.RANGE_ROWS = prefix.RANGE_ROWS, 4000
+    try:
+        out = range_running(df, ["model"], ["score"], "neg", "below", inclusive=False)
+        ranges = df.repartitionByRange(1 + n // 4000, "model", "score").groupBy(F.spark_partition_id()).count()
+        assert ranges.agg(F.max("count")).first()[0] <= 0.02 * n
+        got = {r.score: r.below for r in out.where("score % 50000 = 0").collect()}
+    finally:
+        prefix.RANGE_ROWS = old
+    neg = np.empty(n, int)
+    neg[np.arange(n) * 7 % n] = np.arange(n) % 3
+    cum = np.concatenate([[0], np.cumsum(neg)])
+    assert got == {float(k): (None if k == 0 else cum[k]) for k in range(0, n, 50000)}
