@@ -30,6 +30,19 @@ MIN_WORDS, STEP, SEED = 50, 16, 8
 BROADCAST_ROWS = 2_000_000
 
 
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+
+
+def _power(kind: str, n: int) -> np.ndarray:
+    """Powers 0 to n - 1 of the base, or of its inverse modulo 2 ** 64."""
+    if len(_POWERS[kind]) < n:
+        p = np.full(max(n, T.CHUNK_BYTES // 4), _BASE if kind == "up" else pow(_BASE, -1, 1 << 64), np.uint64)
+        p[0] = 1
+        _POWERS[kind] = np.cumprod(p, dtype=np.uint64)
+    return _POWERS[kind][:n]
+
+
 class Spans:
     """Hashes of word runs of one piece of text."""
 
@@ -37,8 +50,8 @@ class Spans:
         self.h = w.hashes()
         n = len(self.h)
         self.sum = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.h * T._power("up", n), out=self.sum[1:], dtype=np.uint64)
-        self.down = T._power("down", n + 1)
+        np.cumsum(self.h * _power("up", n), out=self.sum[1:], dtype=np.uint64)
+        self.down = _power("down", n + 1)
 
     def hash(self, start, end):
         run = (self.sum[end] - self.sum[start]) * self.down[start]

@@ -3,8 +3,11 @@
 Texts of an Arrow batch are handled as one byte buffer in pieces of about
 ``CHUNK_BYTES`` (a longer text is one piece of its own), so the numpy
 temporaries of a task stay bounded.  Words are maximal runs of word bytes;
-their 64-bit hashes come from one prefix sum over the buffer.  Null texts
-are read as empty texts.
+their 64-bit hashes add up, over the bytes of a word, the byte's number times
+a number for its place in the word, both drawn at random and alike in every
+process, so that no rule of spelling makes two words collide.  The sums of all
+words come from one prefix sum over the buffer.  Null texts are read as empty
+texts.
 """
 
 from __future__ import annotations
@@ -28,9 +31,8 @@ LOWER[65:91] += 32
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _MULT = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_SEED = 0x9E3779B97F4A7C15
+_places = np.ones(0, np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -44,13 +46,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        p = np.full(size, _BASE if kind == "up" else _BASE_INV, np.uint64)
-        p[0] = 1
-        _powers[kind] = np.cumprod(p, dtype=np.uint64)
-    return _powers[kind][:n]
+def place_keys(n: int) -> np.ndarray:
+    """The numbers of the first n places of a word."""
+    global _places
+    if len(_places) < n:
+        i = np.arange(1, max(n, 1 << 12) + 1, dtype=np.uint64)
+        _places = mix(mix(i * _U(_SEED)) + _U(0x5851F42D4C957F2D))
+    return _places[:n]
 
 
 _caches: list = []
@@ -101,11 +103,20 @@ class Words:
         return len(self.start)
 
     def hashes(self) -> np.ndarray:
-        n = len(self.buf)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.buf] * _power("up", n), out=total[1:], dtype=np.uint64)
-        h = (total[self.end] - total[self.start]) * _power("down", n + 1)[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        n, size = len(self.buf), self.end - self.start
+        if not len(size):
+            return np.zeros(0, np.uint64)
+        # place of every byte counted from the start of the word before it
+        first = int(self.start[0])
+        place = np.arange(first, n, dtype=np.int32)
+        place -= np.repeat(self.start.astype(np.int32), np.diff(np.append(self.start, n)))
+        np.minimum(place, int(size.max()), out=place)  # bytes between words count nowhere
+        part = _BYTE[self.buf[first:]]
+        part *= place_keys(int(size.max()) + 1)[place]
+        total = np.zeros(n - first + 1, np.uint64)
+        np.cumsum(part, out=total[1:], dtype=np.uint64)
+        h = total[self.end - first] - total[self.start - first]
+        return mix(h + size.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
     def hashes_lower(self) -> np.ndarray:
         """Hashes with A-Z lower-cased, for words read as they stand."""
