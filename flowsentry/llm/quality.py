@@ -242,9 +242,23 @@ def _calibrate(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 0.0)), float(b)
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> dict:
+def fit_sample(rows: DataFrame, n: int, most: int) -> DataFrame:
+    """The ``most`` of ``n`` rows with the smallest hash of their id.  A hash
+    bound goes first, so that about that many texts move, however many tasks
+    and rows there are; where many rows share ids it may be fewer."""
+    share = min(1.0, (most + 12 * most ** 0.5 + 64) / max(n, 1))
+    bound = -(1 << 63) + int(share * ((1 << 64) - 1))
+    h = F.xxhash64("id")
+    return rows.where(h <= F.lit(bound)).orderBy(h, "id").limit(most)
+
+
+def train(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality",
+          fit_rows: int = FIT_ROWS, min_rows: int = MIN_ROWS) -> dict:
     """Model of the labelled rows: scale and weight arrays, slope, offset.
 
+    ``fit_rows`` bounds the rows of the linear fit; n-grams of fewer than
+    ``min_rows`` labelled rows have no ratio (1: all have one).
+
     Rows whose label is not 0 or 1 are not read.  With fewer than one row of
     either class the model gives every text the share of label 1 (0.5 without
     rows).
@@ -255,15 +269,15 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", label
     n = counts[:, BIAS]
     if not n.min():
         return {"rest": float(n[1] / n.sum()) if n.sum() else 0.5}
-    kept = stored(_count_grams(rows).where(F.col("neg") + F.col("pos") >= MIN_ROWS), "quality-grams")
+    kept = stored(_count_grams(rows).where(F.col("neg") + F.col("pos") >= min_rows), "quality-grams")
     size, *sums = kept.agg(F.count("*"), *(F.coalesce(F.sum(c), F.lit(0)) for c in ("neg", "pos"))).first()
-    seen = counts.sum(axis=0) >= MIN_ROWS
+    seen = counts.sum(axis=0) >= min_rows
     seen[BIAS] = False
     total = counts[:, seen].sum(axis=1) + np.array(sums) + SMOOTH * max(seen.sum() + size, 1)
     scale = np.where(seen, log_ratio(*counts, total), 0.0)
     scale[BIAS] = 1
     files = _write_ratios(kept, size, total)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS)
+    sample = fit_sample(rows, int(n.sum()), fit_rows)
 
     def fit(batches):
         table = Grams(*files)
