@@ -119,7 +119,7 @@ def train_profiles(df: DataFrame, text: str = "text", lang: str = "lang", dims:
 
 
 def identify(df: DataFrame, profiles: dict, text: str = "text", out: str = "lang_pred",
-             score: str = "score", lettered: str | None = None) -> DataFrame:
+             score: str = "score", lettered: str | None = None, keep_text: bool = True) -> DataFrame:
     """``df`` plus ``out`` and ``score``.
 
     ``score`` is the cosine with the chosen prototype, 0 where negative.  Ties
@@ -127,12 +127,14 @@ def identify(df: DataFrame, profiles: dict, text: str = "text", out: str = "lang
     letter, and any text under an empty model, gets ``und`` and 0.  Existing
     columns with the output names are replaced.  ``lettered`` names a further
     column that says whether the text has a letter, whatever the label.
+    Without ``keep_text`` the text itself is left out.
     """
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
     flag = [lettered] if lettered else []
     df = df.drop(out, score, *flag)
-    schema = StructType([*df.schema.fields, StructField(out, StringType()), StructField(score, DoubleType()),
+    kept = [i for i, c in enumerate(df.columns) if keep_text or c != text]
+    schema = StructType([*(df.schema.fields[i] for i in kept), StructField(out, StringType()), StructField(score, DoubleType()),
                          *(StructField(c, BooleanType()) for c in flag)])
     names = [*profiles, UNDETERMINED]
     proto = np.array([*profiles.values()], np.float32).T if profiles else None
@@ -162,7 +164,7 @@ def identify(df: DataFrame, profiles: dict, text: str = "text", out: str = "lang
                 pick[i:i + rows] = np.where(has, top, len(names) - 1)
                 best[i:i + rows] = np.where(has, np.clip(cos[np.arange(rows), top], 0, 1), 0)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(names).take(pa.array(pick)), pa.array(best), *(pa.array(some) for _ in flag)],
+                [*(b.column(i) for i in kept), pa.array(names).take(pa.array(pick)), pa.array(best), *(pa.array(some) for _ in flag)],
                 schema.names)
 
     return df.mapInArrow(run, schema)

@@ -3,6 +3,7 @@ import re
 
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from conftest import SF_MID, SF_SMALL
@@ -70,7 +71,7 @@ def test_stage_edges(spark, odd, name):
     out = stage(spark, odd, SF_SMALL)
     if name != "pieces":
         assert out.dtypes == odd.dtypes
-    n = {"language": 5, "near_duplicates": 6, "decontamination": 8, "pieces": 8}.get(name)
+    n = {"language": 5, "near_duplicates": 5, "decontamination": 8, "pieces": 8}.get(name)
     got = out.collect()
     assert n is None or len(got) == n
     if name == "repeated_passages":
@@ -106,7 +107,7 @@ def test_shared_ids_are_judged_by_text(spark, shared):
     assert left == {r for i, r in enumerate(rows) if i not in (0, 2)}
 
     got = [(r.doc_id, r.text) for r in P.near_duplicates(spark, shared, SF_SMALL).collect()]
-    assert sorted(map(str, got)) == sorted(str(r) for i, r in enumerate(rows) if i not in (10, 13))
+    assert sorted(map(str, got)) == sorted(str(r) for i, r in enumerate(rows) if i not in (0, 10, 13))
 
     cut = {(r.doc_id, r.text) for r in P.repeated_passages(spark, shared, SF_SMALL).collect()}
     assert (8, rows[5][1]) in cut and (9, rows[7][1]) in cut and (11, rows[11][1]) in cut and rows[3] in cut
@@ -120,3 +121,44 @@ def test_language_stage_keeps_lettered_rows_whatever_the_labels(spark, lang):
     docs = spark.createDataFrame([(1, "some words", lang), (2, "12 34", lang), (3, None, lang), (4, "más", lang)],
                                  "doc_id long, text string, lang string")
     assert {r.doc_id for r in P.language(spark, docs, SF_SMALL).collect()} == {1, 4}
+
+
+NAMES = ["_row", "_own", "_id", "_text", "_cut", "_none", "_before", "_lang_pred", "_lettered", "user", "id", "t", "th",
+         "row", "own", "of", "gone", "score", "lettered", "lang_pred", "before", "component_id", "copies"]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in P.STAGES[:4]])
+def test_columns_of_any_name_pass_through(spark, shared, name):
+    wide = shared.drop("component_id")
+    for i, c in enumerate(NAMES):
+        wide = wide.withColumn(c, F.concat(F.lit(f"{c}:"), F.substring("text", 1, 9)))
+    out = dict(P.STAGES)[name](spark, wide, SF_SMALL)
+    assert out.dtypes == wide.dtypes
+    plain = dict(P.STAGES)[name](spark, shared, SF_SMALL)
+    rows = out.collect()
+    assert sorted(str((r.doc_id, r.text)) for r in rows) == sorted(str((r.doc_id, r.text)) for r in plain.collect())
+    before = {r.text[:9] for r in shared.collect()}
+    assert rows and all(r[c].startswith(f"{c}:") and r[c][len(c) + 1:] in before for r in rows for c in NAMES)
+
+
+def test_near_copies_without_an_id(spark):
+    def text(*extra):
+        return " ".join([*(f"w{i}" for i in range(60)), *extra])
+    rows = [(None, text()), (None, text("end")), (4, text("x")), (None, "a b c d e f"), (None, "a b c d e f"), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in P.near_duplicates(spark, df, SF_SMALL).collect()), key=str)
+    assert got == sorted([rows[2], rows[3], rows[5]], key=str)
+
+
+def test_language_stage_rejects_by_the_profiles(spark):
+    """A text that has nothing in common with any learned language goes."""
+    import numpy as np
+    rows = [(i, " ".join(w), lang) for i, (lang, w) in enumerate(
+        [("en", ["the", "house", "and", "the", "river"]), ("de", ["das", "haus", "und", "der", "fluss"])] * 5)]
+    rows.append((99, "qxz " * 3, None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = langid.train_profiles(docs)
+    scores = {r.doc_id: r.score for r in langid.identify(docs, profiles).collect()}
+    kept = {r.doc_id for r in P.language(spark, docs, SF_SMALL).collect()}
+    assert kept == {i for i, s in scores.items() if s > 0} and set(range(10)) <= kept
+    assert np.isclose(min(scores.values()), 0) == (99 not in kept)
