@@ -90,5 +90,29 @@ D_THR_SCORED = ("ts_scored", """SELECT 'threshold' AS model, cast("window" as bi
     cast(flow_count as double) AS score, cast(flow_count > threshold as int) AS pred FROM te, thr""")
 
 
+# Confusion rates and tie-aware AUC of scored rows
+D_RATES = """SELECT {by}, tp, fp, fn, tn,
+    CASE WHEN tp+fp > 0 THEN tp/(tp+fp) ELSE 0.0 END AS precision,
+    CASE WHEN tp+fn > 0 THEN tp/(tp+fn) ELSE 0.0 END AS recall,
+    CASE WHEN 2*tp+fp+fn > 0 THEN 2*tp/(2*tp+fp+fn) ELSE 0.0 END AS f1_score,
+    CASE WHEN fp+tn > 0 THEN fp/(fp+tn) ELSE 0.0 END AS fpr,
+    CASE WHEN fn+tp > 0 THEN fn/(fn+tp) ELSE 0.0 END AS fnr
+  FROM (SELECT {by},
+    count(*) FILTER (WHERE label = 1 AND pred = 1) AS tp,
+    count(*) FILTER (WHERE label <> 1 AND pred = 1) AS fp,
+    count(*) FILTER (WHERE label = 1 AND pred <> 1) AS fn,
+    count(*) FILTER (WHERE label <> 1 AND pred <> 1) AS tn
+  FROM {src} GROUP BY {by}) c"""
+
+D_AUC = """SELECT model, CASE WHEN sum(pos) > 0 AND sum(neg) > 0
+    THEN sum(pos * (coalesce(neg_below, 0) + 0.5 * neg)) / (cast(sum(pos) as double) * cast(sum(neg) as double))
+    END AS roc_auc FROM (
+      SELECT model, score, pos, neg,
+        sum(neg) OVER (PARTITION BY model ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS neg_below
+      FROM (SELECT model, score, count(*) FILTER (WHERE label = 1) AS pos,
+                   count(*) FILTER (WHERE label <> 1) AS neg FROM {src} GROUP BY model, score) g) c
+    GROUP BY model"""
+
+
 def duck(bindings, *ctes, select):
     return B.duck_with(list(bindings), *ctes, select=select)

@@ -9,7 +9,7 @@ from flowsentry.operators import baselines as BL
 from flowsentry.operators import evaluation as EV
 from flowsentry.plans.catalog import query
 from flowsentry.plans.common import (
-    D_FC, D_SPLIT, D_THR, D_THR_SCORED, D_WF, duck, train_test,
+    D_AUC, D_FC, D_RATES, D_SPLIT, D_THR, D_THR_SCORED, D_WF, duck, train_test,
 )
 from flowsentry.sources import bindings as B
 
@@ -36,34 +36,12 @@ def q_thr_pred(spark, sf):
     return _thr_scored(spark, sf)
 
 
-_D_RATES = """SELECT {by}, tp, fp, fn, tn,
-    CASE WHEN tp+fp > 0 THEN tp/(tp+fp) ELSE 0.0 END AS precision,
-    CASE WHEN tp+fn > 0 THEN tp/(tp+fn) ELSE 0.0 END AS recall,
-    CASE WHEN 2*tp+fp+fn > 0 THEN 2*tp/(2*tp+fp+fn) ELSE 0.0 END AS f1_score,
-    CASE WHEN fp+tn > 0 THEN fp/(fp+tn) ELSE 0.0 END AS fpr,
-    CASE WHEN fn+tp > 0 THEN fn/(fn+tp) ELSE 0.0 END AS fnr
-  FROM (SELECT {by},
-    count(*) FILTER (WHERE label = 1 AND pred = 1) AS tp,
-    count(*) FILTER (WHERE label <> 1 AND pred = 1) AS fp,
-    count(*) FILTER (WHERE label = 1 AND pred <> 1) AS fn,
-    count(*) FILTER (WHERE label <> 1 AND pred <> 1) AS tn
-  FROM {src} GROUP BY {by}) c"""
-
-_D_AUC = """SELECT model, CASE WHEN sum(pos) > 0 AND sum(neg) > 0
-    THEN sum(pos * (coalesce(neg_below, 0) + 0.5 * neg)) / (cast(sum(pos) as double) * cast(sum(neg) as double))
-    END AS roc_auc FROM (
-      SELECT model, score, pos, neg,
-        sum(neg) OVER (PARTITION BY model ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS neg_below
-      FROM (SELECT model, score, count(*) FILTER (WHERE label = 1) AS pos,
-                   count(*) FILTER (WHERE label <> 1) AS neg FROM {src} GROUP BY model, score) g) c
-    GROUP BY model"""
-
 _RATE_DOUBLES = ["precision", "recall", "f1_score", "fpr", "fnr"]
 
 
 @query("sigma_report", duck(["flows"], *_THR_CHAIN, D_THR_SCORED,
-                            ("rates", _D_RATES.format(by="model", src="ts_scored")),
-                            ("auc", _D_AUC.format(src="ts_scored")),
+                            ("rates", D_RATES.format(by="model", src="ts_scored")),
+                            ("auc", D_AUC.format(src="ts_scored")),
                             select="""SELECT model, precision, recall, f1_score, roc_auc, fpr, fnr, tp, tn, fp, fn
                                       FROM rates JOIN auc USING (model)"""),
        _RATE_DOUBLES + ["roc_auc"])
@@ -81,13 +59,13 @@ def q_confusion(spark, sf):
     return EV.confusion(B.scored(spark, sf))
 
 
-@query("detection_metrics", duck(["scored"], select=_D_RATES.format(by="model", src="scored")),
+@query("detection_metrics", duck(["scored"], select=D_RATES.format(by="model", src="scored")),
        _RATE_DOUBLES)
 def q_detection_metrics(spark, sf):
     return EV.detection_metrics(B.scored(spark, sf))
 
 
-@query("roc_auc", duck(["scored"], select=_D_AUC.format(src="scored")), ["roc_auc"])
+@query("roc_auc", duck(["scored"], select=D_AUC.format(src="scored")), ["roc_auc"])
 def q_roc_auc(spark, sf):
     """Tie-aware AUC, two-level cumulative over distinct scores."""
     return EV.roc_auc(B.scored(spark, sf))
@@ -110,8 +88,8 @@ def q_roc_curve(spark, sf):
 @query("threshold_sweep", duck(["scored"],
         ("th", "SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]) AS threshold"),
         ("x", "SELECT model, threshold, label, cast(score >= threshold as int) AS pred FROM scored, th"),
-        ("rates", _D_RATES.format(by="model, threshold", src="x")),
-        ("auc", _D_AUC.format(src="scored")),
+        ("rates", D_RATES.format(by="model, threshold", src="x")),
+        ("auc", D_AUC.format(src="scored")),
         select="""SELECT model, threshold, precision, recall, f1_score, roc_auc
                   FROM rates JOIN auc USING (model)"""),
        ["threshold", "precision", "recall", "f1_score", "roc_auc"])
@@ -150,8 +128,8 @@ def q_confusion_pct(spark, sf):
 _D_REPORT = ("rep", "SELECT * FROM rates JOIN auc USING (model)")
 
 
-@query("model_deltas", duck(["scored"], ("rates", _D_RATES.format(by="model", src="scored")),
-        ("auc", _D_AUC.format(src="scored")), _D_REPORT,
+@query("model_deltas", duck(["scored"], ("rates", D_RATES.format(by="model", src="scored")),
+        ("auc", D_AUC.format(src="scored")), _D_REPORT,
         ("lng", "UNPIVOT (SELECT model, precision, recall, f1_score, roc_auc FROM rep) ON precision, recall, f1_score, roc_auc INTO NAME metric VALUE value"),
         select="""SELECT metric, base_value, other_value, other_value - base_value AS delta,
             (other_value - base_value) / greatest(base_value, 0.001) AS relative FROM (
@@ -163,8 +141,8 @@ def q_model_deltas(spark, sf):
     return EV.model_deltas(EV.evaluation_report(B.scored(spark, sf)), "a", "b")
 
 
-@query("best_model", duck(["scored"], ("rates", _D_RATES.format(by="model", src="scored")),
-        ("auc", _D_AUC.format(src="scored")), _D_REPORT,
+@query("best_model", duck(["scored"], ("rates", D_RATES.format(by="model", src="scored")),
+        ("auc", D_AUC.format(src="scored")), _D_REPORT,
         select="""SELECT arg_max(model, struct_pack(v := f1_score, o := -mo)) AS best_model,
                          max(f1_score) AS best_value, 'f1_score' AS metric
                   FROM (SELECT *, CASE model WHEN 'a' THEN 0 ELSE 1 END AS mo FROM rep) r"""),

@@ -61,14 +61,21 @@ def q_stream_windows(spark, sf):
     return _stream_windows(spark, sf)
 
 
-@query("stream_score")
+_SCORED = """SELECT "window", label, flow_count, avg_duration, avg_bytes, true AS probability_in_range,
+    true AS pred_follows_probability FROM aw WHERE NOT (flow_count = 0 AND avg_duration = 0 AND avg_bytes = 0)"""
+
+
+@query("stream_score", duck(["flows"], D_FC, _AW, select=_SCORED), ["avg_duration", "avg_bytes"])
 def q_stream_score(spark, sf):
     """The window stream scored by the forest fitted on the training split."""
     train, _ = train_test(spark, sf)
     model = FR.fit_forest(train)
     stream, t0 = _flow_stream(spark, sf)
     scored = stream_score(stream_windows(stream, t0, W, 0.0), model)
-    return run_available_now(spark, scored, "stream-score")
+    p = F.col("attack_probability")
+    return run_available_now(spark, scored, "stream-score").select(
+        "window", "label", "flow_count", "avg_duration", "avg_bytes", p.between(0.0, 1.0).alias("probability_in_range"),
+        ((F.col("pred") == 1) == (p > 0.5)).alias("pred_follows_probability"))
 
 
 _TTA = """SELECT {cols}first_attack_label_ts, first_detection_ts,
@@ -174,7 +181,9 @@ def q_stream_protocol_counts(spark, sf):
     return run_complete_snapshot(spark, stream_counts(stream), "protocol-counter")
 
 
-@query("live_gauges")
+@query("live_gauges", duck(["flows"], D_FC, _AW, select=f"""SELECT m.metric, "window" * {W} AS ts, true AS value_in_range
+    FROM aw, (SELECT unnest(['ai_anomaly_score', 'ai_attack_probability']) AS metric) m
+    WHERE NOT (flow_count = 0 AND avg_duration = 0 AND avg_bytes = 0)"""), ["ts"])
 def q_live_gauges(spark, sf):
     """T4 + T5 + S8: the live path (windows, forest, gauges) drained once; the
     published prediction and probability samples."""
@@ -184,4 +193,7 @@ def q_live_gauges(spark, sf):
     out = scratch_path(spark, "live-gauges")
     start_live_detector(stream, model, t0, W, out, scratch_path(spark, "live-checkpoint"), 0.0,
                         available_now=True).awaitTermination()
-    return spark.read.schema("metric string, ts double, value double").parquet(f"{out}/batch_id=*")
+    value = F.col("value")
+    return spark.read.schema("metric string, ts double, value double").parquet(f"{out}/batch_id=*").select(
+        "metric", "ts", F.when(F.col("metric") == "ai_anomaly_score", value.isin(0.0, 1.0)).otherwise(
+            value.between(0.0, 1.0)).alias("value_in_range"))
