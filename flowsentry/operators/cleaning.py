@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from flowsentry.functions.scalar import clean_numeric, coerce_zero, is_infinite
@@ -122,6 +122,39 @@ def quality_gate(df: DataFrame, required: Sequence[str] = FLOW_REQUIRED,
                     (F.col("n_valid") > 0).alias("ok"), (F.col("n_attack") > 0).alias("attack_ok"))
 
 
+GATE = "flow_gate"
+
+
+def gated_flows(raw: DataFrame, strict: bool = False, watch: Observation | str = GATE,
+                required: Sequence[str] = FLOW_REQUIRED) -> DataFrame:
+    """Cleaned flows that count themselves as they are scanned: ``observe``
+    sums (``n_rows, n_valid, n_attack, n_infinite``) over the rows that pass, so
+    the gate needs no scan of its own.  In a batch ``watch`` is an
+    ``Observation``, to be read after the action; on a stream it is a name, and
+    every progress report has the sums of its micro-batch under it.  A missing
+    column raises at once."""
+    missing = [c for c in required if c not in raw.columns]
+    if missing:
+        raise ValueError(f"missing required columns: {','.join(missing)}")
+    odd = F.lit(0)
+    for c in (*FLOW_NUMERIC, "duration"):
+        if c in raw.columns:
+            odd = odd + is_infinite(c).cast("int")
+    d = clean_flows(raw.withColumn("_infinite", odd), strict)
+    valid = F.col("duration") > 0
+    return d.observe(watch, F.count(F.lit(1)).alias("n_rows"), F.count_if(valid).alias("n_valid"),
+                     F.count_if(valid & (F.col("label") == 1)).alias("n_attack"),
+                     F.coalesce(F.sum("_infinite"), F.lit(0)).alias("n_infinite")).drop("_infinite")
+
+
+def gate_row(spark, sums: dict) -> DataFrame:
+    """The report of ``quality_gate`` from observed sums (no rows: zeros)."""
+    n = {c: int(sums.get(c) or 0) for c in ("n_rows", "n_valid", "n_attack", "n_infinite")}
+    return spark.createDataFrame(
+        [("", *n.values(), n["n_valid"] > 0, n["n_attack"] > 0)],
+        "missing_columns string, n_rows long, n_valid long, n_attack long, n_infinite long, ok boolean, attack_ok boolean")
+
+
 def validate_flows(df: DataFrame, required: Sequence[str] = FLOW_REQUIRED) -> dict:
     """Raise on a missing column or an empty valid set; return the gate row.
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
-
-from flowsentry.operators.prefix import small_side, sorted_rank
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowsentry.operators.prefix import range_running, small_side, sorted_rank
+
 
 def _stack(df: DataFrame, metrics: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Turn one row of ``<metric>_<field>`` columns into one row per metric."""
@@ -50,16 +50,17 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     """Exact linear-interpolation quantiles without gathering the column.
 
     1. ``percentile_approx`` gives, per key, a value band around each target
-       rank (its rank error is at most n / accuracy, so a band of +-3n/accuracy
-       ranks always holds the answer); a key with at most ``accuracy`` rows
-       is banded whole;
+       rank.  Its rank error is at most n / accuracy (and one rank), so a band
+       of 3n / accuracy ranks and at least three on either side holds the
+       answer; the sketch is asked for bands of doubling width and each key
+       takes the first that is wide enough for its n;
     2. in one pass every row emits one histogram entry (how many band floors
        it reaches, for the "rows below the band" counts) plus one entry per
        band that contains it -- about one row out per row in, no join with
        the target list;
     3. band values are grouped (ties collapse, so a hot value is one row),
-       ranked by a running count over the band, and the two order statistics
-       around ``p * (n - 1)`` are interpolated.
+       ranked by a running count over ranges of the band, and the two order
+       statistics around ``p * (n - 1)`` are interpolated.
 
     Returns one row per key with ``q0, q1, ...`` (same order as ``probs``).
     """
@@ -69,17 +70,17 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     n_t = len(ps)
     x = F.col(col).cast("double")
     d = df.where(x.isNotNull()).select(*by, x.alias("_x"))
-    eps = 3.0 / accuracy
+    eps, steps = 3.0 / accuracy, 1
+    while eps * 2 ** (steps - 1) < 1:
+        steps += 1
+    wide = [eps * 2 ** i for i in range(steps)]
     stats = d.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_x", [max(0.0, p - eps) for p in ps], accuracy).alias("_lo"),
-        F.percentile_approx("_x", [min(1.0, p + eps) for p in ps], accuracy).alias("_hi"))
-    whole = F.col("_n") <= accuracy
-    inf = [F.lit(float("inf"))] * n_t
-    st = stats.select(
-        *by, "_n",
-        F.when(whole, F.array(*[-v for v in inf])).otherwise(F.col("_lo")).alias("_lo"),
-        F.when(whole, F.array(*inf)).otherwise(F.col("_hi")).alias("_hi"))
+        F.percentile_approx("_x", [max(0.0, p - e) for p in ps for e in wide], accuracy).alias("_lo"),
+        F.percentile_approx("_x", [min(1.0, p + e) for p in ps for e in wide], accuracy).alias("_hi"))
+    step = F.least(F.lit(steps - 1), F.greatest(F.lit(0), F.ceil(F.log2(F.lit(3.0 / eps) / F.col("_n"))))).cast("int")
+    pick = lambda c: F.array(*[F.element_at(c, step + 1 + t * steps) for t in range(n_t)]).alias(c)
+    st = stats.select(*by, "_n", pick("_lo"), pick("_hi"))
     # one row per key
     j = d.join(small_side(st), by) if by else d.crossJoin(F.broadcast(st))
     j = sorted_rank(j, "_lo", F.col("_x"), "_reach", n_t, inclusive=True)
@@ -99,8 +100,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
         F.sum("_c").alias("_n"),
         *[F.sum(F.when(F.col("i") <= t, F.col("_c")).otherwise(F.lit(0))).alias(f"_b{t}")
           for t in range(n_t)])
-    w = Window.partitionBy(*by, "i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    band = g.where(F.col("k") == 1).withColumn("_cum", F.sum("_c").over(w))
+    band = range_running(g.where(F.col("k") == 1), [*by, "i"], ["v"], "_c", "_cum")
     band = band.join(small_side(below), by) if by else band.crossJoin(F.broadcast(below))
     below_t = F.lit(0)
     for t in range(n_t):
@@ -184,3 +184,30 @@ def time_to_first_attack(df: DataFrame, warmup: float = 60.0, ts: str = "ts",
     """First attack time minus the warm-up (NULL when there is no attack)."""
     return df.agg((F.min(F.when(F.col(label) == 1, F.col(ts))) - F.lit(float(warmup)))
                   .alias("time_to_first_attack"))
+
+
+# ----------------------------------------------------------------------------
+# mergeable sketches
+# ----------------------------------------------------------------------------
+
+SKETCH_K = 400
+#: rank error of a merged sketch of ``SKETCH_K`` (share of the rows)
+SKETCH_ERROR = 0.01
+
+
+def daily_sketches(df: DataFrame, col: str, ts: str = "ts", by: Sequence[str] = (), k: int = SKETCH_K) -> DataFrame:
+    """One row per key and UTC day: ``day, n, sketch`` (a KLL sketch of a few
+    kilobytes).  Days are sketched once, stored, and merged later, so a quantile
+    of any span of days needs no look at the rows again.  Null values are left
+    out, a day without any has no row."""
+    x = F.col(col).cast("double")
+    day = F.floor(F.col(ts) / 86400).cast("bigint")
+    return df.where(x.isNotNull()).groupBy(*by, day.alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(x, k).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """``n, q0, q1, ...`` per key of merged sketches, within ``SKETCH_ERROR`` in rank."""
+    merged = sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("_s"))
+    return merged.select(*by, "n", *[F.kll_sketch_get_quantile_double("_s", F.lit(float(p))).alias(f"q{i}")
+                                     for i, p in enumerate(probs)])

@@ -3,6 +3,7 @@ A1-A3, A17, A19, A21, W1-W3, J4, O1)."""
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from flowsentry.functions.scalar import window_id
@@ -14,6 +15,7 @@ from flowsentry.plans.catalog import query
 from flowsentry.plans.common import (
     D_FC, D_SPLIT, D_WF, W, d_clean, d_coerce, duck, flows_clean, split_windows, windows,
 )
+from flowsentry.session import scratch_path
 from flowsentry.sources import bindings as B
 
 _FC_DOUBLES = ["ts", "duration", "src_bytes", "dst_bytes", "src_pkts", "dst_pkts"]
@@ -97,6 +99,21 @@ def q_quality_gate(spark, sf):
     return C.quality_gate(C.clean_flows(raw), raw=raw)
 
 
+@query("gate_inside_scan", duck(["flows"], ("odd", f"SELECT label, {_ODD} AS d FROM flows"),
+        ("gate", f"""SELECT label, {d_coerce('d')} AS duration, d = '1e999' AS inf FROM odd"""),
+        select="""SELECT '' AS missing_columns, count(*) AS n_rows,
+    count(*) FILTER (WHERE duration > 0) AS n_valid,
+    count(*) FILTER (WHERE duration > 0 AND label = 1) AS n_attack, count(*) FILTER (WHERE inf) AS n_infinite,
+    count(*) FILTER (WHERE duration > 0) > 0 AS ok,
+    count(*) FILTER (WHERE duration > 0 AND label = 1) > 0 AS attack_ok FROM gate"""))
+def q_gate_inside_scan(spark, sf):
+    """S12 + A1: the same gates, counted by the scan that builds the windows."""
+    seen = Observation()
+    flows = C.gated_flows(B.flows(spark, sf).withColumn("duration", F.expr(_ODD)), watch=seen)
+    WN.window_features(flows, W).write.parquet(scratch_path(spark, "gated-windows"))
+    return C.gate_row(spark, seen.get)
+
+
 @query("dropna_windows", duck(["flows"], D_FC, D_WF, select="""SELECT * FROM wf WHERE "window" IS NOT NULL
     AND flow_count IS NOT NULL AND avg_duration IS NOT NULL AND src_bytes IS NOT NULL
     AND dst_bytes IS NOT NULL AND avg_bytes IS NOT NULL AND label IS NOT NULL"""), _WF_DOUBLES)

@@ -3,13 +3,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from flowsentry.operators import evaluation as EV
 from flowsentry.operators import logs as LG
 from flowsentry.plans.catalog import query
 from flowsentry.plans.common import duck
 from flowsentry.session import scratch_path
 from flowsentry.sources import bindings as B
-from flowsentry.sources.files import read_flows, read_logs, write_report
+from flowsentry.sources.files import FLOW_RAW, read_csv_checked, read_flows, read_logs, write_report
 
 REPORT_SCHEMA = ("model string, precision double, recall double, f1_score double, roc_auc double, "
                  "fpr double, fnr double, tp long, tn long, fp long, fn long")
@@ -87,3 +89,28 @@ def q_error_counts(spark, sf):
 def q_error_head(spark, sf):
     """First 20 matching lines per source of the log files (two-level top-k)."""
     return LG.error_head(_written_logs(spark, sf), 20)
+
+
+# every 50th flow's line lacks its last fields, has two more, or an open quote
+_BROKEN = "CASE event_id % 50 WHEN 7 THEN 'too few fields' WHEN 8 THEN 'too many fields' WHEN 9 THEN 'open quote' END"
+
+
+@query("malformed_lines", duck(["flows"], ("b", f"SELECT event_id, {_BROKEN} AS reason FROM flows"),
+        select="""SELECT coalesce(reason, 'good') AS kind, count(*) AS n, cast(sum(event_id) AS bigint) AS ids,
+                  (SELECT count(*) FROM flows) AS n_lines FROM b GROUP BY 1"""))
+def q_malformed_lines(spark, sf):
+    """S1 + P19: flow lines as text, some broken; read with rejects.  The sum of
+    event ids shows that each line landed once, with its own first field."""
+    flows = B.flows(spark, sf)
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in flows.columns]
+    whole = F.concat_ws(",", *fields)
+    kind = F.expr(_BROKEN)
+    line = F.when(kind == "too few fields", F.concat_ws(",", *fields[:-3])) \
+        .when(kind == "too many fields", F.concat(whole, F.lit(",x,y"))) \
+        .when(kind == "open quote", F.concat_ws(",", fields[0], F.concat(F.lit('"'), fields[1]), *fields[2:])).otherwise(whole)
+    flows.select(line.alias("value")).write.text(path := scratch_path(spark, "malformed"))
+    good, rejects = read_csv_checked(spark, path, FLOW_RAW)
+    n = spark.read.text(path).agg(F.count(F.lit(1)).alias("n_lines"))
+    both = good.select(F.lit("good").alias("kind"), "event_id").unionByName(
+        rejects.select(F.col("reason").alias("kind"), F.split("line", ",")[0].cast("long").alias("event_id")))
+    return both.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids")).crossJoin(F.broadcast(n))

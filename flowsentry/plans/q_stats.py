@@ -57,6 +57,26 @@ def q_trimmed(spark, sf):
     return ST.trimmed_stats(B.measurements(spark, sf), "latency", 0.99)
 
 
+_SKETCH_PROBS = (0.01, 0.25, 0.5, 0.9, 0.99)
+
+
+@query("latency_sketches", duck(["measurements"], select=f"""SELECT label, p, count(*) AS n, true AS within_error
+    FROM measurements, (SELECT unnest({list(_SKETCH_PROBS)}::DOUBLE[]) AS p) x GROUP BY ALL"""), ["p"])
+def q_latency_sketches(spark, sf):
+    """Quantiles from stored daily sketches, merged per class; a merged
+    quantile has about its share of the rows below it (ties: on either side)."""
+    m = B.measurements(spark, sf).withColumn("ts", F.col("sample") * F.lit(3600.0))
+    ST.daily_sketches(m, "latency", by=["label"]).write.parquet(path := scratch_path(spark, "latency-sketches"))
+    q = ST.sketch_quantiles(spark.read.parquet(path), _SKETCH_PROBS, ["label"])
+    long = q.select("label", "n", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"q{i}").alias("q"))
+                                                      for i, p in enumerate(_SKETCH_PROBS)])).alias("x")).select("label", "n", "x.*")
+    below = m.join(F.broadcast(long), "label").groupBy("label", "p", "n").agg(
+        F.count_if(F.col("latency") < F.col("q")).alias("lo"), F.count_if(F.col("latency") <= F.col("q")).alias("hi"))
+    err = F.col("n") * ST.SKETCH_ERROR + 1
+    return below.select("label", "p", "n", ((F.col("lo") <= F.col("p") * F.col("n") + err)
+                                            & (F.col("hi") >= F.col("p") * F.col("n") - err)).alias("within_error"))
+
+
 def _bins(n):
     return duck(["measurements"],
         ("r", """SELECT CASE WHEN max(latency) > min(latency) THEN min(latency) ELSE min(latency) - 0.5 END AS lo,

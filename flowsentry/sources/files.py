@@ -53,6 +53,36 @@ def read_flows(spark: SparkSession, path: str, fmt: str = "csv",
     return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
 
 
+LINE = "_line"
+
+
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType, header: str | None = None, sep: str = ",",
+                     streaming: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(good, rejects)`` of a delimited file: every line is in one of them.
+
+    A line with a field too few or too many, a quote that is not closed, or a
+    field its column cannot hold lands in ``rejects`` with the raw ``line`` and
+    the ``reason``; it is neither padded nor cut nor guessed.  Lines are read as
+    text and parsed with a corrupt-record column, so each is at hand whole.  A
+    doubled quote stands for one.  Lines equal to ``header`` and empty lines are
+    no lines.
+    """
+    wide = T.StructType([*schema.fields, T.StructField(LINE, T.StringType())])
+    raw = (spark.readStream if streaming else spark.read).text(path).where(F.length(F.trim("value")) > 0)
+    if header is not None:
+        raw = raw.where(F.col("value") != F.lit(header))
+    options = {"sep": sep, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": LINE}
+    line = F.col("value")
+    rows = raw.select(line, F.from_csv(line, wide.simpleString()[len("struct<"):-1].replace(":", " "), options).alias("r"))
+    open_quote = (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
+    n = F.size(F.split(F.regexp_replace(line, '"[^"]*"', ""), f"\\Q{sep}\\E"))
+    reason = F.when(open_quote, "open quote").when(F.col(f"r.{LINE}").isNotNull(), F.when(
+        n < len(schema), "too few fields").when(n > len(schema), "too many fields").otherwise("bad value"))
+    rows = rows.withColumn("reason", reason)
+    return rows.where("reason is null").select(*[F.col(f"r.{c}").alias(c) for c in schema.names]), \
+        rows.where("reason is not null").select(line.alias("line"), "reason")
+
+
 def read_sensor(spark: SparkSession, path: str) -> DataFrame:
     """Sensor trace by position: 0 = epoch seconds, 2 = device ip, 3 = temperature."""
     raw = spark.read.schema(SENSOR_RAW).option("header", True).csv(path)

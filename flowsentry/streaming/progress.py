@@ -25,12 +25,15 @@ def progress_samples(p) -> list[tuple]:
     """Metric samples of one progress report.  Late rows are those that the
     stateful operators dropped behind the watermark; an aggregation counts them
     after combining the rows of a batch, so once per group and batch.  Latency
-    is only given for a batch with input."""
+    is only given for a batch with input.  Sums that the query observes are
+    samples as well, named ``<observation>.<sum>``."""
     ts = datetime.fromisoformat(p.timestamp.replace("Z", "+00:00")).timestamp()
     late = sum(int(s.numRowsDroppedByWatermark or 0) for s in p.stateOperators or [])
     out = [(LATE, float(late)), (ROWS, float(p.numInputRows))]
     if p.numInputRows:
         out.append((LATENCY, float(p.durationMs.get("addBatch", 0))))
+    for name, sums in (p.observedMetrics or {}).items():
+        out += [(f"{name}.{k}", float(v)) for k, v in sums.asDict().items() if v is not None]
     return [(str(p.id), int(p.batchId), metric, ts, value) for metric, value in out]
 
 

@@ -59,3 +59,44 @@ def test_session_cluster_conf():
     from flowsentry.session import cluster_conf
     c = cluster_conf()
     assert c["spark.sql.adaptive.enabled"] == "true" and c["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_every_line_is_good_or_rejected(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from flowsentry.sources.files import read_csv_checked
+    lines = ["a,b,c", "1,x,2.5", '2,"y, z",3', "3,short", "4,x,1,extra,more", '5,"open,1', "x,x,1", "", "6,,", '7,"a ""b""",1']
+    (tmp_path / "f.csv").write_text("\n".join(lines) + "\n")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType()), T.StructField("c", T.DoubleType())])
+    good, rejects = read_csv_checked(spark, str(tmp_path / "f.csv"), schema, header="a,b,c")
+    assert sorted(map(tuple, good.collect())) == [(1, "x", 2.5), (2, "y, z", 3.0), (6, None, None), (7, 'a "b"', 1.0)]
+    assert {r.line: r.reason for r in rejects.collect()} == {
+        "3,short": "too few fields", "4,x,1,extra,more": "too many fields", '5,"open,1': "open quote", "x,x,1": "bad value"}
+    assert good.count() + rejects.count() == 8
+    assert good.select("a").count() + rejects.select("reason").count() == 8  # whatever columns are read
+
+
+def test_gate_sums_come_with_the_scan(spark):
+    from pyspark.sql import Observation
+
+    from flowsentry.operators.cleaning import gate_row, gated_flows, quality_gate, clean_flows
+    from flowsentry.session import scratch_path
+    from flowsentry.streaming.progress import recorded
+    raw = spark.createDataFrame([(float(i), ["1", "0", "x", "1e999"][i % 4], "5", "-", int(i % 3 == 0)) for i in range(40)],
+                                "ts double, duration string, src_bytes string, dst_bytes string, label int")
+    seen = Observation()
+    assert gated_flows(raw, watch=seen).where("duration > 0").count() == 10
+    assert gate_row(spark, seen.get).collect() == quality_gate(clean_flows(raw), raw=raw).collect()
+    plan = gated_flows(raw)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    # per micro-batch, as metric samples
+    for i in range(2):
+        raw.where(f"ts >= {20 * i} and ts < {20 * i + 20}").coalesce(1).write.parquet(f"{(src := scratch_path(spark, 't-gate'))}")
+        if i == 0:
+            first = src
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(first)
+    got = recorded(spark, scratch_path(spark, "t-gate-metrics"), lambda: gated_flows(stream).writeStream.format("noop").option(
+        "checkpointLocation", scratch_path(spark, "t-gate-ck")).trigger(availableNow=True).start())
+    sums = {r.metric: r.value for r in got.where("metric like 'flow_gate.%'").collect()}
+    assert sums == {"flow_gate.n_rows": 20.0, "flow_gate.n_valid": 5.0, "flow_gate.n_attack": sums["flow_gate.n_attack"],
+                    "flow_gate.n_infinite": 5.0}

@@ -48,3 +48,28 @@ def test_cross_validation_folds(spark):
     cv = cross_validate(spark.createDataFrame(pdf), k=3, trees=10, depth=5).toPandas()
     assert sorted(cv.fold) == [0, 1, 2] and (cv.f1 > 0.8).all()
     assert cv.mean_f1.iloc[0] == pytest.approx(cv.f1.mean()) and cv.std_f1.iloc[0] == pytest.approx(cv.f1.std(ddof=0))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 11, 100, 2500])
+def test_exact_quantiles_of_any_size(spark, n):
+    from flowsentry.operators.stats import exact_quantiles
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=n).round(2)
+    probs = [0.0, 0.005, 0.25, 0.5, 0.9, 0.99, 1.0]
+    for accuracy in (50, 1000):
+        got = exact_quantiles(spark.createDataFrame(pd.DataFrame({"x": x})), "x", probs, accuracy=accuracy).first()
+        assert [got[f"q{i}"] for i in range(len(probs))] == pytest.approx(list(np.quantile(x, probs)), abs=1e-12)
+
+
+def test_sketches_merge_over_days(spark):
+    from flowsentry.operators.stats import SKETCH_ERROR, daily_sketches, sketch_quantiles
+    rng = np.random.default_rng(4)
+    n = 60_000
+    pdf = pd.DataFrame({"ts": rng.random(n) * 86400 * 9, "k": rng.choice(["a", "b"], n), "x": rng.gamma(2, 1, n)})
+    days = daily_sketches(spark.createDataFrame(pdf), "x", by=["k"])
+    assert days.count() == 18 and max(len(r.sketch) for r in days.collect()) < 20_000
+    for r in sketch_quantiles(days, [0.1, 0.5, 0.99], ["k"]).collect():
+        x = np.sort(pdf.x[pdf.k == r.k])
+        assert r.n == len(x)
+        for q, p in ((r.q0, 0.1), (r.q1, 0.5), (r.q2, 0.99)):
+            assert abs(np.searchsorted(x, q) / len(x) - p) < SKETCH_ERROR
