@@ -16,6 +16,8 @@ from flowsentry.plans.common import (
 from flowsentry.session import scratch_path
 from flowsentry.sources import bindings as B
 from flowsentry.sources.files import read_metrics, write_report
+from flowsentry.sources.scrape import SCHEMA as SCRAPED
+from flowsentry.sources.scrape import scrape_stream
 
 _AW = ("aw", f"""SELECT cast(floor(ts / {W}) as bigint) AS "window",
     cast(count(*) FILTER (WHERE duration > 0) as bigint) AS flow_count,
@@ -140,6 +142,30 @@ def q_resample(spark, sf):
     return M.resample_last(B.metrics(spark, sf), 5.0)
 
 
+@query("scrape_resample", duck(["metrics"], select="""SELECT metric, device, (b + 1) * 5.0 AS ts, value FROM (
+    SELECT *, row_number() OVER (PARTITION BY metric, device, b ORDER BY ts DESC, seq DESC) AS rn FROM (
+      SELECT *, cast(floor(ts / 5.0) as bigint) AS b FROM metrics) a) r WHERE rn = 1"""), ["ts", "value"])
+def q_scrape_resample(spark, sf):
+    """S5 + T4 + W7: samples scraped tick by tick as a stream, in batches of at
+    most 100,000 five-second ticks, stopped and taken up again while files are
+    added; the resampled stream equals the batch."""
+    m = B.metrics(spark, sf).select("metric", F.col("device").cast("int").alias("device"), "ts",
+                                    F.col("seq").cast("long").alias("seq"), F.col("value").cast("double").alias("value"))
+    m = m.checkpoint(eager=True)
+    middle = F.broadcast(m.agg(((F.min("ts") + F.max("ts")) / 2).alias("_mid")))
+    src, out, ck = (scratch_path(spark, f"scrape-{x}") for x in ("files", "out", "ck"))
+    for late in (False, True):
+        half = m.crossJoin(middle).where((F.col("ts") >= F.col("_mid")) == F.lit(late)).drop("_mid")
+        half.repartitionByRange(4, "ts").write.mode("append").parquet(src)
+        stream = scrape_stream(spark, src, f"{ck}/ticks", max_ticks=100_000, closed=late)
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+    return M.resample_last(spark.read.schema(SCRAPED).parquet(out), 5.0)
+
+
 @query("lookback", duck(["metrics"], select="""SELECT * FROM metrics
     WHERE ts > (SELECT max(ts) FROM metrics) - 900.0"""), ["ts", "value"])
 def q_lookback(spark, sf):
