@@ -52,6 +52,12 @@ def _local(folder: str) -> str | None:
     return folder if folder.startswith("/") else None
 
 
+def _store(folder: str):
+    """Arrow's file system of a remote folder (``s3a`` is its ``s3``)."""
+    from pyarrow import fs
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
+
+
 def put(folder: str, name: str, a: np.ndarray) -> None:
     """Writes one array; complete files only appear under their final name, so
     a task that is lost or runs twice leaves a whole file."""
@@ -63,8 +69,7 @@ def put(folder: str, name: str, a: np.ndarray) -> None:
             np.save(f, a)
         os.replace(f"{path}/{part}", f"{path}/{name}.npy")
     else:
-        from pyarrow import fs
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = _store(folder)
         store.create_dir(base, recursive=True)
         with store.open_output_stream(f"{base}/{part}") as f:
             np.save(f, a)
@@ -72,17 +77,20 @@ def put(folder: str, name: str, a: np.ndarray) -> None:
 
 
 def get(folder: str, name: str) -> np.ndarray:
-    """Memory-maps one array (through a private copy where the shared folder
-    is a remote store)."""
+    """Memory-maps one array.  From a remote store it is copied first; the copy
+    loses its name at once, so it goes with the last task that maps it."""
     path = _local(folder)
-    if not path:
-        from pyarrow import fs
-        store, base = fs.FileSystem.from_uri(folder)
-        path = tempfile.mkdtemp(prefix="lm-")
-        with store.open_input_stream(f"{base}/{name}.npy") as f, open(f"{path}/{name}.npy", "wb") as out:
+    if path:
+        return np.load(f"{path}/{name}.npy", mmap_mode="r")
+    store, base = _store(folder)
+    copy, own = tempfile.mkstemp(prefix="lm-", suffix=".npy")
+    try:
+        with store.open_input_stream(f"{base}/{name}.npy") as f, os.fdopen(copy, "wb") as out:
             while block := f.read(1 << 22):
                 out.write(block)
-    return np.load(f"{path}/{name}.npy", mmap_mode="r")
+        return np.load(own, mmap_mode="r")
+    finally:
+        os.remove(own)
 
 
 # ---- tokens --------------------------------------------------------------
@@ -199,6 +207,8 @@ def train(df: DataFrame, text: str = "text") -> dict:
              "d1": [0.5, 1, 1.5], "step": 1, "bounds": [0], "full": [], "left_total": 0, "left_n": [0, 0, 0]}
     if not size:
         return model
+    if size >= 1 << 32:
+        raise ValueError("more than 2 ** 32 different words: a pair key holds two ids of 32 bits")
     bits = max(0, int(np.ceil(np.log2(size / VOCAB_SHARD)))) if size > VOCAB_SHARD else 0
 
     def write_words(batches):
@@ -283,7 +293,7 @@ def train(df: DataFrame, text: str = "text") -> dict:
             ctx = (key >> np.uint64(32)).astype(np.int64) - (bounds[s] >> 32)
             span = int((bounds[s + 1] - 1 >> 32 if s + 1 < shards else size) - (bounds[s] >> 32)) + 1
             put(folder, f"pair-{s}", key)
-            put(folder, f"pairn-{s}", n.astype(np.uint32))
+            put(folder, f"pairn-{s}", n.astype(np.uint32 if n.max() < 1 << 32 else np.uint64))
             put(folder, f"ctx-{s}", np.stack([np.bincount(ctx, x, span) for x in (
                 n, n == 1, n == 2, n > 2)]).astype(np.int64))
             w, left = np.unique(key & np.uint64(0xFFFFFFFF), return_counts=True)

@@ -103,3 +103,22 @@ def test_frequent_context_is_split(spark, monkeypatch):
     assert len(got) == len(held)
     for r in got:
         assert math.isclose(r.score, want[r.doc_id][3], rel_tol=1e-9)
+
+
+def test_arrays_through_a_store(tmp_path, monkeypatch):
+    """A folder that only a store opens: mapped from a copy that leaves no file."""
+    import os
+    import tempfile
+
+    import numpy as np
+    from pyarrow import fs
+
+    from flowsentry.llm import lm
+    monkeypatch.setattr(lm, "_local", lambda folder: None)
+    monkeypatch.setattr(lm, "_store", lambda folder: (fs.LocalFileSystem(), str(tmp_path / "far")))
+    monkeypatch.setattr(tempfile, "tempdir", str(tmp_path / "near"))
+    os.makedirs(tmp_path / "near")
+    a = np.arange(100_000)
+    lm.put("far://x", "a", a)
+    got = lm.get("far://x", "a")
+    assert isinstance(got, np.memmap) and (got == a).all() and not os.listdir(tmp_path / "near")
