@@ -247,7 +247,7 @@ def fit_sample(rows: DataFrame, n: int, most: int) -> DataFrame:
     bound goes first, so that about that many texts move, however many tasks
     and rows there are; where many rows share ids it may be fewer."""
     share = min(1.0, (most + 12 * most ** 0.5 + 64) / max(n, 1))
-    bound = -(1 << 63) + int(share * ((1 << 64) - 1))
+    bound = min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64)))
     h = F.xxhash64("id")
     return rows.where(h <= F.lit(bound)).orderBy(h, "id").limit(most)
 
