@@ -186,6 +186,28 @@ def q_split_overlap(spark, sf):
     return S.overlap(s.where(F.col("split") == "train"), s.where(F.col("split") == "test"))
 
 
+@query("split_overlap_found", duck(["flows"], D_FC, D_WF, *D_SPLIT, select="""SELECT count(*) AS n_overlap FROM (
+    SELECT "window" FROM tr INTERSECT SELECT "window" FROM wf WHERE "window" % 3 = 0) x"""))
+def q_split_overlap_found(spark, sf):
+    """A leak is found: the training windows against every third window."""
+    s = split_windows(spark, sf)
+    return S.overlap(s.where(F.col("split") == "train"), s.where(F.col("window") % 3 == 0))
+
+
+_HOLES = """SELECT "window", CASE WHEN "window" % 7 = 0 THEN NULL ELSE flow_count END AS flow_count,
+    CASE WHEN "window" % 11 = 0 THEN NULL ELSE avg_duration END AS avg_duration, avg_bytes,
+    CASE WHEN "window" % 13 = 0 THEN NULL ELSE label END AS label FROM wf"""
+
+
+@query("dropna_holes", duck(["flows"], D_FC, D_WF, ("h", _HOLES), select="""SELECT * FROM h
+    WHERE flow_count IS NOT NULL AND avg_duration IS NOT NULL AND label IS NOT NULL"""), ["avg_duration", "avg_bytes"])
+def q_dropna_holes(spark, sf):
+    """Windows with null features or labels go."""
+    holes = lambda c, n: F.when(F.col("window") % n != 0, F.col(c)).alias(c)
+    return C.dropna(windows(spark, sf).select("window", holes("flow_count", 7), holes("avg_duration", 11), "avg_bytes",
+                                              holes("label", 13)))
+
+
 @query("time_to_first_attack", duck(["flows"], D_FC, select="""SELECT
     min(ts) FILTER (WHERE label = 1) - 60.0 AS time_to_first_attack FROM fc"""), ["time_to_first_attack"])
 def q_ttfa(spark, sf):

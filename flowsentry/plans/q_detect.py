@@ -11,6 +11,7 @@ from flowsentry.plans.catalog import query
 from flowsentry.plans.common import (
     D_AUC, D_FC, D_RATES, D_SPLIT, D_THR, D_THR_SCORED, D_WF, duck, train_test,
 )
+from flowsentry.functions.scalar import iso_label
 from flowsentry.sources import bindings as B
 
 _THR_CHAIN = (D_FC, D_WF, *D_SPLIT, D_THR)
@@ -113,6 +114,13 @@ def q_threshold_sweep_long(spark, sf):
     return EV.sweep_counts(B.scored(spark, sf), levels).select("model", "threshold", "tp", "fp", "fn", "tn")
 
 
+@query("anomaly_sign", duck(["scored"], select="""SELECT model, id, cast(score > 0.9 AS int) AS pred FROM scored"""))
+def q_anomaly_sign(spark, sf):
+    """A detector's sign (-1 anomaly, 1 normal) as a class."""
+    sign = F.when(F.col("score") > 0.9, F.lit(-1)).otherwise(F.lit(1))
+    return B.scored(spark, sf).withColumn("sign", sign).select("model", "id", iso_label("sign").alias("pred"))
+
+
 @query("confusion_pct", duck(["scored"], ("c", """SELECT model,
     count(*) FILTER (WHERE label <> 1 AND pred <> 1) AS tn,
     count(*) FILTER (WHERE label <> 1 AND pred = 1) AS fp,
