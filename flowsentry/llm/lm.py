@@ -1,6 +1,6 @@
-"""Interpolated modified Kneser-Ney bigram model.
+"""Interpolated modified Kneser-Ney model of order 2 or 3.
 
-Training counts words, then word pairs, in Spark; the model is a folder of
+Training counts words, then runs of ``order`` words, in Spark; the model is a folder of
 sorted arrays below the shared checkpoint folder, in shards whose number
 grows with the corpus.  Scoring tasks memory-map the shards they touch, so no
 part of the model passes through the driver and none is held in memory whole.
@@ -14,10 +14,18 @@ part of the model passes through the driver and none is held in memory whole.
   are added up when read.
 * ``left-*``: per word the number of distinct contexts before it.
 
-With c the pair count and D its modified discount (1, 2, 3+),
-``p(w|v) = (c - D(c)) / c(v.) + g(v) p(w)``; the lower order uses the numbers
-of distinct contexts the same way and ends in ``1 / (V + 1)``, which is also
-the share of all unknown words.
+Order 3 counts triples and adds
+
+* ``tri-*``/``trin-*``/``trix-*``: sorted ``(rank of the pair in its shard << 32
+  | id of the word before it)``, counts up to 255, and places and values of
+  larger ones; the pair counts are then numbers of distinct words before a pair.
+* ``c3-*``/``c3t-*``/``c3w-*``: sorted contexts of two ids, their totals and
+  backoff weights.
+
+With c the count of the longest run and D its modified discount (1, 2, 3+),
+``p(w|v) = (c - D(c)) / c(v.) + g(v) p(w|shorter v)``; the lower orders use the
+numbers of distinct contexts the same way and end in ``1 / (V + 1)``, which is
+also the share of all unknown words.
 """
 
 from __future__ import annotations
@@ -192,19 +200,180 @@ def _cuts(first: int, n: np.ndarray, size: int, limit: int) -> np.ndarray:
     return np.sort(np.concatenate(out))
 
 
-def train(df: DataFrame, text: str = "text") -> dict:
-    """Model of all rows of ``df``: its folder, sizes and discounts.
+def _narrow(n: np.ndarray) -> np.ndarray:
+    return n.astype(np.uint32 if not len(n) or n.max() < 1 << 32 else np.uint64)
+
+
+def _packed(a: np.ndarray) -> bytes:
+    return bytes(pa.compress(np.ascontiguousarray(a).tobytes(), "zstd", asbytes=True))
+
+
+def _unpacked(blob: bytes, n: int, kind) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, n * np.dtype(kind).itemsize, "zstd"), kind)
+
+
+def _groups(*keys: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal entries of sorted columns."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+TRIPLES = "shard long, keys binary, befores binary, counts binary, size long"
+_OF = [f"{x}{i}" for x in "nm" for i in (1, 2, 3, 4)]
+WRITTEN = "s long, w long, left long, " + ", ".join(f"{c} long" for c in _OF) + ", shard long, keys binary, stats binary, size long"
+
+
+def _triple_blobs(df: DataFrame, vocab_args: tuple, size: int, bounds: np.ndarray) -> DataFrame:
+    """Counts of triples per piece of the corpus, by pair shard of their last
+    two words: pairs as differences, words before them, counts."""
+    def run(batches):
+        vocab, held, n_held = Vocabulary(*vocab_args), [], 0
+
+        def flush():
+            key, a = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((a, key))
+            key, a = key[order], a[order]
+            at = _groups(key, a)
+            n = np.diff(np.append(at, len(key)))
+            key, a = key[at], a[at]
+            cut = np.append(np.searchsorted(key, bounds.astype(np.uint64)), len(key))
+            for s in np.flatnonzero(np.diff(cut)):
+                part = slice(cut[s], cut[s + 1])
+                k = key[part]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s], pa.int64()), pa.array([_packed(np.diff(k, prepend=np.uint64(0)))], pa.binary()),
+                     pa.array([_packed(a[part])], pa.binary()), pa.array([_packed(n[part].astype(np.uint32))], pa.binary()),
+                     pa.array([len(k)], pa.int64())], [c.split()[0] for c in TRIPLES.split(", ")])
+
+        for b in batches:
+            for w in T.word_pieces(b.column(0)):
+                h, row = tokens(w)
+                known, inverse = np.unique(h, return_inverse=True)
+                ids = vocab.ids(known)[inverse].astype(np.uint64)
+                one, two = _befores(ids, row, np.uint64(size))
+                held.append((one << np.uint64(32) | ids, two.astype(np.uint32)))
+                n_held += len(ids)
+                if n_held >= BUFFER:
+                    yield from flush()
+                    held, n_held = [], 0
+        if held:
+            yield from flush()
+
+    return df.mapInArrow(run, TRIPLES)
+
+
+def _befores(ids: np.ndarray, row: np.ndarray, begin) -> tuple[np.ndarray, np.ndarray]:
+    """Ids one and two places before each token of its row, ``begin`` outside."""
+    out = []
+    for k in (1, 2):
+        b = np.full_like(ids, begin)
+        b[k:] = np.where(row[k:] == row[:-k], ids[:-k], begin) if len(ids) > k else b[k:]
+        out.append(b)
+    return out[0], out[1]
+
+
+def _write_triples(blobs: DataFrame, folder: str, bounds: np.ndarray, size: int) -> DataFrame:
+    """Writes the triple, pair and context files of every pair shard; gives the
+    words' left counts, counts of counts (``n*`` of pairs, ``m*`` of triples) and
+    the contexts of two words with their followers, by shard of the context."""
+    shards, names = len(bounds), [c.split()[0] for c in WRITTEN.split(", ")]
+
+    def empty(n):
+        return {c: pa.nulls(n, pa.binary() if c in ("keys", "stats") else pa.int64()) for c in names}
+
+    def run(batches):
+        for tab in _grouped(batches, "shard"):
+            s, sizes = tab.column("shard")[0].as_py(), tab.column("size").to_pylist()
+            each = lambda c, kind: [_unpacked(x, m, kind) for x, m in zip(tab.column(c).to_pylist(), sizes)]
+            key = np.concatenate([np.cumsum(x, dtype=np.uint64) for x in each("keys", np.uint64)])
+            a, n = np.concatenate(each("befores", np.uint32)), np.concatenate(each("counts", np.uint32)).astype(np.int64)
+            order = np.lexsort((a, key))
+            key, a, n = key[order], a[order], n[order]
+            at = _groups(key, a)
+            key, a, n = key[at], a[at], np.add.reduceat(n, at)
+            first = _groups(key)
+            pair, more = key[first], np.diff(np.append(first, len(key)))
+            rank = np.repeat(np.arange(len(pair), dtype=np.uint64), more)
+            put(folder, f"tri-{s}", rank << np.uint64(32) | a)
+            put(folder, f"trin-{s}", np.minimum(n, 255).astype(np.uint8))
+            big = np.flatnonzero(n >= 255)
+            put(folder, f"trix-{s}", np.stack([big, n[big]]))
+            put(folder, f"pair-{s}", pair)
+            put(folder, f"pairn-{s}", _narrow(more))
+            ctx = (pair >> np.uint64(32)).astype(np.int64) - (bounds[s] >> 32)
+            span = int((bounds[s + 1] - 1 >> 32 if s + 1 < shards else size) - (bounds[s] >> 32)) + 1
+            put(folder, f"ctx-{s}", np.stack([np.bincount(ctx, x, span) for x in (
+                more, more == 1, more == 2, more > 2)]).astype(np.int64))
+            w, left = np.unique(pair & np.uint64(0xFFFFFFFF), return_counts=True)
+            seen = np.concatenate([np.bincount(np.minimum(x, 5), minlength=6)[1:5] for x in (more, n)])
+            for i in range(0, len(w), 1 << 16):
+                m = len(w[i:i + (1 << 16)])
+                cols = empty(m)
+                cols |= {"s": pa.array(np.full(m, s)), "w": pa.array(w[i:i + m].astype(np.int64)),
+                         "left": pa.array(left[i:i + m].astype(np.int64))}
+                cols |= {c: pa.array(np.full(m, x if i == 0 else 0) * (np.arange(m) == 0)) for c, x in zip(_OF, seen)}
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names)
+            # contexts: the word before the pair and the pair's first word
+            ab = a.astype(np.uint64) << np.uint64(32) | key >> np.uint64(32)
+            order = np.argsort(ab, kind="stable")
+            ab, n = ab[order], n[order]
+            at = _groups(ab)
+            stats = np.stack([np.add.reduceat(x, at) for x in (n, (n == 1) * 1, (n == 2) * 1, (n > 2) * 1)])
+            ab = ab[at]
+            cut = np.append(np.searchsorted(ab, bounds.astype(np.uint64)), len(ab))
+            for t in np.flatnonzero(np.diff(cut)):
+                part = slice(cut[t], cut[t + 1])
+                cols = empty(1)
+                cols |= {"shard": pa.array([t], pa.int64()), "size": pa.array([cut[t + 1] - cut[t]], pa.int64()),
+                         "keys": pa.array([_packed(np.diff(ab[part], prepend=np.uint64(0)))], pa.binary()),
+                         "stats": pa.array([_packed(stats[:, part].astype(np.int64))], pa.binary())}
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names)
+
+    return blobs.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, WRITTEN)
+
+
+def _write_contexts(rows: DataFrame, folder: str, shards: int, d3: list[float]) -> list[int]:
+    """Writes the contexts of two words; the shards that have any."""
+    def run(batches):
+        for tab in _grouped(batches, "shard"):
+            s, sizes = tab.column("shard")[0].as_py(), tab.column("size").to_pylist()
+            key = np.concatenate([np.cumsum(_unpacked(x, m, np.uint64), dtype=np.uint64)
+                                  for x, m in zip(tab.column("keys").to_pylist(), sizes)])
+            stats = np.concatenate([_unpacked(x, 4 * m, np.int64).reshape(4, m)
+                                    for x, m in zip(tab.column("stats").to_pylist(), sizes)], axis=1)
+            order = np.argsort(key, kind="stable")  # parts of a context that was cut are added up
+            key, stats = key[order], stats[:, order]
+            at = _groups(key)
+            total, one, two, more = np.add.reduceat(stats, at, axis=1)
+            put(folder, f"c3-{s}", key[at])
+            put(folder, f"c3t-{s}", _narrow(total))
+            put(folder, f"c3w-{s}", (d3[0] * one + d3[1] * two + d3[2] * more) / total)
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64())], ["s"])
+
+    found = rows.where("shard is not null").select("shard", "keys", "stats", "size")
+    return sorted(r[0] for r in found.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(
+        run, "s long").collect())
+
+
+def train(df: DataFrame, text: str = "text", order: int = 2) -> dict:
+    """Model of order 2 or 3 of all rows of ``df``: its folder, sizes and discounts.
 
     Null and empty texts are one end token.  An empty table gives a model that
     knows no word.
     """
+    if order not in (2, 3):
+        raise ValueError("order 2 or 3")
     spark = df.sparkSession
     folder = scratch_path(spark, "lm")
     df = df.select(F.col(text))
     words = stored(_count_words(df), "lm-words")
     size, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     model = {"folder": folder, "V": size, "N": int(total), "bits": 0, "sizes": [0], "d2": [0.5, 1, 1.5],
-             "d1": [0.5, 1, 1.5], "step": 1, "bounds": [0], "full": [], "left_total": 0, "left_n": [0, 0, 0]}
+             "d1": [0.5, 1, 1.5], "step": 1, "bounds": [0], "full": [], "left_total": 0, "left_n": [0, 0, 0],
+             "order": order, "d3": [0.5, 1, 1.5], "full3": []}
     if not size:
         return model
     if size >= 1 << 32:
@@ -306,9 +475,15 @@ def train(df: DataFrame, text: str = "text") -> dict:
                     [pa.array(np.full(m, s)), pa.array(w[part].astype(np.int64)), pa.array(left[part].astype(np.int64)),
                      *seen], ["s", "w", "left", "n1", "n2", "n3", "n4"])
 
-    blobs = df.mapInArrow(pairs, "shard long, keys binary, counts binary, size long")
-    lefts = stored(blobs.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(
-        write_pairs, "s long, w long, left long, n1 long, n2 long, n3 long, n4 long"), "lm-left")
+    if order == 2:
+        blobs = df.mapInArrow(pairs, "shard long, keys binary, counts binary, size long")
+        lefts = stored(blobs.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(
+            write_pairs, "s long, w long, left long, n1 long, n2 long, n3 long, n4 long"), "lm-left")
+    else:
+        written = stored(_write_triples(_triple_blobs(df, vocab_args, size, bounds), folder, bounds, size), "lm-triples")
+        lefts = written.where("s is not null")
+        model["d3"] = _discounts(lefts.agg(*(F.sum(f"m{i}") for i in range(1, 5))).first())
+        model["full3"] = _write_contexts(written, folder, shards, model["d3"])
     model["full"] = sorted(r[0] for r in lefts.select("s").distinct().collect())  # a part may have no follower
     model["d2"] = _discounts(lefts.agg(*(F.sum(f"n{i}") for i in range(1, 5))).first())
     left = stored(lefts.groupBy("w").agg(F.sum("left").alias("left")), "lm-left-sum")
@@ -335,7 +510,7 @@ class Scorer:
         self.m, f = model, model["folder"]
         self.vocab = Vocabulary(f, model["bits"], model["sizes"])
         self.files = lru_cache(maxsize=None)(lambda name: get(f, name))
-        self.bounds, self.full = np.array(model["bounds"], np.int64), set(model["full"])
+        self.bounds, self.full, self.full3 = np.array(model["bounds"], np.int64), set(model["full"]), set(model["full3"])
         self.spread = lru_cache(maxsize=None)(self._spread)
         gone = model["d1"][0] * model["left_n"][0] + model["d1"][1] * model["left_n"][1] \
             + model["d1"][2] * model["left_n"][2]
@@ -410,6 +585,38 @@ class Scorer:
 
         return self._by_shard(key, lambda x: self._shard_of(x.astype(np.int64)), [0], read)[0]
 
+    def long_contexts(self, key: np.ndarray):
+        """Totals and backoff weights of sorted distinct contexts of two ids."""
+        def read(s, part):
+            if s not in self.full3:
+                return [0, 1]
+            keys = self.files(f"c3-{s}")
+            at = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
+            hit = keys[at] == part
+            return [np.where(hit, self.files(f"c3t-{s}")[at], 0), np.where(hit, self.files(f"c3w-{s}")[at], 1)]
+
+        return self._by_shard(key, lambda x: self._shard_of(x.astype(np.int64)), [0, 1], read)
+
+    def triples(self, key: np.ndarray, a: np.ndarray) -> np.ndarray:
+        """Counts of pairs (sorted) after the words ``a``."""
+        out = np.zeros(len(key))
+        shard = self._shard_of(key.astype(np.int64))
+        for i, z in zip(*(lambda c: (c[:-1], c[1:]))(np.append(_groups(shard), len(shard)))):
+            s = int(shard[i])
+            if s not in self.full:
+                continue
+            pairs, tri = self.files(f"pair-{s}"), self.files(f"tri-{s}")
+            at = np.minimum(np.searchsorted(pairs, key[i:z]), len(pairs) - 1)
+            want = at.astype(np.uint64) << np.uint64(32) | a[i:z].astype(np.uint64)
+            place = np.minimum(np.searchsorted(tri, want), len(tri) - 1)
+            n = np.where((pairs[at] == key[i:z]) & (tri[place] == want), self.files(f"trin-{s}")[place], 0).astype(np.float64)
+            big = np.flatnonzero(n == 255)
+            if len(big):
+                where, value = self.files(f"trix-{s}")
+                n[big] = value[np.searchsorted(where, place[big])]
+            out[i:z] = n
+        return out
+
     def score(self, w: T.Words):
         m = self.m
         h, row = tokens(w)
@@ -428,6 +635,20 @@ class Scorer:
         if len(key):
             n = self.pairs(key)[at]
             p[both] += (n - self.discount(n, m["d2"])) / np.maximum(total[both], 1)
+        if m["order"] == 3 and m["V"]:
+            one, two = _befores(ids, row, m["V"])
+            seen = (one >= 0) & (two >= 0)
+            key, at = np.unique(two[seen].astype(np.uint64) << np.uint64(32) | one[seen].astype(np.uint64), return_inverse=True)
+            total, weight = (x[at] for x in self.long_contexts(key)) if len(key) else (np.zeros(0), np.zeros(0))
+            p[seen] *= weight
+            mine = np.flatnonzero(seen)[(total > 0) & (ids[seen] >= 0)]
+            if len(mine):
+                total = total[(total > 0) & (ids[seen] >= 0)]
+                bc = one[mine].astype(np.uint64) << np.uint64(32) | ids[mine].astype(np.uint64)
+                order = np.lexsort((two[mine], bc))
+                n = np.empty(len(mine))
+                n[order] = self.triples(bc[order], two[mine][order])
+                p[mine] += (n - self.discount(n, m["d3"])) / total
         base = np.log10((counts + 0.1) / (m["N"] + 0.1 * (m["V"] + 1)))
         return (w.per_doc() + 1, np.bincount(row, counts > 0, w.rows), np.bincount(row, base, w.rows),
                 np.bincount(row, np.log10(p), w.rows))
@@ -467,10 +688,10 @@ def score(df: DataFrame, model: dict, id_col: str = "doc_id", text: str = "text"
     return df.mapInArrow(run, schema)
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = 2) -> DataFrame:
     """Scores of the whole table under a model of its training rows."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
-    model = train(docs.where(~held))
+    model = train(docs.where(~held), order=order)
     return score(docs, model).select(
         "doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model["N"]).cast("long").alias("train_tokens"),
         "base_score", "score", "perplexity")

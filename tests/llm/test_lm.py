@@ -122,3 +122,79 @@ def test_arrays_through_a_store(tmp_path, monkeypatch):
     lm.put("far://x", "a", a)
     got = lm.get("far://x", "a")
     assert isinstance(got, np.memmap) and (got == a).all() and not os.listdir(tmp_path / "near")
+
+
+def brute3(train, texts):
+    """Order 3 written out with dictionaries."""
+    seqs = [[*words(t), "</s>"] for t in train]
+    c1 = Counter(w for s in seqs for w in s)
+    c3 = Counter(p for s in seqs for p in zip([None, None, *s], [None, *s], s))
+    c2 = Counter((b, c) for _, b, c in c3)
+    left = Counter(c for _, c in c2)
+
+    def disc(counts):
+        n = [sum(1 for x in counts if x == k) for k in (1, 2, 3, 4)]
+        if min(n) > 0:
+            y = n[0] / (n[0] + 2 * n[1])
+            d = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
+            if all(0 < x < k for x, k in zip(d, (1, 2, 3))):
+                return d
+        return [0.5, 1.0, 1.5]
+
+    def cut(n, d):
+        return d[min(n, 3) - 1] if n else 0
+
+    def layer(counts, lower):
+        d, of = disc(counts.values()), defaultdict(Counter)
+        for k, n in counts.items():
+            of[k[:-1]][k[-1]] = n
+
+        def p(w, *v):
+            got = of.get(v)
+            if not got:
+                return lower(w, *v[1:])
+            t = sum(got.values())
+            return (got[w] - cut(got[w], d)) / t + sum(cut(x, d) for x in got.values()) / t * lower(w, *v[1:])
+        return p
+    d1, lt = disc(left.values()), sum(left.values())
+    rest = sum(cut(n, d1) for n in left.values()) / lt if lt else 1.0
+    p1 = lambda w: (left[w] - cut(left[w], d1)) / max(lt, 1) + rest / (len(c1) + 1)
+    p3 = layer(c3, layer(c2, p1))
+    return [sum(math.log10(p3(w, a, b)) for a, b, w in zip([None, None, *s], [None, *s], s))
+            for s in ([*words(t), "</s>"] for t in texts)], (p3, c1)
+
+
+@pytest.mark.parametrize("sizes", [(1 << 21, 1 << 20, 1 << 22), (500, 300, 700)])
+def test_order_three_equals_dictionaries(spark, monkeypatch, sizes):
+    for name, x in zip(("BUFFER", "VOCAB_SHARD", "PAIR_SHARD"), sizes):
+        monkeypatch.setattr(lm, name, x)
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").repartition(3)
+    rows = docs.collect()
+    import zlib
+    train = [r.text for r in rows if zlib.crc32(str(r.doc_id).encode()) % 10]
+    want, _ = brute3(train, [r.text for r in rows])
+    two, n, _ = brute(train, [r.text for r in rows])
+    got = {r.doc_id: r for r in lm.score_documents(docs, order=3).collect()}
+    for r, lp, (nt, known, base, _) in zip(rows, want, two):
+        g = got[r.doc_id]
+        assert (g.n_tokens, g.n_known, g.train_tokens) == (nt, known, n)
+        assert math.isclose(g.base_score, base, rel_tol=1e-9) and math.isclose(g.score, lp, rel_tol=1e-9)
+
+
+def test_order_three_edges(spark):
+    train = ["a b a c", "a b", "c c c a b d", "e", "", None]
+    _, (p3, c1) = brute3(train, [])
+    for v in [(None, None), (None, "a"), ("a", "b"), ("c", "c"), ("zz", "a"), ("a", "zz")]:
+        assert math.isclose(sum(p3(w, *v) for w in [*c1, "unknown"]), 1, rel_tol=1e-12)
+    # counts above 255, words unseen, a frequent context in parts
+    texts = [*train, "x y z " * 400, "x y w", "zz"] + [f"q{i} the r{i % 7}" for i in range(300)]
+    held = ["x y z x y z", "x y w", "new x y new", "", "a b d", "q1 the r1 the r2"]
+    want, _ = brute3(texts, held)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model = lm.train(df, order=3)
+    got = lm.score(spark.createDataFrame(list(enumerate(held)), "doc_id long, text string"), model).collect()
+    assert all(math.isclose(r.score, want[r.doc_id], rel_tol=1e-9) for r in got) and len(got) == len(held)
+    empty = lm.train(df.limit(0), order=3)
+    assert all(r.score == 0.0 for r in lm.score(df.limit(2), empty).collect())
+    with pytest.raises(ValueError, match="order"):
+        lm.train(df, order=4)
