@@ -24,8 +24,8 @@ from flowsentry.llm.jaccard import stored
 WINDOW, GRAM = 10, 6
 #: bytes that end a word once A-Z are lower-cased
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: fingerprints up to which the item side is broadcast (8 bytes each)
-BROADCAST_PRINTS = 1_000_000
+#: rows up to which the item side is broadcast (a hash, or a window's text of some hundred bytes)
+BROADCAST_PRINTS = 500_000
 
 
 def word_list(text: Column) -> Column:
@@ -126,11 +126,13 @@ def _judged(docs: DataFrame, items: DataFrame, id_col: str, text: str, item_id:
                        F.col("x.win").alias("win"), F.lit(window).alias("size"))
     equal = runs.join(_sized(wins.where("print is not null")), ["print", "win", "size"])
     hits = equal.select("id", "th", "s", "size", "item")
-    for k in sizes:
+    if sizes:  # runs of all lengths of short items, in one pass over the texts
+        def sized(k: int) -> Column:
+            return F.transform(_windows(k), lambda x: F.struct(x["s"].alias("s"), x["win"].alias("win"), F.lit(k).alias("size")))
         part = base.select("id", "th", word_list(F.col("t")).alias("words")) \
-            .select("id", "th", F.explode(_windows(k)).alias("x")).select("id", "th", F.col("x.s").alias("s"), F.col("x.win").alias("win"))
-        only = wins.where((F.col("size") == k) & F.col("print").isNull()).select("win", "size", "item")
-        hits = hits.unionByName(part.join(_sized(only), "win").select("id", "th", "s", "size", "item"))
+            .select("id", "th", F.explode(F.flatten(F.array(*[sized(k) for k in sizes]))).alias("x")).select("id", "th", "x.*")
+        short = wins.where(F.col("print").isNull()).select("win", "size", "item")
+        hits = hits.unionByName(part.join(_sized(short), ["win", "size"]).select("id", "th", "s", "size", "item"))
     per = hits.groupBy("id", "th").agg(
         F.collect_set(F.struct("s", "size")).alias("hits"),
         F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
