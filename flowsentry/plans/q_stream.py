@@ -23,7 +23,8 @@ from flowsentry.session import scratch_path
 from flowsentry.sources import bindings as B
 from flowsentry.streaming.align import assemble_ticks, late_rows, stream_align
 from flowsentry.streaming.alert import alert_sink, read_alerts, stream_time_to_alert
-from flowsentry.streaming.live import start_live_detector
+from flowsentry.streaming.committed import CommittedTable
+from flowsentry.streaming.live import GAUGE_SCHEMA, start_live_detector
 from flowsentry.streaming.runner import run_available_now, run_complete_snapshot, run_foreach_batch
 from flowsentry.streaming.score import stream_score
 from flowsentry.streaming.windows import stream_counts, stream_windows
@@ -192,8 +193,8 @@ def q_live_gauges(spark, sf):
     stream, t0 = _flow_stream(spark, sf)
     out = scratch_path(spark, "live-gauges")
     start_live_detector(stream, model, t0, W, out, scratch_path(spark, "live-checkpoint"), 0.0,
-                        available_now=True).awaitTermination()
+                        available_now=True, committed=True).awaitTermination()
     value = F.col("value")
-    return spark.read.schema("metric string, ts double, value double").parquet(f"{out}/batch_id=*").select(
+    return CommittedTable(spark, out, GAUGE_SCHEMA).read().select(
         "metric", "ts", F.when(F.col("metric") == "ai_anomaly_score", value.isin(0.0, 1.0)).otherwise(
             value.between(0.0, 1.0)).alias("value_in_range"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsentry.operators.alerts import time_to_alert
+from flowsentry.streaming.committed import CommittedTable
 
 ALERT_SCHEMA = ("device string, first_attack_label_ts double, first_detection_ts double, "
                 "time_to_alert_seconds double")
@@ -31,6 +32,15 @@ def alert_sink(path: str):
     return write
 
 
+def committed_alerts(table: CommittedTable, writer: str = "alerts"):
+    """``alert_sink`` into a table with a commit log (schema ``ALERT_SCHEMA``):
+    a device's alert is written once, whichever batches are replayed."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        ready = batch.where("time_to_alert_seconds is not null").select(*[c.split()[0] for c in ALERT_SCHEMA.split(", ")])
+        table.append(ready.join(table.read().select("device"), "device", "left_anti").select(*ready.columns), writer, batch_id)
+    return write
+
+
 def read_alerts(spark: SparkSession, path: str, below: int | None = None) -> DataFrame:
     """Alerts written so far (an absent folder has none)."""
     from pyspark.errors import AnalysisException

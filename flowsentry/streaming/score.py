@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowsentry.operators.cleaning import nonzero
 from flowsentry.operators.metrics import to_metric_samples
+from flowsentry.streaming.committed import CommittedTable, committed_sink
 
 # The detector's published gauges
 SCORE_GAUGES = {"pred": "ai_anomaly_score", "attack_probability": "ai_attack_probability"}
@@ -42,10 +43,18 @@ def publisher(path: str, size_s: float):
     return publish
 
 
+def committed_publisher(table: CommittedTable, size_s: float, writer: str = "detector"):
+    """``publisher`` into a table with a commit log: replayed batches are
+    skipped, and the number of files stays bounded however long it runs."""
+    return committed_sink(table, writer, lambda batch: to_metric_samples(
+        batch.withColumn("ts", F.col("window") * F.lit(float(size_s))), "ts", SCORE_GAUGES))
+
+
 def latency_samples(query) -> DataFrame:
     """Inference-latency gauge of a query's micro-batches: when the trigger
-    started (epoch seconds) and how long it spent on its rows, from Spark's
-    progress reports.  Batches without input rows have no sample."""
+    started (epoch seconds) and how long it spent on its rows, from the progress
+    reports that Spark still holds (the last hundred; ``progress.ProgressRecorder``
+    has them all).  Batches without input rows have no sample."""
     from datetime import datetime
     rows = [(LATENCY_GAUGE, datetime.fromisoformat(p.timestamp.replace("Z", "+00:00")).timestamp(),
              float(p.durationMs.get("addBatch", 0)))

@@ -100,3 +100,25 @@ def test_every_batch_of_a_long_run_is_recorded(spark):
     assert len(seen[0].recentProgress) <= 100
     assert per[LATE][1] == n - 20 and per[ROWS][1] == len(flows) and per[LATENCY][0] == n
     assert got.where((F.col("metric") == LATENCY) & (F.col("value") <= 0)).count() == 0
+
+
+def test_alerts_and_gauges_into_committed_tables(spark):
+    from flowsentry.streaming.alert import ALERT_SCHEMA, committed_alerts, stream_time_to_alert
+    from flowsentry.streaming.runner import run_foreach_batch
+    cols = "device string, ts double, label int, pred int, flow_count long, avg_duration double, avg_bytes double"
+    rows = [("d", 0.0, 0, 1, 5, 1.0, 1.0), ("d", 10.0, 1, 0, 5, 1.0, 1.0), ("d", 20.0, 1, 1, 5, 1.0, 1.0),
+            ("e", 5.0, 1, 1, 5, 1.0, 1.0)]
+    src = scratch_path(spark, "t-ca")
+    spark.createDataFrame(rows, cols).coalesce(1).write.option("maxRecordsPerFile", 1).parquet(src)
+    t = CommittedTable(spark, scratch_path(spark, "t-ca-out"), ALERT_SCHEMA, merge_after=3)
+    stream = spark.readStream.schema(cols).option("maxFilesPerTrigger", 1).parquet(src)
+    run_foreach_batch(stream_time_to_alert(stream), committed_alerts(t), scratch_path(spark, "t-ca-ck"), "update")
+    assert sorted((r.device, r.time_to_alert_seconds) for r in t.read().collect()) == [("d", -10.0), ("e", 0.0)]
+
+    from flowsentry.streaming.score import committed_publisher
+    g = CommittedTable(spark, scratch_path(spark, "t-cg-out"), "metric string, ts double, value double")
+    publish = committed_publisher(g, 10.0)
+    batch = spark.range(3).selectExpr("id as window", "cast(id % 2 as int) as pred", "0.25D as attack_probability")
+    for n in (0, 1, 1, 0):
+        publish(batch, n)
+    assert g.read().count() == 12 and g.read().where("metric = 'ai_attack_probability' and value = 0.25").count() == 6
