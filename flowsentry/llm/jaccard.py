@@ -103,7 +103,7 @@ def frequent_shingles(df: DataFrame, text: str, k: int) -> np.ndarray:
         if held:
             yield from flush()
 
-    top = df.select(F.col(text)).mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")) \
+    top = df.select(F.col(text)).mapInArrow(T.trimmed(count), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")) \
         .where(F.col("n") >= FREQUENT_LEAST).orderBy(F.desc("n"), "s").limit(FREQUENT).select("s").toPandas()
     return top.s.to_numpy(np.int64)[::-1].view(np.uint64)
 
@@ -159,7 +159,7 @@ def signatures(df: DataFrame, id_col: str, text: str, k: int, percent: int, freq
                     ["id", "n", "s1", "s2", "gid", "prefix", "counts"])
 
     return df.select(F.col(id_col).alias("id"), F.col(text).alias("t")).mapInArrow(
-        run, "id long, n long, s1 long, s2 long, gid long, prefix array<long>, counts binary")
+        T.trimmed(run), "id long, n long, s1 long, s2 long, gid long, prefix array<long>, counts binary")
 
 
 def bound_ok(n, sketches: list[bytes], u, v, percent: int) -> np.ndarray:
@@ -198,7 +198,7 @@ def _bounded_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFr
                           np.arange(m, 2 * m), percent)
             yield b.select(["a", "b"]).filter(pa.array(ok))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(T.trimmed(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, df: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
@@ -220,7 +220,7 @@ def verified(pairs: DataFrame, df: DataFrame, id_col: str, text: str, k: int, pe
                      T.long_lists(T.signed(s), np.bincount(row, minlength=w.rows), pa.int64())], ["id", "v"])
 
     # an id that comes twice with different texts is one document with all its classes' links
-    sets = docs.mapInArrow(run, "id long, v array<long>")
+    sets = docs.mapInArrow(T.trimmed(run), "id long, v array<long>")
     one = sets.toDF("a", "va")
     two = sets.toDF("b", "vb")
     overlap = F.size(F.array_intersect("va", "vb"))
@@ -332,11 +332,11 @@ def _cross_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame
                 both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-    found = stored(_cells(rows).mapInArrow(possible, "a long, b long, token long").distinct(), "jaccard-possible")
+    found = stored(_cells(rows).mapInArrow(T.trimmed(possible), "a long, b long, token long").distinct(), "jaccard-possible")
     near = _bounded_pairs(found.where("token is null").select("a", "b"), classes, percent)
     live = found.where("token is not null").select("token", F.col("a").alias("cid"))
     fat = rows.join(live, ["token", "cid"]).join(classes.select("cid", "counts"), "cid")
-    return near.unionByName(_cells(fat, "counts").mapInArrow(pairs, "a long, b long")).distinct()
+    return near.unionByName(_cells(fat, "counts").mapInArrow(T.trimmed(pairs), "a long, b long")).distinct()
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 3,

@@ -103,7 +103,7 @@ def train_profiles(df: DataFrame, text: str = "text", lang: str = "lang", dims:
                 ["lang", "tri", "n"])
 
     counts = df.where(F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l")) \
-        .mapInArrow(count, "lang string, tri long, n long").groupBy("lang", "tri").agg(F.sum("n").alias("n"))
+        .mapInArrow(T.trimmed(count), "lang string, tri long, n long").groupBy("lang", "tri").agg(F.sum("n").alias("n"))
 
     def bundle(pdf):
         import pandas as pd
@@ -167,7 +167,7 @@ def identify(df: DataFrame, profiles: dict, text: str = "text", out: str = "lang
                 [*(b.column(i) for i in kept), pa.array(names).take(pa.array(pick)), pa.array(best), *(pa.array(some) for _ in flag)],
                 schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(T.trimmed(run), schema)
 
 
 def held_out(remainder: int, modulus: int, id_col: str = "doc_id"):

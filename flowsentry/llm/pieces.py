@@ -255,7 +255,7 @@ def encode_pieces(df: DataFrame, model_path: str, text: str = "text", out: str =
         finally:
             c.memo.clear()  # a reused worker keeps no texts of this task
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(T.trimmed(run), schema)
 
 
 def decode_pieces(df: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -277,7 +277,7 @@ def decode_pieces(df: DataFrame, model_path: str, ids: str = "ids", out: str = "
         for b in batches:
             yield from _rows(b, step)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(T.trimmed(run), schema)
 
 
 def piece_digest(df: DataFrame, model_path: str) -> DataFrame:

@@ -24,15 +24,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Arrow batches sent to a Python task: rows and bytes
 BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
+#: rows that a scan decodes at a time, bytes that a Parquet writer gathers
+#: before it writes them out: texts are long, and two tasks share a heap
+SCAN_ROWS, WRITE_BYTES = 512, 32 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Checkpoint folder and package of a session, and Arrow batches that stay
-    small where texts are long (a larger row is a batch of its own)."""
+    """Checkpoint folder and package of a session, and Arrow batches, scans and
+    writers that stay small where texts are long (a larger row is a batch of its
+    own)."""
     checkpoint_dir(spark)
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(SCAN_ROWS))
+    spark.conf.set("parquet.block.size", str(WRITE_BYTES))
 
 
 def query(name: str, sql: str | None = None):

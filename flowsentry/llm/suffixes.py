@@ -103,7 +103,7 @@ def _suffix_table(df: DataFrame, min_words: int) -> DataFrame:
                      *(pa.array((x - base).astype(np.int32)) for x in (m, lo, hi))],
                     ["key", "whole", "id", "m", "lo", "hi"])
 
-    return df.mapInArrow(run, f"key long, whole long, id {_kind(df)}, m int, lo int, hi int")
+    return df.mapInArrow(T.trimmed(run), f"key long, whole long, id {_kind(df)}, m int, lo int, hi int")
 
 
 def _equal_neighbours(suffixes: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def _equal_neighbours(suffixes: DataFrame) -> DataFrame:
             yield last
 
     return suffixes.repartitionByRange("key", "id", "m").sortWithinPartitions("key", "id", "m") \
-        .mapInArrow(run, suffixes.schema)
+        .mapInArrow(T.trimmed(run), suffixes.schema)
 
 
 def repeated_windows(df: DataFrame, id_col: str = "doc_id", text: str = "text",
@@ -187,7 +187,7 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text: str = "text",
                     [pa.array(T.signed(Spans(w).hash(start, start + min_words))),
                      b.column(0).take(pa.array(row + w.row0)), pa.array(p.astype(np.int32))], ["win", "id", "p"])
 
-    found = stored(texts.mapInArrow(windows, f"win long, id {_kind(docs)}, p int"), "suffix-windows")
+    found = stored(texts.mapInArrow(T.trimmed(windows), f"win long, id {_kind(docs)}, p int"), "suffix-windows")
     firsts = found.groupBy("win").agg(F.count("*").alias("c"), F.min(F.struct("id", "p")).alias("o")).where("c > 1")
     fine = out(found.join(firsts, "win"), F.col("p"), F.col("p") + min_words, F.col("o.id"), F.col("o.p"),
                F.col("o.p") + min_words)
@@ -254,7 +254,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text",
                  pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))],
                 [id_col, "n_repeated", "n_removed", "removed"])
 
-    return lists.mapInArrow(run, f"`{id_col}` {_kind(lists)}, n_repeated long, n_removed long, "
+    return lists.mapInArrow(T.trimmed(run), f"`{id_col}` {_kind(lists)}, n_repeated long, n_removed long, "
                                  "removed array<struct<lo:long,hi:long>>")
 
 
@@ -313,7 +313,7 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text",
             out = pa.RecordBatch.from_arrays(cols, names)
             yield out.filter(pa.array([i not in gone for i in range(b.num_rows)])) if gone else out
 
-    return with_cuts.mapInArrow(run, schema)
+    return with_cuts.mapInArrow(T.trimmed(run), schema)
 
 
 ORACLE_SQL = f"""WITH d AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''),

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _U = np.uint64
 
 #: words `[^\x20\x09-\x0D]+`
@@ -70,14 +70,31 @@ def take_over(owner: str) -> None:
     if _owner[0] not in (None, owner):
         for clear in _caches:
             clear()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library: nothing to trim
-            pass
+        give_back()
     _owner[0] = owner
 
 
+def give_back() -> None:
+    """Returns free memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
+def trimmed(fn):
+    """``fn`` over a task's batches, free memory given back when it ends: a
+    reused worker waits for its next task, beside those that run, no larger
+    than it needs."""
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+    return run
+
+
 class Words:
     """The words of some consecutive rows: byte ``start``/``end`` in ``buf``
     and the row number ``doc`` (relative to ``row0``) of each."""
