@@ -19,8 +19,8 @@ neighbour is met once.
 
 Node names are cut into blocks with a running hash, so a word of any length
 costs as much as its length.  Nodes that very many words pass through (short
-prefixes and endings) are looked up in a broadcast table whose size is bounded
-by the number of positions divided by ``HEAVY``.
+prefixes and endings) are looked up in a broadcast table of at most
+``MOST_HEAVY`` rows.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ LEAST_LENGTH, LEAST_COUNT, RATIO = 6, 5, 5
 DELETE_EVERY = 199
 #: code points of a block of a node's name
 BLOCK = 64
-#: positions of a node above which it is looked up by broadcast
-HEAVY = 50_000
+#: positions of a node above which it is looked up by broadcast, and most nodes looked up so
+HEAVY, MOST_HEAVY = 50_000, 100_000
 #: words aimed at in one sorted range
 RANGE_WORDS = 50_000
 
@@ -94,11 +94,12 @@ def trie_nodes(words: DataFrame, width: int, backwards: bool) -> DataFrame:
     spots = stored(inside.select(*cols), "spelling-spots")
     nodes = stored(spots.where("depth > 0").groupBy("name").agg(F.min("id").alias("least"), F.count("*").alias("n")),
                    "spelling-nodes")
-    heavy = nodes.where(F.col("n") > HEAVY).select("name", F.col("least").alias("known"))
+    limit = max(HEAVY, (nodes.agg(F.sum("n")).first()[0] or 0) // MOST_HEAVY)
+    heavy = nodes.where(F.col("n") > limit).select("name", F.col("least").alias("known"))
     found = spots.join(F.broadcast(heavy), "name", "left")
     found = found.withColumn("known", F.when(F.col("depth") == 0, F.lit(0).cast("long")).otherwise(F.col("known")))
     light = found.where("known is null").drop("known").join(
-        nodes.where(F.col("n") <= HEAVY).select("name", F.col("least").alias("known")), "name")
+        nodes.where(F.col("n") <= limit).select("name", F.col("least").alias("known")), "name")
     out = found.where("known is not null").unionByName(light)
     node = F.col("known") * F.lit(width).cast("long") + F.col("depth")
     return out.select("id", "at", node.alias("node"), *([] if backwards else ["first"]))

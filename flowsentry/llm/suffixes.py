@@ -28,6 +28,8 @@ from flowsentry.llm.jaccard import stored
 MIN_WORDS, STEP, SEED = 50, 16, 8
 #: word stretches up to which the list of cuts is broadcast (16 bytes each)
 BROADCAST_ROWS = 2_000_000
+#: rows of a group above which its rows are met by broadcast, and most groups met so
+HEAVY, MOST_HEAVY = 20_000, 100_000
 
 
 _BASE = 0x9E3779B97F4A7C15
@@ -133,6 +135,18 @@ def _equal_neighbours(suffixes: DataFrame) -> DataFrame:
         .mapInArrow(T.trimmed(run), suffixes.schema)
 
 
+def _joined(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of their group (one row per key, ``c`` its size).
+    Groups of more than ``HEAVY`` rows, and of so many that there are at most
+    ``MOST_HEAVY`` of them, are broadcast, so a group that holds a third of all
+    rows is met where its rows are; the others meet in a shuffle."""
+    groups = stored(groups, "suffix-counts")
+    limit = max(HEAVY, (groups.agg(F.sum("c")).first()[0] or 0) // MOST_HEAVY)
+    met = rows.join(F.broadcast(groups.where(F.col("c") > limit).withColumn("hot", F.lit(True))), key, "left")
+    rest = met.where("hot is null").select(*rows.columns).join(groups.where(F.col("c") <= limit), key)
+    return met.where("hot").drop("hot").unionByName(rest)
+
+
 def repeated_windows(df: DataFrame, id_col: str = "doc_id", text: str = "text",
                      min_words: int = MIN_WORDS, key: Column | None = None) -> DataFrame:
     """Word stretches ``(id, lo, hi, copy, own_lo, own_hi)``, end exclusive,
@@ -151,7 +165,7 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     groups = cand.groupBy("key").agg(
         F.count("*").alias("c"), F.min("whole").alias("w0"), F.max("whole").alias("w1"),
         F.min(F.struct("id", "lo", "hi")).alias("o")).where("c > 1")
-    cand = cand.join(groups, "key").select("id", "lo", "hi", "o", (F.col("w0") == F.col("w1")).alias("alike"))
+    cand = _joined(cand, groups, "key").select("id", "lo", "hi", "o", (F.col("w0") == F.col("w1")).alias("alike"))
     cand = stored(cand, "suffix-groups")
 
     def out(d, lo, hi, first_id, first_lo, first_hi):
@@ -189,7 +203,7 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     found = stored(texts.mapInArrow(T.trimmed(windows), f"win long, id {_kind(docs)}, p int"), "suffix-windows")
     firsts = found.groupBy("win").agg(F.count("*").alias("c"), F.min(F.struct("id", "p")).alias("o")).where("c > 1")
-    fine = out(found.join(firsts, "win"), F.col("p"), F.col("p") + min_words, F.col("o.id"), F.col("o.p"),
+    fine = out(_joined(found, firsts, "win"), F.col("p"), F.col("p") + min_words, F.col("o.id"), F.col("o.p"),
                F.col("o.p") + min_words)
     return settled.unionByName(fine)
 

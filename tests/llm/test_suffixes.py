@@ -3,6 +3,7 @@ import random
 import pytest
 
 from conftest import SF_MID
+from flowsentry.llm import suffixes
 from flowsentry.llm.suffixes import drop_repeats, repeated_spans
 from llm_helpers import words
 
@@ -35,7 +36,9 @@ def test_equals_every_window_on_the_table(spark):
     assert got(repeated_spans(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
-def test_random_overlaps(spark):
+@pytest.mark.parametrize("heavy", [20_000, 3])
+def test_random_overlaps(spark, monkeypatch, heavy):
+    monkeypatch.setattr(suffixes, "HEAVY", heavy)
     r = random.Random(3)
     parts = [[f"w{r.randint(0, 500)}" for _ in range(r.randint(30, 80))] for _ in range(12)]
     rows = []
