@@ -132,7 +132,11 @@ def gated_flows(raw: DataFrame, strict: bool = False, watch: Observation | str =
     the gate needs no scan of its own.  In a batch ``watch`` is an
     ``Observation``, to be read after the action; on a stream it is a name, and
     every progress report has the sums of its micro-batch under it.  A missing
-    column raises at once."""
+    column raises at once.
+
+    Read a batch that is watched through a session of its own
+    (``spark.newSession()``): a session that holds an observation cannot send a
+    fitted MLlib forest to its tasks any more."""
     missing = [c for c in required if c not in raw.columns]
     if missing:
         raise ValueError(f"missing required columns: {','.join(missing)}")

@@ -108,8 +108,8 @@ def q_quality_gate(spark, sf):
     count(*) FILTER (WHERE duration > 0 AND label = 1) > 0 AS attack_ok FROM gate"""))
 def q_gate_inside_scan(spark, sf):
     """S12 + A1: the same gates, counted by the scan that builds the windows."""
-    seen = Observation()
-    flows = C.gated_flows(B.flows(spark, sf).withColumn("duration", F.expr(_ODD)), watch=seen)
+    own, seen = spark.newSession(), Observation()  # see ``gated_flows``
+    flows = C.gated_flows(B.flows(own, sf).withColumn("duration", F.expr(_ODD)), watch=seen)
     WN.window_features(flows, W).write.parquet(scratch_path(spark, "gated-windows"))
     return C.gate_row(spark, seen.get)
 

@@ -84,8 +84,9 @@ def test_gate_sums_come_with_the_scan(spark):
     from flowsentry.streaming.progress import recorded
     raw = spark.createDataFrame([(float(i), ["1", "0", "x", "1e999"][i % 4], "5", "-", int(i % 3 == 0)) for i in range(40)],
                                 "ts double, duration string, src_bytes string, dst_bytes string, label int")
-    seen = Observation()
-    assert gated_flows(raw, watch=seen).where("duration > 0").count() == 10
+    own, seen = spark.newSession(), Observation()
+    raw.write.parquet(whole := scratch_path(spark, "t-gate-all"))
+    assert gated_flows(own.read.parquet(whole), watch=seen).where("duration > 0").count() == 10
     assert gate_row(spark, seen.get).collect() == quality_gate(clean_flows(raw), raw=raw).collect()
     plan = gated_flows(raw)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
