@@ -25,7 +25,7 @@ from flowsentry.streaming.align import assemble_ticks, late_rows, stream_align
 from flowsentry.streaming.alert import alert_sink, read_alerts, stream_time_to_alert
 from flowsentry.streaming.committed import CommittedTable
 from flowsentry.streaming.live import GAUGE_SCHEMA, start_live_detector
-from flowsentry.streaming.runner import run_available_now, run_complete_snapshot, run_foreach_batch
+from flowsentry.streaming.runner import run_available_now, run_complete_snapshot, run_foreach_batch, sliced, state_partitions
 from flowsentry.streaming.score import stream_score
 from flowsentry.streaming.windows import stream_counts, stream_windows
 
@@ -141,7 +141,7 @@ def q_stream_align(spark, sf):
 
     Rows come in slices of the whole time, up to four hours out of order, under
     a watermark of six hours, so that most buckets are flushed while the stream
-    goes on.  One packet in 97 of the first half comes with the last slice only:
+    goes on from its checkpoint.  One packet in 97 of the first half comes with the last slice only:
     too late, and reported per site and bucket (with the bucket's start)."""
     tk = B.ticks(spark, sf)
     good, _ = AL.parse_packets(B.packets(spark, sf))
@@ -157,15 +157,18 @@ def q_stream_align(spark, sf):
     ev = tk.select(F.explode(F.array(F.lit("even"), F.lit("odd"))).alias("site"), F.lit(0).alias("kind"),
                    at_tick.alias("t"), nth(at_tick).alias("slice")) \
         .unionByName(pk.select(site.alias("site"), F.lit(1).alias("kind"), "t",
-                               F.when(late, ALIGN_SLICES - 1).otherwise(nth(at)).alias("slice"))).checkpoint(eager=True)
-    src = scratch_path(spark, "align-stream")
+                               F.when(late, ALIGN_SLICES - 1).otherwise(nth(at)).alias("slice")))
+    ev = sliced(spark, ev, "slice", "align-slices")
+    src, out, ck = (scratch_path(spark, f"align-{x}") for x in ("stream", "out", "checkpoint"))
     cols = "site string, kind int, t double"
-    for i in range(ALIGN_SLICES):  # a file each, in this order
-        ev.where(F.col("slice") == i).drop("slice").coalesce(1).write.parquet(f"{src}/part={i}")
     # a row far beyond closes every bucket
-    spark.createDataFrame([("end", 2, low + width + 10 * ALIGN_DELAY_S)], cols).coalesce(1).write.parquet(f"{src}/part={ALIGN_SLICES}")
-    stream = spark.readStream.schema(cols).option("maxFilesPerTrigger", 1).parquet(f"{src}/part=*")
-    parts = run_available_now(spark, stream_align(stream, ALIGN_BUCKET_S, ALIGN_DELAY_S, resolution_s=1.0), "stream-align")
+    end = spark.createDataFrame([("end", 2, low + width + 10 * ALIGN_DELAY_S)], cols).coalesce(1)
+    with state_partitions(spark, spark.sparkContext.defaultParallelism):
+        for i in range(ALIGN_SLICES + 1):  # each lands in files of several tasks and is drained as one micro-batch
+            (end if i == ALIGN_SLICES else ev.where(F.col("slice") == i).drop("slice")).write.parquet(f"{src}/part={i}")
+            stream = spark.readStream.schema(cols).parquet(f"{src}/part=*")
+            parts = run_available_now(spark, stream_align(stream, ALIGN_BUCKET_S, ALIGN_DELAY_S, resolution_s=1.0),
+                                      "stream-align", out, ck)
     gone = late_rows(parts).select("site", (F.col("bucket") * ALIGN_BUCKET_S).alias("tick"), "n_packets", F.lit(True).alias("late"))
     return assemble_ticks(parts).withColumn("late", F.lit(False)).unionByName(gone)
 

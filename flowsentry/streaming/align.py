@@ -5,9 +5,11 @@ sensor tick, 1 = packet; other kinds only move event time).  Times are read on
 a grid of ``resolution_s``: a packet belongs to the first grid point at or
 after it, ticks lie on grid points.
 
-State is kept per (site, time bucket): a map from grid point to the number of
-packets, and one from grid point to the tick there, in RocksDB.  So its size
-follows the ticks and occupied grid points of a bucket, not the packets.  An
+State is kept per (site, time bucket): the number of packets at each grid
+point, and the tick there, in RocksDB, as a map from blocks of ``BLOCK`` grid
+points to the occupied ones.  So its size follows the ticks and occupied grid
+points of a bucket, not the packets, and a batch reads and writes each block
+that it touches once, however many rows or grid points it has there.  An
 event-time timer at the bucket's end emits its packets per own tick plus one
 carry row (null tick) with the packets after its last tick; ``assemble_ticks``
 adds a carry to the site's next tick.  Rows may arrive in any order within the
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,53 +36,80 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 SLACK = 1e-6
 
 
+#: grid points whose counts (or ticks) share one state value
+BLOCK = 1024
+
+
+def _by_cell(cells, values, combine):
+    """The distinct cells in order and their values joined by ``combine``."""
+    order = np.argsort(cells, kind="stable")
+    cells, values = cells[order], values[order]
+    if not len(cells):
+        return cells, values
+    at = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+    return cells[at], combine.reduceat(values, at)
+
+
+def _joined(parts, kind):
+    """One pair of arrays of (cells, values) pairs."""
+    parts = list(parts)
+    return (np.concatenate([np.zeros(0, np.int64), *(np.asarray(c, np.int64) for c, _ in parts)]),
+            np.concatenate([np.zeros(0, kind), *(np.asarray(v, kind) for _, v in parts)]))
+
+
 class _Aligner(StatefulProcessor):
     def __init__(self, size_s: float):
         self.size_s = size_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.packets = handle.getMapState("packets", "cell long", "n long")
-        self.ticks = handle.getMapState("ticks", "cell long", "tick double")
+        self.packets = handle.getMapState("packets", "block long", "cells array<long>, n array<long>")
+        self.ticks = handle.getMapState("ticks", "block long", "cells array<long>, tick array<double>")
 
     def _rows(self, key, ticks, counts, late):
         return pd.DataFrame({"site": str(key[0]), "bucket": int(key[1]), "tick": pd.Series(ticks, dtype="float64"),
                              "n_packets": pd.Series(counts, dtype="int64"), "late": late})
 
+    def _update(self, state, cells, values, add):
+        """Puts a batch's cells into their blocks: added to what is there, or in
+        its place."""
+        for part in np.split(np.arange(len(cells)), np.flatnonzero(np.diff(cells // BLOCK)) + 1) if len(cells) else []:
+            block, c, v = (int(cells[part[0]] // BLOCK),), cells[part], values[part]
+            old = state.getValue(block)
+            if old is not None:
+                was, had = _joined([old], v.dtype)
+                stays = np.ones(len(was), bool) if add else ~np.isin(was, c)
+                c, v = _by_cell(np.concatenate([was[stays], c]), np.concatenate([had[stays], v]), np.add)
+            state.updateValue(block, (c.tolist(), v.tolist()))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        df = pd.concat([r[["kind", "cell", "t"]] for r in rows])
+        packets, ticks = [], []
+        for r in rows:  # chunks of the batch: what is kept of them follows their cells
+            kind, cell = r["kind"].to_numpy(), r["cell"].to_numpy(np.int64)
+            packets.append(np.unique(cell[kind == 1], return_counts=True))
+            ticks.append(_by_cell(cell[kind == 0], r["t"].to_numpy(np.float64)[kind == 0], np.minimum))
+        packets, ticks = _by_cell(*_joined(packets, np.int64), np.add), _by_cell(*_joined(ticks, np.float64), np.minimum)
         end = -(-int(key[1] + 1) * int(round(self.size_s * 1e6)) // 1000)
-        packets = df[df["kind"] == 1].groupby("cell").size()
-        ticks = df[df["kind"] == 0].groupby("cell")["t"].min()
         if end <= timerValues.getCurrentWatermarkInMs():
             # closed: packets counted as late, ticks as late with no packets
-            gone = [*[(t, 0) for t in ticks], *([(None, int(packets.sum()))] if len(packets) else [])]
+            gone = [*[(t, 0) for t in ticks[1]], *([(None, int(packets[1].sum()))] if len(packets[0]) else [])]
             if gone:
                 yield self._rows(key, [t for t, _ in gone], [n for _, n in gone], True)
             return
-        for cell, t in ticks.items():
-            self.ticks.updateValue((int(cell),), (float(t),))
-        known = len(packets) and self.packets.exists()
-        for cell, n in packets.items():
-            old = self.packets.getValue((int(cell),)) if known else None
-            self.packets.updateValue((int(cell),), (int(n) + (old[0] if old else 0),))
-        if len(packets) or len(ticks):
+        self._update(self.ticks, *ticks, False)
+        self._update(self.packets, *packets, True)
+        if len(packets[0]) or len(ticks[0]):
             self.handle.registerTimer(end)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ticks = sorted((c[0], v[0]) for c, v in self.ticks.iterator())
-        packets = sorted((c[0], v[0]) for c, v in self.packets.iterator())
-        counts, at = [], 0
-        for cell, _ in ticks:
-            n = 0
-            while at < len(packets) and packets[at][0] <= cell:
-                n += packets[at][1]
-                at += 1
-            counts.append(n)
-        rest = sum(n for _, n in packets[at:])
+        at, ticks = _by_cell(*_joined((v for _, v in self.ticks.iterator()), np.float64), np.minimum)
+        cells, n = _by_cell(*_joined((v for _, v in self.packets.iterator()), np.int64), np.add)
+        before = np.concatenate([[0], np.cumsum(n)])
+        upto = before[np.concatenate([[0], np.searchsorted(cells, at, "right"), [len(cells)]])]
         self.ticks.clear()
         self.packets.clear()
-        yield self._rows(key, [*[t for _, t in ticks], None], [*counts, rest], False)
+        # a count per tick, and the packets after the last one
+        yield self._rows(key, [*ticks, None], np.diff(upto), False)
 
     def close(self) -> None:
         pass

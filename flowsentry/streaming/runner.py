@@ -4,6 +4,8 @@ checkpoint folder, so a restarted query resumes exactly once."""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from flowsentry.session import scratch_path
@@ -20,6 +22,27 @@ def run_available_now(spark: SparkSession, df: DataFrame, name: str,
     return spark.read.schema(df.schema).parquet(out)
 
 
+def sliced(spark: SparkSession, df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` stored in a folder per value of ``column``: computed once, and
+    ``where(column = i)`` of the result reads the rows of slice ``i`` alone."""
+    path = scratch_path(spark, name)
+    df.write.partitionBy(column).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def state_partitions(spark: SparkSession, most: int):
+    """Streams started inside keep their state in at most ``most`` partitions.
+    Each costs a task, and a state store's commit, in every micro-batch."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), most)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def run_foreach_batch(df: DataFrame, fn, checkpoint: str, mode: str = "append"):
     q = (df.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
          .outputMode(mode).trigger(availableNow=True).start())

@@ -133,3 +133,50 @@ def test_late_rows_are_counted(spark):
     spark.createDataFrame([(5.0, "1", "1", "1", 1)], schema).write.parquet(f"{src}/p=1")
     assert rows_dropped_by_watermark(run()) == 1
     assert {r.window for r in spark.read.parquet(out).collect()} == {0}
+
+
+def test_align_state_calls_follow_blocks_not_rows():
+    """State is read and written once per block of grid points and batch."""
+    import random
+    from flowsentry.streaming import align
+
+    class Map(dict):
+        calls = 0
+
+        def getValue(self, k):
+            Map.calls += 1
+            return self.get(k)
+
+        def updateValue(self, k, v):
+            Map.calls += 1
+            self[k] = v
+
+        def iterator(self):
+            return iter(self.items())
+
+    class Handle:
+        def getMapState(self, *_):
+            return Map()
+
+        def registerTimer(self, at):
+            pass
+
+    class Timer:
+        def getCurrentWatermarkInMs(self):
+            return 0
+    r = random.Random(5)
+    a = align._Aligner(3600.0)
+    a.init(Handle())
+    events = []
+    for _ in range(2):
+        rows = [(0, c, float(c)) for c in r.sample(range(3600), 500)] + [(1, c, c - 0.5) for c in r.choices(range(3600), k=3000)]
+        events += rows
+        df = pd.DataFrame(rows, columns=["kind", "cell", "t"])
+        assert list(a.handleInputRows(("s", 0), iter([df[:700], df[700:]]), Timer())) == []
+    assert Map.calls <= 2 * 2 * 2 * (3600 // align.BLOCK + 1)
+    (out,) = a.handleExpiredTimer(("s", 0), Timer(), None)
+    ticks = sorted({t for k, _, t in events if k == 0})
+    packets = [c for k, c, _ in events if k == 1]
+    want = [sum(lo < c <= hi for c in packets) for lo, hi in zip([-1.0, *ticks], ticks)]
+    assert out["n_packets"].tolist() == [*want, sum(c > ticks[-1] for c in packets)]
+    assert out["tick"].tolist()[:-1] == ticks and out["tick"].isna().tolist()[-1]
