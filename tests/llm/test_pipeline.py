@@ -162,3 +162,16 @@ def test_language_stage_rejects_by_the_profiles(spark):
     kept = {r.doc_id for r in P.language(spark, docs, SF_SMALL).collect()}
     assert kept == {i for i, s in scores.items() if s > 0} and set(range(10)) <= kept
     assert np.isclose(min(scores.values()), 0) == (99 not in kept)
+
+
+def test_language_stage_labels_what_follows(spark):
+    """A missing or wrong label gives way to the language the text resembles,
+    and the last stage returns it; rows stay as many as they are."""
+    en, de = "the house and the river of the town", "das haus und der fluss der stadt"
+    rows = [*((i, en if i % 2 else de, "en" if i % 2 else "de") for i in range(10)), (20, en, None), (21, de, "en"),
+            (None, de + " und das", None), (22, de, "de"), (22, de, "en"), (23, "12", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    left = P.language(spark, docs, SF_SMALL)
+    want = sorted((str(i), "en" if t == en else "de") for i, t, _ in rows if i != 23)
+    assert sorted((str(r.doc_id), r.lang) for r in left.collect()) == want
+    assert sorted((str(r.doc_id), r.lang) for r in P.token_pieces(spark, left, SF_SMALL).collect()) == want
