@@ -14,7 +14,7 @@ from flowsentry.session import scratch_path
 from flowsentry.sources import bindings as B
 from flowsentry.streaming.committed import CommittedTable
 from flowsentry.streaming.progress import LATE, LATENCY, ROWS, recorded
-from flowsentry.streaming.runner import run_available_now
+from flowsentry.streaming.runner import run_available_now, sliced
 from flowsentry.streaming.windows import stream_windows
 
 _ZT = ", ".join(
@@ -103,8 +103,9 @@ def q_stream_progress(spark, sf):
     own = F.least(F.lit(PROGRESS_SLICES - 1), F.floor(
         (F.col("ts") - F.col("t0")) * PROGRESS_SLICES / (F.col("t1") - F.col("t0"))).cast("int"))
     late = (F.col("event_id") % 89 == 0) & (F.col("own") < 50)
-    d = raw.crossJoin(F.broadcast(ends)).withColumn("own", own).withColumn("part", F.when(
-        late, 55 + F.floor(F.col("event_id") / 89) % 55).otherwise(F.col("own"))).checkpoint(eager=True)
+    d = sliced(spark, raw.crossJoin(F.broadcast(ends)).withColumn("own", own).withColumn("part", F.when(
+        late, 55 + F.floor(F.col("event_id") / 89) % 55).otherwise(F.col("own"))).select(*raw.columns, "part"),
+        "part", "progress-slices")
     t0 = float(ends.first()["t0"])
     src = scratch_path(spark, "progress-stream")
     for (i,) in sorted(d.select("part").distinct().collect()):  # at most 110 slices, one file each in this order
