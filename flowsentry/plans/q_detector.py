@@ -132,13 +132,12 @@ def q_stream_progress(spark, sf):
 def q_committed_metrics(spark, sf):
     """S8 + T5: metric samples appended in twelve batches to a table with a
     commit log, some replayed, one left half-written, merged on the way."""
-    m = B.metrics(spark, sf).select("metric", "device", "ts", "seq", "value")
-    m.write.parquet(src := scratch_path(spark, "committed-source"))
-    m = spark.read.parquet(src)
+    m = B.metrics(spark, sf).select("metric", "device", "ts", "seq", "value", (F.col("seq") % 12).alias("batch"))
+    m = sliced(spark, m, "batch", "committed-source")
     schema = "metric string, device int, ts double, seq long, value double"
     table = CommittedTable(spark, scratch_path(spark, "committed"), schema, merge_after=6)
     for batch in range(12):
-        rows = m.where(F.col("seq") % 12 == batch)
+        rows = m.where(F.col("batch") == batch).drop("batch")
         table.append(rows, "scrape", batch)
         if batch % 5 == 4:
             table.append(rows, "scrape", batch)

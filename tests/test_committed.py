@@ -122,3 +122,37 @@ def test_alerts_and_gauges_into_committed_tables(spark):
     for n in (0, 1, 1, 0):
         publish(batch, n)
     assert g.read().count() == 12 and g.read().where("metric = 'ai_attack_probability' and value = 0.25").count() == 6
+
+
+def test_merges_come_every_so_many_appends_and_leave_large_folders(spark):
+    merged = []
+
+    class Watched(CommittedTable):
+        def merge(self):
+            super().merge()
+            merged.append(self.state()[1])
+    t = Watched(spark, scratch_path(spark, "t-merges"), SCHEMA, merge_after=6)
+    t.append(spark.range(200000).selectExpr("id as k", "uuid() as v").coalesce(1), "w", 0)
+    (large,) = t.state()[1]
+    for i in range(1, 12):
+        t.append(rows(spark, -i).coalesce(1), "w", i)
+    assert len(merged) == 2  # after 6 appends, and after 5 entries more beside the merged one
+    assert all(large in live and len(live) == 2 for live in merged)
+    assert t.read().count() == 200011 and t.read().where("k < 0").count() == 11 and not t.append(rows(spark, 5), "w", 11)
+
+
+def test_a_slice_is_read_alone(spark):
+    from flowsentry.streaming.runner import sliced
+    made = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+    df = spark.range(1000).withColumn("s", F.when(F.col("id") > 3, F.col("id") % 7)).mapInArrow(note, "id long, s long")
+    got = sliced(spark, df, "s", "t-sliced")
+    per = [got.where(F.col("s") == i) for i in range(7)]
+    assert [sorted(r.id for r in p.collect()) for p in per] == [[i for i in range(4, 1000) if i % 7 == k] for k in range(7)]
+    assert got.count() == 1000 and got.where("s is null").count() == 4 and got.dtypes == df.dtypes
+    assert made.value == 1000  # computed once for all slices
+    assert all("PartitionFilters: [isnotnull(s" in p._jdf.queryExecution().toString() for p in per)
