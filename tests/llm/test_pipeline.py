@@ -169,9 +169,12 @@ def test_language_stage_labels_what_follows(spark):
     and the last stage returns it; rows stay as many as they are."""
     en, de = "the house and the river of the town", "das haus und der fluss der stadt"
     rows = [*((i, en if i % 2 else de, "en" if i % 2 else "de") for i in range(10)), (20, en, None), (21, de, "en"),
-            (None, de + " und das", None), (22, de, "de"), (22, de, "en"), (23, "12", "en")]
+            (None, de + " und das", None), (22, de, "de"), (22, de, "en"), (23, "12", "en"), (24, "ri", "de"), (24, "ri", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     left = P.language(spark, docs, SF_SMALL)
-    want = sorted((str(i), "en" if t == en else "de") for i, t, _ in rows if i != 23)
+    found = langid.identify(docs.where("doc_id = 24"), langid.train_profiles(docs)).first()
+    assert 0 < found.score <= P.SURE_COSINE  # too few letters to overrule a label
+    want = sorted([(str(i), "en" if t == en else "de") for i, t, _ in rows if i not in (23, 24)]
+                  + [("24", "de"), ("24", found.lang_pred)])
     assert sorted((str(r.doc_id), r.lang) for r in left.collect()) == want
     assert sorted((str(r.doc_id), r.lang) for r in P.token_pieces(spark, left, SF_SMALL).collect()) == want
