@@ -27,14 +27,15 @@ from pyspark.sql import functions as F
 from flowsentry.llm import textkit as T
 
 SPACE = "▁"
-#: bounds of the per-process memo tables (cleared when full, results alike)
+#: bounds of the per-process memo tables (results alike at any size)
 MEMO_CHUNKS, MEMO_PAIRS, MEMO_LEN = 200_000, 200_000, 48
 ROWS_BYTES = 1 << 21
 
 
-class PieceCodec:
+class Surfaces:
+    """What decoding needs of a model: the bytes that each id stands for."""
+
     def __init__(self, model_path: str):
-        import ahocorasick
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -57,25 +58,67 @@ class PieceCodec:
                 self.ids[piece] = i
                 self.rank[piece] = sp.get_score(i)
         self.is_byte = [sp.is_byte(i) for i in range(n)]
+
+    def decode(self, ids) -> str:
+        """Text of an id list: surfaces joined, byte pieces read as UTF-8
+        (U+FFFD for each byte that is none), the leading mark dropped."""
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else list(ids)
+        raw = b"".join(map(self.surface.__getitem__, ids))
+        if ids and raw[:1] == b" " and not self.is_byte[ids[0]]:
+            raw = raw[1:]
+        return raw.decode("utf-8", "replace")
+
+
+class _Memo(dict):
+    """Ids of the chunks met lately.  A full table becomes the old one, whose
+    chunks come back when they are met again: frequent ones stay."""
+
+    def __init__(self, encode):
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        got = self.old.get(chunk)
+        if got is None:
+            got = self.encode(chunk)
+            if len(chunk) > MEMO_LEN:
+                return got
+        if len(self) >= MEMO_CHUNKS // 2:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = got
+        return got
+
+    def empty(self):
+        self.old = {}
+        self.clear()
+
+
+class PieceCodec(Surfaces):
+    def __init__(self, model_path: str):
+        import ahocorasick
+
+        super().__init__(model_path)
         self.auto = ahocorasick.Automaton()
         self.known = {c for p in self.ids for c in p}
-        for p in {*self.ids, *self.known}:
-            if self.remerge(p) == [p]:  # a piece that merging never leaves alone is no candidate
-                self.auto.add_word(p, p)
-        self.edges = {p: (self._edge(p, True), self._edge(p, False)) for p in self.auto.keys()}
-        # nodes (piece, length, node of the longest shorter piece, ids)
+        # a piece that merging never leaves alone is no candidate
+        whole = [p for p in {*self.ids, *self.known} if self.remerge(p) == [p]]
+        self.edges: dict[tuple[str, bool], list | None] = {}
+        # nodes (piece, length, node of the longest shorter piece, ids, and by
+        # piece the first node of its line of shorter pieces that fits after it)
         nodes: dict[str, tuple] = {}
-        for p in sorted(self.auto.keys(), key=len):
+        for p in sorted(whole, key=len):
             cut = next((nodes[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in nodes), None)
             ids = [self.ids[p]] if p in self.ids else [self.byte_id[b] for b in p.encode()]
-            nodes[p] = (p, len(p), cut, ids)
-            self.auto.add_word(p, nodes[p])
+            nodes[p] = (p, len(p), cut, array("i", ids).tobytes(), {})
+            if len(p) > 1:
+                self.auto.add_word(p, (len(p) - 1, nodes[p]))
         self.auto.make_automaton()
+        self.single = {c: nodes[c] for c in self.known}
         # a boundary that no piece spans: something before a white-space mark
         spans = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         self.chunk_re = re.compile(".+" if spans else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.S)
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.memo: dict[str, bytes] = {}
+        self.nodes, self.pairs = list(nodes.values()), 0
+        self.memo = _Memo(self._chunk)
 
     def remerge(self, s: str) -> list[str]:
         """Merge result of a short string: best score first, leftmost on ties."""
@@ -113,103 +156,97 @@ class PieceCodec:
         gone.append(-float("inf"))
         return [(piece[a:b], s, g) for ((a, b), s), g in zip(edge, gone)]
 
+    def _edge_of(self, piece: str, right: bool):
+        key = (piece, right)
+        if key not in self.edges:
+            self.edges[key] = self._edge(piece, right)
+        return self.edges[key]
+
     def fits(self, left: str, right: str) -> bool:
         """Does merging ``left + right`` give back exactly these two pieces?
         Only merges across the seam could differ: a part of the left piece's
         right edge with a part of the right piece's left edge, while both are
         there and before either is merged away (ties: leftmost first)."""
-        key = (left, right)
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) >= MEMO_PAIRS:
-                self.pairs.clear()
-            a, b = self.edges[left][0], self.edges[right][1]
-            if a is None or b is None:
-                ok = self.remerge(left + right) == [left, right]
-            else:
-                rank = self.rank
-                ok = True
-                for x, sx, gx in a:
-                    for y, sy, gy in b:
-                        r = rank.get(x + y)
-                        if r is not None and r > gx and r >= gy and sx > gy and sy > gx:
-                            ok = False
-            self.pairs[key] = ok
-        return ok
+        a, b = self._edge_of(left, True), self._edge_of(right, False)
+        if a is None or b is None:
+            return self.remerge(left + right) == [left, right]
+        rank = self.rank
+        for x, sx, gx in a:
+            for y, sy, gy in b:
+                r = rank.get(x + y)
+                if r is not None and r > gx and r >= gy and sx > gy and sy > gx:
+                    return False
+        return True
+
+    def _fitting(self, left: tuple, node: tuple) -> tuple | None:
+        """The longest of ``node`` and its shorter pieces that fits after
+        ``left``; noted for all that were tried."""
+        known, tried = left[4], []
+        while node is not None and node[0] not in known:
+            tried.append(node[0])
+            if self.fits(left[0], node[0]):
+                break
+            node = node[2]
+        else:
+            node = None if node is None else known[node[0]]
+        if self.pairs + len(tried) > MEMO_PAIRS:
+            for n in self.nodes:
+                n[4].clear()
+            self.pairs = 0
+        self.pairs += len(tried)
+        known.update(dict.fromkeys(tried, node))
+        return node
 
     def _segment(self, s: str) -> list[tuple]:
         """Backtracking over one run of known characters."""
         size = len(s)
-        longest = [None] * size
-        for end, node in self.auto.iter(s):  # later matches of one start are longer
-            longest[end + 1 - node[1]] = node
-        alive = bytearray(b"\xff") * ((size >> 3) + 1)
+        longest = [*map(self.single.get, s), None]
+        for end, (back, node) in self.auto.iter(s):  # later matches of one start are longer
+            longest[end - back] = node
+        alive, stuck = bytearray(b"\xff") * ((size >> 3) + 1), False
         out: list[tuple] = []
-        at, node, pairs = 0, longest[0], self.pairs
+        at, node = 0, longest[0]
         while at < size:
+            if out and node is not None:
+                left = out[-1]
+                try:
+                    node = left[4][node[0]]
+                except KeyError:
+                    node = self._fitting(left, node)
             if node is None:  # nothing fits here: give up this position and step back
                 alive[at >> 3] &= ~(1 << (at & 7))
+                stuck = True
                 last = out.pop()
                 at -= last[1]
                 node = last[2]
                 continue
             end = at + node[1]
-            if alive[end >> 3] >> (end & 7) & 1:
-                if out:
-                    key = (out[-1][0], node[0])
-                    ok = pairs.get(key)
-                    if ok is None:
-                        ok = self.fits(*key)
-                else:
-                    ok = True
-                if ok:
-                    out.append(node)
-                    at = end
-                    node = longest[at] if at < size else None
-                    continue
-            node = node[2]
+            if stuck and not alive[end >> 3] >> (end & 7) & 1:
+                node = node[2]
+                continue
+            out.append(node)
+            at = end
+            node = longest[at]
         return out
 
     def _chunk(self, chunk: str) -> bytes:
-        ids: list[int] = []
         if self.known.issuperset(chunk):
-            for node in self._segment(chunk):
-                ids += node[3]
-        else:
-            run = 0
-            for i, c in enumerate(chunk):
-                if c not in self.known:
-                    for node in self._segment(chunk[run:i]) if run < i else ():
-                        ids += node[3]
-                    ids += (self.byte_id[b] for b in c.encode())
-                    run = i + 1
-            for node in self._segment(chunk[run:]) if run < len(chunk) else ():
-                ids += node[3]
-        return array("i", ids).tobytes()
+            return b"".join([node[3] for node in self._segment(chunk)])
+        parts: list[bytes] = []
+        run = 0
+        for i, c in enumerate(chunk):
+            if c not in self.known:
+                parts += (node[3] for node in self._segment(chunk[run:i]))
+                parts.append(array("i", [self.byte_id[b] for b in c.encode()]).tobytes())
+                run = i + 1
+        parts += (node[3] for node in self._segment(chunk[run:]))
+        return b"".join(parts)
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        memo, out = self.memo, []
-        for chunk in self.chunk_re.findall(SPACE + text.replace(" ", SPACE)):
-            got = memo.get(chunk)
-            if got is None:
-                got = self._chunk(chunk)
-                if len(chunk) <= MEMO_LEN:
-                    if len(memo) >= MEMO_CHUNKS:
-                        memo.clear()
-                    memo[chunk] = got
-            out.append(got)
-        return np.frombuffer(b"".join(out), np.int32)
-
-    def decode(self, ids) -> str:
-        """Text of an id list: surfaces joined, byte pieces read as UTF-8
-        (U+FFFD for each byte that is none), the leading mark dropped."""
-        ids = ids.tolist() if isinstance(ids, np.ndarray) else list(ids)
-        raw = b"".join(map(self.surface.__getitem__, ids))
-        if ids and raw[:1] == b" " and not self.is_byte[ids[0]]:
-            raw = raw[1:]
-        return raw.decode("utf-8", "replace")
+        chunks = self.chunk_re.findall(SPACE + text.replace(" ", SPACE))
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, chunks)), np.int32)
 
 
 @lru_cache(maxsize=2)
@@ -217,7 +254,13 @@ def codec(model_path: str) -> PieceCodec:
     return PieceCodec(model_path)
 
 
+@lru_cache(maxsize=2)
+def surfaces(model_path: str) -> Surfaces:
+    return Surfaces(model_path)
+
+
 T.cached_by_worker(codec.cache_clear)
+T.cached_by_worker(surfaces.cache_clear)
 
 
 def _rows(batch: pa.RecordBatch, step):
@@ -253,7 +296,7 @@ def encode_pieces(df: DataFrame, model_path: str, text: str = "text", out: str =
             for b in batches:
                 yield from _rows(b, step)
         finally:
-            c.memo.clear()  # a reused worker keeps no texts of this task
+            c.memo.empty()  # a reused worker keeps no texts of this task
 
     return df.mapInArrow(T.trimmed(run), schema)
 
@@ -267,7 +310,7 @@ def decode_pieces(df: DataFrame, model_path: str, ids: str = "ids", out: str = "
 
     def run(batches):
         T.take_over("pieces")
-        c = codec(model_path)
+        c = surfaces(model_path)
 
         def step(part):
             col = part.column(ids)

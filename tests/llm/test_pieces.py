@@ -4,7 +4,7 @@ import pytest
 import sentencepiece
 
 from conftest import SF_SMALL
-from flowsentry.llm.pieces import PieceCodec, decode_pieces, encode_pieces, piece_digest
+from flowsentry.llm.pieces import PieceCodec, Surfaces, decode_pieces, encode_pieces, piece_digest
 from flowsentry.llm.queries import piece_model
 
 
@@ -45,6 +45,27 @@ def test_memo_bounds_change_nothing(sp, monkeypatch):
     assert c.encode(s).tolist() == sp.encode(s)
 
 
+def test_frequent_chunks_outlive_a_full_memo(sp, monkeypatch):
+    from flowsentry.llm import pieces
+    monkeypatch.setattr(pieces, "MEMO_CHUNKS", 40)
+    c, met = PieceCodec(piece_model()), []
+    inner = c._segment
+    monkeypatch.setattr(c, "_segment", lambda s: met.append(s) or inner(s))
+    s = " ".join(f"often rare{i}" for i in range(300))
+    assert c.encode(s).tolist() == sp.encode(s)
+    assert sum(x.endswith("often") for x in met) == 1
+    assert len(c.memo) + len(c.memo.old) <= 40
+    c.memo.empty()
+    assert not c.memo and not c.memo.old
+
+
+def test_decoding_builds_no_encoder(sp):
+    s = Surfaces(piece_model())
+    assert not hasattr(s, "auto")
+    for t in ("one two  three", "", " x", "\x00漢字😀", "<s>"):
+        assert s.decode(sp.encode(t)) == t == sp.decode(sp.encode(t))
+
+
 def test_table_digest(spark, sp):
     import hashlib
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(40).cache()
