@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +84,19 @@ def kept_suffixes(w: T.Words, g: np.ndarray, min_words: int):
     return row[lo], m[lo], p[lo], p[hi], first
 
 
+def _stretch(lo: str, hi: str) -> Column:
+    """A stretch as one number, the lowest bit free: a set of numbers takes a
+    fraction of the room of a set of structs."""
+    return F.shiftleft(F.col(lo).cast("long"), 32).bitwiseOR(F.shiftleft(F.col(hi).cast("long"), 1))
+
+
+def _stretches(col: pa.Array):
+    """Of a column of lists of stretches: (row, start, end, lowest bit) of each."""
+    n = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+    x = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(n)), n), x >> 32, (x & 0xFFFFFFFF) >> 1, (x & 1).astype(bool)
+
+
 def _kind(df: DataFrame) -> str:
     return df.schema["id"].dataType.simpleString()
 
@@ -178,17 +192,13 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text: str = "text",
                   F.col("o.hi") + min_words)
 
     # the others: every window of the suffix, from the texts that hold one
-    todo = cand.where("not alike").groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("r"))
+    todo = cand.where("not alike").groupBy("id").agg(F.collect_set(_stretch("lo", "hi")).alias("r"))
     texts = docs.join(todo, "id").select("id", "t", "r")
 
     def windows(batches):
         T.take_over("suffixes")
         for b in batches:
-            ranges = b.column(2)
-            flat = ranges.flatten()
-            lo, hi = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            size = np.array([len(x) for x in ranges], np.int64)
-            owner = np.repeat(np.arange(len(size)), size)
+            owner, lo, hi, _ = _stretches(b.column(2))
             for w in T.word_pieces(b.column(1)):
                 mine = (owner >= w.row0) & (owner < w.row0 + w.rows)
                 a, z, row = lo[mine], hi[mine], owner[mine] - w.row0
@@ -208,16 +218,16 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     return settled.unionByName(fine)
 
 
-def _union(pairs) -> np.ndarray:
+def _union(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Disjoint sorted stretches covering the given ones."""
-    if not len(pairs):
+    if not len(lo):
         return np.zeros((0, 2), np.int64)
-    a = np.array(sorted(pairs), np.int64)
-    top = np.maximum.accumulate(a[:, 1])
-    new = np.ones(len(a), bool)
-    new[1:] = a[1:, 0] > top[:-1]
+    order = np.argsort(lo, kind="stable")
+    lo, top = lo[order], np.maximum.accumulate(hi[order])
+    new = np.ones(len(lo), bool)
+    new[1:] = lo[1:] > top[:-1]
     at = np.flatnonzero(new)
-    return np.stack([a[at, 0], np.append(top[at[1:] - 1], top[-1])], 1)
+    return np.stack([lo[at], np.append(top[at[1:] - 1], top[-1])], 1)
 
 
 def _minus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -237,6 +247,31 @@ def _minus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
+def _removed(wins: pa.Array, own: pa.Array) -> list[pa.Array]:
+    """``n_repeated, n_removed, removed`` of rows with these stretches (lowest
+    bit: a copy) and first occurrences in the same text.  The rows are laid end
+    to end, one place apart, so one pass serves all."""
+    row, lo, hi, copy = _stretches(wins)
+    own_row, own_lo, own_hi, _ = _stretches(own)
+    size = np.zeros(len(wins), np.int64)
+    np.maximum.at(size, row, hi)
+    np.maximum.at(size, own_row, own_hi)
+    base = np.cumsum(size + 1) - size - 1
+    lo, hi = lo + base[row], hi + base[row]
+    every = _union(lo, hi)
+    cut = _minus(_union(lo[copy], hi[copy]), _union(own_lo + base[own_row], own_hi + base[own_row]))
+
+    def of(x):
+        return np.searchsorted(base, x[:, 0], side="right") - 1
+
+    def words(x):
+        return pa.array(np.bincount(of(x), x[:, 1] - x[:, 0], len(wins)).astype(np.int64))
+    at = of(cut)
+    offs = np.append(0, np.cumsum(np.bincount(at, minlength=len(wins)))).astype(np.int32)
+    places = pa.StructArray.from_arrays([pa.array(cut[:, i] - base[at]) for i in (0, 1)], ["lo", "hi"])
+    return [words(every), words(cut), pa.ListArray.from_arrays(pa.array(offs), places)]
+
+
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text",
                    min_words: int = MIN_WORDS, key: Column | None = None) -> DataFrame:
     """One row per text with a repeated passage: ``id_col``, ``n_repeated``
@@ -249,24 +284,15 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     repeated, but nothing is removed from them.  ``key`` stands in for the id.
     """
     wins = repeated_windows(df, id_col, text, min_words, key)
-    lists = wins.distinct().groupBy("id").agg(
-        F.collect_set(F.struct("lo", "hi")).alias("all"),
-        F.collect_set(F.when(F.col("copy"), F.struct("lo", "hi"))).alias("copies"),
-        F.collect_set(F.when(F.col("own_lo").isNotNull(), F.struct("own_lo", "own_hi"))).alias("own"))
+    lists = wins.select("id", _stretch("lo", "hi").bitwiseOR(F.col("copy").cast("long")).alias("wins"),
+                        _stretch("own_lo", "own_hi").alias("own")).distinct().groupBy("id").agg(
+        F.collect_set("wins").alias("wins"), F.collect_set("own").alias("own"))
 
     def run(batches):
+        T.take_over("suffixes")
         for b in batches:
-            rep, rem, spans = [], [], []
-            for a, c, o in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
-                a, c, o = (_union([tuple(x.values()) for x in v]) for v in (a, c, o))
-                cut = _minus(c, o)
-                rep.append(int((a[:, 1] - a[:, 0]).sum()))
-                rem.append(int((cut[:, 1] - cut[:, 0]).sum()))
-                spans.append([{"lo": x, "hi": y} for x, y in cut.tolist()])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(rep, pa.int64()), pa.array(rem, pa.int64()),
-                 pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))],
-                [id_col, "n_repeated", "n_removed", "removed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *_removed(b.column(1), b.column(2))],
+                                             [id_col, "n_repeated", "n_removed", "removed"])
 
     return lists.mapInArrow(T.trimmed(run), f"`{id_col}` {_kind(lists)}, n_repeated long, n_removed long, "
                                  "removed array<struct<lo:long,hi:long>>")

@@ -13,6 +13,7 @@ texts.
 from __future__ import annotations
 
 import ctypes
+import gc
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,7 @@ def take_over(owner: str) -> None:
     if _owner[0] not in (None, owner):
         for clear in _caches:
             clear()
+        gc.collect()  # caches may hold cycles
         give_back()
     _owner[0] = owner
 

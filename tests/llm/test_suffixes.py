@@ -62,6 +62,40 @@ def test_random_overlaps(spark, monkeypatch, heavy):
     assert kept[103] is None and kept[104] == "" and kept[105] == "Q" * 90000
 
 
+def test_many_stretches_take_little_memory():
+    """A full batch of 2,000 texts with 60 windows each, copies of which every
+    third has its first place in the same text."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    rows, n = 2000, 60
+    lo = np.tile(np.arange(n), rows) + np.repeat(np.arange(rows) % 7, n)
+    wins = lo << 32 | (lo + 50) << 1 | 1
+    offs = pa.array(np.arange(rows + 1, dtype=np.int32) * n)
+    own = pa.ListArray.from_arrays(pa.array((np.arange(rows + 1) + 2) // 3, pa.int32()),
+                                   pa.array([5 << 32 | 15 << 1] * ((rows + 2) // 3), pa.int64()))
+    tracemalloc.start()
+    repeated, removed, spans = suffixes._removed(pa.ListArray.from_arrays(offs, pa.array(wins)), own)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20  # objects for each stretch took 60 MB and more
+    assert repeated.to_pylist() == [n + 49] * rows
+    for r in (0, 1, 2, 3, 6, 1998, 1999):
+        a, z = r % 7, r % 7 + n + 49
+        want = [(a, z)] if r % 3 else [x for x in ((a, 5), (max(a, 15), z)) if x[0] < x[1]]
+        assert [(x["lo"], x["hi"]) for x in spans[r].as_py()] == want
+        assert removed[r].as_py() == sum(y - x for x, y in want)
+
+
+def test_sets_hold_numbers(spark):
+    """Sets of structs filled the heap of an executor."""
+    import re
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    plan = repeated_spans(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set(" in plan and not re.search(r"collect_set\((if|struct|CASE)", plan)
+
+
 def test_edges(spark):
     t = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, t), (1, t), (None, t)], "doc_id long, text string")
